@@ -71,8 +71,8 @@ def bitmap(ids: DataFrame, column: str, words: int = 1 << 19) -> bytes:
     """
     import numpy as np
 
-    h = F.col(column)
-    got = ids.select(F.pmod(F.shiftright(h, 6), F.lit(words)).alias("w"), F.shiftleft(F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = ids.select(F.col(column).alias("h")).selectExpr(f"pmod(shiftright(h, 6), {words}) w", "shiftleft(1L, cast(h & 63 as int)) b")
+    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(words, np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out.tobytes()

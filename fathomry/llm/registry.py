@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, quality_rules
+from . import common, decontaminate, jaccard_join, quality_rules
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(common.documents(spark, sf_dir)).drop("item")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(common.documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
-ORACLE: dict[str, str] = {}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op3_jaccard_join, op6_quality_rules, op9_decontaminate)}
+ORACLE: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE_SQL}
