@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, quality_rules
+from . import common, decontaminate, jaccard_join, packing, quality_rules
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_pack_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), tokenizer_path())
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +29,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op6_quality_rules, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_pack_best_two_fit, op3_jaccard_join, op6_quality_rules, op9_decontaminate)}
 ORACLE: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE_SQL}
