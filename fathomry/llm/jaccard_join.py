@@ -47,7 +47,7 @@ def _joined(docs: DataFrame, plan: near.Plan) -> DataFrame:
     named = docs.select("doc_id", "text", F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), near.content_id(F.col("text"))).alias("item"))
     texts = named.where("item is not null")
     comps = near.candidates(texts.select("item", "text").mapInArrow(_bands(plan), "key long, item long"))
-    counted, groups = near.links(texts, comps, plan)
+    counted, groups = near.links(near.in_set(texts), comps, plan)
     classes = texts.groupBy("item").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     classes = stored(classes.join(counted, "item", "left").join(groups.withColumnRenamed("id", "item"), "item", "left"), "classes")
     classes = classes.withColumn("group_key", F.coalesce("component", "item")).drop("component")

@@ -20,17 +20,18 @@ whole shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import bitmap, components, in_bitmap, parts, stored
+from .common import bitmap, components, in_bitmap, stored
 
 BLOCK = 512
 
@@ -118,8 +119,20 @@ def band_rows(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, plan: Plan) -> pa
 def candidates(rows: DataFrame) -> DataFrame:
     """(id, component) of all items that share a key of rows (key, item) with another."""
     rows = stored(rows, "bands")
-    shared = rows.groupBy("key").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a < z").drop("z")
-    return components(rows.join(shared, "key").where("item <> a").select("a", F.col("item").alias("b")))
+    shared = stored(rows.groupBy("key").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a < z").drop("z"), "shared")
+    return components(matching(rows, "key", shared).join(shared, "key").where("item <> a").select("a", F.col("item").alias("b")))
+
+
+def matching(rows: DataFrame, column: str, others: DataFrame) -> DataFrame:
+    """rows whose column may be in that of others: a fixed-size filter that keeps the rest out of the join's shuffle."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(others, column))
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits.value, b.column(at).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def compare(items: np.ndarray, side: np.ndarray, h: np.ndarray, doc: np.ndarray, plan: Plan, within: bool):
@@ -203,13 +216,13 @@ def text_shingles(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.nd
     return vec.shingles(h, doc, len(offs) - 1, words)
 
 
-def links(texts: DataFrame, comps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+def links(rows_of: Callable[[Broadcast], DataFrame], comps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """((item, n_links), (item, group)) over items that have a link.
 
-    texts: rows (item, text) with copies, or any rows whose items in comps matter;
-    comps: (id, component) from ``candidates``.
+    rows_of: from a broadcast bitmap, rows (item, text) of at least the items in it,
+    copies a few times at most; comps: (id, component) from ``candidates``.
     """
-    spark = texts.sparkSession
+    spark = comps.sparkSession
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
     tasks = max(1, comps.count() // BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -221,13 +234,6 @@ def links(texts: DataFrame, comps: DataFrame, plan: Plan) -> tuple[DataFrame, Da
     )
     bits = spark.sparkContext.broadcast(bitmap(comps, "id"))
 
-    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches):
-            ids = t["item"].to_numpy()
-            new = np.zeros(len(ids), bool)
-            new[np.unique(ids, return_index=True)[1]] = True
-            yield from t.filter(pa.array(new & in_bitmap(bits.value, ids))).combine_chunks().to_batches()
-
     def task(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.unique(t["item"].to_numpy(), return_index=True)[1]))
         ids = t["item"].to_numpy()
@@ -241,13 +247,29 @@ def links(texts: DataFrame, comps: DataFrame, plan: Plan) -> tuple[DataFrame, Da
         b = np.concatenate([ids[some], edges[:, 1]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]), pa.int64())})
 
-    rows = texts.select("item", "text").mapInArrow(involved, "item long, text string").join(placed, "item")
+    rows = rows_of(bits).join(placed, "item")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("item", "text", "task", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     found = stored(rows.groupBy("task", "lo", "hi").applyInArrow(task, "a long, b long, n long"), "links")
     counted = found.where("a = b").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("n_links"))
     return counted, components(found.where("a <> b").select("a", "b"))
 
 
+def in_set(texts: DataFrame) -> Callable[[Broadcast], DataFrame]:
+    """For ``links``: the rows (item, text) of texts, each item once a block."""
+
+    def rows_of(bits: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in vec.blocks(batches):
+                ids = t["item"].to_numpy()
+                new = np.zeros(len(ids), bool)
+                new[np.unique(ids, return_index=True)[1]] = True
+                yield from t.filter(pa.array(new & in_bitmap(bits.value, ids))).combine_chunks().to_batches()
+
+        return texts.select("item", "text").mapInArrow(run, "item long, text string")
+
+    return rows_of
+
+
 def content_id(text: Column) -> Column:
     """The id of a text: equal texts, equal ids."""
     return F.xxhash64(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, packing, quality_rules
+from . import common, decontaminate, jaccard_join, packing, quality_rules, substring_dedup
 
 
 def tokenizer_path() -> str:
@@ -29,5 +29,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_two_fit, op3_jaccard_join, op6_quality_rules, op9_decontaminate)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_pack_best_two_fit, op3_jaccard_join, op6_quality_rules, op9_decontaminate, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE_SQL}
