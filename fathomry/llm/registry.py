@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, packing, quality_rules, substring_dedup
+from . import common, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -25,6 +25,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(common.documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -33,5 +41,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_two_fit, op3_jaccard_join, op6_quality_rules, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_pack_best_two_fit,
+        op3_jaccard_join,
+        op6_quality_rules,
+        op7_toxicity_pu,
+        op8_shard_ring,
+        op9_decontaminate,
+        op10_substring_dedup,
+    )
+}
 ORACLE: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE_SQL}

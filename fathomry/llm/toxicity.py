@@ -9,7 +9,7 @@ where R+ and R- are mean logistic losses over positives (P) and unlabelled texts
 Where the second term is under zero its gradient is followed backwards, so the
 estimate of the negatives' risk can't be driven below nothing.
 
-Features are presences of words and of word beginnings of 3 to 6 bytes (letters and
+Features are presences of words and of word beginnings of 4 to 8 bytes (letters and
 digits, A-Z in lower case), hashed. The ``features`` that tell P from U most
 significantly are kept. ``bags`` classifiers, each with its share of U, are averaged.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import stored
 
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Options:
     bags: int = 3
     steps: int = 150
     rate: float = 0.05
-    decay: float = 1e-3
+    decay: float = 1e-2
 
 
 @dataclass(frozen=True)
