@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup, toxicity
+from . import chat_format, common, ctw, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -13,6 +13,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(common.documents(spark, sf_dir))
+
+
 def op2_pack_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), tokenizer_path())
 
@@ -21,6 +25,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(common.documents(spark, sf_dir)).drop("item")
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.windows(chat_format.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(common.documents(spark, sf_dir, "doc_id", "text"))
 
@@ -44,8 +52,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ctw_score,
         op2_pack_best_two_fit,
         op3_jaccard_join,
+        op4_chat_windows,
         op6_quality_rules,
         op7_toxicity_pu,
         op8_shard_ring,
@@ -53,4 +63,4 @@ QUERIES = {
         op10_substring_dedup,
     )
 }
-ORACLE: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_chat_windows": chat_format.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
