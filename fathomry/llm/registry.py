@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, ctw, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup, toxicity
+from . import chat_format, common, ctw, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup, toxicity, weak_labels
 
 
 def tokenizer_path() -> str:
@@ -29,6 +29,10 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.windows(chat_format.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(common.documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(common.documents(spark, sf_dir, "doc_id", "text"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op2_pack_best_two_fit,
         op3_jaccard_join,
         op4_chat_windows,
+        op5_weak_labels,
         op6_quality_rules,
         op7_toxicity_pu,
         op8_shard_ring,
