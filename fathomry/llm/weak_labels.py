@@ -123,7 +123,7 @@ def expectation_maximisation(codes: np.ndarray, count: np.ndarray, labellers: in
     v = (codes[:, None] // 3 ** np.arange(labellers)) % 3
     p = 1 / (1 + np.exp(4.0 * ((v == 0).sum(1) - 1.5)))
     odds = np.zeros((labellers, 3))
-    for _ in range(rounds):
+    for _ in range(rounds if len(codes) else 0):
         good, bad = count * p, count * (1 - p)
         for j in range(labellers):
             a = np.bincount(v[:, j], weights=good, minlength=3) + 1
