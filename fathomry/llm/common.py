@@ -85,3 +85,13 @@ def in_bitmap(bits, h):
     table = np.frombuffer(bits, np.int64)
     h = h.astype(np.int64)
     return (table[(h >> 6) % len(table)] >> (h & 63)) & 1 == 1
+
+
+def sample(docs: DataFrame, most: int) -> DataFrame:
+    """At most `most` different rows (doc_id, text): those with the smallest hashes.
+
+    The hashes alone are sorted, the texts are then filtered by the last hash that is in.
+    """
+    h = F.xxhash64("doc_id", "text")
+    last = docs.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return docs.withColumn("__h", h).where(F.col("__h") <= (last if last is not None else 0)).dropDuplicates(["__h"]).drop("__h")

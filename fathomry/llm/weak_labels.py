@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import sample as sample_of
 from .common import stored
 
 SCHEMA = "doc_id long, votes array<int>, posterior double, score double, kept boolean"
@@ -206,7 +207,7 @@ def classify(docs: DataFrame, o: Options = Options()) -> DataFrame:
             at = pa.array(np.searchsorted(d[order], np.arange(len(t) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.ListArray.from_arrays(at, pa.array(f[order])), pa.ListArray.from_arrays(at, pa.array(w[order]))], names=["p", "f", "w"])
 
-    got = stored(docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(o.max_rows).mapInArrow(sample, "p double, f array<long>, w array<double>"), "sample").toArrow()
+    got = stored(sample_of(docs, o.max_rows).mapInArrow(sample, "p double, f array<long>, w array<double>"), "sample").toArrow()
     f, w = got["f"].combine_chunks(), got["w"].combine_chunks()
     weights, bias = train(np.repeat(np.arange(len(got)), f.value_lengths().to_numpy()), f.flatten().to_numpy(), w.flatten().to_numpy(), got["p"].to_numpy(), o)
     bc = spark.sparkContext.broadcast(weights.tobytes())
