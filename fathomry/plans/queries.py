@@ -229,7 +229,7 @@ def link_shared_values(spark, sf):
 # Health and personal data
 
 
-@query("SELECT md5(text) fingerprint, n_chars, count(*) copies, min(doc_id) first_path, n_chars * (count(*) - 1) redundant_bytes FROM documents WHERE n_chars > 0 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT md5(text) fingerprint, n_chars, count(*) copies, min(doc_id) first_path, n_chars * (count(*) - 1) redundant_bytes FROM documents WHERE n_chars > 0 GROUP BY md5(text), n_chars HAVING count(*) > 1")
 def exact_duplicates(spark, sf):
     return health.exact_duplicates(table(spark, sf, "documents").withColumn("fingerprint", F.md5("text")), ["fingerprint"], "n_chars", "doc_id")
 
@@ -418,9 +418,9 @@ def assay_quality(spark, sf):
     return q.select("plate", F.round("z_prime", 2).alias("z_prime"), *(F.round(c, 4).alias(c) for c in ("signal_to_background", "signal_to_noise", "ssmd")))
 
 
-@query(f"WITH b AS (SELECT plate, avg(value) b FROM {_PLATE} WHERE role = 'blank' GROUP BY plate) SELECT event_id, round(value - b, 4) + 0.0 corrected FROM {_PLATE} JOIN b USING (plate)")
+@query(f"WITH b AS (SELECT plate, avg(value) b FROM {_PLATE} WHERE role = 'blank' GROUP BY plate) SELECT event_id, round(value - b, 9) + 0.0 corrected FROM {_PLATE} JOIN b USING (plate)")
 def blank_subtraction(spark, sf):
-    return rounded(assay.subtract_blank(_plate(spark, sf), ["plate"], "value").select("event_id", "corrected"))
+    return rounded(assay.subtract_blank(_plate(spark, sf), ["plate"], "value").select("event_id", "corrected"), 9)
 
 
 @query(f"WITH m AS (SELECT *, median(value) OVER (PARTITION BY plate) m FROM {_PLATE}), d AS (SELECT *, abs(value - m) d FROM m), s AS (SELECT *, 0.6745 * d / median(d) OVER (PARTITION BY plate) z, count(*) OVER (PARTITION BY plate) n FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY plate ORDER BY z DESC, value) r FROM s) SELECT event_id FROM r WHERE r = 1 AND n >= 5 AND z > 3.5")
@@ -496,9 +496,9 @@ def compensation(spark, sf):
 # Streams, as recorded
 
 
-@query("SELECT time_bucket(INTERVAL 1 day, ts) start, event_type, count(*) n, round(avg(value), 4) mean FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 day, ts) start, event_type, count(*) n, round(avg(value), 6) mean FROM events GROUP BY ALL")
 def tumbling_windows(spark, sf):
-    return rounded(watch.tumbling(table(spark, sf, "events"), "ts", "1 day", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz")))
+    return rounded(watch.tumbling(table(spark, sf, "events"), "ts", "1 day", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz")), 6)
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 hour THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) s FROM g) SELECT user_id, min(ts) start, count(*) n FROM s GROUP BY user_id, s")
