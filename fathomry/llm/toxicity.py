@@ -30,12 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import sample as sample_of
 from .common import stored
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -117,32 +117,24 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int, positive:
     return w, float(b)
 
 
-def fit_arrays(sets: list[np.ndarray], positive: np.ndarray, prior: float, o: Options) -> Model:
-    """From each sample text's distinct feature hashes and whether it is a positive."""
-    none = Model(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
-    if not positive.any() or positive.all():
-        return none
-    n = np.array([len(x) for x in sets])
-    rows = np.repeat(np.arange(len(sets)), n)
-    code, uniq = pd.factorize(np.concatenate(sets))
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
-    df_p = np.bincount(code[positive[rows]], minlength=len(uniq))
-    df_u = np.bincount(code[~positive[rows]], minlength=len(uniq))
+def chosen(hashes: np.ndarray, df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, o: Options) -> np.ndarray:
+    """The features, sorted, whose shares of positives and of unlabelled texts differ most for their error."""
+    if not n_p or not n_u:
+        return np.zeros(0, np.uint64)
     pool = (df_p + df_u + 1) / (n_p + n_u + 2)
     z = np.abs(df_p / n_p - df_u / n_u) / np.sqrt(pool * (1 - pool) * (1 / n_p + 1 / n_u))
     z[df_p + df_u < 5] = 0
-    best = np.argsort(-z, kind="stable")[: o.features]
-    best = best[z[best] > 3]
-    if not len(best):
-        return none
-    best = best[np.argsort(uniq[best])]
-    place = np.full(len(uniq), -1)
-    place[best] = np.arange(len(best))
-    keep = place[code] >= 0
-    rows, cols = rows[keep], place[code[keep]]
+    best = np.lexsort((hashes, -z))[: o.features]
+    return np.sort(hashes[best[z[best] > 3]])
+
+
+def fit_places(rows: np.ndarray, cols: np.ndarray, hashes: np.ndarray, positive: np.ndarray, prior: float, o: Options) -> Model:
+    """From the chosen features (places in hashes) of the sample's texts."""
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    fits = [nnpu(rows, cols, len(sets), len(best), pos, unl[k :: o.bags], prior, o) for k in range(o.bags) if len(unl[k :: o.bags])]
-    return Model(uniq[best].astype(np.uint64), np.stack([w for w, _ in fits]), np.array([b for _, b in fits]))
+    if not len(hashes):
+        return Model(hashes, np.zeros((0, 0)), np.zeros(0))
+    fits = [nnpu(rows, cols, len(positive), len(hashes), pos, unl[k :: o.bags], prior, o) for k in range(o.bags) if len(unl[k :: o.bags])]
+    return Model(hashes, np.stack([w for w, _ in fits]), np.array([b for _, b in fits]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), learn: Column | None = None) -> Model:
@@ -151,34 +143,60 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), learn: Colum
     seen = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
-        return fit_arrays([], np.zeros(0, bool), 0.5, o)
+        return Model(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     prior = min(max(toxic / n, 1e-3), 0.5)
     order = F.xxhash64("doc_id")
     positives = seen.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(o.max_positive)
     texts = docs.select("doc_id", "text")
     # at most max_positive ids: a bounded broadcast
-    p = texts.join(F.broadcast(positives), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(o.max_positive).withColumn("positive", F.lit(True))
-    u = texts.where(learn).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(o.max_unlabelled).withColumn("positive", F.lit(False))
+    p = sample_of(texts.join(F.broadcast(positives), "doc_id"), o.max_positive).withColumn("positive", F.lit(True))
+    u = sample_of(texts.where(learn), o.max_unlabelled).withColumn("positive", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=4 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             h, doc, n_docs = features(t["text"])
             order = np.argsort(doc, kind="stable")
             values, offs = vec.distinct_pairs(h[order], doc[order], n_docs)
             yield pa.RecordBatch.from_arrays([t["positive"].combine_chunks(), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64)))], names=["positive", "features"])
 
-    got = stored(p.unionByName(u).mapInArrow(run, "positive boolean, features array<long>"), "sample").toArrow()
-    lists = got["features"].combine_chunks()
-    at = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy().view(np.uint64)
-    return fit_arrays([flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], got["positive"].to_numpy(), prior, o)
+    sample = stored(p.unionByName(u).mapInArrow(run, "positive boolean, features array<long>"), "sample")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            uniq, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            is_p = np.repeat(b.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
+            df_p = np.bincount(code[is_p], minlength=len(uniq))
+            yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(df_p), pa.array(np.bincount(code, minlength=len(uniq)) - df_p)], names=["h", "p", "u"])
+
+    sizes = dict(sample.groupBy("positive").agg(F.count("*")).collect())
+    df = sample.mapInArrow(frequencies, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    # of the features in under one text of 500 none can reach the top: the rest is bounded by the sample's words
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    df = df.where((F.col("p") + F.col("u") >= 5) & ((F.col("p") > n_p / 500) | (F.col("u") > n_u / 500))).toPandas()
+    hashes = chosen(df["h"].to_numpy(np.int64).view(np.uint64), df["p"].to_numpy(np.int64), df["u"].to_numpy(np.int64), n_p, n_u, o)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            h = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+            hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+            offs = np.searchsorted(row[hit], np.arange(len(b) + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at[hit].astype(np.int32)))], names=["positive", "places"])
+
+    got = sample.mapInArrow(places, "positive boolean, places array<int>").toArrow()
+    lists = got["places"].combine_chunks()
+    rows = np.repeat(np.arange(len(got)), lists.value_lengths().to_numpy())
+    return fit_places(rows, lists.flatten().to_numpy().astype(np.int64), hashes, got["positive"].to_numpy(), prior, o)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a last column __score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=4 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             h, doc, n_docs = features(t["text"])
             if len(model.hashes) and len(h):
                 at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)

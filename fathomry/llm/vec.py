@@ -197,7 +197,7 @@ def lcp_next(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 24 << 20, max_rows: int = 60_000) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20, max_rows: int = 60_000) -> Iterator[pa.Table]:
     """Regroups Arrow batches into tables of about max_bytes of text, at least one row each; memory stays bounded."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
