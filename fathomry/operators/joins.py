@@ -125,7 +125,7 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
             names[c] = new
             used.add(new)
     hits = None
-    for i, (c, f) in enumerate(keys):
+    for c, f in keys:
         left = rows.select("__row", F.explode(row_keys(rows, f)).alias("k"))
         raw = F.col(f"`{c}`").cast("string")
         exact = sheet.where(~S.holds(raw.rlike(r"[*?\[]"))).select("__sheet", sheet_key(F.col(f"`{c}`"), f).alias("k"))
@@ -138,13 +138,12 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
             h = h.unionByName(left.select("__row", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("__sheet")))
         h = h.distinct()
         hits = h if hits is None else hits.join(h, ["__row", "__sheet"])
-        del i
     annotations = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())) if names else F.struct(F.lit(True).alias("__matched"))
     tagged = hits.join(sized(sheet.select("__sheet", annotations.alias("a"))), "__sheet")
-    per = tagged.groupBy("__row").agg(F.count_distinct(F.to_json("a", {"ignoreNullFields": "false"})).alias("n"), F.min_by("a", "__sheet").alias("a"))
+    per = tagged.groupBy("__row").agg(F.count_distinct(F.to_json("a", {"ignoreNullFields": "false"})).alias("__n"), F.min_by("a", "__sheet").alias("__a"))
     joined = rows.join(per, "__row", "left")
-    out = joined.select(*[c for c in rows.columns if c != "__row"], *(F.when(F.col("n") == 1, F.col(f"a.{n}")).alias(n) for n in names.values()))
-    counts = per.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("more")).first()
+    out = joined.select(*[c for c in rows.columns if c != "__row"], *(F.when(F.col("__n") == 1, F.col(f"__a.{n}")).alias(n) for n in names.values()))
+    counts = per.agg(F.count_if(F.col("__n") == 1).alias("one"), F.count_if(F.col("__n") > 1).alias("more")).first()
     return out, Report(keys, counts["one"], counts["more"], rows.join(per, "__row", "left_anti").drop("__row"), sheet.join(hits, "__sheet", "left_anti").drop("__sheet"))
 
 

@@ -25,11 +25,11 @@ def weak_identifier(c: Column) -> Column:
     return t.rlike(rf"^({'|'.join(CONTROLS)})[-_ ]?[0-9]*$") | t.rlike(r"^[a-z]{1,2}[-_ ]?[0-9]{1,2}$") | t.rlike(r"^[0-9]{1,3}([:;,][a-z]?[0-9]{1,2})?$") | t.rlike(r"^(sample|test|run|tube|specimen|scan|image|file|data)[-_ ]?[0-9]*$")
 
 
-def shared_value(df: DataFrame, id_: str, value: Column, kind: str, confidence: int, max_shared: int = 12) -> DataFrame:
-    """Edges (a, b, kind, confidence) among rows of one value; weak where too many share it."""
+def shared_value(df: DataFrame, id_: str, value: Column, kind: str, confidence: int, max_shared: int = 12, names: bool = True) -> DataFrame:
+    """Edges (a, b, kind, confidence) among rows of one value; weak where too many share it or, of names, it says little."""
     rows = df.select(F.col(id_).alias("id"), value.alias("v")).where("v is not null and v <> ''").distinct()
     groups = rows.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    weak = weak_identifier(F.col("v")) | (F.col("n") > max_shared)
+    weak = (weak_identifier(F.col("v")) & F.lit(names)) | (F.col("n") > max_shared)
     return rows.join(groups, "v").where("id <> a").select("a", F.col("id").alias("b"), F.lit(kind).alias("kind"), F.when(weak, LOW).otherwise(confidence).alias("confidence"))
 
 
@@ -54,7 +54,7 @@ def token_contained(df: DataFrame, id_: str, sample: str, path: str) -> DataFram
 def link(df: DataFrame, id_: str = "path", max_shared: int = 12) -> DataFrame:
     """All evidence that the table's columns allow."""
     kinds = [("sample_barcode", "same_barcode", HIGH, F.col), ("sample_id", "same_sample_id", HIGH, F.col), ("sample_name", "same_sample_name", MEDIUM, F.col), ("fingerprint", "conversion_source", HIGH, F.col)]
-    edges = [shared_value(df, id_, S.normal_text(F.col(c)), k, conf, max_shared) for c, k, conf, _ in kinds if c in df.columns]
+    edges = [shared_value(df, id_, S.normal_text(F.col(c)), k, conf, max_shared, c != "fingerprint") for c, k, conf, _ in kinds if c in df.columns]
     if "path" in df.columns:
         edges.append(shared_value(df, id_, F.when(F.length(S.stem(F.col("path"))) >= 3, F.lower(S.stem(F.col("path")))), "same_stem", MEDIUM, max_shared))
         if "sample_id" in df.columns:

@@ -278,7 +278,10 @@ def local_southern(t: float, ladder_t: np.ndarray, ladder_bp: np.ndarray) -> flo
 
     def one(k: list[int]) -> float:
         (m1, m2, m3), (l1, l2, l3) = ladder_t[k], ladder_bp[k]
-        m0 = (m3 - m1 * ((l1 - l2) * (m3 - m2)) / ((l2 - l3) * (m2 - m1))) / (1 - ((l1 - l2) * (m3 - m2)) / ((l2 - l3) * (m2 - m1)))
+        r = ((l1 - l2) * (m3 - m2)) / ((l2 - l3) * (m2 - m1))
+        if abs(1 - r) < 1e-9:  # on a line
+            return l2 + (t - m2) * (l3 - l1) / (m3 - m1)
+        m0 = (m3 - m1 * r) / (1 - r)
         c = (l1 - l2) / (1 / (m1 - m0) - 1 / (m2 - m0))
         return c / (t - m0) + l1 - c / (m1 - m0)
 
