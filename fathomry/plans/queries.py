@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
-from ..operators import assay, gating, health, joins, link, qpcr, search, series, spectra, summarize, tables
+from ..operators import assay, catalog, gating, health, joins, link, plots, qpcr, reads, search, series, spectra, summarize, tables
 from ..operators.graph import connected_components
 from ..streaming import watch
 from .batch import Batch
@@ -570,3 +570,59 @@ def chromatographic_peaks(spark, sf):
 @query()
 def isotope_charges(spark, sf):
     return spectra.charges(_spectra(spark, sf), 5)
+
+
+# Catalog rows, reads, figures
+
+
+@query("SELECT o_custkey, min(o_orderkey) o_orderkey, count(*) streams, round(sum(o_totalprice), 2) o_totalprice FROM orders GROUP BY o_custkey")
+def series_totals(spark, sf):
+    return rounded(catalog.series_totals(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey", ["o_totalprice"]), 2)
+
+
+@query("SELECT l_suppkey, count(DISTINCT (l_linenumber, l_returnflag)) present, count(DISTINCT l_linenumber) * count(DISTINCT l_returnflag) - count(DISTINCT (l_linenumber, l_returnflag)) missing FROM lineitem GROUP BY l_suppkey")
+def missing_planes(spark, sf):
+    return catalog.missing_planes(table(spark, sf, "lineitem"), ["l_suppkey"], ["l_linenumber", "l_returnflag"])
+
+
+@query("SELECT s_suppkey, 's_acctbal' AS \"column\", CAST(s_acctbal AS VARCHAR) AS \"left\", CAST(b AS VARCHAR) AS \"right\" FROM (SELECT s_suppkey, s_acctbal, CASE WHEN s_suppkey % 7 = 0 THEN 0.5 ELSE s_acctbal END b FROM supplier) WHERE s_acctbal <> b")
+def table_comparison(spark, sf):
+    a = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return catalog.compare(a, a.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 7 == 0, 0.5).otherwise(F.col("s_acctbal"))), ["s_suppkey"])
+
+
+@query("SELECT event_id, '/k' pointer, json_extract_string(props, '$.k') AS \"left\", '1' AS \"right\" FROM events WHERE json_extract_string(props, '$.k') <> '1'")
+def json_comparison(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "props")
+    return catalog.json_compare(e, e.withColumn("props", F.lit('{"k": 1}')), "event_id", "props")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, a.l_quantity q, b.l_tax t FROM lineitem a FULL JOIN (SELECT * FROM lineitem WHERE l_linenumber < 3) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
+def session_composition(spark, sf):
+    d = table(spark, sf, "lineitem")
+    return catalog.session(d.withColumn("v", F.col("l_quantity")), d.where("l_linenumber < 3").withColumn("v", F.col("l_tax")), ["l_orderkey", "l_linenumber"], "v", ("q", "t"))
+
+
+_READS = "(SELECT lang, regexp_replace(upper(text), '[^ACGTN]', '', 'g') s FROM documents)"
+
+
+@query(f"SELECT lang, count(*) reads, CAST(sum(length(s)) AS BIGINT) bases, CAST(min(length(s)) AS INTEGER) shortest, CAST(max(length(s)) AS INTEGER) longest, round(avg(length(s)), 4) mean_length, round(sum(len(regexp_extract_all(s, '[GC]'))) * 100.0 / sum(len(regexp_extract_all(s, '[ACGT]'))), 4) gc_percent, round(sum(len(regexp_extract_all(s, 'N'))) * 100.0 / sum(length(s)), 4) n_percent FROM {_READS} GROUP BY lang")
+def read_statistics(spark, sf):
+    s = F.regexp_replace(F.upper("text"), "[^ACGTN]", "")
+    d = table(spark, sf, "documents").select("lang", s.alias("sequence"), F.lit("").alias("quality"))
+    return rounded(reads.summary(d, ["lang"]).drop("q20_percent", "q30_percent"))
+
+
+@query("WITH r AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM lineitem) SELECT l_returnflag, CAST(least(floor((l_quantity - x0) * 16 / (x1 - x0)), 15) AS INTEGER) bx, CAST(least(floor((l_extendedprice - y0) * 16 / (y1 - y0)), 15) AS INTEGER) AS \"by\", count(*) AS count FROM lineitem, r GROUP BY ALL")
+def event_density(spark, sf):
+    return plots.density(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", 16)
+
+
+@query("SELECT event_type, count(value) n, round(avg(value), 4) mean, round(stddev_samp(value), 4) sd, round(stddev_samp(value) / sqrt(count(value)), 4) sem, round(min(value), 4) lo, round(max(value), 4) hi FROM events GROUP BY event_type")
+def group_spread(spark, sf):
+    return rounded(plots.spread(table(spark, sf, "events"), ["event_type"], "value"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) r FROM events) WHERE r = 1")
+def trace_apex(spark, sf):
+    return plots.apex(table(spark, sf, "events"), ["user_id"], "event_id", "value")
