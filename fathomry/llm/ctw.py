@@ -40,7 +40,7 @@ from .common import stored
 
 DEPTH = 5
 #: Bound on broadcast keys, and on broadcast words: 16 bytes each.
-HOT = 1 << 21
+HOT = 1 << 20
 END = np.uint64(0x51A7E0DD5EED0001)
 KEYS, WORDS = 0, 1
 LN10 = np.log(10)
@@ -89,7 +89,7 @@ def _crc(ids: pa.ChunkedArray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in vec.blocks(batches, max_bytes=4 << 20):
+    for t in vec.blocks(batches, max_bytes=2 << 20):
         buf, offs = vec.flat(t["text"])
         train = _crc(t["doc_id"]) != 2
         key, doc = keys_of(buf, offs)
@@ -248,7 +248,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hk, hv, wk, wv = (np.frombuffer(x, kind) for x, kind in zip(bc.value, (np.uint64, np.float64, np.uint64, np.int64), strict=True))
         rid = TaskContext.get().partitionId() << 40
-        for t in vec.blocks(batches, max_bytes=4 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             buf, offs = vec.flat(t["text"])
             n_docs = len(t)
             mine = rid + np.arange(n_docs)
