@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from .graph import connected_components
 
-#: Formats whose files others can read, and formats that are no longer written.
-OPEN = ["csv", "tsv", "json", "parquet", "tiff", "ome-tiff", "ome-zarr", "mzml", "jcamp", "fcs", "nwb", "fastq", "fasta", "mgf", "hdf5", "png"]
-LEGACY = ["abf1", "lcb", "wmf", "pic"]
+#: Openly specified formats, and those whose software is no longer made.
+OPEN = ["tiff", "ome-zarr", "mzml", "mzxml", "imzml", "mzmlb", "fcs", "jcamp-dx", "andi-chrom", "nwb", "hdf5", "mrc", "emd", "plate", "spikeglx"]
+LEGACY = ["zvi", "ser"]
 
 
 def preservation(format_: Column) -> Column:

@@ -33,7 +33,7 @@ def near_duplicates(df: DataFrame, keys: list[str], fingerprint: str, open_forma
 
 def at_risk(df: DataFrame, path: str = "path", preservation: str = "preservation") -> DataFrame:
     """Rows in closed formats without an open sibling of the same folder and stem."""
-    d = df.withColumn("__dir", S.directory(F.col(path))).withColumn("__stem", F.lower(S.stem(F.col(path))))
+    d = df.withColumn("__dir", S.directory(F.col(path))).withColumn("__stem", F.lower(S.whole_stem(F.col(path))))
     opened = d.where(F.col(preservation) == "open").select("__dir", "__stem").distinct()
     return d.where(F.coalesce(F.col(preservation) != "open", F.lit(True))).join(opened, ["__dir", "__stem"], "left_anti").drop("__dir", "__stem")
 

@@ -15,14 +15,19 @@ from .. import semantics as S
 from .graph import connected_components
 
 HIGH, MEDIUM, LOW = 3, 2, 1
-#: Words that name controls, not samples.
-CONTROLS = ["blank", "buffer", "control", "ctrl", "neg", "negative", "ntc", "pos", "positive", "qc", "standard", "std", "untreated", "water"]
+#: Words that name controls, names too general to mean an acquisition, words that come with a counter.
+CONTROLS = ["blank", "blanc", "qc", "pool", "pooled", "std", "standard", "wash", "solvent", "cal", "calibrant", "calibration", "sst", "control", "ctrl", "empty", "test", "sample"]
+GENERIC = ["data", "sample", "samples", "test", "raw", "file", "files", "run", "runs", "export", "result", "results", "analysis", "acqdata", "untitled", "default", "image", "images"]
+COUNTED = ["id", "sample", "run", "inj", "injection", "vial", "file", "test", "no"]
 
 
 def weak_identifier(c: Column) -> Column:
-    """Control words, wells and tray positions, a word and a counter."""
+    """Control words whatever their digits, general names, a word and a counter, wells and tray positions."""
     t = S.normal_text(c)
-    return t.rlike(rf"^({'|'.join(CONTROLS)})[-_ ]?[0-9]*$") | t.rlike(r"^[a-z]{1,2}[-_ ]?[0-9]{1,2}$") | t.rlike(r"^[0-9]{1,3}([:;,][a-z]?[0-9]{1,2})?$") | t.rlike(r"^(sample|test|run|tube|specimen|scan|image|file|data)[-_ ]?[0-9]*$")
+    letters = F.regexp_replace(t, "[^a-z]", "")
+    part = F.exists(F.split(t, "[:_, /-]"), lambda x: S.well(x).isNotNull())
+    position = (F.length(F.regexp_replace(t, "[^a-z0-9]", "")) <= 6) & part
+    return letters.isin(CONTROLS) | t.isin(GENERIC) | t.rlike(rf"^({'|'.join(COUNTED)})[ _#.-]*[0-9]{{1,4}}$") | position
 
 
 def shared_value(df: DataFrame, id_: str, value: Column, kind: str, confidence: int, max_shared: int = 12, names: bool = True) -> DataFrame:

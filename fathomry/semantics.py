@@ -91,6 +91,16 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)/*$", 1)
 
 
+#: Extensions of two parts, which come off as one.
+COMPOUND = [".ome.tiff", ".ome.tif", ".ome.btf", ".ome.tf2", ".ome.tf8", ".ome.zarr", ".asm.json", ".companion.ome", ".mzml.gz", ".mzxml.gz"]
+
+
+def whole_stem(path: Column) -> Column:
+    """The file name without its extension, a compound one included."""
+    name = F.regexp_replace(file_name(path), "(?i)(?<=.)(" + "|".join(c.replace(".", r"\.") for c in COMPOUND) + ")$", "")
+    return F.when(name != file_name(path), name).otherwise(stem(path))
+
+
 def stem(path: Column, times: int = 1) -> Column:
     """The file name without its last extensions."""
     return reduce(lambda c, _: F.regexp_replace(c, r"(?<=.)\.[A-Za-z0-9_]+$", ""), range(times), file_name(path))

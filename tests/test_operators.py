@@ -52,6 +52,13 @@ def test_links_and_groups(spark):
     assert g["p/a1.czi"][1] == link.HIGH
 
 
+def test_weak_identifiers(spark):
+    weak = ["QC 12", "blank", "A1", "P2-D1", "Sample_03", "run-12", "Untitled"]
+    strong = ["XYZ123", "patient77x", "run-12345", "donor"]
+    got = spark.createDataFrame([(x,) for x in weak + strong], "v string").select("v", link.weak_identifier(F.col("v")).alias("w")).collect()
+    assert [r["v"] for r in got if r["w"]] == weak
+
+
 def test_health(spark):
     df = spark.createDataFrame([("d/a.raw", "vendor"), ("d/a.tif", "open"), ("d/b.raw", None)], "path string, preservation string")
     assert [r["path"] for r in health.at_risk(df).collect()] == ["d/b.raw"]
