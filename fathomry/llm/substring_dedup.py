@@ -6,11 +6,15 @@ tuned so that a pair just at the threshold is missed with a probability of at mo
 of their five-word shingles, and clustered by connected components (``near``). Of
 each cluster the paragraph in the document of the smallest doc_id stays.
 
-A passage can also sit inside a line. Its sentences are equal then, so runs of
-sentences that all occur in an earlier document, ``min_run`` words or more in all,
-are removed too; sentences of under ``min_sentence`` words neither count nor break a run.
-
-Whether a paragraph or sentence is a repeat depends on its content and the doc_id
+A passage can also sit inside a line, or run over lines. Every stretch of ``min_run``
+words or more that an earlier document has too is removed, wherever it begins and ends:
+all windows of ``min_run`` words that occur in an earlier document. Windows are not told
+one by one: neighbours with the same smallest ``anchor``-word hash form a group (winnowing),
+and only (anchor, hash of the group's words, doc_id) is. Equal windows have equal anchors,
+so where an anchor has one group hash, that hash says it all; where it has several, as at
+the ends of a stretch, the windows of its groups are compared one by one.
+
+Whether a paragraph, group or window is a repeat depends on its content and the doc_id
 alone, so what a document loses is a set of content hashes, joined by doc_id.
 
 Defined results: words are what white space leaves, A-Z in lower case; null texts
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near, vec
-from .common import in_bitmap, stored
+from .common import bitmap, in_bitmap, stored
 
 LAST = (1 << 63) - 1
 
@@ -43,7 +47,7 @@ class Options:
     miss: float = 1e-4
     min_words: int = 20
     min_run: int = 40
-    min_sentence: int = 4
+    anchor: int = 12
 
     @property
     def plan(self) -> near.Plan:
@@ -51,7 +55,7 @@ class Options:
 
 
 class Units:
-    """Words, sentences and paragraphs of a block of texts; *_at: first words, *_n: numbers of words."""
+    """Words and paragraphs of a block of texts; *_at: first words, *_n: numbers of words."""
 
     def __init__(self, texts: pa.ChunkedArray | pa.Array):
         self.buf, self.offs = vec.flat(texts)
@@ -59,12 +63,7 @@ class Units:
         n = len(self.h)
         line = np.concatenate([[0], np.cumsum(self.buf == 10)])[self.start]
         new_line = np.concatenate([[True], (line[1:] != line[:-1]) | (self.doc[1:] != self.doc[:-1])])[:n]
-        last = self.buf[self.end - 1] if n else np.zeros(0, np.uint8)
-        stop = (last == 0x2E) | (last == 0x21) | (last == 0x3F)
-        new_sentence = new_line.copy()
-        new_sentence[1:] |= stop[:-1]
         self.p_at, self.p_n, self.p_hash = self._hashed(new_line, 1)
-        self.s_at, self.s_n, self.s_hash = self._hashed(new_sentence, 2)
 
     def _hashed(self, head: np.ndarray, seed: int):
         at = np.flatnonzero(head)
@@ -76,8 +75,49 @@ class Units:
         return at, n, vec.mix(total + n.astype(np.uint64) * np.uint64(2 * seed + 1)).view(np.int64)
 
 
+class Windows:
+    """All windows of min_run words within a text, grouped: neighbours whose smallest anchor-word hash is the same.
+
+    at: first words; g_at: each group's first window, g_n: number of windows, anchor, g_hash: hash of all its words.
+    """
+
+    def __init__(self, u: Units, o: Options):
+        self.run, n = o.min_run, len(u.h)
+        size, _ = vec.counts_of(u.doc, len(u.offs) - 1)
+        self.at = np.flatnonzero(np.arange(n) + self.run <= np.cumsum(size)[u.doc])
+        back = np.full(n, pow(int(vec.powers(2)[1]), -1, 1 << 64), np.uint64)
+        back[:1] = 1
+        self._back = np.cumprod(back, dtype=np.uint64)
+        self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.h * vec.powers(n)[:n], dtype=np.uint64)])
+        self.doc = u.doc[self.at]
+        if not len(self.at):
+            self.g_at = self.g_n = self.anchor = self.g_hash = np.zeros(0, np.int64)
+            return
+        k, wide = min(o.anchor, self.run), self.run - min(o.anchor, self.run) + 1
+        least, have = self._span(np.arange(n - k + 1), np.full(n - k + 1, k)), 1
+        while have < wide:  # the smallest of so many neighbours
+            step = min(have, wide - have)
+            least, have = np.minimum(least[:-step], least[step:]), have + step
+        least = least[self.at]
+        self.g_at = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (self.doc[1:] != self.doc[:-1])]))
+        self.g_n = np.diff(np.append(self.g_at, len(self.at)))
+        self.anchor = least[self.g_at]
+        self.g_hash = self._span(self.at[self.g_at], self.g_n + self.run - 1)
+
+    def _span(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return vec.mix((self._sum[at + n] - self._sum[at]) * self._back[at] + n.astype(np.uint64)).view(np.int64)
+
+    def hashes(self, some: np.ndarray) -> np.ndarray:
+        """Of the windows some."""
+        return self._span(self.at[some], np.full(len(some), self.run))
+
+    def of(self, groups: np.ndarray) -> np.ndarray:
+        """The windows of groups (a mask)."""
+        return np.flatnonzero(np.repeat(groups, self.g_n))
+
+
 def _first_rows(o: Options):
-    """Rows (kind, a, b): 0 band key and paragraph; 1 sentence and doc_id; 2 paragraph and doc_id."""
+    """Rows (kind, a, b, c): 0 band key and paragraph; 1 anchor, doc_id and group; 2 paragraph and doc_id."""
     plan = o.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,20 +133,33 @@ def _first_rows(o: Options):
             inside = owner >= 0
             h, par = vec.shingles(u.h[inside], owner[inside], len(long), plan.words)
             bands = near.band_rows(u.p_hash[long], h, par, plan)
-            keep = u.s_n >= o.min_sentence
-            sentence = _distinct(u.s_hash[keep], ids[u.doc[u.s_at[keep]]])
+            w = Windows(u, o)
+            group = _distinct(w.anchor, ids[w.doc[w.g_at]], w.g_hash)
             paragraph = _distinct(u.p_hash[long], ids[u.doc[u.p_at[long]]])
-            for kind, a, b in ((0, bands.column(0), bands.column(1)), (1, *sentence), (2, *paragraph)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+            for kind, a, b, *c in ((0, bands.column(0), bands.column(1)), (1, *group), (2, *paragraph)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(c[0]) if c else pa.nulls(len(a), pa.int64())], names=["kind", "a", "b", "c"])
 
     return run
 
 
-def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     import pandas as pd
 
-    once = ~pd.DataFrame({"h": h, "i": ids}).duplicated().to_numpy()
-    return h[once], ids[once]
+    once = ~pd.DataFrame(dict(enumerate(columns))).duplicated().to_numpy()
+    return tuple(c[once] for c in columns)
+
+
+def _windows(bits, o: Options):
+    """Rows (u, d): the windows of the groups whose anchors are in the bitmap, and their doc_ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in vec.blocks(batches, max_bytes=2 << 20):
+            w = Windows(Units(t["text"]), o)
+            some = w.of(in_bitmap(bits.value, w.anchor))
+            h, d = _distinct(w.hashes(some), t["doc_id"].to_numpy()[w.doc[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=["u", "d"])
+
+    return run
 
 
 def _paragraphs(docs: DataFrame, o: Options):
@@ -127,9 +180,9 @@ def _paragraphs(docs: DataFrame, o: Options):
 
 
 def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """(d, repeats): for doc_ids with some, the hashes of sentences and paragraphs that an earlier document has."""
+    """(d, repeats): for doc_ids with some, the hashes of groups, windows and paragraphs that an earlier document has."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    rows = stored(keyed.mapInArrow(_first_rows(o), "kind byte, a long, b long"), "units")
+    rows = stored(keyed.mapInArrow(_first_rows(o), "kind byte, a long, b long, c long"), "units")
     comps = near.candidates(rows.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("item")))
     _, groups = near.links(_paragraphs(keyed, o), comps, o.plan)
 
@@ -137,9 +190,15 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
         first = stored(units.groupBy(key).agg(F.min("d").alias("first"), F.max("d").alias("z")).where("first < z").drop("z"), "first")
         return near.matching(units, key, first).join(first, key).where("d > first").select("d", "u")
 
-    sentences = rows.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("d"))
+    anchors = rows.where("kind = 1").select("a", F.col("b").alias("d"), F.col("c").alias("u"))
+    shared = anchors.groupBy("a").agg(F.min("d").alias("first"), F.max("d").alias("z"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("first < z")
+    shared = stored(shared.select("a", "first", (F.col("u0") == F.col("u1")).alias("whole")), "anchors")
+    whole = shared.where("whole").drop("whole")
+    same = near.matching(anchors, "a", whole).join(whole, "a").where("d > first").select("d", "u")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared.where("not whole"), "a"))
+    windows = stored(keyed.mapInArrow(_windows(bits, o), "u long, d long"), "windows")
     paragraphs = rows.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("d")).join(groups, "id", "left").select(F.col("id").alias("u"), "d", F.coalesce("component", "id").alias("cluster"))
-    return later(sentences, "u").unionByName(later(paragraphs, "cluster")).groupBy("d").agg(F.collect_set("u").alias("repeats"))
+    return same.unionByName(later(windows, "u")).unionByName(later(paragraphs, "cluster")).groupBy("d").agg(F.collect_set("u").alias("repeats"))
 
 
 def _cut(o: Options, columns: list[str], text_at: int, report: bool):
@@ -156,20 +215,13 @@ def _cut(o: Options, columns: list[str], text_at: int, report: bool):
             if len(marked) and len(u.h):
                 p = np.isin(salted(u.p_hash, u.doc[u.p_at]), marked) & (u.p_n >= o.min_words)
                 gone = np.repeat(p, u.p_n)
-                s_doc = u.doc[u.s_at]
-                s = np.isin(salted(u.s_hash, s_doc), marked)
-                tiny = u.s_n < o.min_sentence
-                # runs of repeats within a document, through tiny sentences between them
-                strong = np.flatnonzero(~tiny)
-                is_rep = s[strong]
-                d = s_doc[strong]
-                a, b = vec.spans(is_rep, np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64))
-                total = np.concatenate([[0], np.cumsum(u.s_n[strong])])
-                ok = total[b] - total[a] >= o.min_run
-                first, last = strong[a[ok]], strong[b[ok] - 1]
-                step = np.zeros(len(u.h) + 1, np.int64)
-                np.add.at(step, u.s_at[first], 1)
-                np.add.at(step, u.s_at[last] + u.s_n[last], -1)
+                w = Windows(u, o)
+                mine = sizes[w.doc[w.g_at]] > 0
+                known = np.zeros(len(w.g_at), bool)
+                known[mine] = np.isin(salted(w.g_hash[mine], w.doc[w.g_at[mine]]), marked)
+                rest = w.of(mine & ~known)
+                at = w.at[np.concatenate([w.of(known), rest[np.isin(salted(w.hashes(rest), w.doc[rest]), marked)]])]
+                step = np.bincount(at, minlength=len(u.h) + 1) - np.bincount(at + o.min_run, minlength=len(u.h) + 1)
                 gone |= np.cumsum(step)[:-1] > 0
             texts = t["text"].combine_chunks()
             spans: list[list[dict]] = [[] for _ in range(n_docs)] if report else []

@@ -73,3 +73,48 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, p), (1, p), (2, p)], "doc_id long, text string")
     assert sorted((x["doc_id"], x["text"]) for x in sd.deduplicate(df).collect()) == [(1, p), (1, p), (2, "")]
     assert near.tuned(0.8, sd.Options().rows, 1e-4) == sd.Options().plan.bands
+
+
+def without_shared_runs(docs, run):
+    """Brute force: every word in a stretch of `run` words or more that a document of a smaller doc_id has goes."""
+    windows = lambda w: [tuple(w[i : i + run]) for i in range(len(w) - run + 1)]
+    out = {}
+    for d, t in docs:
+        w = t.split()
+        earlier = {x for e, s in docs if e < d for x in windows(s.lower().split())}
+        gone = {j for i, x in enumerate(windows(t.lower().split())) if x in earlier for j in range(i, i + run)}
+        out[d] = [x for j, x in enumerate(w) if j not in gone]
+    return out
+
+
+def test_passages_cut_in_mid_sentence_and_without_stops_go(spark):
+    r = random.Random(11)
+    mid, bare, one = line(r, 55), line(r, 52, stop=10_000), line(r, 50, stop=10_000)
+    head, tail = (lambda: line(r, 7 * r.randint(7, 9), stop=7) + " " + line(r, 3)), (lambda: line(r, 3) + " " + line(r, 50, stop=7))
+    docs = [(k * 2 + j, f"{head()} {p} {tail()}") for k, p in enumerate((mid, bare, one + ".")) for j in (0, 1)]
+    docs.append((9, f"{head()} {bare.replace(' ', chr(10), 3)} {tail()}"))  # the same words over lines
+    docs.append((10, f"{head()} {' '.join(mid.split()[:39])} {tail()}"))  # under min_run words: stays
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {x["doc_id"]: x["text"] for x in sd.deduplicate(df).collect()}
+    for d, t in docs:
+        p = {1: mid, 3: bare, 5: one + ".", 9: bare.replace(" ", "\n", 3)}.get(d)
+        assert out[d] == (t.replace(f" {p} ", "  ") if p else t)
+
+
+def test_exactly_the_shared_stretches_go(spark):
+    r = random.Random(5)
+    base = [line(r, 200, stop=r.choice([6, 10_000])) for _ in range(6)]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            w = r.choice(base).split()
+            at = r.randint(0, 150)
+            parts += [line(r, r.randint(1, 30))] + w[at : at + r.choice([30, 39, 40, 41, 50, 80, 120])]
+        if k % 7 == 0:
+            parts += ["same"] * r.randint(35, 60)
+        docs.append((k, " ".join(parts)))
+    o = sd.Options(min_words=10_000)  # no paragraph is that long: passages alone
+    want = without_shared_runs(docs, o.min_run)
+    out = {x["doc_id"]: x["text"].split() for x in sd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), o).collect()}
+    assert out == want and any(len(want[d]) < len(t.split()) for d, t in docs)
