@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import vec
 from .fm_index import FMIndex
@@ -190,33 +191,64 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with the hit spans cut out of text; the other columns as they were. A narrow step per benchmark block."""
-    out = docs
-    at = docs.columns.index("text")
-    for phrases in phrase_blocks(benchmark):
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs with the hit spans cut out of text; the other columns as they were.
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for t in vec.blocks(batches, max_bytes=4 << 20):
-                buf, offs = vec.flat(t["text"])
-                start, end, doc, hit, _ = search_shard(buf, offs, phrases)
+    A narrow step per benchmark block marks words of the untouched text, one more cuts them:
+    the result depends neither on the blocks nor on the items' order.
+    """
+    marks = "__spans"
+    while marks in docs.columns:
+        marks += "_"
+    out = docs.withColumn(marks, F.expr("cast(array() as array<struct<start:long,end:long>>)"))
+    for phrases in phrase_blocks(benchmark, block_bytes):
+        out = out.mapInArrow(_mark(phrases, marks), out.schema)
+    return out.mapInArrow(_cut(marks, docs.columns.index("text")), docs.schema)
+
+
+def _mark(phrases: Phrases, marks: str):
+    """Adds this block's hits to marks: merged spans of word numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in vec.blocks(batches, max_bytes=4 << 20):
+            _, _, doc, hit, _ = search_shard(*vec.flat(t["text"]), phrases)
+            if hit.any():
+                first = np.searchsorted(doc, np.arange(len(t)))
+                s, e = vec.spans(hit, first)
+                own = doc[s]
+                spans = t[marks].to_pylist()
+                for d, x, y in zip(own.tolist(), (s - first[own]).tolist(), (e - first[own]).tolist(), strict=True):
+                    spans[d].append({"start": x, "end": y})
+                at = t.schema.get_field_index(marks)
+                t = t.set_column(at, t.schema.field(at), pa.array([_merged(x) for x in spans], t.schema.field(at).type))
+            yield from t.combine_chunks().to_batches()
+
+    return run
+
+
+def _cut(marks: str, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            spans = t[marks].to_pylist()
+            some = [d for d, x in enumerate(spans) if x]
+            t = t.drop_columns([marks])
+            if some:
                 column = t["text"].combine_chunks()
-                if hit.any():
-                    s, e = vec.spans(hit, np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])))
-                    new = column.to_pylist()
-                    keep: dict[int, list[bytes]] = {}
-                    last: dict[int, int] = {}
-                    for d, a, b in zip(doc[s].tolist(), start[s].tolist(), end[e - 1].tolist(), strict=True):
-                        keep.setdefault(d, []).append(buf[last.get(d, offs[d]) : a].tobytes())
-                        last[d] = b
-                    for d, x in keep.items():
-                        new[d] = b"".join([*x, buf[last[d] : offs[d + 1]].tobytes()]).decode()
-                    column = pa.array(new, t.schema.field("text").type)
-                t = t.set_column(at, t.schema.field("text"), column).combine_chunks()
-                yield from t.to_batches()
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+                buf, offs = vec.flat(column.take(pa.array(some)))
+                start, end, doc, _ = vec.words(buf, offs, vec.ALNUM)
+                first = np.searchsorted(doc, np.arange(len(some)))
+                new = column.to_pylist()
+                for k, d in enumerate(some):
+                    keep, last = [], offs[k]
+                    for x in spans[d]:
+                        keep.append(buf[last : start[first[k] + x["start"]]].tobytes())
+                        last = end[first[k] + x["end"] - 1]
+                    new[d] = b"".join([*keep, buf[last : offs[k + 1]].tobytes()]).decode()
+                t = t.set_column(at, t.schema.field("text"), pa.array(new, t.schema.field("text").type))
+            yield from t.combine_chunks().to_batches()
+
+    return run
 
 
 ORACLE_SQL = """

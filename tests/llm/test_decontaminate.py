@@ -82,6 +82,26 @@ def test_removal_leaves_no_phrase_and_other_columns(spark):
     assert dc.decontaminate(d, b.limit(0)).count() == 3
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_overlapping_items_of_different_blocks_go_whole(spark, block_bytes):
+    w = [f"w{i}" for i in range(1, 31)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[15:26])), (4, "left right")]
+    docs = [
+        (1, " ".join(w[:15])),
+        (2, "é, " + " ".join(w) + " tail"),
+        (3, "left " + " ".join(w[:10]) + " right"),  # a cut brings the item's words together: no hit
+        (4, " ".join(w[5:15]) + ". " + " ".join(w[15:26]) + "!"),
+        (5, None),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for order in (items, items[::-1]):
+        b = spark.createDataFrame(order, "item_id long, text string").coalesce(1)
+        got = dict(map(tuple, dc.decontaminate(d, b, block_bytes).collect()))
+        assert got == {1: "", 2: "é,  w27 w28 w29 w30 tail", 3: "left  right", 4: "!", 5: None}
+        hits = {x[0]: x[2] for x in brute(docs, items)}
+        assert all(len(WORD.findall(low(t))) - len(WORD.findall(low(got[i]))) == hits[i] for i, t in docs)
+
+
 def test_blocks_keep_every_row():
     rows = [None, "x" * 50, "", "y" * 3, "z" * 200, None]
     b = pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.string())})
