@@ -146,7 +146,15 @@ FIT = "a double, b double, c double, d double, g double, r2 double, df int"
 
 
 def fit(df: DataFrame, keys: list[str], x: str, y: str, model: str = "4pl", weighting: str = "none") -> DataFrame:
-    """A fitted curve per group (a standard curve's or compound's points: small groups)."""
+    """A fitted curve per group (a standard curve's or compound's points: small groups); unweighted lines are sums, of groups of any size."""
+    if model == "linear" and weighting == "none":
+        u, v = F.col(x).cast("double"), F.col(y).cast("double")
+        finite = df.select(*keys, F.when(F.abs(u) < np.inf, u).alias("__x"), F.when(F.abs(v) < np.inf, v).alias("__y"))  # NaN is above infinity
+        both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+        n, x_, y_ = F.count(F.when(both, 1)), F.when(both, F.col("__x")), F.when(both, F.col("__y"))
+        line = {"a": F.regr_intercept(y_, x_), "b": F.regr_slope(y_, x_), "r2": F.regr_r2(y_, x_), "df": F.greatest(n - 2, F.lit(0)).cast("int")}
+        none = F.lit(None).cast("double")
+        return finite.groupBy(*keys).agg(*(F.when(F.min(x_) < F.max(x_), line[c]).alias(c) if c in line else none.alias(c) for c in ("a", "b", "c", "d", "g", "r2", "df")))
     names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

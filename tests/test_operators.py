@@ -168,3 +168,30 @@ def test_series_edges(spark):
     assert series.sliding_slope(df, ["k"], ["i"], "i", "y", 3).count() == 1
     assert series.derivative(df, ["k"], ["i"], "i", "y", True).where("derivative is not null").count() == 7
     assert abs(sum(series.savitzky_golay_weights(7)) - 1) < 1e-12
+
+
+def test_curve_fits_take_every_row(spark):
+    from oracle import DATA, connection
+
+    from fathomry.plans.queries import QUERIES
+
+    sql = "SELECT l_suppkey, regr_intercept(l_quantity, l_linenumber), regr_slope(l_quantity, l_linenumber), regr_r2(l_quantity, l_linenumber), count(*) - 2 FROM lineitem GROUP BY l_suppkey ORDER BY 1"
+    want = connection("sf0.001").execute(sql).fetchall()
+    got = sorted(map(tuple, QUERIES["curve_fits"](spark, str(DATA / "sf0.001")).select("l_suppkey", "a", "b", "r2", "df").collect()))
+    assert [(x[0], x[4]) for x in got] == [(x[0], x[4]) for x in want]
+    assert np.allclose([x[1:4] for x in got], [x[1:4] for x in want])
+
+
+def test_lines_by_sums_equal_the_fit_of_points(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 4.5), ("a", 3.0, 5.0), ("a", nan, 1.0), ("a", 9.0, inf), ("a", 8.0, None), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("b", None, 9.0), ("c", 1.0, 7.0), ("c", 2.0, 7.0), (None, 1.0, 1.0)]
+    got = {r["k"]: r for r in assay.fit(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y", "linear").collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        x, y = (np.array([np.nan if v[i] is None else v[i] for v in rows if v[0] == k]) for i in (1, 2))
+        f = assay.fit_curve("linear", x, y)
+        if f is None:
+            assert all(r[c] is None for c in ("a", "b", "r2", "df"))
+        else:
+            assert np.allclose([r["a"], r["b"], r["r2"]], [*f["p"], f["r2"]]) and r["df"] == f["df"]
+        assert r["c"] is None and r["d"] is None and r["g"] is None
