@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..errors import UsageError
+from .graph import checkpointed
 
 #: Columns a projection always keeps, and the order of column roles.
 ALWAYS = ("path", "format", "error", "error_code")
@@ -153,3 +154,17 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b.select(*a.columns))
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """df with each row's place in the whole order, from 1: ranges of the key are sorted apart and get the sum of the counts before them."""
+    low = (1 << 33) - 1
+    rows = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id()))
+    part = F.shiftright("__i", 33)
+    before, total = [], 0
+    for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        before += [F.lit(r["p"]), F.lit(total)]
+        total += r["n"]
+    if not total:
+        return rows.select(*df.columns, F.lit(0).cast("long").alias(name))
+    return rows.select(*df.columns, (F.col("__i").bitwiseAND(F.lit(low)) + 1 + F.element_at(F.create_map(*before), part)).cast("long").alias(name))

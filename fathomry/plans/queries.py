@@ -137,6 +137,12 @@ def natural_sort(spark, sf):
     return p.withColumn("pos", F.row_number().over(Window.orderBy("k", "p_name")).cast("long")).select("p_name", "pos")
 
 
+@query("SELECT p_name, row_number() OVER (ORDER BY lpad(regexp_extract(p_name, '([0-9]+)', 1), 20, '0'), p_name) pos FROM part")
+def natural_sort_all(spark, sf):
+    k = F.lpad(F.regexp_extract("p_name", "([0-9]+)", 1), 20, "0")
+    return tables.positions(table(spark, sf, "part").select("p_name", k.alias("k")), [F.col("k"), F.col("p_name")]).select("p_name", "pos")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def page_of_rows(spark, sf):
     return tables.page(table(spark, sf, "orders"), [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey")], 25, 50).select("o_orderkey", "o_totalprice")

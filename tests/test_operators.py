@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomry.errors import UsageError
-from fathomry.operators import assay, gating, health, joins, link, qpcr, series, signal, spectra, summarize
+from fathomry.operators import assay, gating, health, joins, link, qpcr, series, signal, spectra, summarize, tables
 
 
 def test_summary_edges(spark):
@@ -195,3 +195,15 @@ def test_lines_by_sums_equal_the_fit_of_points(spark):
         else:
             assert np.allclose([r["a"], r["b"], r["r2"]], [*f["p"], f["r2"]]) and r["df"] == f["df"]
         assert r["c"] is None and r["d"] is None and r["g"] is None
+
+
+def test_positions_of_a_whole_table(spark):
+    from oracle import compare
+
+    from fathomry.plans.queries import ORACLE, QUERIES
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("(id * 37) % 5000 v")
+    out = tables.positions(df, [F.col("v").desc()])
+    assert sorted(map(tuple, out.collect())) == [(v, 5000 - v) for v in range(5000)]
+    assert tables.positions(df.limit(0), [F.col("v")]).count() == 0
+    assert compare(spark, "natural_sort_all", QUERIES["natural_sort_all"], ORACLE["natural_sort_all"], "sf0.01") is None
