@@ -227,6 +227,12 @@ def link_components(spark, sf):
     return connected_components(e)
 
 
+@query()
+def link_components_all(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))  # suppliers below 0, so that no number names two things
+    return connected_components(e)
+
+
 @query("WITH v AS (SELECT DISTINCT doc_id id, md5(text) v FROM documents), g AS (SELECT v, min(id) a, count(*) n FROM v GROUP BY v HAVING count(*) > 1) SELECT a, id b, CASE WHEN n > 12 THEN 1 ELSE 3 END confidence FROM v JOIN g USING (v) WHERE id <> a")
 def link_shared_values(spark, sf):
     return link.shared_value(table(spark, sf, "documents").withColumn("h", F.md5("text")), "doc_id", F.col("h"), "conversion_source", link.HIGH).select("a", "b", "confidence")

@@ -207,3 +207,22 @@ def test_positions_of_a_whole_table(spark):
     assert sorted(map(tuple, out.collect())) == [(v, 5000 - v) for v in range(5000)]
     assert tables.positions(df.limit(0), [F.col("v")]).count() == 0
     assert compare(spark, "natural_sort_all", QUERIES["natural_sort_all"], ORACLE["natural_sort_all"], "sf0.01") is None
+
+
+def test_components_of_a_whole_table(spark):
+    from oracle import DATA, connection
+
+    from fathomry.plans.queries import QUERIES
+
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in connection("sf0.001").execute("SELECT DISTINCT l_partkey, -l_suppkey FROM lineitem").fetchall():
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = sorted(map(tuple, QUERIES["link_components_all"](spark, str(DATA / "sf0.001")).collect()))
+    assert got == sorted((x, root(x)) for x in list(up))
