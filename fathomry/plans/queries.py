@@ -177,6 +177,13 @@ def sheet_unmatched(spark, sf):
     return report.unmatched_sheet.select("n_nationkey", "n_name")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def sheet_unmatched_all(spark, sf):
+    rows = table(spark, sf, "supplier").withColumn("sample_id", F.col("s_suppkey").cast("string"))
+    _, report = joins.sheet_join(rows, table(spark, sf, "customer"), [("c_custkey", "sample_id")])
+    return report.unmatched_sheet.select("c_custkey", "c_name")
+
+
 @query("SELECT s_suppkey, CASE WHEN count(DISTINCT r) = 1 THEN min(r) END r FROM (SELECT s_suppkey, n_regionkey r FROM supplier LEFT JOIN (SELECT n_nationkey % 12 k, n_regionkey FROM nation) ON s_nationkey = k) GROUP BY s_suppkey")
 def sheet_ambiguous(spark, sf):
     rows = table(spark, sf, "supplier").withColumn("sample_id", F.col("s_nationkey").cast("string"))
@@ -413,6 +420,12 @@ def nearest_row(spark, sf):
     return tables.nearest(p.withColumn("d", F.col("x").cast("double")), ["vec_id"], "d", 0.1).select("vec_id", "i")
 
 
+@query("SELECT vec_id, arg_min(i, abs(x - CAST(0.1 AS DOUBLE))) i FROM (SELECT vec_id, unnest(range(0, len(embedding))) i, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY vec_id")
+def nearest_row_all(spark, sf):
+    p = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+    return tables.nearest(p.withColumn("d", F.col("x").cast("double")), ["vec_id"], "d", 0.1).select("vec_id", "i")
+
+
 # Assays and qPCR: event types are roles and targets, users are plates and samples
 
 
