@@ -8,6 +8,7 @@ until the owner of that folder clears it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The folder that the cluster names; a temporary one only where none is set and there is one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/fathomry-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -38,6 +41,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that isn't among columns, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,17 +75,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def bitmap(ids: DataFrame, column: str, words: int = 1 << 19) -> bytes:
-    """A bit set of words * 64 bits over a hash column: fixed size, built by a partial bitwise or.
+#: Bounds on the 64-bit words of a bitmap: 32 KB to 32 MB.
+WORDS = 1 << 12, 1 << 22
+
+
+def bitmap(ids: DataFrame, column: str) -> bytes:
+    """A bit set over a hash column, built by a partial bitwise or: 32 to 64 bits a row between the bounds ``WORDS``.
 
-    Membership has false positives, never false negatives; an exact join follows wherever it is used.
+    Membership has false positives, never false negatives: an exact join follows wherever it is
+    used, which has the whole work to do again where far more rows than bits fill the set.
     """
     import numpy as np
 
+    words = WORDS[0]
+    most = ids.count() // 2
+    while words < min(most, WORDS[1]):
+        words *= 2
     bits = ids.select(F.col(column).alias("h")).selectExpr(f"pmod(shiftright(h, 6), {words}) w", "shiftleft(1L, cast(h & 63 as int)) b")
-    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(words, np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out.tobytes()
 
 

@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near, vec
-from .common import stored
+from .common import fresh, stored
 
 PLAN = near.Plan()
+LAST = (1 << 63) - 1
 
 
 def _bands(plan: near.Plan):
@@ -40,46 +41,52 @@ def _bands(plan: near.Plan):
 
 def jaccard_join(docs: DataFrame, plan: near.Plan = PLAN) -> DataFrame:
     """A row per row of docs: doc_id, item (content id, null without words), class_id, n_copies, n_links, group_id."""
-    return _joined(docs, plan).drop("group_key")
+    return _joined(docs, plan)[0].drop("group_key")
 
 
-def _joined(docs: DataFrame, plan: near.Plan) -> DataFrame:
-    named = docs.select("doc_id", "text", F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), near.content_id(F.col("text"))).alias("item"))
-    texts = named.where("item is not null")
+def _item() -> Column:
+    return F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), near.content_id(F.col("text")))
+
+
+def _joined(docs: DataFrame, plan: near.Plan) -> tuple[DataFrame, DataFrame]:
+    """(``jaccard_join``'s rows with their group's key, (group_key, item, class_id) of all classes)."""
+    texts = docs.select("doc_id", "text", _item().alias("item")).where("item is not null").select("item", F.coalesce("doc_id", F.lit(LAST)).alias("owner"), "text")
+    named = stored(docs.select("doc_id", _item().alias("item"), F.octet_length("text").cast("long").alias("bytes")), "named")
+    classes = stored(named.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.max("bytes").alias("bytes")), "classes")
     comps = near.candidates(texts.select("item", "text").mapInArrow(_bands(plan), "key long, item long"))
-    counted, groups = near.links(near.in_set(texts), comps, plan)
-    classes = texts.groupBy("item").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
-    classes = stored(classes.join(counted, "item", "left").join(groups.withColumnRenamed("id", "item"), "item", "left"), "classes")
-    classes = classes.withColumn("group_key", F.coalesce("component", "item")).drop("component")
-    classes = classes.join(classes.groupBy("group_key").agg(F.min("class_id").alias("group_id")), "group_key")
-    return (
-        named.drop("text")
-        .join(classes, "item", "left")
-        .select(
-            "doc_id",
-            "item",
-            F.when(F.col("item").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.when(F.col("item").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-            "group_key",
-        )
+    counted, groups = near.links(near.in_set(texts), classes.select("item", F.coalesce("class_id", F.lit(LAST)).alias("owner"), "bytes"), comps, plan)
+    groups = groups.withColumnRenamed("id", "item")
+    firsts = stored(groups.join(classes, "item").groupBy("component").agg(F.min("class_id").alias("first")), "firsts")
+    classes = classes.drop("bytes").join(counted, "item", "left").join(groups, "item", "left")
+    # no hint: the optimizer broadcasts the groups by their size, or else splits the hot ones
+    classes = classes.join(firsts, "component", "left").withColumn("group_id", F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("first")))
+    classes = stored(classes.withColumn("group_key", F.coalesce("component", "item")).drop("component", "first"), "grouped")
+    alone = F.col("item").isNull()  # these rows are spread by their doc_id; what that may meet in the join is not looked at
+    rows = named.select("doc_id", "item", F.coalesce("item", F.xxhash64("doc_id")).alias("key")).join(classes.withColumnRenamed("item", "key"), "key", "left")
+    rows = rows.select(
+        "doc_id",
+        "item",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.when(~alone, F.col("group_key")).alias("group_key"),
     )
+    return rows, classes.select("group_key", "item", "class_id")
 
 
 def deduplicate(docs: DataFrame, plan: near.Plan = PLAN) -> DataFrame:
-    """docs with one row of each group left, that of the smallest doc_id; rows without words all stay."""
-    joined = _joined(docs, plan)
+    """docs with one row of each group left, that of the smallest doc_id (null counts as the last); rows without words all stay."""
+    rows, classes = _joined(docs, plan)
     # of equal doc_ids in a group with different texts, the smallest content id stays
-    keys = stored(joined.where("item is not null").groupBy("group_key").agg(F.min(F.struct("doc_id", "item")).alias("k"), F.sum(F.when(F.col("doc_id").eqNullSafe(F.col("group_id")), 1).otherwise(0)).alias("n")).select("k.doc_id", "k.item", "n"), "keep")
-    mark = "__item"
-    marked = docs.withColumn(mark, F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), near.content_id(F.col("text"))))
-
-    def matching(which: DataFrame) -> DataFrame:
-        k = which.select(F.col("doc_id").alias("__d"), F.col("item").alias("__i"))
-        return marked.join(k, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(mark) == F.col("__i")), "left_semi")
-
-    out = matching(keys).drop(mark)
-    if keys.where("n > 1").limit(1).count():  # repeated rows, of which one stays
-        out = matching(keys.where("n <= 1")).drop(mark).unionByName(matching(keys.where("n > 1")).dropDuplicates(["doc_id", mark]).drop(mark))
-    return out.unionByName(marked.where(F.col(mark).isNull()).drop(mark))
+    kept = stored(classes.groupBy("group_key").agg(F.min(F.struct(F.col("class_id").isNull().alias("last"), "class_id", "item")).alias("k")).select("k.class_id", "k.item"), "keep")
+    item, d, i = (fresh(x, docs.columns) for x in ("item", "d", "i"))
+    marked = docs.withColumn(item, _item())
+    keys = kept.select(F.col("class_id").alias(d), F.col("item").alias(i))
+    match = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(item) == F.col(i))
+    # repeated rows, of which one stays, are few: their keys are looked up first
+    twice = stored(rows.where("item is not null").groupBy("doc_id", "item").count().where("count > 1").select(F.col("doc_id").alias(d), F.col("item").alias(i)), "twice")
+    out = marked.join(keys, match, "left_semi")
+    if twice.limit(1).count():
+        out = out.join(twice, match, "left_anti").unionByName(out.join(twice, match, "left_semi").dropDuplicates(["doc_id", item]))
+    return out.drop(item).unionByName(marked.where(F.col(item).isNull()).drop(item))

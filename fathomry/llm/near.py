@@ -7,15 +7,19 @@ start. The steps keep every group bounded:
    telling each pair once; no text moves.
 2. Keys shared by different items give star edges to the key's smallest item, and
    their connected components hold every colliding pair.
-3. Components of up to ``BLOCK`` items go together into tasks of about that size;
-   larger ones are cut into blocks, and each pair of blocks is a task of its own.
-   A task compares its own items only, so no pair is told twice and none is lost.
-4. A task returns, per item, how many links it found, and a spanning forest of the
-   links: output grows with the items, not with the pairs.
-
-In a task, candidates are the pairs that share a band key; those that the Bayesian
-test (``bayes_table``) gives up are dropped, the rest are compared exactly on their
-whole shingle sets.
+3. Of each item in a component one row is chosen (the item's owner) and its text put
+   into a block: small components go together into blocks of about ``BLOCK`` items and
+   ``BLOCK_BYTES`` of text, larger ones are cut into as many blocks as that takes.
+4. Each block is compared within. A row per linked item comes back: its number of
+   links and the smallest item it is linked with, directly or not (its root).
+5. Blocks of one component are compared pair by pair. Back come a number per linked
+   item and edges between the blocks' roots, a spanning forest: blocks whose items are
+   all linked give one edge, whatever their size. No pair of items is ever told.
+
+In a task, all pairs of a component are looked at: those that the Bayesian test
+(``bayes_table``) gives up are dropped, the rest are compared exactly on their whole
+shingle sets. A component of n items costs n * n / 2 looks, shared among tasks of
+``BLOCK`` * ``BLOCK``; what is stored grows with n.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import bitmap, components, in_bitmap, stored
 
-BLOCK = 512
+BLOCK = 2048
+BLOCK_BYTES = 4 << 20
+#: Pairs looked at in one go.
+PAIRS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -135,79 +142,64 @@ def matching(rows: DataFrame, column: str, others: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def compare(items: np.ndarray, side: np.ndarray, h: np.ndarray, doc: np.ndarray, plan: Plan, within: bool):
-    """(links per item, forest edges) among items with shingles h; within: pairs on one side count, else across sides only."""
-    n = len(items)
-    links = np.zeros(n, np.int64)
-    code_h, at = vec.distinct_pairs(h, doc, n)
-    has, sig = minhash(code_h, np.repeat(np.arange(n), np.diff(at)), n, plan.hashes)
-    if len(has) < 2:
-        return links, np.zeros((0, 2), np.int64)
-    uniq, code = np.unique(code_h, return_inverse=True)
-    keys = band_keys(sig, plan)
-    seen = np.zeros((len(has), len(has)), bool)
-    for b in range(plan.bands):
-        order = np.argsort(keys[:, b], kind="stable")
-        k = keys[order, b]
-        end = np.searchsorted(k, k, "right")
-        m = end - 1 - np.arange(len(k))
-        i = np.repeat(np.arange(len(k)), m)
-        j = i + 1 + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        i, j = order[i], order[j]
-        seen[np.minimum(i, j), np.maximum(i, j)] = True
-    pi, pj = np.nonzero(seen)
-    del seen
-    if not within:
-        cross = side[has[pi]] != side[has[pj]]
-        pi, pj = pi[cross], pj[cross]
-    if plan.tolerance > 0:
-        least = bayes_table(plan)
-        alive = []
-        for c in range(0, len(pi), 50_000):
-            a, b = pi[c : c + 50_000], pj[c : c + 50_000]
-            same = np.zeros(len(a), np.int64)
-            for s, m in enumerate(least):
-                cols = slice(s * plan.step, (s + 1) * plan.step)
-                same += (sig[a, cols] == sig[b, cols]).sum(1)
-                ok = same >= m
-                a, b, same = a[ok], b[ok], same[ok]
-            alive.append((a, b))
-        pi = np.concatenate([x for x, _ in alive]) if alive else pi
-        pj = np.concatenate([x for _, x in alive]) if alive else pj
-    size = np.diff(at)
-    mark = np.zeros(len(uniq), bool)
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    order = np.argsort(pi, kind="stable")
-    pi, pj = has[pi[order]], has[pj[order]]
-    cuts = np.flatnonzero(np.concatenate([[True], pi[1:] != pi[:-1], [True]])) if len(pi) else np.zeros(0, np.int64)
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        i, js = pi[lo], pj[lo:hi]
-        js = js[np.minimum(size[i], size[js]) >= plan.threshold * np.maximum(size[i], size[js]) - 1e-9]
-        if not len(js):
-            continue
-        own = code[at[i] : at[i + 1]]
-        mark[own] = True
-        m = size[js]
-        where = np.repeat(at[js] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        both = np.add.reduceat(mark[code[where]].astype(np.int64), np.cumsum(m) - m)
-        mark[own] = False
-        js = js[both >= plan.threshold * (size[i] + m - both) - 1e-9]
-        links[i] += len(js)
-        links[js] += 1
-        for j in js.tolist():
-            a, b = root(int(i)), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((items[i], items[j]))
-    return links, np.array(edges, np.int64).reshape(-1, 2)
+class Sets:
+    """The shingle sets and MinHash values of a block's items."""
+
+    def __init__(self, texts: pa.ChunkedArray, plan: Plan):
+        h, doc = text_shingles(texts, plan.words)
+        self.n, self.plan = len(texts), plan
+        h, self.at = vec.distinct_pairs(h, doc, self.n)
+        self.size = np.diff(self.at)
+        has, sig = minhash(h, np.repeat(np.arange(self.n), self.size), self.n, plan.hashes)
+        self.sig = np.zeros((self.n, plan.hashes), np.uint32)
+        self.sig[has] = sig
+        uniq, self.code = np.unique(h, return_inverse=True)
+        self.mark = np.zeros(len(uniq), bool)
+
+    def alive(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose sizes allow the threshold and that the Bayesian test doesn't give up."""
+        p = self.plan
+        ok = np.minimum(self.size[i], self.size[j]) >= np.maximum(p.threshold * np.maximum(self.size[i], self.size[j]) - 1e-9, 1)
+        i, j = i[ok], j[ok]
+        if p.tolerance > 0:
+            same = np.zeros(len(i), np.int64)
+            for s, least in enumerate(bayes_table(p)):
+                cols = slice(s * p.step, (s + 1) * p.step)
+                same += (self.sig[i, cols] == self.sig[j, cols]).sum(1)
+                ok = same >= least
+                i, j, same = i[ok], j[ok], same[ok]
+        return i, j
+
+    def linked(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js whose exact similarity to i reaches the threshold."""
+        own = self.code[self.at[i] : self.at[i + 1]]
+        self.mark[own] = True
+        m = self.size[js]
+        where = np.repeat(self.at[js] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        both = np.add.reduceat(self.mark[self.code[where]].astype(np.int64), np.cumsum(m) - m)
+        self.mark[own] = False
+        return js[both >= self.plan.threshold * (self.size[i] + m - both) - 1e-9]
+
+
+def compare(sets: Sets, first: np.ndarray, last: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(links per item, label) where item i is compared with first[i] .. last[i] - 1; linked items get the least of their labels."""
+    links, label = np.zeros(sets.n, np.int64), label.copy()
+    m = np.maximum(last - first, 0)
+    total = np.concatenate([[0], np.cumsum(m)])
+    for lo in range(0, int(total[-1]), PAIRS):
+        pair = np.arange(lo, min(lo + PAIRS, int(total[-1])))
+        i = np.searchsorted(total, pair, "right") - 1
+        i, j = sets.alive(i, first[i] + pair - total[i])
+        cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            one = int(i[a])
+            js = sets.linked(one, j[a:b])
+            links[one] += len(js)
+            links[js] += 1
+            if len(js) and (label[js] != label[one]).any():
+                merged = np.unique(np.append(label[js], label[one]))
+                label[np.isin(label, merged)] = merged[0]
+    return links, label
 
 
 def text_shingles(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,56 +208,108 @@ def text_shingles(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.nd
     return vec.shingles(h, doc, len(offs) - 1, words)
 
 
-def links(rows_of: Callable[[Broadcast], DataFrame], comps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+FOUND = "a long, b long, n long"
+
+
+def _found(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _once(t: pa.Table) -> pa.Table:
+    """A row per item, by component and item."""
+    ids = t["item"].to_numpy()
+    order = np.lexsort((ids, t["component"].to_numpy()))
+    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])[: len(order)]]
+    return t.take(pa.array(order))
+
+
+def _within(plan: Plan):
+    """Rows (item, root, links) of the linked items of a block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _once(t)
+        ids, comp = t["item"].to_numpy(), t["component"].to_numpy()
+        n, label = compare(Sets(t["text"], plan), np.arange(len(ids)) + 1, np.searchsorted(comp, comp, "right"), np.arange(len(ids)))
+        some = np.flatnonzero(n)
+        return _found(ids[some], ids[label[some]], n[some])
+
+    return run
+
+
+def _across(plan: Plan):
+    """Of two blocks of a component: rows (item, item, links) and (root, root, 0)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _once(t)
+        side, lo = t["side"].to_numpy(), t["lo"].to_numpy()
+        t = t.take(pa.array(np.argsort(side != lo, kind="stable")))
+        ids, n_lo = t["item"].to_numpy(), int((side == lo).sum())
+        roots, start = np.unique(t["root"].to_numpy(), return_inverse=True)
+        first, last = np.full(len(ids), n_lo), np.where(np.arange(len(ids)) < n_lo, len(ids), 0)
+        n, label = compare(Sets(t["text"], plan), first, last, start)
+        some = np.flatnonzero(n)
+        joined = np.unique(np.stack([start, label], 1)[start != label], axis=0)
+        return _found(np.concatenate([ids[some], roots[joined[:, 0]]]), np.concatenate([ids[some], roots[joined[:, 1]]]), np.concatenate([n[some], np.zeros(len(joined), np.int64)]))
+
+    return run
+
+
+def links(rows_of: Callable[[Broadcast], DataFrame], items: DataFrame, comps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """((item, n_links), (item, group)) over items that have a link.
 
-    rows_of: from a broadcast bitmap, rows (item, text) of at least the items in it,
-    copies a few times at most; comps: (id, component) from ``candidates``.
+    items: (item, owner, bytes), each item once, owner being the id of the row whose text is taken;
+    rows_of: from a broadcast bitmap, rows (item, text) of at least those whose ``owned`` key is in it;
+    comps: (id, component) from ``candidates``.
     """
     spark = comps.sparkSession
-    sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
-    tasks = max(1, comps.count() // BLOCK)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = comps.join(sizes, "component").select(
-        F.col("id").alias("item"),
-        F.when(F.col("n") > BLOCK, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("task"),
-        F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id"), blocks)).otherwise(0).cast("int").alias("side"),
-        F.when(F.col("n") > BLOCK, blocks).otherwise(1).alias("n_blocks"),
+    sized = stored(comps.withColumnRenamed("id", "item").join(items, "item"), "sized")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    # no hint: the optimizer broadcasts it by its size, or else splits the hot components
+    large = stored(sized.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    tasks = sized.agg(F.greatest(F.count("*") / BLOCK, F.coalesce(F.sum("bytes"), F.lit(0)) / BLOCK_BYTES)).first()[0]
+    placed = sized.join(large, "component", "left").select(
+        "item",
+        "component",
+        F.coalesce("blocks", F.lit(1)).alias("blocks"),
+        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(int(tasks) + 1))).otherwise(F.col("component")).alias("task"),
+        F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("item"), "blocks")).cast("int").alias("side"),
     )
-    bits = spark.sparkContext.broadcast(bitmap(comps, "id"))
-
-    def task(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.unique(t["item"].to_numpy(), return_index=True)[1]))
-        ids = t["item"].to_numpy()
-        if len(t):
-            h, doc = text_shingles(t["text"], plan.words)
-            n, edges = compare(ids, t["side"].to_numpy(), h, doc, plan, t["lo"][0].as_py() == t["hi"][0].as_py())
-        else:
-            n, edges = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-        some = np.flatnonzero(n)
-        a = np.concatenate([ids[some], edges[:, 0]])
-        b = np.concatenate([ids[some], edges[:, 1]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]), pa.int64())})
+    bits = spark.sparkContext.broadcast(bitmap(sized.select(owned("item", "owner").alias("o")), "o"))
+    rows = stored(rows_of(bits).join(placed, "item"), "blocks")
+    found = stored(rows.groupBy("task", "side").applyInArrow(_within(plan), FOUND), "links")
+    edges, counts = found.where("a <> b").select("a", "b"), found.select(F.col("a").alias("item"), "n")
+    if large.limit(1).count():
+        rooted = rows.where("side >= 0").join(found.select(F.col("a").alias("item"), F.col("b").alias("root")), "item", "left").withColumn("root", F.coalesce("root", "item"))
+        pairs = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> side")
+        pairs = pairs.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+        across = stored(pairs.groupBy("task", "lo", "hi").applyInArrow(_across(plan), FOUND), "links")
+        edges = edges.unionByName(across.where("a <> b").select("a", "b"))
+        counts = counts.unionByName(across.where("a = b").select(F.col("a").alias("item"), "n"))
+    return counts.groupBy("item").agg(F.sum("n").alias("n_links")), components(edges)
+
+
+def owned(item: str, owner: str) -> Column:
+    """The key of an item's row of that owner; ``owned_by`` is the same in numpy."""
+    return F.expr(f"{item} ^ shiftleft({owner}, 20) ^ shiftrightunsigned({owner}, 44)")
+
 
-    rows = rows_of(bits).join(placed, "item")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("item", "text", "task", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    found = stored(rows.groupBy("task", "lo", "hi").applyInArrow(task, "a long, b long, n long"), "links")
-    counted = found.where("a = b").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("n_links"))
-    return counted, components(found.where("a <> b").select("a", "b"))
+def owned_by(item: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    o = owner.astype(np.int64).view(np.uint64)
+    return (item.astype(np.int64).view(np.uint64) ^ (o << np.uint64(20)) ^ (o >> np.uint64(44))).view(np.int64)
 
 
 def in_set(texts: DataFrame) -> Callable[[Broadcast], DataFrame]:
-    """For ``links``: the rows (item, text) of texts, each item once a block."""
+    """For ``links``: the rows (item, text) of texts (item, owner, text)."""
 
     def rows_of(bits: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in vec.blocks(batches):
+            for t in vec.blocks(batches, max_bytes=2 << 20):
                 ids = t["item"].to_numpy()
                 new = np.zeros(len(ids), bool)
                 new[np.unique(ids, return_index=True)[1]] = True
-                yield from t.filter(pa.array(new & in_bitmap(bits.value, ids))).combine_chunks().to_batches()
+                yield from t.select(["item", "text"]).filter(pa.array(new & in_bitmap(bits.value, owned_by(ids, t["owner"].to_numpy())))).to_batches()
 
-        return texts.select("item", "text").mapInArrow(run, "item long, text string")
+        return texts.select("item", "owner", "text").mapInArrow(run, "item long, text string")
 
     return rows_of
 

@@ -6,21 +6,22 @@ tuned so that a pair just at the threshold is missed with a probability of at mo
 of their five-word shingles, and clustered by connected components (``near``). Of
 each cluster the paragraph in the document of the smallest doc_id stays.
 
-A passage can also sit inside a line, or run over lines. Every stretch of ``min_run``
-words or more that an earlier document has too is removed, wherever it begins and ends:
-all windows of ``min_run`` words that occur in an earlier document. Windows are not told
-one by one: neighbours with the same smallest ``anchor``-word hash form a group (winnowing),
-and only (anchor, hash of the group's words, doc_id) is. Equal windows have equal anchors,
-so where an anchor has one group hash, that hash says it all; where it has several, as at
-the ends of a stretch, the windows of its groups are compared one by one.
+A passage can also sit inside a line, or run over lines. So every window of ``min_run``
+words is a paragraph too, banded by one MinHash value (its anchor: the smallest hash of
+its ``anchor``-word shingles) and verified by equality, for which one band misses
+nothing. Every stretch of ``min_run`` words or more that an earlier document has is thus
+removed, wherever it begins and ends. Neighbouring windows with the same anchor form a
+group, of which only (anchor, hash of the group's words, doc_id) is told: where an anchor
+has one group hash, that hash says it all; where it has several, as at the ends of a
+stretch, the windows of its groups are compared one by one.
 
 Whether a paragraph, group or window is a repeat depends on its content and the doc_id
 alone, so what a document loses is a set of content hashes, joined by doc_id.
 
 Defined results: words are what white space leaves, A-Z in lower case; null texts
 stay null, texts without words unchanged; a document that is all repeats keeps an
-empty rest; repeats within one document or among rows of one doc_id stay; a null
-doc_id counts as the last; an empty table stays empty; other columns pass through.
+empty rest; repeats within one document or among rows of one doc_id stay; rows
+with a null doc_id come after the others, as documents told by their texts; an empty table stays empty; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near, vec
-from .common import bitmap, in_bitmap, stored
+from .common import bitmap, fresh, in_bitmap, stored
 
-LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -116,8 +116,13 @@ class Windows:
         return np.flatnonzero(np.repeat(groups, self.g_n))
 
 
+def _order() -> Column:
+    """The doc_id; for a null one, an id from 2^62 on that its text tells."""
+    return F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def _first_rows(o: Options):
-    """Rows (kind, a, b, c): 0 band key and paragraph; 1 anchor, doc_id and group; 2 paragraph and doc_id."""
+    """Rows (kind, a, b, c): 0 band key and paragraph; 1 anchor, doc_id and group; 2 paragraph, doc_id and bytes."""
     plan = o.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,8 @@ def _first_rows(o: Options):
             bands = near.band_rows(u.p_hash[long], h, par, plan)
             w = Windows(u, o)
             group = _distinct(w.anchor, ids[w.doc[w.g_at]], w.g_hash)
-            paragraph = _distinct(u.p_hash[long], ids[u.doc[u.p_at[long]]])
+            size = u.end[u.p_at[long] + u.p_n[long] - 1] - u.start[u.p_at[long]]
+            paragraph = _distinct(u.p_hash[long], ids[u.doc[u.p_at[long]]], size)
             for kind, a, b, *c in ((0, bands.column(0), bands.column(1)), (1, *group), (2, *paragraph)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(c[0]) if c else pa.nulls(len(a), pa.int64())], names=["kind", "a", "b", "c"])
 
@@ -168,23 +174,25 @@ def _paragraphs(docs: DataFrame, o: Options):
             for t in vec.blocks(batches, max_bytes=2 << 20):
                 u = Units(t["text"])
                 some = np.flatnonzero(u.p_n >= o.min_words)
-                some = some[in_bitmap(bits.value, u.p_hash[some])] if len(some) else some
+                some = some[in_bitmap(bits.value, near.owned_by(u.p_hash[some], t["doc_id"].to_numpy()[u.doc[u.p_at[some]]]))]
                 some = some[np.unique(u.p_hash[some], return_index=True)[1]]
                 a, b = u.start[u.p_at[some]], u.end[u.p_at[some] + u.p_n[some] - 1]
                 raw = u.buf.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(u.p_hash[some]), pa.array([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.string())], names=["item", "text"])
 
-        return docs.select("text").mapInArrow(run, "item long, text string")
+        return docs.select("doc_id", "text").mapInArrow(run, "item long, text string")
 
     return rows_of
 
 
 def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(d, repeats): for doc_ids with some, the hashes of groups, windows and paragraphs that an earlier document has."""
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+    keyed = docs.select(_order().alias("doc_id"), "text")
     rows = stored(keyed.mapInArrow(_first_rows(o), "kind byte, a long, b long, c long"), "units")
     comps = near.candidates(rows.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("item")))
-    _, groups = near.links(_paragraphs(keyed, o), comps, o.plan)
+    paragraphs = rows.where("kind = 2")
+    items = paragraphs.groupBy(F.col("a").alias("item")).agg(F.min("b").alias("owner"), F.max("c").alias("bytes"))
+    _, groups = near.links(_paragraphs(keyed, o), items, comps, o.plan)
 
     def later(units: DataFrame, key: str) -> DataFrame:
         first = stored(units.groupBy(key).agg(F.min("d").alias("first"), F.max("d").alias("z")).where("first < z").drop("z"), "first")
@@ -197,16 +205,16 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     same = near.matching(anchors, "a", whole).join(whole, "a").where("d > first").select("d", "u")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared.where("not whole"), "a"))
     windows = stored(keyed.mapInArrow(_windows(bits, o), "u long, d long"), "windows")
-    paragraphs = rows.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("d")).join(groups, "id", "left").select(F.col("id").alias("u"), "d", F.coalesce("component", "id").alias("cluster"))
+    paragraphs = paragraphs.select(F.col("a").alias("id"), F.col("b").alias("d")).distinct().join(groups, "id", "left").select(F.col("id").alias("u"), "d", F.coalesce("component", "id").alias("cluster"))
     return same.unionByName(later(windows, "u")).unionByName(later(paragraphs, "cluster")).groupBy("d").agg(F.collect_set("u").alias("repeats"))
 
 
-def _cut(o: Options, columns: list[str], text_at: int, report: bool):
+def _cut(o: Options, columns: list[str], text_at: int, marked_in: str, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in vec.blocks(batches, max_bytes=2 << 20):
             u = Units(t["text"])
             n_docs = len(t)
-            marks = t["__repeats"].combine_chunks()
+            marks = t[marked_in].combine_chunks()
             sizes = marks.value_lengths().fill_null(0).to_numpy()
             values = marks.flatten().to_numpy().view(np.uint64)
             salted = lambda h, d: vec.mix(h.view(np.uint64) + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -255,11 +263,12 @@ def _cut(o: Options, columns: list[str], text_at: int, report: bool):
 
 
 def _apply(docs: DataFrame, o: Options, report: bool) -> DataFrame:
-    marks = repeats(docs, o).select(F.col("d").alias("__d"), F.col("repeats").alias("__repeats"))
-    joined = docs.join(marks, F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("__d"), "left").drop("__d")
+    d, marked = fresh("d", docs.columns), fresh("repeats", docs.columns)
+    marks = repeats(docs, o).select(F.col("d").alias(d), F.col("repeats").alias(marked))
+    joined = docs.join(marks, _order() == F.col(d), "left").drop(d)
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     extra = ["n_words long", "n_removed long", "removed array<struct<start:long,end:long>>"] if report else []
-    return joined.mapInArrow(_cut(o, docs.columns, docs.columns.index("text"), report), ", ".join(names + extra))
+    return joined.mapInArrow(_cut(o, docs.columns, docs.columns.index("text"), marked, report), ", ".join(names + extra))
 
 
 def deduplicate(docs: DataFrame, o: Options = Options()) -> DataFrame:

@@ -13,7 +13,7 @@ def test_sample_takes_different_rows_and_survives_repeats(spark):
 
 def test_bitmap_has_no_false_negatives(spark):
     ids = spark.range(500).selectExpr("xxhash64(id) h")
-    bits = common.bitmap(ids, "h", 64)
+    bits = common.bitmap(ids, "h")
     h = ids.toPandas()["h"].to_numpy()
     assert common.in_bitmap(bits, h).all()
     assert near.matching(ids.withColumnRenamed("h", "k"), "k", ids.limit(3).withColumnRenamed("h", "k")).count() >= 3
