@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
+    """Bounds what Spark hands to a Python worker at once in bytes; by default 10,000 rows go, however long.
+
+    The operators regroup batches (``vec.blocks``), so the bound changes memory alone. It holds for the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back."""
     spark = df.sparkSession
@@ -114,4 +122,5 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
     """
     h = F.xxhash64("doc_id", "text")
     last = docs.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return docs.withColumn("__h", h).where(F.col("__h") <= (last if last is not None else 0)).dropDuplicates(["__h"]).drop("__h")
+    name = fresh("h", docs.columns)
+    return docs.withColumn(name, h).where(F.col(name) <= (last if last is not None else 0)).dropDuplicates([name]).drop(name)

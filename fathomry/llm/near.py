@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import bitmap, components, in_bitmap, stored
+from .common import bitmap, components, in_bitmap, small_batches, stored
 
 BLOCK = 2048
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Pairs looked at in one go.
-PAIRS = 1 << 16
+PAIRS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,7 @@ def band_rows(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, plan: Plan) -> pa
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(id, component) of all items that share a key of rows (key, item) with another."""
+    small_batches(rows.sparkSession)
     rows = stored(rows, "bands")
     shared = stored(rows.groupBy("key").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a < z").drop("z"), "shared")
     return components(matching(rows, "key", shared).join(shared, "key").where("item <> a").select("a", F.col("item").alias("b")))
@@ -282,7 +283,7 @@ def links(rows_of: Callable[[Broadcast], DataFrame], items: DataFrame, comps: Da
         rooted = rows.where("side >= 0").join(found.select(F.col("a").alias("item"), F.col("b").alias("root")), "item", "left").withColumn("root", F.coalesce("root", "item"))
         pairs = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> side")
         pairs = pairs.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-        across = stored(pairs.groupBy("task", "lo", "hi").applyInArrow(_across(plan), FOUND), "links")
+        across = stored(pairs.groupBy("task", "lo", "hi").applyInArrow(_across(plan), FOUND).groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
         edges = edges.unionByName(across.where("a <> b").select("a", "b"))
         counts = counts.unionByName(across.where("a = b").select(F.col("a").alias("item"), "n"))
     return counts.groupBy("item").agg(F.sum("n").alias("n_links")), components(edges)
@@ -303,7 +304,7 @@ def in_set(texts: DataFrame) -> Callable[[Broadcast], DataFrame]:
 
     def rows_of(bits: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in vec.blocks(batches, max_bytes=2 << 20):
+            for t in vec.blocks(batches, max_bytes=1 << 20):
                 ids = t["item"].to_numpy()
                 new = np.zeros(len(ids), bool)
                 new[np.unique(ids, return_index=True)[1]] = True

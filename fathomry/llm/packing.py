@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenize, vec
-from .common import stored
+from .common import small_batches, stored
 
 SIZE, END = 2048, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local long"
@@ -135,6 +135,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_id
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset, gapless from 0 in each sequence."""
     spark = docs.sparkSession
+    small_batches(spark)
     cut = stored(pieces(docs, path, size, end, with_ids), "pieces")
     counts = cut.groupBy("length", "pid").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

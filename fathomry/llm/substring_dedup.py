@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near, vec
-from .common import bitmap, fresh, in_bitmap, stored
+from .common import bitmap, fresh, in_bitmap, small_batches, stored
 
 
 
@@ -126,7 +126,7 @@ def _first_rows(o: Options):
     plan = o.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=2 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             u = Units(t["text"])
             ids = t["doc_id"].to_numpy()
             long = np.flatnonzero(u.p_n >= o.min_words)
@@ -149,17 +149,17 @@ def _first_rows(o: Options):
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    import pandas as pd
-
-    once = ~pd.DataFrame(dict(enumerate(columns))).duplicated().to_numpy()
-    return tuple(c[once] for c in columns)
+    order = np.lexsort(columns)
+    once = np.ones(len(order), bool)
+    once[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    return tuple(c[order[once]] for c in columns)
 
 
 def _windows(bits, o: Options):
     """Rows (u, d): the windows of the groups whose anchors are in the bitmap, and their doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=2 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             w = Windows(Units(t["text"]), o)
             some = w.of(in_bitmap(bits.value, w.anchor))
             h, d = _distinct(w.hashes(some), t["doc_id"].to_numpy()[w.doc[some]])
@@ -171,7 +171,7 @@ def _windows(bits, o: Options):
 def _paragraphs(docs: DataFrame, o: Options):
     def rows_of(bits) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in vec.blocks(batches, max_bytes=2 << 20):
+            for t in vec.blocks(batches, max_bytes=1 << 20):
                 u = Units(t["text"])
                 some = np.flatnonzero(u.p_n >= o.min_words)
                 some = some[in_bitmap(bits.value, near.owned_by(u.p_hash[some], t["doc_id"].to_numpy()[u.doc[u.p_at[some]]]))]
@@ -187,6 +187,7 @@ def _paragraphs(docs: DataFrame, o: Options):
 
 def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """(d, repeats): for doc_ids with some, the hashes of groups, windows and paragraphs that an earlier document has."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(_order().alias("doc_id"), "text")
     rows = stored(keyed.mapInArrow(_first_rows(o), "kind byte, a long, b long, c long"), "units")
     comps = near.candidates(rows.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("item")))
@@ -211,7 +212,7 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 def _cut(o: Options, columns: list[str], text_at: int, marked_in: str, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=2 << 20):
+        for t in vec.blocks(batches, max_bytes=1 << 20):
             u = Units(t["text"])
             n_docs = len(t)
             marks = t[marked_in].combine_chunks()

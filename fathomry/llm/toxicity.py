@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .common import sample as sample_of
-from .common import stored
+from .common import small_batches, stored
 
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -139,6 +139,7 @@ def fit_places(rows: np.ndarray, cols: np.ndarray, hashes: np.ndarray, positive:
 
 def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), learn: Column | None = None) -> Model:
     """From docs (doc_id, text) and labels (doc_id, toxic); learn: which rows' labels may be seen (default: not held out)."""
+    small_batches(docs.sparkSession)
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     seen = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -192,32 +193,35 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), learn: Colum
     return fit_places(rows, lists.flatten().to_numpy().astype(np.int64), hashes, got["positive"].to_numpy(), prior, o)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a last column __score."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=1 << 20):
-            h, doc, n_docs = features(t["text"])
-            if len(model.hashes) and len(h):
-                at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-                hit = model.hashes[at] == h
-                pair = np.unique(doc[hit] * np.int64(len(model.hashes)) + at[hit])
-                s = model.score(pair % len(model.hashes), pair // len(model.hashes), n_docs)
-            else:
-                none = np.zeros(0, np.int64)
-                s = model.score(none, none, n_docs)
-            yield from t.append_column("__score", pa.array(s, pa.float64())).combine_chunks().to_batches()
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, __score double")
+def scores(texts: pa.ChunkedArray, model: Model) -> np.ndarray:
+    h, doc, n_docs = features(texts)
+    if not len(model.hashes) or not len(h):
+        none = np.zeros(0, np.int64)
+        return model.score(none, none, n_docs)
+    at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
+    hit = model.hashes[at] == h
+    pair = np.unique(doc[hit] * np.int64(len(model.hashes)) + at[hit])
+    return model.score(pair % len(model.hashes), pair // len(model.hashes), n_docs)
 
 
 def classify(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels, o))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= o.threshold).cast("int").alias("predicted"))
+    model = fit(docs, labels, o)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in vec.blocks(batches, max_bytes=1 << 20):
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(scores(t["text"], model), pa.float64())], names=["doc_id", "score"])
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= o.threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
     """docs without those that the classifier calls toxic."""
-    return score(docs, fit(docs, labels, o)).where(F.col("__score") < o.threshold).drop("__score")
+    model = fit(docs, labels, o)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in vec.blocks(batches, max_bytes=1 << 20):
+            yield from t.filter(pa.array(scores(t["text"], model) < o.threshold)).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

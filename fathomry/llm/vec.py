@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 U64 = np.uint64
@@ -201,6 +200,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
     """Regroups Arrow batches into tables of about max_bytes of text, at least one row each; memory stays bounded."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
+    pool = pa.default_memory_pool()
     for b in batches:
         at = 0
         while at < b.num_rows:
@@ -218,5 +218,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             if at < b.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size, rows = [], 0, 0
+                pool.release_unused()  # a worker lives on and would keep what its largest block took
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    pool.release_unused()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import sample as sample_of
+from .common import sample as sample_of, small_batches
 from .common import stored
 
 SCHEMA = "doc_id long, votes array<int>, posterior double, score double, kept boolean"
@@ -179,6 +179,7 @@ def train(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, target: np.n
 def classify(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, votes, posterior (of the votes alone), score (of the scorer), kept for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

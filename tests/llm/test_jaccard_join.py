@@ -59,6 +59,25 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, out)) == brute(docs)
 
 
+def test_what_is_stored_grows_with_the_group(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 64)
+    rows, keep = {}, near.stored
+    r = random.Random(0)
+    base = [f"w{i}" for i in range(60)]
+    for n in (256, 512):
+        seen = []
+        monkeypatch.setattr(near, "stored", lambda df, name: (seen.append(out) if name == "links" else None, out)[1] if (out := keep(df, name)) else None)
+        docs = []
+        for k in range(n):
+            w = list(base)
+            w[r.randrange(60)] = f"x{k}"
+            docs.append((k, " ".join(w)))
+        out = jj.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {x["group_id"] for x in out} == {0} and sum(x["n_links"] for x in out) == 2 * sum(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for i, (_, a) in enumerate(docs) for _, b in docs[:i])
+        rows[n] = sum(df.count() for df in seen), sum(df.where("a <> b").count() for df in seen)
+    assert rows[512][0] <= 2.2 * rows[256][0] and rows[512][1] <= 2.2 * rows[256][1]
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(3)
     df = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(docs)], "doc_id long, text string, n_links int, item string")

@@ -14,8 +14,8 @@ ROWS = [(1, LONG, "a", 1), (1, LONG, "a", 1), (2, LONG + " tail", None, None), (
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    """Columns that clash with what the operators add: score, shard, item, component, __score is theirs alone."""
-    return spark.createDataFrame([(d, t, s, n, n, s) for d, t, s, n in ROWS], "doc_id long, text string, item string, score int, shard int, component string")
+    """Columns that clash with what the operators add."""
+    return spark.createDataFrame([(d, t, s, n, n, s, n, s, n) for d, t, s, n in ROWS], "doc_id long, text string, item string, score int, shard int, component string, h int, repeats string, D int")
 
 
 def test_row_operators_keep_every_row(spark, docs):
