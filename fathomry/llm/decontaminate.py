@@ -1,17 +1,14 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-A shard is a block of a partition's texts. Its words are numbered; phrases
-(10-word windows of the benchmark items, or a whole shorter item) are searched
-backwards through wavelet-matrix ranks, occurrences are located by sampled
-suffix positions, and the word spans they cover are merged for removal.
+A shard is a block of a partition's texts. All its words are numbered and indexed;
+phrases (10-word windows of the benchmark items, or a whole shorter item) are searched
+backwards through wavelet-matrix ranks, occurrences are located by sampled suffix
+positions, and the word spans they cover are merged for removal. Words are compared by
+64-bit hashes.
 
-A phrase can only occur in a stretch of consecutive words that all belong to some
-phrase, so the index holds those stretches alone (``whole_index=True`` holds all
-words; the results are the same). Words are compared by 64-bit hashes.
-
-The benchmark goes out in blocks of at most ``block_bytes`` of text, each one
-more narrow step over the same partition: no shuffle, and no step holds
-more than one block and one shard.
+The benchmark goes out in blocks of at most ``block_bytes`` of text, each a broadcast of
+its own. One narrow step indexes a shard once and searches the blocks in it one after
+the other, so a task holds one shard and one block, whatever the benchmark's size.
 
 Defined results: null and empty texts, and those without words, have no hits and
 stay as they are; null items and those without words match nothing; an item's id
@@ -27,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import vec
+from .common import small_batches
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -44,67 +42,57 @@ class Phrases:
         _, _, doc, h = vec.words(buf, offs, vec.ALNUM)
         self.ids = sorted({i for i, _ in items})
         index = {x: k for k, x in enumerate(self.ids)}
-        self.vocab = np.unique(h)
-        code = np.searchsorted(self.vocab, h) + 1
+        self.vocab, code = np.unique(h, return_inverse=True)
         n, at = vec.counts_of(doc, len(items))
-        rows: dict[tuple, set] = {}
-        for k, (i, _) in enumerate(items):
-            w = code[at[k] : at[k] + n[k]].tolist()
-            for j in range(max(len(w) - window, 0) + 1 if w else 0):
-                rows.setdefault(tuple(w[j : j + window]), set()).add(index[i])
-        self.size = np.array([len(x) for x in rows], np.int64)
-        self.code = np.zeros((len(rows), window), np.int64)
-        for k, x in enumerate(rows):
-            self.code[k, : len(x)] = x
-        self.owners = np.array([y for x in rows.values() for y in sorted(x)], np.int64)
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])]).astype(np.int64)
-        self.shortest = int(self.size.min()) if len(rows) else 0
-
-
-def search_shard(buf: np.ndarray, offs: np.ndarray, p: Phrases, whole_index: bool = False):
-    """(word starts, word ends, word documents, hit mask over words, pairs (document, item))."""
-    start, end, doc, h = vec.words(buf, offs, vec.ALNUM)
-    hit = np.zeros(len(h), bool)
-    none = start, end, doc, hit, np.zeros((0, 2), np.int64)
-    if not len(p.size) or not len(h):
-        return none
-    at = np.minimum(np.searchsorted(p.vocab, h), len(p.vocab) - 1)
-    code = np.where(p.vocab[at] == h, at + 1, 0)
-    sigma = len(p.vocab) + 1
-    edge = np.concatenate([[True], doc[1:] != doc[:-1]])
-    if whole_index:
-        other = code == 0
-        if other.any():
-            import pandas as pd
-
-            rest, uniq = pd.factorize(h[other])
-            code[other] = rest + sigma
-            sigma += len(uniq)
-        take, cut = np.arange(len(h)), np.flatnonzero(edge)
-    else:
-        s, e = vec.spans(code > 0, np.flatnonzero(edge))
-        long = e - s >= p.shortest
-        s, e = s[long], e[long]
-        if not len(s):
-            return none
-        size = e - s
-        cut = np.cumsum(size) - size
-        take = np.repeat(s - cut, size) + np.arange(int(size.sum()))
-    index = FMIndex(code[take], np.append(cut[1:], len(take)), sigma)
-    lo, hi = index.search(p.code, p.size)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    where = take[index.locate(rows)]
-    change = np.zeros(len(h) + 1, np.int64)
-    np.add.at(change, where, 1)
-    np.add.at(change, where + p.size[which], -1)
-    hit[:] = np.cumsum(change)[:-1] > 0
-    pair = np.unique(doc[where] * np.int64(len(p.size)) + which)
-    d, q = pair // len(p.size), pair % len(p.size)
-    m = p.owner_at[q + 1] - p.owner_at[q]
-    own = p.owners[np.repeat(p.owner_at[q] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
-    return start, end, doc, hit, np.unique(np.stack([np.repeat(d, m), own], 1), axis=0)
+        count = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        first = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        place = first[:, None] + np.arange(window)
+        inside = place < (at + n)[item][:, None]
+        rows = np.where(inside, code[np.minimum(place, max(len(code) - 1, 0))] + 1 if len(code) else 0, 0).astype(np.int32)
+        self.code, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.size = (self.code > 0).sum(1)
+        owner = np.array([index[items[k][0]] for k in item.tolist()], np.int64)
+        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+        self.owners = pairs[:, 1].astype(np.int32)
+        self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.code) + 1))
+
+
+class Shard:
+    """The words of a block of texts and their index."""
+
+    def __init__(self, texts: pa.ChunkedArray | pa.Array):
+        self.buf, self.offs = vec.flat(texts)
+        self.start, self.end, self.doc, h = vec.words(self.buf, self.offs, vec.ALNUM)
+        self.n_docs = len(self.offs) - 1
+        self.n, self.at = vec.counts_of(self.doc, self.n_docs)
+        self.hit = np.zeros(len(h), bool)
+        self.items: list[set[str]] = [set() for _ in range(self.n_docs)]
+        self.vocab, code = np.unique(h, return_inverse=True)
+        self.index = FMIndex(code + 1, (self.at + self.n)[self.n > 0], len(self.vocab) + 1) if len(h) else None
+
+    def search(self, p: Phrases) -> None:
+        """Marks the words in occurrences of phrases, and tells whose they are."""
+        if self.index is None or not len(p.size):
+            return
+        at = np.minimum(np.searchsorted(self.vocab, p.vocab), len(self.vocab) - 1)
+        known = np.where(self.vocab[at] == p.vocab, at + 1, 0)
+        codes = np.append(0, known)[p.code]
+        some = np.flatnonzero((codes > 0).sum(1) == p.size)  # a word that the shard lacks: no occurrence
+        lo, hi = self.index.search(codes[some], p.size[some])
+        n = hi - lo
+        which = np.repeat(some, n)
+        where = self.index.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+        step = np.bincount(where, minlength=len(self.hit) + 1) - np.bincount(where + p.size[which], minlength=len(self.hit) + 1)
+        self.hit |= np.cumsum(step)[:-1] > 0
+        pair = np.unique(self.doc[where] * np.int64(len(p.size)) + which)
+        for d, q in zip((pair // len(p.size)).tolist(), (pair % len(p.size)).tolist(), strict=True):
+            self.items[d].update(p.ids[k] for k in p.owners[p.owner_at[q] : p.owner_at[q + 1]])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, first bytes, last bytes) of the merged spans of hit words."""
+        s, e = vec.spans(self.hit, self.at)
+        return self.doc[s], self.start[s], self.end[e - 1]
 
 
 def phrase_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20) -> Iterator[Phrases]:
@@ -119,61 +107,43 @@ def phrase_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20) -> Iterator[
     yield Phrases(held)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, whole_index: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs (doc_id, text) with n_words, spans (code points to remove, merged) and items (ids with a hit)."""
-    span = "array<struct<start:long,end:long>>"
-    out = docs.select("doc_id", "text").selectExpr("doc_id", "text", "0L n_words", "0L n_hit", f"cast(array() as {span}) spans", "cast(array() as array<string>) items")
-    for phrases in phrase_blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_step(phrases, whole_index), out.schema)
-    return out
+def _sent(benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(p) for p in phrase_blocks(benchmark, block_bytes)]
+
+
+def _searched(t: pa.Table, blocks: list[Broadcast]) -> Shard:
+    shard = Shard(t["text"])
+    for b in blocks:
+        shard.search(b.value)
+        if len(blocks) > 1:  # a worker keeps what it has read, unless told
+            vars(b).pop("_value", None)
+    return shard
+
 
+def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs (doc_id, text) with n_words, n_hit, spans (code points to remove, merged) and items (ids with a hit)."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    blocks = _sent(benchmark, block_bytes)
+    small_batches(docs.sparkSession)
 
-def _step(phrases: Phrases, whole_index: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=4 << 20):
-            buf, offs = vec.flat(t["text"])
-            start, end, doc, hit, pairs = search_shard(buf, offs, phrases, whole_index)
-            n_docs = len(t)
-            n = np.bincount(doc, minlength=n_docs)
-            spans, items, n_hit = t["spans"].to_pylist(), t["items"].to_pylist(), t["n_hit"].to_numpy().copy()
-            if hit.any():
-                s, e = vec.spans(hit, np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])))
-                point = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-                own = doc[s]
-                a, b = point[start[s]] - point[offs[own]], point[end[e - 1]] - point[offs[own]]
-                words_at = np.concatenate([[0], np.cumsum(hit)])
-                counts = np.bincount(doc[hit], minlength=n_docs)
-                texts = {}
-                for d, x, y in zip(own.tolist(), a.tolist(), b.tolist(), strict=True):
-                    texts.setdefault(d, []).append({"start": x, "end": y})
-                del words_at
-                for d, new in texts.items():
-                    if spans[d]:  # a later block: merge, and count the words again
-                        spans[d] = _merged(spans[d] + new)
-                        lo, hi = np.searchsorted(doc, [d, d + 1])
-                        pos = point[start[lo:hi]] - point[offs[d]]
-                        n_hit[d] = sum(int(np.searchsorted(pos, x["end"]) - np.searchsorted(pos, x["start"])) for x in spans[d])
-                    else:
-                        spans[d], n_hit[d] = new, counts[d]
-                for d, i in pairs.tolist():
-                    items[d].append(phrases.ids[i])
-            schema = t.schema
+        for t in vec.blocks(batches, max_bytes=1 << 20):
+            x = _searched(t, blocks)
+            spans: list[list[dict]] = [[] for _ in range(x.n_docs)]
+            own, a, b = x.runs()
+            if len(own):
+                point = np.concatenate([[0], np.cumsum((x.buf & 0xC0) != 0x80)])
+                for d, i, j in zip(own.tolist(), (point[a] - point[x.offs[own]]).tolist(), (point[b] - point[x.offs[own]]).tolist(), strict=True):
+                    spans[d].append({"start": i, "end": j})
+            n_hit = np.bincount(x.doc[x.hit], minlength=x.n_docs)
             yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks(), t["text"].combine_chunks(), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array([sorted(set(x)) for x in items], schema.field("items").type)],
-                schema=schema,
+                [t["doc_id"].combine_chunks(), t["text"].combine_chunks(), pa.array(x.n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span), pa.array([sorted(i) for i in x.items], pa.list_(pa.string()))],
+                names=["doc_id", "text", "n_words", "n_hit", "spans", "items"],
             )
 
-    return run
-
-
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, text string, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -194,61 +164,31 @@ def digest(scanned: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with the hit spans cut out of text; the other columns as they were.
 
-    A narrow step per benchmark block marks words of the untouched text, one more cuts them:
-    the result depends neither on the blocks nor on the items' order.
+    All blocks mark words of the untouched text before it is cut: the result depends
+    neither on the blocks nor on the items' order.
     """
-    marks = "__spans"
-    while marks in docs.columns:
-        marks += "_"
-    out = docs.withColumn(marks, F.expr("cast(array() as array<struct<start:long,end:long>>)"))
-    for phrases in phrase_blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_mark(phrases, marks), out.schema)
-    return out.mapInArrow(_cut(marks, docs.columns.index("text")), docs.schema)
-
-
-def _mark(phrases: Phrases, marks: str):
-    """Adds this block's hits to marks: merged spans of word numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in vec.blocks(batches, max_bytes=4 << 20):
-            _, _, doc, hit, _ = search_shard(*vec.flat(t["text"]), phrases)
-            if hit.any():
-                first = np.searchsorted(doc, np.arange(len(t)))
-                s, e = vec.spans(hit, first)
-                own = doc[s]
-                spans = t[marks].to_pylist()
-                for d, x, y in zip(own.tolist(), (s - first[own]).tolist(), (e - first[own]).tolist(), strict=True):
-                    spans[d].append({"start": x, "end": y})
-                at = t.schema.get_field_index(marks)
-                t = t.set_column(at, t.schema.field(at), pa.array([_merged(x) for x in spans], t.schema.field(at).type))
-            yield from t.combine_chunks().to_batches()
-
-    return run
-
+    blocks = _sent(benchmark, block_bytes)
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
-def _cut(marks: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            spans = t[marks].to_pylist()
-            some = [d for d, x in enumerate(spans) if x]
-            t = t.drop_columns([marks])
-            if some:
-                column = t["text"].combine_chunks()
-                buf, offs = vec.flat(column.take(pa.array(some)))
-                start, end, doc, _ = vec.words(buf, offs, vec.ALNUM)
-                first = np.searchsorted(doc, np.arange(len(some)))
-                new = column.to_pylist()
-                for k, d in enumerate(some):
-                    keep, last = [], offs[k]
-                    for x in spans[d]:
-                        keep.append(buf[last : start[first[k] + x["start"]]].tobytes())
-                        last = end[first[k] + x["end"] - 1]
-                    new[d] = b"".join([*keep, buf[last : offs[k + 1]].tobytes()]).decode()
+        for t in vec.blocks(batches, max_bytes=1 << 20):
+            x = _searched(t, blocks)
+            if x.hit.any():
+                new = t["text"].to_pylist()
+                cuts: dict[int, list[tuple[int, int]]] = {}
+                for d, i, j in zip(*(c.tolist() for c in x.runs()), strict=True):
+                    cuts.setdefault(d, []).append((i, j))
+                for d, spans in cuts.items():
+                    keep, last = [], int(x.offs[d])
+                    for i, j in spans:
+                        keep.append(x.buf[last:i].tobytes())
+                        last = j
+                    new[d] = b"".join([*keep, x.buf[last : x.offs[d + 1]].tobytes()]).decode()
                 t = t.set_column(at, t.schema.field("text"), pa.array(new, t.schema.field("text").type))
             yield from t.combine_chunks().to_batches()
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = """

@@ -56,8 +56,7 @@ ITEMS = [(1, "a b c d e f g h i j k l"), (10, "Short One"), (2, None), (3, "--")
 
 
 @pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-@pytest.mark.parametrize("whole", [False, True])
-def test_against_brute_force(spark, block_bytes, whole):
+def test_against_brute_force(spark, block_bytes):
     r = random.Random(2)
     long = "a b c d e f g h i j k l".split()
     docs = [(0, None), (1, ""), (2, "é"), (3, "SHORT one x Y short ONE"), (4, "A-b c.d e f g h i j"), (4, "A-b c.d e f g h i j")]
@@ -69,10 +68,20 @@ def test_against_brute_force(spark, block_bytes, whole):
         docs.append((10 + k, " ".join(w)))
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(ITEMS, "item_id long, text string").coalesce(1)
-    got = dc.digest(dc.scan(d, b, whole, block_bytes)).collect()
+    got = dc.digest(dc.scan(d, b, block_bytes)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute(docs, ITEMS), key=str)
 
 
+def test_any_number_of_blocks_is_one_step(spark, capsys):
+    b = spark.createDataFrame([(i, f"left{i} right{i}") for i in range(20)], "item_id long, text string").coalesce(1)
+    d = spark.createDataFrame([(1, "left3 right3 x left19 right19 left5")], "doc_id long, text string")
+    assert len(list(dc.phrase_blocks(b, 1))) >= 20
+    out = dc.scan(d, b, 1)
+    out.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert [(r["n_hit"], r["items"]) for r in out.collect()] == [(4, ["19", "3"])]
+
+
 def test_removal_leaves_no_phrase_and_other_columns(spark):
     d = spark.createDataFrame([(1, "keep é a b c d e f g h i j K tail", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, items int")
     b = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
