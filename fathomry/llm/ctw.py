@@ -14,8 +14,8 @@ never seen, its parent's own estimate stands in, so predictions stay normalised.
 
 Steps: (1) each block of a partition counts its (context, byte) keys of six bytes and
 its words, Spark adds them up; (2) keys are grouped by their last two context bytes,
-which keeps every subtree below depth 2 in one group, and the two top levels, at
-most 256 * 255 numbers, are finished from sums; (3) every key has one log
+by three or four where more than ``most`` keys share those, which keeps every subtree below
+that depth in one group, and the levels above are finished from sums; (3) every key has one log
 probability, and scoring a text is adding those of its keys. The most frequent keys and
 words, ``HOT`` at most, are broadcast; counts of the others go to a join and come back as sums.
 
@@ -32,11 +32,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import stored
+from .common import small_batches, stored
 
 DEPTH = 5
 #: Bound on broadcast keys, and on broadcast words: 16 bytes each.
@@ -52,7 +52,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     shift = np.ones_like(x)
     for k in range(7):
         shift = shift * (x + k)
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9) - np.log(shift)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -155,50 +155,74 @@ def mixed(at, known, bits, n0, n1, weight, below):
     return np.where(known, w * kt + (1 - w) * np.nan_to_num(below), below)
 
 
-def _group(low: int):
-    def run(t: pa.Table) -> pa.Table:
-        key, n = t["key"].to_numpy().view(np.uint64), t["n_train"].to_numpy()
-        ids, n0, n1, log_pw, p = subtree(key, n, low)
-        top = len(ids)
-        return pa.table({
-            "key": pa.array(np.concatenate([key.view(np.int64), ids & 0xFFFF])),  # of a tree node: last context byte and node
-            "p": pa.array([*(x.tobytes() for x in p.astype(np.float32)), *[None] * top], pa.binary()),
-            "n0": pa.array(np.concatenate([np.zeros(len(key)), n0])), "n1": pa.array(np.concatenate([np.zeros(len(key)), n1])), "log_pw": pa.array(np.concatenate([np.zeros(len(key)), log_pw])),
-        })
+def _group(t: pa.Table) -> pa.Table:
+    key, n, low = t["key"].to_numpy().view(np.uint64), t["n_train"].to_numpy(), t["low"][0].as_py()
+    ids, n0, n1, log_pw, p = subtree(key, n, low)
+    none, top = np.zeros(len(key)), len(ids)
+    above = ids & ((1 << (8 * low)) - 1)  # the same node of the context one byte shorter
+    return pa.table({
+        "level": pa.array(np.concatenate([np.full(len(key), -1), np.full(top, low - 1)]).astype(np.int8)),
+        "key": pa.array(np.concatenate([key.view(np.int64), above])),
+        "p": pa.array([*(x.tobytes() for x in p.astype(np.float32)), *[None] * top], pa.binary()),
+        "n0": pa.array(np.concatenate([none, n0])), "n1": pa.array(np.concatenate([none, n1])), "log_pw": pa.array(np.concatenate([none, log_pw])),
+    })
 
-    return run
 
+def _split(rows: DataFrame, most: int) -> Column:
+    """How many context bytes name the group of a key: 2; 3 where more than `most` keys share the two, 4 where they share three.
 
-def model(counts: DataFrame, keys_a_task: int = 150_000) -> DataFrame:
+    Four leave 65,536 keys at most. The driver sees the contexts with more than `most` keys, so their number divided by `most`.
+    """
+
+    def large(of: DataFrame, d: int) -> list[int]:
+        return [c for c, _ in of.groupBy(_context(d).alias("c")).count().where(F.col("count") > most).collect()]
+
+    two = large(rows, 2)
+    three = large(rows.where(_context(2).isin(two)), 3) if two else []
+    return F.when(_context(3).isin(three), 4).when(_context(2).isin(two), 3).otherwise(2)
+
+
+def _context(d: int) -> Column:
+    return F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)
+
+
+def model(counts: DataFrame, keys_a_task: int = 150_000, most: int = 300_000) -> DataFrame:
     """(key, logp): the natural log probability of each key's byte after its context."""
-    rows = counts.where(f"kind = {KEYS}")
+    rows = counts.where(f"kind = {KEYS}").select("key", "n_train")
     tasks = max(1, rows.count() // keys_a_task)
-    tree = stored(rows.withColumn("task", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(tasks))).groupBy("task").applyInArrow(_group(2), "key long, p binary, n0 double, n1 double, log_pw double"), "tree")
-    # at most 256 contexts of one byte, with 255 nodes each
-    top = tree.where("p is null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log_pw"))).toPandas()
-    one = pd.Index(top["key"].to_numpy(np.int64))
-    n0, n1, below = (top[c].to_numpy(np.float64) for c in ("n0", "n1", "log_pw"))
-    kt1 = log_kt(n0, n1)
-    pw1 = np.logaddexp(kt1, below) - np.log(2)
-    w1 = np.exp(kt1 - np.log(2) - pw1)
-    node, zero = pd.factorize(one.to_numpy() & 255)
-    z0, z1 = (np.bincount(node, weights=x, minlength=len(zero)) for x in (n0, n1))
-    kt0 = log_kt(z0, z1)
-    pw0 = np.logaddexp(kt0, np.bincount(node, weights=pw1, minlength=len(zero))) - np.log(2)
-    w0 = np.exp(kt0 - np.log(2) - pw0)
-    place = np.full(256, -1)
-    place[zero] = np.arange(len(zero))
-    place1 = np.full(1 << 16, -1)
-    place1[one.to_numpy()] = np.arange(len(one))
+    rows = rows.withColumn("low", _split(rows, most))
+    context = F.when(F.col("low") == 4, _context(4)).when(F.col("low") == 3, _context(3)).otherwise(_context(2))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("low", context), F.lit(tasks)))
+    tree = stored(rows.groupBy("low", "task").applyInArrow(_group, "level byte, key long, p binary, n0 double, n1 double, log_pw double"), "tree")
+    # nodes of contexts of one byte, 65,280 at most, and of the split contexts of two and three
+    top = tree.where("p is null").groupBy("level", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log_pw"))).toPandas()
+    tables, below = {}, pd.DataFrame({"key": np.zeros(0, np.int64), "n0": [], "n1": [], "log_pw": []}).astype({"n0": float, "n1": float, "log_pw": float})
+    for d in (3, 2, 1, 0):
+        own = top.loc[top["level"] == d, ["key", "n0", "n1", "log_pw"]]
+        now = pd.concat([own, below] if len(below) else [own]).groupby("key", sort=True).sum().reset_index()
+        ids, n0, n1 = now["key"].to_numpy(np.int64), now["n0"].to_numpy(np.float64), now["n1"].to_numpy(np.float64)
+        kt = log_kt(n0, n1)
+        pw = np.logaddexp(kt, now["log_pw"].to_numpy(np.float64)) - np.log(2)
+        tables[d] = ids, n0, n1, np.exp(kt - np.log(2) - pw)
+        below = pd.DataFrame({"key": ids & ((1 << (8 * d)) - 1), "n0": n0, "n1": n1, "log_pw": pw})
+    place = {}
+    for d in (1, 0):
+        place[d] = np.full(1 << (8 * (d + 1)), -1)
+        place[d][tables[d][0]] = np.arange(len(tables[d][0]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(0).to_numpy().view(np.uint64)
             p = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, 8).astype(np.float64)
             nodes, bits = _nodes(key & np.uint64(255))
-            for table, at, m0, m1, w in ((place1, ((key >> np.uint64(8)).astype(np.int64)[:, None] & 255) << 8 | nodes, n0, n1, w1), (place, nodes, z0, z1, w0)):
-                if len(m0):
-                    i = table[at]
+            for d, (ids, m0, m1, w) in tables.items():
+                if len(ids):
+                    at = (((key >> np.uint64(8)).astype(np.int64) & ((1 << (8 * d)) - 1))[:, None] << 8) | nodes
+                    if d in place:
+                        i = place[d][at]
+                    else:
+                        i = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+                        i = np.where(ids[i] == at, i, -1)
                     p = mixed(np.where(i >= 0, i, 0), i >= 0, bits, m0, m1, w, p)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log(np.where(np.isnan(p), 0.5, p)).sum(1))], names=["key", "logp"])
 
@@ -229,15 +253,19 @@ def _look(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.n
     return table[at] == keys, values[at]
 
 
-ROW = "kind byte, rid long, key long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double"
+ROW = "kind byte, rid long, key long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, logp double"
 
 
-def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs (doc_id, text)."""
+def score(docs: DataFrame, hot: int = HOT, most: int = 300_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs (doc_id, text).
+
+    bits_per_byte: the code length over the number of bytes, the end symbol being one of them.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     counts = stored(docs.mapInArrow(_count, "kind byte, key long, n_train long, n_all long").groupBy("kind", "key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "counts")
-    logp = model(counts)
+    logp = model(counts, most=most)
     tokens, distinct = counts.where(f"kind = {WORDS}").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.count_if(F.col("n_train") > 0), F.lit(0))).first()
     floor = -np.log10(tokens + distinct + 1)
     keys = counts.where(f"kind = {KEYS}").select("key", "n_all").join(logp, "key")
@@ -269,7 +297,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
             crc = _crc(t["doc_id"])
             null = pa.nulls
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n_docs, -1, np.int8)), pa.array(mine), null(n_docs, pa.int64()), null(n_docs, pa.int64()), t["doc_id"].combine_chunks().cast(pa.int64()), pa.array(crc == 2), pa.array(n_tokens), pa.array(n_known), pa.array(base, pa.float64()), pa.array(logs, pa.float64())],
+                [pa.array(np.full(n_docs, -1, np.int8)), pa.array(mine), null(n_docs, pa.int64()), null(n_docs, pa.int64()), t["doc_id"].combine_chunks().cast(pa.int64()), pa.array(crc == 2), pa.array(n_tokens), pa.array(n_known), pa.array(np.diff(offs) + 1), pa.array(base, pa.float64()), pa.array(logs, pa.float64())],
                 names=[x.split()[0] for x in ROW.split(", ")],
             )
             rest = ~w_known
@@ -280,7 +308,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 s = len(a)
                 if s:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(s, kind, np.int8)), pa.array(mine[b]), pa.array(a.view(np.int64)), pa.array(m.astype(np.int64)), null(s, pa.int64()), null(s, pa.bool_()), null(s, pa.int64()), null(s, pa.int64()), null(s, pa.float64()), null(s, pa.float64())],
+                        [pa.array(np.full(s, kind, np.int8)), pa.array(mine[b]), pa.array(a.view(np.int64)), pa.array(m.astype(np.int64)), null(s, pa.int64()), null(s, pa.bool_()), null(s, pa.int64()), null(s, pa.int64()), null(s, pa.int64()), null(s, pa.float64()), null(s, pa.float64())],
                         names=[x.split()[0] for x in ROW.split(", ")],
                     )
 
@@ -288,7 +316,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rare_keys = rows.where(f"kind = {KEYS}").select("rid", "key", "n").join(keys.where(F.col("n_all") < key_level).select("key", F.col("logp").alias("l")), "key").select("rid", (F.col("l") * F.col("n")).alias("logp"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("n_known"))
     rare_words = rows.where(f"kind = {WORDS}").select("rid", "key", "n").join(words.where(F.col("n_all") < word_level).select("key", F.col("n_train").alias("c")), "key")
     rare_words = rare_words.select("rid", F.lit(0.0).alias("logp"), ((F.log10(F.col("c") + 1.0) + float(floor)) * F.col("n")).alias("base"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"))
-    each = rows.where("kind = -1").select("rid", "logp", "base", "n_known", "doc_id", "held_out", "n_tokens")
+    each = rows.where("kind = -1").select("rid", "logp", "base", "n_known", "doc_id", "held_out", "n_tokens", "n_bytes")
     parts = each.unionByName(rare_keys.unionByName(rare_words), allowMissingColumns=True)
-    out = parts.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("logp", "base", "n_known")), *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("logp") / float(LN10)).alias("score"))
+    out = parts.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("logp", "base", "n_known")), *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("logp") / float(LN10)).alias("score"), (F.col("logp") / (F.col("n_bytes") * float(-np.log(2)))).alias("bits_per_byte"))

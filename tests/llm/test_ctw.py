@@ -57,7 +57,7 @@ def brute(docs, depth=ctw.DEPTH):
     out = []
     for d, t in docs:
         w = [*WORD.findall(low(t)), "END "]
-        out.append((d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), logp(t)))
+        out.append((d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), logp(t), -logp(t) * math.log2(10) / (len((t or "").encode()) + 1)))
     return out
 
 
@@ -68,13 +68,13 @@ def data(n=40):
 
 
 def close(a, b):
-    return a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-5)
+    return a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-5) and math.isclose(a[7], b[7], rel_tol=1e-5)
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 21])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "most"), [(0, 1 << 20), (40, 3), (1 << 21, 60)])
+def test_against_brute_force(spark, hot, most):
     docs = data()
-    got = sorted((tuple(x) for x in ctw.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot).collect()), key=str)
+    got = sorted((tuple(x) for x in ctw.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot, most).collect()), key=str)
     want = sorted(brute(docs), key=str)
     key = lambda x: (str(x[0]), x[2], round(x[6], 3))
     assert len(got) == len(want) and all(close(a, b) for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True))
