@@ -1,14 +1,16 @@
 """Chat formatting in budgeted windows, by DataFrame and SQL functions alone.
 
 Turns of a conversation, in order, are laid out as training texts. Prefix sums of
-turn tokens choose the windows, each aligned to whole turns: with room R for new
-turns beside the system turn and the history, a turn belongs to window floor(s / (R / 2)),
-s being the tokens before it; the one turn that may reach too far beyond such a
-stride then gets a window of its own. So no window passes the budget, unless a
-single turn does (``over_budget``), and no turn depends on how far others filled up.
-Every window begins with the conversation's system turn, then repeats at most
-``history`` tokens of the turns before it, then has its new turns. The loss mask
-covers the text of new assistant turns alone: what is repeated is never a target twice.
+turn tokens choose the windows, each aligned to whole turns. The system turn leaves
+A = budget - its tokens; history gets h = min(``history``, A / 4) of that, new turns
+the room R = A - h. A turn belongs to window floor(s / (R / 2)), s being the tokens before
+it; the one turn that may reach beyond R from where its stride begins gets a window
+of its own, and there no more history than fits beside it. So no window passes the budget
+unless one turn and its system turn do by themselves (``over_budget``), and no turn
+depends on how far others filled up. Every window begins with the conversation's system
+turn, then repeats whole turns, at most h tokens, from before it, then has its new turns.
+The loss mask covers the text of new assistant turns alone: what is repeated is never a
+target twice. Tokens are an estimate (``tokens``), as no tokenizer runs natively.
 
 A turn reads ``<|start|>role<|sep|>text<|end|>``. Where role or text holds a control
 string, this template's or another's of ``CONTROLS``, a backslash goes in after its
@@ -16,8 +18,9 @@ first character, one more if backslashes are there already; so a control string
 from a text, and taking one backslash out restores it.
 
 The prefix sums run over blocks of ``block`` turn numbers and then over the blocks'
-totals, and windows join turns by window number, so one very long conversation is
-spread over tasks until its windows, which are bounded, are put together.
+totals. Windows are chosen from numbers alone, without texts; these are shuffled to
+get their places, to meet their windows, and to be put together. One very long
+conversation is spread over tasks until then.
 
 Defined results: a null text is empty, a null role is the role ""; turns are ordered by turn (null
 first), repeated turn numbers by role and text, and repeated rows all stay; a null conv_id is a
@@ -32,6 +35,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 START, SEP, STOP = "<|start|>", "<|sep|>", "<|end|>"
 #: Strings that templates give a meaning to; all begin with < or [ and have no further one.
 CONTROLS = r"\|start\|>|\|sep\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]"
@@ -58,59 +63,62 @@ def tokens(text: Column, overhead: int) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]{1,6}|[^ \t\n\x0B\f\r\p{L}\p{N}]")) + overhead
 
 
-def turns(conversations: DataFrame, o: Options = Options()) -> DataFrame:
-    """The rows with role, text, their place (pos, from 0), tokens (n) and the tokens before them (s)."""
+def laid(conversations: DataFrame, o: Options = Options()) -> DataFrame:
+    """The rows with role, text, tokens (n), block, and within it the place (at, from 0) and the tokens before (s); stored."""
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("n", tokens(F.col("text"), o.overhead).cast("long")).withColumn("blk", F.floor(F.coalesce("turn", F.lit(-1)) / o.block))
     inner = Window.partitionBy("conv_id", "blk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = inner.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("pos", (F.row_number().over(inner) - 1).cast("long")).withColumn("s", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    blocks = t.groupBy("conv_id", "blk").agg(F.sum("n").alias("bn"), F.count("*").alias("bc"))
-    before = Window.partitionBy("conv_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        F.col("conv_id").alias("bconv"), F.col("blk").alias("bblk"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bs"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("bp")
-    )
-    t = t.join(blocks, F.col("conv_id").eqNullSafe(F.col("bconv")) & (F.col("blk") == F.col("bblk")))
-    return t.select("conv_id", "turn", "role", "text", "n", (F.col("pos") + F.col("bp")).alias("pos"), (F.col("s") + F.col("bs")).alias("s"))
+    return stored(t.select("conv_id", "blk", (F.row_number().over(inner) - 1).cast("long").alias("at"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("s"), "n", "role", "text"), "laid")
+
+
+def members(rows: DataFrame, o: Options = Options()) -> DataFrame:
+    """From ``laid`` without its texts, which turn is in which window: conv_id, blk, at, k, alone, first_pos, pos, new."""
+    t = rows.select("conv_id", "blk", "at", "s", "n", (F.col("role") == "system").alias("system"))
+    first = F.max(F.when((F.col("at") == 0) & F.col("system"), F.col("n"))).alias("y")
+    blocks = t.groupBy("conv_id", "blk").agg(F.sum("n").alias("bn"), F.count("*").alias("bc"), first)
+    conv = Window.partitionBy("conv_id")
+    before = conv.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("conv_id", "blk", "y", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bs"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("bp"), F.sum("bc").over(conv).alias("total"))
+    blocks = blocks.withColumn("y", F.max(F.when(F.col("bp") == 0, F.col("y"))).over(conv))
+    blocks = blocks.select(F.col("conv_id").alias("bconv"), F.col("blk").alias("bblk"), "bs", "bp", "total", F.col("y").isNotNull().alias("has_y"), F.coalesce("y", F.lit(0)).alias("y"))
+    t = t.join(blocks, F.col("conv_id").eqNullSafe(F.col("bconv")) & (F.col("blk") == F.col("bblk"))).drop("bconv", "bblk", "system")
+    left = F.lit(o.budget) - F.col("y")
+    t = t.withColumns({"pos": F.col("at") + F.col("bp"), "from": F.col("s") + F.col("bs") - F.col("y"), "h": F.least(F.lit(o.history).cast("long"), F.greatest(F.floor(left / 4), F.lit(0)))})
+    t = t.withColumn("room", F.greatest(left - F.col("h"), F.lit(2).cast("long"))).withColumn("stride", F.floor(F.col("room") / 2))
+    t = t.withColumn("y_row", F.col("has_y") & (F.col("pos") == 0)).withColumn("k", F.when(F.col("y_row"), 0).otherwise(F.floor(F.col("from") / F.col("stride"))))
+    t = t.withColumn("alone", F.when(~F.col("y_row") & (F.col("from") + F.col("n") - F.col("k") * F.col("stride") > F.col("room")), 1).otherwise(0))
+    t = t.withColumn("bucket", F.floor(F.col("from") / max(o.history, 1)))
+    body = stored(t.select("conv_id", "blk", "at", "pos", "from", "n", "k", "alone", "y_row", "has_y", "y", "h", "total", "bucket"), "turns")
+    # a conversation of the system turn alone still has a window
+    heads = body.where(~F.col("y_row") | (F.col("total") == 1)).groupBy("conv_id", "k", "alone").agg(F.min("from").alias("w_from"), F.min("pos").alias("first_pos"), F.sum(F.when(F.col("y_row"), 0).otherwise(F.col("n"))).alias("w_n"), *(F.first(c).alias(c) for c in ("has_y", "y", "h")))
+    # the system turn is new in the conversation's first window, repeated in the others
+    heads = heads.withColumn("first_pos", F.when(F.col("has_y") & (F.col("first_pos") == 1), 0).otherwise(F.col("first_pos"))).withColumn("most", F.least("h", F.lit(o.budget) - F.col("y") - F.col("w_n")))
+    heads = stored(heads, "windows")
+    named = heads.select(F.col("conv_id").alias("wconv"), F.col("k").alias("wk"), F.col("alone").alias("walone"), "w_from", "first_pos", "most")
+    same = F.col("conv_id").eqNullSafe(F.col("wconv"))
+    turn = body.where(~F.col("y_row"))
+    own = turn.join(named, same & (F.col("k") == F.col("wk")) & (F.col("alone") == F.col("walone"))).withColumn("new", F.lit(True))
+    # history begins within one bucket's tokens before its window
+    back = turn.join(named.where("most > 0").withColumn("in", F.explode(F.array(F.floor(F.col("w_from") / max(o.history, 1)), F.floor(F.col("w_from") / max(o.history, 1)) - 1))), same & (F.col("bucket") == F.col("in")))
+    back = back.where((F.col("from") < F.col("w_from")) & (F.col("w_from") - F.col("from") <= F.col("most"))).withColumn("new", F.lit(False))
+    cols = ["conv_id", "blk", "at", F.col("wk").alias("k"), F.col("walone").alias("alone"), "first_pos", "pos", "new"]
+    system = body.where("y_row").select(F.col("conv_id").alias("yconv"), "blk", "at")
+    system = heads.where("has_y").join(system, F.col("conv_id").eqNullSafe(F.col("yconv"))).select("conv_id", "blk", "at", "k", "alone", "first_pos", F.lit(0).cast("long").alias("pos"), (F.col("first_pos") == 0).alias("new"))
+    return own.select(*cols).unionByName(back.select(*cols)).unionByName(system)
 
 
 def windows(conversations: DataFrame, o: Options = Options()) -> DataFrame:
     """A row per window: conv_id, window (pair: stride number, 1 for a turn that stands alone), first_pos,
     formatted, loss_spans (code points, from and to, of escaped texts), new_turns (a flag per turn), n_tokens, over_budget."""
-    t = turns(conversations, o)
-    # the system turn, one per conversation at most
-    sys = t.where((F.col("pos") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("yconv"), F.col("text").alias("ytext"), F.col("n").alias("yn"))
-    t = t.join(sys, F.col("conv_id").eqNullSafe(F.col("yconv")), "left")
-    room = F.greatest(F.lit(o.budget) - o.history - F.coalesce("yn", F.lit(0)), F.lit(2 * o.history + 2))
-    is_sys = F.col("yconv").isNotNull() & (F.col("pos") == 0)
-    t = t.withColumn("room", room).withColumn("stride", F.floor(F.col("room") / 2)).withColumn("from", F.col("s") - F.coalesce("yn", F.lit(0)))
-    t = t.withColumn("k", F.floor(F.col("from") / F.col("stride")))
-    t = t.withColumn("alone", ((F.col("from") + F.col("n") - F.col("k") * F.col("stride")) > F.col("room")).cast("int"))
-    body = t.where(~is_sys)
-    # a conversation of the system turn alone still has a window, where that turn comes first and only
-    only = t.where(is_sys).select("conv_id", F.lit(0).cast("long").alias("k"), F.lit(-1).alias("alone"), "ytext", "yn")
-    heads = body.groupBy("conv_id", "k", "alone").agg(F.min("from").alias("w_from"), F.min("pos").alias("first_pos"), F.sum("n").alias("w_n"), F.first("ytext").alias("w_ytext"), F.first("yn").alias("w_yn"))
-    heads = heads.select(F.col("conv_id").alias("wconv"), F.col("k").alias("wk"), F.col("alone").alias("walone"), "w_from", "first_pos", "w_n", "w_ytext", "w_yn")
-    # a turn goes to its own window, and as history to those that begin within `history` tokens after it:
-    # a stride is longer than that, so they are of the same stride number or the next one
-    aimed = body.withColumn("to", F.explode(F.array("k", F.col("k") + 1)))
-    near = aimed.join(heads, F.col("conv_id").eqNullSafe(F.col("wconv")) & (F.col("to") == F.col("wk")))
-    own = (F.col("k") == F.col("wk")) & (F.col("alone") == F.col("walone"))
-    back = (F.col("from") < F.col("w_from")) & (F.col("w_from") - F.col("from") <= o.history)
-    near = near.where(own | back).withColumn("new", own)
+    rows = laid(conversations, o)
+    m = members(rows, o).select(*(F.col(c).alias("m_" + c) for c in ("conv_id", "blk", "at")), "k", "alone", "first_pos", "pos", "new")
+    t = rows.join(m, F.col("conv_id").eqNullSafe(F.col("m_conv_id")) & (F.col("blk") == F.col("m_blk")) & (F.col("at") == F.col("m_at")))
     item = F.struct("pos", "new", "role", "n", escaped(F.col("role")).alias("erole"), escaped(F.col("text")).alias("etext"))
-    w = near.groupBy(F.col("wconv").alias("conv_id"), "wk", "walone", "first_pos", "w_ytext", "w_yn").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # the system turn is new in the conversation's first window, repeated in the others
-    w = w.withColumn("y", F.col("w_ytext").isNotNull()).withColumn("first_pos", F.when(F.col("y") & (F.col("first_pos") == 1), 0).otherwise(F.col("first_pos")))
-    y_item = F.struct(F.lit(0).cast("long").alias("pos"), (F.col("first_pos") == 0).alias("new"), F.lit("system").alias("role"), F.col("w_yn").alias("n"), F.lit("system").alias("erole"), escaped(F.col("w_ytext")).alias("etext"))
-    w = w.withColumn("items", F.when(F.col("y"), F.concat(F.array(y_item), "items")).otherwise(F.col("items")))
-    lone = only.join(heads.select("wconv").distinct(), F.col("conv_id").eqNullSafe(F.col("wconv")), "left_anti")
-    lone_item = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(True).alias("new"), F.lit("system").alias("role"), F.col("yn").alias("n"), F.lit("system").alias("erole"), escaped(F.col("ytext")).alias("etext"))
-    lone = lone.select("conv_id", F.col("k").alias("wk"), F.lit(0).alias("walone"), F.lit(0).cast("long").alias("first_pos"), F.array(lone_item).alias("items"))
-    w = w.select("conv_id", "wk", "walone", "first_pos", "items").unionByName(lone)
+    w = t.groupBy("conv_id", "k", "alone", "first_pos").agg(F.array_sort(F.collect_list(item)).alias("items"))
     size = f"char_length(x.erole) + char_length(x.etext) + {len(START + SEP + STOP)}"
     return w.selectExpr(
-        "conv_id", "struct(wk stride, walone alone) window", "first_pos",
+        "conv_id", "struct(k stride, alone) window", "first_pos",
         f"array_join(transform(items, x -> concat('{START}', x.erole, '{SEP}', x.etext, '{STOP}')), '') formatted",
         # a fold keeps the place reached and the spans so far
         f"""aggregate(items, named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,end:bigint>>)), (a, x) -> named_struct('at', a.at + {size},
@@ -153,10 +161,11 @@ t AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]{{1,6}}|[^ \t\n\x0
   length(regexp_replace(role, '([<\[])(\\*)({CONTROLS})', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)({CONTROLS})', '\1\\\2\3', 'g')) + {len(START + SEP + STOP)} sz,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 pos FROM c),
 u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n s, max(CASE WHEN pos = 0 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id) yn, max(CASE WHEN pos = 0 AND role = 'system' THEN sz END) OVER (PARTITION BY conv_id) ysz FROM t),
-r AS (SELECT *, s - coalesce(yn, 0) f, greatest({_DEFAULT.budget} - {_DEFAULT.history} - coalesce(yn, 0), {2 * _DEFAULT.history + 2}) room FROM u),
+h AS (SELECT *, s - coalesce(yn, 0) f, least({_DEFAULT.history}, greatest(({_DEFAULT.budget} - coalesce(yn, 0)) // 4, 0)) h FROM u),
+r AS (SELECT *, greatest({_DEFAULT.budget} - coalesce(yn, 0) - h, 2) room FROM h),
 k AS (SELECT *, f // (room // 2) k, CASE WHEN f + n - (f // (room // 2)) * (room // 2) > room THEN 1 ELSE 0 END alone FROM r WHERE NOT (pos = 0 AND yn IS NOT NULL)),
-w AS (SELECT conv_id, k wk, alone wa, min(f) wf, max(ysz) ysz FROM k GROUP BY ALL),
-lens AS (SELECT w.conv_id, wk, wa, sum(sz) + coalesce(max(w.ysz), 0) z FROM w JOIN k ON k.conv_id = w.conv_id AND ((k = wk AND alone = wa) OR (f < wf AND wf - f <= {_DEFAULT.history})) GROUP BY ALL),
+w AS (SELECT conv_id, k wk, alone wa, min(f) wf, max(ysz) ysz, least(max(h), {_DEFAULT.budget} - coalesce(max(yn), 0) - sum(n)) most FROM k GROUP BY ALL),
+lens AS (SELECT w.conv_id, wk, wa, sum(sz) + coalesce(max(w.ysz), 0) z FROM w JOIN k ON k.conv_id = w.conv_id AND ((k = wk AND alone = wa) OR (f < wf AND wf - f <= most)) GROUP BY ALL),
 fc AS (SELECT conv_id, sum(z) z FROM lens GROUP BY conv_id)
 SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) loss_chars,

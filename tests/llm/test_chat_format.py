@@ -21,7 +21,9 @@ def n_tokens(t):
 def layout(rows, o):
     """Windows of one conversation, turn by turn: lists of (pos, new)."""
     sysn = n_tokens(rows[0][1]) if rows[0][0] == "system" else None
-    room = max(o.budget - o.history - (sysn or 0), 2 * o.history + 2)
+    left = o.budget - (sysn or 0)
+    most = min(o.history, max(left // 4, 0))
+    room = max(left - most, 2)
     stride, s, turns = room // 2, 0, []
     for p, (_, text) in enumerate(rows):
         n = n_tokens(text)
@@ -34,7 +36,8 @@ def layout(rows, o):
     for key in keys:
         mine = [t for t in turns if t[3] == key]
         start = mine[0][1]
-        items = [(t[0], False) for t in turns if t[1] < start and start - t[1] <= o.history] + [(t[0], True) for t in mine]
+        back = min(most, left - sum(t[2] for t in mine))
+        items = [(t[0], False) for t in turns if t[1] < start and start - t[1] <= back] + [(t[0], True) for t in mine]
         out.append(([(0, key == keys[0])] if sysn is not None else []) + items)
     return out or [[(0, True)]]
 
@@ -48,6 +51,10 @@ def data():
         for i in range(r.choice([0, 1, 2, 5, 30]) if rows else r.choice([1, 2, 5, 30])):
             rows.append((["user", "assistant"][i % 2] if c % 5 else r.choice(["user", "assistant", "<|end|>", ""]), "".join(r.choice(bits) for _ in range(r.choice([0, 3, 20, 60])))))
         convs[c] = rows
+    convs[50] = [("system", "s " * 100), ("user", "u " * 80), ("assistant", "a " * 1000), ("user", "u " * 20)]
+    convs[51] = [("system", "s " * 900), ("user", "u " * 100), ("assistant", "a " * 150), ("user", "u"), ("assistant", "b"), ("user", "c " * 20)]
+    convs[52] = [("system", "s " * 2000), ("user", "hi"), ("assistant", "yo")]
+    convs[53] = [("system", "s " * 46), *[(["user", "assistant"][i % 2], "x " * (i % 4)) for i in range(20)]]
     convs[99] = [(["user", "assistant"][i % 2], f"turn {i} of a long one") for i in range(700)]
     return convs
 
@@ -74,7 +81,7 @@ def test_windows_and_round_trip(spark, o):
             assert [x["formatted"][s["start"] : s["end"]] for s in x["loss_spans"]] == [esc(turns[p][1]) for p, new in items if new and turns[p][0] == "assistant"]
             assert x["over_budget"] == (x["n_tokens"] > o.budget)
             if x["over_budget"]:
-                assert sum(new for p, new in items if turns[p][0] != "system" or p) == 1
+                assert [new for p, new in items if turns[p][0] != "system" or p] == [True]
     for x in cf.read_back(w).collect():
         turns = convs[x["conv_id"]]
         loss = "".join(t for r, t in turns if r == "assistant")
