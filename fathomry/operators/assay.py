@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,18 +32,24 @@ def outliers(df: DataFrame, keys: list[str], value: str, method: str = "grubbs",
     if method == "grubbs":
         d = F.abs(v - F.avg(v).over(w))
         g = F.try_divide(d, F.stddev_samp(v).over(w))
-        sizes = [r["n"] for r in df.groupBy(*keys).agg(F.count(v).alias("n")).where("n >= 3").select("n").distinct().limit(5000).collect()]
-        table = F.create_map(*[x for n in sizes for x in (F.lit(n), F.lit(special.grubbs_critical(n, alpha)))]) if sizes else None
-        limit = F.try_element_at(table, F.count(v).over(w)) if sizes else F.lit(None).cast("double")
-        suspect = g > limit
-        score = g
+        df = df.withColumn("__n", F.count(v).over(w)).withColumn("__g", g)
+
+        def critical(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                yield pd.DataFrame({"__size": p["__size"], "__limit": [special.grubbs_critical(int(n), alpha) for n in p["__size"]]})
+
+        # one value for each size that occurs
+        limits = df.select(F.col("__n").alias("__size")).where("__size >= 3").distinct().mapInPandas(critical, "__size long, __limit double")
+        df = df.join(limits, F.col("__n") == F.col("__size"), "left")
+        suspect = F.col("__g") > F.col("__limit")
+        score = F.col("__g")
     else:
         d = df.withColumn("__m", F.median(value).over(w))
         df = d.withColumn("__d", F.abs(F.col(value) - F.col("__m"))).withColumn("__mad", F.median("__d").over(w))
         score = F.try_divide(0.6745 * F.col("__d"), F.col("__mad"))
         suspect = (F.count(v).over(w) >= 5) & (score > 3.5)
     first = F.row_number().over(w.orderBy(score.desc_nulls_last(), v)) == 1
-    return df.withColumn("outlier", F.coalesce(suspect & first, F.lit(False))).drop("__m", "__d", "__mad")
+    return df.withColumn("outlier", F.coalesce(suspect & first, F.lit(False))).drop("__m", "__d", "__mad", "__n", "__g", "__size", "__limit")
 
 
 def subtract_blank(df: DataFrame, keys: list[str], value: str, how: str = "mean") -> DataFrame:

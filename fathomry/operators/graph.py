@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import UsageError
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fathomry-checkpoints")
-    return df.checkpoint()
+    """df, computed once, written to the shared folder that the session names and read back; a temporary folder only on one machine."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise UsageError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}/fathomry-checkpoints"
+    path = f"{where.rstrip('/')}/fathomry/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

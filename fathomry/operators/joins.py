@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import fnmatch
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..errors import UsageError
+from .graph import checkpointed
 
 #: Row fields a sheet column may name, in order of preference, and the columns they come from.
 KEY_FIELDS = {
@@ -30,6 +32,8 @@ KEY_FIELDS = {
 }
 #: Sheets of at most so many rows are sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Glob cells in one pass over the distinct names.
+GLOBS = 500
 
 
 @dataclass
@@ -113,8 +117,9 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
     null and the row is ambiguous. Sheet columns of a taken name get `_sheet`. Cells
     with * ? [ match as globs. A row's copies each get their annotation.
     """
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    sheet = sheet.withColumn("__sheet", F.monotonically_increasing_id())
+    # the ids are written once: several branches and jobs read them
+    rows = checkpointed(rows.withColumn("__row", F.monotonically_increasing_id()))
+    sheet = checkpointed(sheet.withColumn("__sheet", F.monotonically_increasing_id()))
     keys = keys or choose_keys(rows, sheet)
     if not keys:
         raise UsageError("no sheet column matches a row field")
@@ -130,12 +135,11 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
         raw = F.col(f"`{c}`").cast("string")
         exact = sheet.where(~S.holds(raw.rlike(r"[*?\[]"))).select("__sheet", sheet_key(F.col(f"`{c}`"), f).alias("k"))
         h = left.join(sized(exact), "k").select("__row", "__sheet")
-        globs = [(r["__sheet"], r["g"]) for r in sheet.where(raw.rlike(r"[*?\[]")).select("__sheet", F.lower(raw).alias("g")).limit(1001).collect()]
-        if len(globs) > 1000:
-            raise UsageError("more than 1000 glob cells in a sheet column")
-        if globs:  # a bounded list: one pass with a predicate for each, no pairs
-            found = F.array(*(F.when(F.col("k").rlike(fnmatch.translate(g).replace(r"\z", r"\Z")), F.lit(s)) for s, g in globs))
-            h = h.unionByName(left.select("__row", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("__sheet")))
+        globs = sheet.where(raw.rlike(r"[*?\[]")).select("__sheet", F.lower(raw).alias("g")).toLocalIterator()
+        for some in iter(lambda: list(islice(globs, GLOBS)), []):  # a predicate for each over the distinct names, so many at a time: no pairs
+            found = F.array(*(F.when(F.col("k").rlike(fnmatch.translate(g).replace(r"\z", r"\Z")), F.lit(s)) for s, g in some))
+            named = left.select("k").distinct().select("k", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("__sheet"))
+            h = h.unionByName(left.join(named, "k").select("__row", "__sheet"))
         h = h.distinct()
         hits = h if hits is None else hits.join(h, ["__row", "__sheet"])
     annotations = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())) if names else F.struct(F.lit(True).alias("__matched"))

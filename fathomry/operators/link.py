@@ -40,12 +40,15 @@ def shared_value(df: DataFrame, id_: str, value: Column, kind: str, confidence:
 
 def same_time(df: DataFrame, id_: str, at: str, slack_s: float, key: list[str]) -> DataFrame:
     """Neighbours in time within slack, whole hours apart included: chains of the next one within an hour's phase."""
-    phase = F.pmod(F.col(at).cast("double"), F.lit(3600.0))
-    d = df.where(F.col(at).isNotNull()).select(F.col(id_).alias("id"), *key, phase.alias("p"), F.col(at).cast("double").alias("t"))
+    t = (F.col(at).cast("timestamp") if df.schema[at].dataType.simpleString().startswith("timestamp") else F.col(at)).cast("double")
+    # days, and days from noon to noon: times up to 12 hours apart share one
+    days = F.array(F.struct(F.lit(0).alias("of"), F.floor(t / 86_400).alias("n")), F.struct(F.lit(1).alias("of"), F.floor((t + 43_200) / 86_400).alias("n")))
+    d = df.where(F.col(at).isNotNull()).select(F.col(id_).alias("id"), *key, F.pmod(t, F.lit(3600.0)).alias("p"), F.explode(days).alias("day"))
     wrap = d.unionByName(d.where(F.col("p") < slack_s).withColumn("p", F.col("p") + 3600))
-    w = Window.partitionBy(*key, F.floor(F.col("t") / 86_400)).orderBy("p", "id")
+    w = Window.partitionBy(*key, "day").orderBy("p", "id")
     n = wrap.withColumn("a", F.lag("id").over(w)).withColumn("gap", F.col("p") - F.lag("p").over(w))
-    return n.where((F.col("gap") <= slack_s) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b"), F.lit("same_acquisition").alias("kind"), F.lit(MEDIUM).alias("confidence"))
+    near = n.where((F.col("gap") <= slack_s) & (F.col("a") != F.col("id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return near.select("a", "b", F.lit("same_acquisition").alias("kind"), F.lit(MEDIUM).alias("confidence"))
 
 
 def token_contained(df: DataFrame, id_: str, sample: str, path: str) -> DataFrame:
@@ -64,6 +67,8 @@ def link(df: DataFrame, id_: str = "path", max_shared: int = 12) -> DataFrame:
         edges.append(shared_value(df, id_, F.when(F.length(S.stem(F.col("path"))) >= 3, F.lower(S.stem(F.col("path")))), "same_stem", MEDIUM, max_shared))
         if "sample_id" in df.columns:
             edges.append(token_contained(df, id_, "sample_id", "path"))
+    if "started_at" in df.columns:
+        edges.append(same_time(df, id_, "started_at", 1.0, [c for c in ("instrument_serial",) if c in df.columns]))
     return reduce(DataFrame.unionByName, edges)
 
 

@@ -22,8 +22,8 @@ def cq_of(cycle: np.ndarray, y: np.ndarray, threshold: float | None = None) -> t
         thr = threshold if threshold is not None else 10 * c[win].std(ddof=1)
         if not thr > 0:
             return None
-        for i in range(1, len(c) - 1):
-            if c[i - 1] < thr <= c[i] and c[i + 1] >= thr:
+        for i in range(1, len(c)):
+            if c[i - 1] < thr <= c[i] and (c[i + 1 : i + 2] >= thr).all():
                 if threshold is None and not (y[i:] - y[win].mean() >= thr).any():
                     continue
                 f = (np.log(thr) - np.log(c[i - 1])) / (np.log(c[i]) - np.log(c[i - 1])) if c[i - 1] > 0 else (thr - c[i - 1]) / (c[i] - c[i - 1])

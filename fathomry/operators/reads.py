@@ -32,9 +32,10 @@ def summary(reads: DataFrame, keys: list[str]) -> DataFrame:
     return r.groupBy(*keys).agg(F.count("*").alias("reads"), F.sum("len").alias("bases"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.avg("len").alias("mean_length"), pct("q20", "len").alias("q20_percent"), pct("q30", "len").alias("q30_percent"), pct("gc", "acgt").alias("gc_percent"), pct("nn", "len").alias("n_percent"))
 
 
-def per_position(reads: DataFrame, keys: list[str], most: int = 500) -> DataFrame:
-    """Mean score and count at each of the first positions."""
-    p = reads.select(*keys, F.posexplode(F.slice(scores(F.col("quality")), 1, most)).alias("position", "q"))
+def per_position(reads: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Mean score and count at each position, or at each of the first `most`."""
+    q = scores(F.col("quality"))
+    p = reads.select(*keys, F.posexplode(q if most is None else F.slice(q, 1, most)).alias("position", "q"))
     return p.groupBy(*keys, "position").agg(F.avg("q").alias("mean"), F.count("*").alias("n"))
 
 

@@ -31,9 +31,9 @@ def intervals(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataF
     return d.withColumn("isi_ratio", F.try_divide(F.col("isi"), F.lag("isi").over(w)))
 
 
-def adaptation_index(df: DataFrame, keys: list[str], isi: str = "isi", order: list[str] | None = None) -> DataFrame:
-    """Mean over neighbours of (next - this) / (next + this)."""
-    w = _w(keys, order or [isi])
+def adaptation_index(df: DataFrame, keys: list[str], order: list[str], isi: str = "isi") -> DataFrame:
+    """In the gaps' order, the mean over neighbours of (next - this) / (next + this)."""
+    w = _w(keys, order)
     d = df.withColumn("__n", F.lead(isi).over(w))
     return d.groupBy(*keys).agg(F.avg(F.try_divide(F.col("__n") - F.col(isi), F.col("__n") + F.col(isi))).alias("adaptation"))
 
@@ -56,6 +56,11 @@ def running_median(df: DataFrame, keys: list[str], order: list[str], y: str, hal
     return df.withColumn("running_median", F.percentile(y, F.lit(0.5)).over(_w(keys, order).rowsBetween(-half, half)))
 
 
+def running_quantile(df: DataFrame, keys: list[str], order: list[str], y: str, half: int, q: float) -> DataFrame:
+    """A baseline: the q-quantile of the `half` values before and after."""
+    return df.withColumn("baseline", F.percentile(y, F.lit(q)).over(_w(keys, order).rowsBetween(-half, half)))
+
+
 def difference_noise(df: DataFrame, keys: list[str], order: list[str], y: str) -> DataFrame:
     """median |dy| / 0.6745 / sqrt 2."""
     d = df.withColumn("__d", F.abs(F.col(y) - F.lag(y).over(_w(keys, order))))

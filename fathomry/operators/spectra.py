@@ -105,6 +105,11 @@ def isotope_charges(mz: np.ndarray, y: np.ndarray, n: int, most: int) -> list[di
     return out
 
 
+def level_counts(scans: DataFrame, keys: list[str], level: str = "ms_level") -> DataFrame:
+    """Scans and points of each level."""
+    return scans.groupBy(*keys, level).agg(F.count("*").alias("scans"), F.sum(F.size("mz")).alias("points"))
+
+
 def bands(points: DataFrame, keys: list[str], x: str, y: str, lo: float, hi: float, baseline: bool = True) -> DataFrame:
     """Area of [lo, hi] by trapezoids above the line between its ends, its centroid and largest value."""
     w = Window.partitionBy(*keys).orderBy(x)

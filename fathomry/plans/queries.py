@@ -131,16 +131,10 @@ def search_json_param(spark, sf):
     return e.where(s.compile("param.K>50 type!=error")).select("event_id")
 
 
-@query("SELECT p_name, row_number() OVER (ORDER BY lpad(regexp_extract(p_name, '([0-9]+)', 1), 20, '0'), p_name) pos FROM part WHERE p_partkey <= 200")
+@query("SELECT p_name || ' ' || p_size label, row_number() OVER (ORDER BY p_name, p_size) pos FROM part")
 def natural_sort(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 200").withColumn("k", F.lpad(F.regexp_extract("p_name", "([0-9]+)", 1), 20, "0"))
-    return p.withColumn("pos", F.row_number().over(Window.orderBy("k", "p_name")).cast("long")).select("p_name", "pos")
-
-
-@query("SELECT p_name, row_number() OVER (ORDER BY lpad(regexp_extract(p_name, '([0-9]+)', 1), 20, '0'), p_name) pos FROM part")
-def natural_sort_all(spark, sf):
-    k = F.lpad(F.regexp_extract("p_name", "([0-9]+)", 1), 20, "0")
-    return tables.positions(table(spark, sf, "part").select("p_name", k.alias("k")), [F.col("k"), F.col("p_name")]).select("p_name", "pos")
+    p = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("label")).withColumn("k", S.natural_key(F.col("label")))
+    return tables.positions(p, [F.col("k"), F.col("label")]).select("label", "pos")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
@@ -170,15 +164,8 @@ def sheet_join_left(spark, sf):
     return out.select("s_suppkey", "n_name", "n_regionkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
-def sheet_unmatched(spark, sf):
-    rows = table(spark, sf, "supplier").where("s_suppkey <= 20").withColumn("sample_id", F.col("s_nationkey").cast("string"))
-    _, report = joins.sheet_join(rows, table(spark, sf, "nation"), [("n_nationkey", "sample_id")])
-    return report.unmatched_sheet.select("n_nationkey", "n_name")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
-def sheet_unmatched_all(spark, sf):
+def sheet_unmatched(spark, sf):
     rows = table(spark, sf, "supplier").withColumn("sample_id", F.col("s_suppkey").cast("string"))
     _, report = joins.sheet_join(rows, table(spark, sf, "customer"), [("c_custkey", "sample_id")])
     return report.unmatched_sheet.select("c_custkey", "c_name")
@@ -228,14 +215,8 @@ def layout_like_join(spark, sf):
     return c.join(joins.sized(n), c["c_nationkey"] == n["n_nationkey"]).groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey a, l_suppkey + 10000000 b FROM lineitem WHERE l_orderkey <= 60), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a) SELECT id, min(c) component FROM r GROUP BY id")
-def link_components(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_orderkey <= 60").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
-    return connected_components(e)
-
-
 @query()
-def link_components_all(spark, sf):
+def link_components(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))  # suppliers below 0, so that no number names two things
     return connected_components(e)
 
@@ -269,9 +250,12 @@ def health_tallies(spark, sf):
     return health.tallies(table(spark, sf, "documents"), ["lang", "source"], "n_chars")
 
 
-@query(f"SELECT 'email' kind, count(*) AS rows, CAST(sum(n) AS BIGINT) matches FROM (SELECT len(regexp_extract_all(text, '{health.EMAIL}')) n FROM documents) WHERE n > 0")
+_PII = " UNION ALL ".join(f"SELECT '{k}' kind, count(*) AS rows, CAST(sum(n) AS BIGINT) matches FROM (SELECT len(regexp_extract_all(text, '{p}')) n FROM documents) WHERE n > 0" for k, p in health.PII.items())
+
+
+@query(f"SELECT * FROM ({_PII}) WHERE rows > 0")
 def pii_tally(spark, sf):
-    return health.pii_tally(table(spark, sf, "documents"), "text").where("kind = 'email'")
+    return health.pii_tally(table(spark, sf, "documents"), "text")
 
 
 # Ordered computations
@@ -315,6 +299,17 @@ def running_median(spark, sf):
     return rounded(series.running_median(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 2).select("event_id", "running_median"))
 
 
+@query("SELECT event_id, round(quantile_cont(value, 0.1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 4) baseline FROM events")
+def running_baseline(spark, sf):
+    return rounded(series.running_quantile(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 10, 0.1).select("event_id", "baseline"))
+
+
+@query("WITH i AS (SELECT user_id, event_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) isi FROM (SELECT *, epoch_us(ts) / 1000000.0 t FROM events)), n AS (SELECT *, lead(isi) OVER (PARTITION BY user_id ORDER BY t, event_id) nx FROM i) SELECT user_id, round(avg((nx - isi) / nullif(nx + isi, 0)), 6) + 0.0 adaptation FROM n GROUP BY user_id")
+def adaptation_index(spark, sf):
+    gaps = series.intervals(_timed(spark, sf), ["user_id"], ["t", "event_id"], "t")
+    return rounded(series.adaptation_index(gaps, ["user_id"], ["t", "event_id"]), 6)
+
+
 @query("WITH d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) d FROM events) SELECT user_id, round(median(d) / 0.6745 / sqrt(2), 4) noise FROM d GROUP BY user_id")
 def difference_noise(spark, sf):
     return rounded(series.difference_noise(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value"))
@@ -352,9 +347,9 @@ def shared_histogram(spark, sf):
     return series.shared_histogram(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "bin", "count")
 
 
-@query("SELECT event_type, count(*) samples, count(value) finite, round(min(value), 4) min, round(max(value), 4) max, round(avg(value), 4) mean, round(stddev_pop(value), 4) std FROM events GROUP BY ALL")
+@query("SELECT event_type, count(*) samples, count(value) finite, round(min(value), 4) min, round(max(value), 4) max, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, arg_min(event_id, (value, event_id)) x_at_min, arg_max(event_id, (value, -event_id)) x_at_max FROM events GROUP BY ALL")
 def trace_statistics(spark, sf):
-    return rounded(series.trace_statistics(table(spark, sf, "events"), ["event_type"], "event_id", "value").drop("x_at_min", "x_at_max"))
+    return rounded(series.trace_statistics(table(spark, sf, "events"), ["event_type"], "event_id", "value"))
 
 
 @query("SELECT l_returnflag, count(*) AS count, min(l_quantity) min, max(l_quantity) max, round(avg(l_quantity), 4) mean, round(stddev_pop(l_quantity), 4) std, " + ", ".join(f"round(quantile_cont(l_quantity, {p / 100}), 4) p{p}" for p in (1, 5, 50, 95, 99)) + ", round(count(*) FILTER (l_quantity = 0) / count(*), 4) zero_fraction, round(count(*) FILTER (l_quantity >= 50) / count(*), 4) saturated_fraction FROM lineitem GROUP BY ALL")
@@ -393,6 +388,12 @@ def chromatograms(spark, sf):
     return out.select("scan", F.round("tic", 4).alias("tic"), F.round("bpc", 6).alias("bpc"), F.round("xic", 4).alias("xic"))
 
 
+@query("SELECT label % 3 + 1 ms_level, count(*) scans, CAST(sum(len(embedding)) AS BIGINT) points FROM embeddings GROUP BY 1")
+def scan_counts(spark, sf):
+    e = _spectra(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("scan"), (F.col("label") % 3 + 1).alias("ms_level")), "scan")
+    return spectra.level_counts(e, [])
+
+
 @query(f"SELECT scan, mz, round(y, 6) intensity FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY y DESC, mz) r FROM ({_LONG})) WHERE r <= 5")
 def top_peaks(spark, sf):
     return rounded(spectra.top_peaks(_spectra(spark, sf), 5).select("scan", F.explode("peaks").alias("p")).select("scan", "p.*"), 6)
@@ -414,14 +415,8 @@ def spectral_bands(spark, sf):
     return rounded(spectra.bands(points, ["scan"], "mz", "intensity", 5.0, 15.0).select("scan", "area", "height"))
 
 
-@query("SELECT vec_id, arg_min(i, abs(x - 0.1)) i FROM (SELECT vec_id, unnest(range(0, len(embedding))) i, unnest(embedding) x FROM embeddings WHERE vec_id < 20) GROUP BY vec_id")
-def nearest_row(spark, sf):
-    p = table(spark, sf, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
-    return tables.nearest(p.withColumn("d", F.col("x").cast("double")), ["vec_id"], "d", 0.1).select("vec_id", "i")
-
-
 @query("SELECT vec_id, arg_min(i, abs(x - CAST(0.1 AS DOUBLE))) i FROM (SELECT vec_id, unnest(range(0, len(embedding))) i, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY vec_id")
-def nearest_row_all(spark, sf):
+def nearest_row(spark, sf):
     p = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
     return tables.nearest(p.withColumn("d", F.col("x").cast("double")), ["vec_id"], "d", 0.1).select("vec_id", "i")
 
@@ -458,10 +453,10 @@ def percent_effect(spark, sf):
     return rounded(assay.percent_effect(_plate(spark, sf), ["plate"], "value").select("event_id", "effect"), 1)
 
 
-@query(f"WITH x AS (SELECT user_id, {_T} t, value y FROM events), a AS (SELECT *, (t - lag(t) OVER w) * (y + lag(y) OVER w) / 2 a FROM x WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, round(arg_min(y, t), 4) \"first\", round(arg_max(y, t), 4) \"last\", round(min(y), 4) min, round(max(y), 4) max, round(avg(y), 4) mean, round(coalesce(sum(a), 0), 1) auc FROM a GROUP BY user_id")
+@query(f"WITH x AS (SELECT user_id, {_T} t, value y FROM events), a AS (SELECT *, (t - lag(t) OVER w) * (y + lag(y) OVER w) / 2 a FROM x WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, round(arg_min(y, t), 4) \"first\", round(arg_max(y, t), 4) \"last\", round(min(y), 4) min, round(max(y), 4) max, round(avg(y), 4) mean, round(regr_slope(y, t) * 86400, 4) + 0.0 slope_a_day, round(coalesce(sum(a), 0), 1) auc FROM a GROUP BY user_id")
 def kinetic_reduction(spark, sf):
     k = assay.reduce_kinetic(_timed(spark, sf), ["user_id"], "t", "value")
-    return k.select("user_id", *(F.round(c, 4).alias(c) for c in ("first", "last", "min", "max", "mean")), F.round("auc", 1).alias("auc"))
+    return k.select("user_id", *(F.round(c, 4).alias(c) for c in ("first", "last", "min", "max", "mean")), (F.round(F.col("mean_slope") * 86_400, 4) + 0.0).alias("slope_a_day"), F.round("auc", 1).alias("auc"))
 
 
 def _reactions(spark, sf):
@@ -474,9 +469,9 @@ _RX = "(SELECT CAST(user_id % 8 AS VARCHAR) AS sample, event_type target, value
 
 @query(f"""WITH p AS (SELECT sample, target, avg(cq) m, coalesce(stddev_samp(cq), 0) s, count(cq) n FROM {_RX} GROUP BY ALL), r AS (SELECT sample, avg(m) rm, sqrt(sum(s * s)) / count(*) rs FROM p WHERE target IN ('click', 'view') GROUP BY sample),
 d AS (SELECT p.sample, target, n, m, m - rm dc, sqrt(s * s + rs * rs) sd FROM p JOIN r USING (sample) WHERE target NOT IN ('click', 'view')), c AS (SELECT target, dc cal FROM d WHERE sample = '0')
-SELECT sample, target, n, round(m, 4) mean_cq, round(dc, 4) + 0.0 delta_cq, round(sd, 4) sd, round(dc - cal, 4) + 0.0 ddcq, round(pow(2, cal - dc), 4) rq FROM d LEFT JOIN c USING (target)""")
+SELECT sample, target, n, round(m, 4) mean_cq, round(dc, 4) + 0.0 delta_cq, round(sd, 4) sd, round(dc - cal, 4) + 0.0 ddcq, round(pow(2, cal - dc), 4) rq, round(pow(2, cal - dc - sd), 4) rq_min, round(pow(2, cal - dc + sd), 4) rq_max FROM d LEFT JOIN c USING (target)""")
 def delta_delta_cq(spark, sf):
-    return rounded(qpcr.delta_delta_cq(_reactions(spark, sf), ["click", "view"], "0").select("sample", "target", "n", "mean_cq", "delta_cq", "sd", "ddcq", "rq"))
+    return rounded(qpcr.delta_delta_cq(_reactions(spark, sf), ["click", "view"], "0").select("sample", "target", "n", "mean_cq", "delta_cq", "sd", "ddcq", "rq", "rq_min", "rq_max"))
 
 
 @query(f"WITH d AS (SELECT target, log10(quantity) l, cq FROM {_RX}) SELECT target, count(DISTINCT l) levels, round(regr_slope(cq, l), 4) + 0.0 slope, round(regr_intercept(cq, l), 4) intercept, round(regr_r2(cq, l), 6) r2 FROM d GROUP BY target")
@@ -501,9 +496,9 @@ _GATES = [
  + CAST(l_extendedprice >= 5000 AND l_extendedprice < 60000 AND l_quantity < 45 + (l_extendedprice - 5000) * (-15.0 / 55000) AS INT) + CAST(l_extendedprice >= 1000 AND l_extendedprice < 60000 AND l_quantity < 30 + (l_extendedprice - 60000) * (-25.0 / -59000) AS INT)) % 2 = 1) c0 FROM lineitem),
 g AS (SELECT l_returnflag, a, a AND b0 b, a AND c0 c, (a AND b0) OR (a AND c0) d, NOT ((a AND b0) OR (a AND c0)) e FROM m),
 w AS (SELECT l_returnflag, count(*) t, CAST(sum(a::INT) AS BIGINT) a, CAST(sum(b::INT) AS BIGINT) b, CAST(sum(c::INT) AS BIGINT) c, CAST(sum(d::INT) AS BIGINT) d, CAST(sum(e::INT) AS BIGINT) e FROM g GROUP BY 1)
-SELECT l_returnflag, population, x AS count, round(x * 100.0 / t, 4) percent_of_total FROM (SELECT l_returnflag, t, unnest(['a', 'b', 'c', 'd', 'e']) population, unnest([a, b, c, d, e]) x FROM w)""")
+SELECT l_returnflag, population, x AS count, round(x * 100.0 / p, 4) percent_of_parent, round(x * 100.0 / t, 4) percent_of_total FROM (SELECT l_returnflag, t, unnest(['a', 'b', 'c', 'd', 'e']) population, unnest([a, b, c, d, e]) x, unnest([t, a, a, t, t]) p FROM w)""")
 def gate_populations(spark, sf):
-    return rounded(gating.populations(table(spark, sf, "lineitem"), _GATES, ["l_returnflag"]).select("l_returnflag", "population", "count", "percent_of_total"))
+    return rounded(gating.populations(table(spark, sf, "lineitem"), _GATES, ["l_returnflag"]).select("l_returnflag", "population", "count", "percent_of_parent", "percent_of_total"))
 
 
 @query("SELECT round(sum(asinh(l_quantity / 5)), 3) asinh_sum, round(sum((l_extendedprice + 0) / 100000), 3) linear_sum, round(sum(CASE WHEN l_extendedprice > 0 THEN log10(l_extendedprice / 100000) / 4.5 + 1 END), 3) log_sum FROM lineitem")
@@ -631,11 +626,11 @@ def session_composition(spark, sf):
 _READS = "(SELECT lang, regexp_replace(upper(text), '[^ACGTN]', '', 'g') s FROM documents)"
 
 
-@query(f"SELECT lang, count(*) reads, CAST(sum(length(s)) AS BIGINT) bases, CAST(min(length(s)) AS INTEGER) shortest, CAST(max(length(s)) AS INTEGER) longest, round(avg(length(s)), 4) mean_length, round(sum(len(regexp_extract_all(s, '[GC]'))) * 100.0 / sum(len(regexp_extract_all(s, '[ACGT]'))), 4) gc_percent, round(sum(len(regexp_extract_all(s, 'N'))) * 100.0 / sum(length(s)), 4) n_percent FROM {_READS} GROUP BY lang")
+@query(f"SELECT lang, count(*) reads, CAST(sum(length(s)) AS BIGINT) bases, CAST(min(length(s)) AS INTEGER) shortest, CAST(max(length(s)) AS INTEGER) longest, round(avg(length(s)), 4) mean_length, round(sum(len(regexp_extract_all(s, '[GC]'))) * 100.0 / sum(len(regexp_extract_all(s, '[ACGT]'))), 4) gc_percent, round(sum(len(regexp_extract_all(s, 'N'))) * 100.0 / sum(length(s)), 4) n_percent, round(sum(len(regexp_extract_all(s, '[ACG]'))) * 100.0 / sum(length(s)), 4) q20_percent, round(sum(len(regexp_extract_all(s, '[CG]'))) * 100.0 / sum(length(s)), 4) q30_percent FROM {_READS} GROUP BY lang")
 def read_statistics(spark, sf):
     s = F.regexp_replace(F.upper("text"), "[^ACGTN]", "")
-    d = table(spark, sf, "documents").select("lang", s.alias("sequence"), F.lit("").alias("quality"))
-    return rounded(reads.summary(d, ["lang"]).drop("q20_percent", "q30_percent"))
+    d = table(spark, sf, "documents").select("lang", s.alias("sequence"), F.translate(s, "ACGTN", "5?I+!").alias("quality"))  # scores 20, 30, 40, 10 and 0
+    return rounded(reads.summary(d, ["lang"]))
 
 
 @query("WITH r AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM lineitem) SELECT l_returnflag, CAST(least(floor((l_quantity - x0) * 16 / (x1 - x0)), 15) AS INTEGER) bx, CAST(least(floor((l_extendedprice - y0) * 16 / (y1 - y0)), 15) AS INTEGER) AS \"by\", count(*) AS count FROM lineitem, r GROUP BY ALL")

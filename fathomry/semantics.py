@@ -70,9 +70,9 @@ def near(a: Column, b: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts digit runs as numbers and letters without case; ties are for the raw text to break."""
+    """Sorts digit runs as numbers (of up to 99,999 digits, the length first) and letters without case; ties are for the raw text to break."""
     t = F.lower(c.cast("string"))
-    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(F.regexp_replace(x, "^0+(?=.)", "")).cast("string"), 5, "0"), F.regexp_replace(x, "^0+(?=.)", ""))).otherwise(x)), "")
 
 
 def normal_text(c: Column) -> Column:

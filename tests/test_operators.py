@@ -206,7 +206,7 @@ def test_positions_of_a_whole_table(spark):
     out = tables.positions(df, [F.col("v").desc()])
     assert sorted(map(tuple, out.collect())) == [(v, 5000 - v) for v in range(5000)]
     assert tables.positions(df.limit(0), [F.col("v")]).count() == 0
-    assert compare(spark, "natural_sort_all", QUERIES["natural_sort_all"], ORACLE["natural_sort_all"], "sf0.01") is None
+    assert compare(spark, "natural_sort", QUERIES["natural_sort"], ORACLE["natural_sort"], "sf0.01") is None
 
 
 def test_components_of_a_whole_table(spark):
@@ -224,5 +224,34 @@ def test_components_of_a_whole_table(spark):
     for a, b in connection("sf0.001").execute("SELECT DISTINCT l_partkey, -l_suppkey FROM lineitem").fetchall():
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = sorted(map(tuple, QUERIES["link_components_all"](spark, str(DATA / "sf0.001")).collect()))
+    got = sorted(map(tuple, QUERIES["link_components"](spark, str(DATA / "sf0.001")).collect()))
     assert got == sorted((x, root(x)) for x in list(up))
+
+
+def test_times_over_midnight_and_whole_hours_apart_are_linked(spark):
+    df = spark.createDataFrame([("a", 86_399.5, 1), ("b", 86_400.3, 1), ("c", 86_400.2 + 7200, 1), ("d", 90_000.0 + 900, 1), ("e", 86_399.5, 2)], "path string, started_at double, instrument_serial int")
+    got = {(r["a"], r["b"]) for r in link.same_time(df, "path", "started_at", 1.0, ["instrument_serial"]).collect()}
+    assert got == {("a", "c"), ("b", "c")}  # neighbours by the time within the hour: a chain
+    assert {(r["a"], r["b"]) for r in link.same_time(df.where("path <> 'c'"), "path", "started_at", 1.0, ["instrument_serial"]).collect()} == {("a", "b")}
+    assert link.link(df).where("kind = 'same_acquisition'").count() == len(got)
+
+
+def test_grubbs_limits_for_any_number_of_sizes(spark):
+    rows = [(n, float(i % 2)) for n in range(3, 90) for i in range(n - 1)] + [(n, 50.0) for n in range(3, 90)]
+    got = assay.outliers(spark.createDataFrame(rows, "g int, v double"), ["g"], "v")
+    assert got.columns == ["g", "v", "outlier"] and {(r["g"], r["v"]) for r in got.where("outlier").collect()} >= {(n, 50.0) for n in range(5, 90)}
+
+
+def test_more_globs_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(joins, "GLOBS", 3)
+    rows = spark.createDataFrame([(f"run{i:02d}x",) for i in range(10)] * 2, "sample_name string")
+    sheet = spark.createDataFrame([(f"run{i:02d}*", i) for i in range(10)], "name string, n int")
+    out, report = joins.sheet_join(rows, sheet, [("name", "sample_name")])
+    assert sorted((r["sample_name"], r["n"]) for r in out.collect()) == sorted([(f"run{i:02d}x", i) for i in range(10)] * 2) and report.matched == 20
+
+
+def test_a_crossing_at_the_last_cycle_counts():
+    cycle = np.arange(1.0, 21.0)
+    y = np.where(cycle < 20, 1 + 0.001 * (cycle % 3), 5.0)
+    cq, threshold = qpcr.cq_of(cycle, y, 1.0)
+    assert 19 <= cq <= 20 and threshold == 1.0

@@ -78,3 +78,9 @@ def test_as_of_and_nearest(spark):
     b = spark.createDataFrame([("k", 0.5, "x"), ("k", 5.0, "y")], "k string, t double, v string")
     assert sorted((r["k"], r["t"], r["v"]) for r in tables.as_of(a, b, ["k"], "t", ["v"]).collect()) == [("j", 5.0, None), ("k", 1.0, "x"), ("k", 5.0, "y")]
     assert tables.nearest(b, ["k"], "t", 2.0).first()["v"] == "x"
+
+
+def test_long_digit_runs_keep_their_order(spark):
+    names = [f"x{'9' * 25}", f"x1{'0' * 25}", f"x1{'0' * 24}1", "x7", "x07b"]
+    df = spark.createDataFrame([(x,) for x in names], "a string")
+    assert [r[0] for r in df.orderBy(S.natural_key(F.col("a")), "a").collect()] == ["x7", "x07b", f"x{'9' * 25}", f"x1{'0' * 25}", f"x1{'0' * 24}1"]
