@@ -65,17 +65,27 @@ def reduce_kinetic(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.min_by(y, x).alias("first"), F.max_by(y, x).alias("last"), F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), F.regr_slope(y, x).alias("mean_slope"), F.coalesce(F.sum("__a"), F.lit(0.0)).alias("auc"))
 
 
-def quality(df: DataFrame, keys: list[str], value: str, role: str = "role") -> DataFrame:
-    """Z', signal to background and to noise, SSMD of positive against negative wells."""
-    v, pos, neg = F.col(value), F.col(role) == "positive", F.col(role) == "negative"
-    out = df.groupBy(*keys).agg(F.avg(F.when(pos, v)).alias("mp"), F.stddev_samp(F.when(pos, v)).alias("sp"), F.avg(F.when(neg, v)).alias("mn"), F.stddev_samp(F.when(neg, v)).alias("sn"))
-    return out.select(
+def quality(df: DataFrame, keys: list[str], value: str, role: str = "role", group: list[str] | None = None) -> DataFrame:
+    """Z' of positive against negative wells with its assessment, Z-factor of the samples, signal to background and noise, SSMD.
+
+    group: the columns that make wells replicates; with them, the median CV of groups of two wells or more.
+    """
+    v, pos, neg, smp = F.col(value), F.col(role) == "positive", F.col(role) == "negative", F.col(role) == "sample"
+    stats = [f(F.when(which, v)).alias(name) for name, f, which in (("mp", F.avg, pos), ("sp", F.stddev_samp, pos), ("mn", F.avg, neg), ("sn", F.stddev_samp, neg), ("ms", F.avg, smp), ("ss", F.stddev_samp, smp))]
+    z = 1 - F.try_divide(3 * (F.col("sp") + F.col("sn")), F.abs(F.col("mp") - F.col("mn")))
+    out = df.groupBy(*keys).agg(*stats).select(
         *keys,
-        (1 - F.try_divide(3 * (F.col("sp") + F.col("sn")), F.abs(F.col("mp") - F.col("mn")))).alias("z_prime"),
+        z.alias("z_prime"),
+        F.when(z >= 0.5, "excellent").when(z > 0, "marginal").when(z.isNotNull(), "unusable").alias("assessment"),
+        (1 - F.try_divide(3 * (F.col("ss") + F.col("sn")), F.abs(F.col("ms") - F.col("mn")))).alias("z_factor"),
         F.try_divide(F.col("mp"), F.col("mn")).alias("signal_to_background"),
         F.try_divide(F.col("mp") - F.col("mn"), F.col("sn")).alias("signal_to_noise"),
         F.try_divide(F.col("mp") - F.col("mn"), F.sqrt(F.col("sp") ** 2 + F.col("sn") ** 2)).alias("ssmd"),
     )
+    if not group:
+        return out
+    cv = df.groupBy(*keys, *group).agg(F.try_divide(F.stddev_samp(v), F.abs(F.avg(v))).alias("__cv")).groupBy(*keys).agg((F.median("__cv") * 100).alias("median_replicate_cv_percent"))
+    return out.join(cv, keys, "left")
 
 
 def percent_effect(df: DataFrame, keys: list[str], value: str, role: str = "role") -> DataFrame:
@@ -100,21 +110,28 @@ def weights_of(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(v > 0, 1 / np.where(v > 0, v, 1), 0.0) if kind != "none" else v
 
 
-def levenberg(f, p0: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Damped least squares with a numeric Jacobian."""
+def jacobian(f, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """By central differences."""
+    steps = np.diag(np.maximum(1e-6, 1e-6 * np.abs(p)))
+    return np.stack([(f(p + h, x) - f(p - h, x)) / (2 * h.max()) for h in steps], 1)
+
+
+def levenberg(f, p0: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 300, positive: tuple[int, ...] = ()) -> tuple[np.ndarray, float]:
+    """Damped least squares with a numeric Jacobian; parameters named positive stay so."""
     p, lam = p0.astype(float), 1e-3
     r = y - f(p, x)
     cost = float((w * r * r).sum())
     for _ in range(rounds):
-        j = np.stack([(f(p + h, x) - f(p - h, x)) / (2 * h[k]) for k in range(len(p)) for h in [np.eye(len(p))[k] * max(1e-6, 1e-6 * abs(p[k]))]], 1)
+        j = jacobian(f, p, x)
         a, g = j.T @ (w[:, None] * j), j.T @ (w * r)
         try:
             step = np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g)
         except np.linalg.LinAlgError:
             break
         q = p + step
-        rq = y - f(q, x)
-        cq = float((w * rq * rq).sum())
+        inside = np.isfinite(q).all() and (q[list(positive)] > 0).all()
+        rq = y - f(q, x) if inside else r
+        cq = float((w * rq * rq).sum()) if inside else np.inf
         if np.isfinite(cq) and cq < cost:
             done = cost - cq < 1e-14 * max(cost, 1e-300)
             p, r, cost, lam = q, rq, cq, max(lam / 10, 1e-12)
@@ -128,10 +145,14 @@ def levenberg(f, p0: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, ro
 
 
 def fit_curve(model: str, x: np.ndarray, y: np.ndarray, weighting: str = "none") -> dict | None:
-    """Parameters, r2 and degrees of freedom; None with too few distinct x."""
+    """Parameters with standard errors and covariance, r2, sse, residual_se, degrees of freedom; None with too few distinct x.
+
+    The covariance is residual_se^2 (J' W J)^-1; there is none without degrees of freedom or for a singular fit.
+    """
     ok = np.isfinite(x) & np.isfinite(y)
     x, y = x[ok], y[ok]
-    if len(np.unique(x)) < MODELS[model] or (model != "linear" and not (x > 0).any()):
+    levels = len(np.unique(x))
+    if levels < MODELS[model] or (model != "linear" and not (x > 0).any()):
         return None
     w = weights_of(weighting, x, y)
     if model == "linear":
@@ -141,46 +162,156 @@ def fit_curve(model: str, x: np.ndarray, y: np.ndarray, weighting: str = "none")
     else:
         low, high, mid = y[x == x.min()].mean(), y[x == x.max()].mean(), np.exp(np.log(x[x > 0]).mean())
         starts = [np.array([low, b, m, high] + ([1.0] if model == "5pl" else [])) for b in (1.0, 2.0, 0.5) for m in (mid, mid / 10, mid * 10)]
-        p, cost = min((levenberg(lambda q, t: curve(model, q, t), s, x, y, w) for s in starts), key=lambda r: r[1])
-        p[2] = abs(p[2])
-        if p[1] < 0 and model == "4pl":  # the same curve, written with a positive slope
-            p[0], p[3], p[1] = p[3], p[0], -p[1]
-    mean = (w * y).sum() / w.sum()
-    total = float((w * (y - mean) ** 2).sum())
-    return {"p": p, "r2": 1.0 if total == 0 else 1 - cost / total, "df": max(len(x) - len(p), 0)}
+        p, cost = min((levenberg(lambda q, t: curve(model, q, t), s, x, y, w, positive=(1, 2, 4) if model == "5pl" else (1, 2)) for s in starts), key=lambda r: r[1])
+    mean = (w * y).sum() / w.sum() if w.sum() > 0 else y.mean()
+    total, df = float((w * (y - mean) ** 2).sum()), max(len(x) - len(p), 0)
+    cov, s2 = None, cost / df if df else None
+    j = jacobian(lambda q, t: curve(model, q, t), p, x)
+    if df and np.isfinite(j).all():
+        scale = np.sqrt(np.maximum((w[:, None] * j * j).sum(0), 1e-300))
+        info = j.T @ (w[:, None] * j) / np.outer(scale, scale)
+        if np.linalg.matrix_rank(info) == len(p):
+            cov = s2 * np.linalg.inv(info) / np.outer(scale, scale)
+    se = np.sqrt(np.maximum(np.diag(cov), 0)) if cov is not None else None
+    return {"p": p, "se": se, "cov": cov, "r2": 1.0 if total == 0 else 1 - cost / total, "sse": cost, "residual_se": None if s2 is None else float(np.sqrt(s2)), "df": df, "n": len(x), "levels": levels, "x_min": float(x.min()), "x_max": float(x.max())}
 
 
-FIT = "a double, b double, c double, d double, g double, r2 double, df int"
+PARAMETERS = ("a", "b", "c", "d", "g")
+FIT = ", ".join([*(f"{p} double" for p in PARAMETERS), *(f"se_{p} double" for p in PARAMETERS), "r2 double", "sse double", "residual_se double", "df int", "n int", "levels int", "x_min double", "x_max double"])
 
 
 def fit(df: DataFrame, keys: list[str], x: str, y: str, model: str = "4pl", weighting: str = "none") -> DataFrame:
-    """A fitted curve per group (a standard curve's or compound's points: small groups); unweighted lines are sums, of groups of any size."""
+    """A fitted curve per group (a standard curve's or compound's points: small groups); unweighted lines are sums, of groups of any size.
+
+    Columns: the parameters, their standard errors, r2, sse, residual_se, df, n points, levels and range of x; nulls where
+    there are too few levels of x. A line is a + b x.
+    """
+    names = [f.split()[0] for f in FIT.split(", ")]
     if model == "linear" and weighting == "none":
         u, v = F.col(x).cast("double"), F.col(y).cast("double")
         finite = df.select(*keys, F.when(F.abs(u) < np.inf, u).alias("__x"), F.when(F.abs(v) < np.inf, v).alias("__y"))  # NaN is above infinity
         both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-        n, x_, y_ = F.count(F.when(both, 1)), F.when(both, F.col("__x")), F.when(both, F.col("__y"))
-        line = {"a": F.regr_intercept(y_, x_), "b": F.regr_slope(y_, x_), "r2": F.regr_r2(y_, x_), "df": F.greatest(n - 2, F.lit(0)).cast("int")}
+        x_, y_ = F.when(both, F.col("__x")), F.when(both, F.col("__y"))
+        sums = {"n": F.count(x_).cast("int"), "levels": F.count_distinct(x_).cast("int"), "x_min": F.min(x_), "x_max": F.max(x_), "a": F.regr_intercept(y_, x_), "b": F.regr_slope(y_, x_), "r2": F.regr_r2(y_, x_)}
+        sums |= {"__sxx": F.regr_sxx(y_, x_), "__syy": F.regr_syy(y_, x_), "__sxy": F.regr_sxy(y_, x_), "__mx": F.regr_avgx(y_, x_)}
+        out = finite.groupBy(*keys).agg(*(c.alias(name) for name, c in sums.items()))
+        line = F.col("x_min") < F.col("x_max")
+        sse = F.greatest(F.col("__syy") - F.try_divide(F.col("__sxy") * F.col("__sxy"), F.col("__sxx")), F.lit(0.0))
+        free = F.greatest(F.col("n") - 2, F.lit(0))
+        s2 = F.when(free > 0, F.try_divide(sse, free))
+        errors = {"se_a": F.sqrt(s2 * (1 / F.col("n") + F.try_divide(F.col("__mx") * F.col("__mx"), F.col("__sxx")))), "se_b": F.sqrt(F.try_divide(s2, F.col("__sxx"))), "sse": sse, "residual_se": F.sqrt(s2), "df": free.cast("int")}
         none = F.lit(None).cast("double")
-        return finite.groupBy(*keys).agg(*(F.when(F.min(x_) < F.max(x_), line[c]).alias(c) if c in line else none.alias(c) for c in ("a", "b", "c", "d", "g", "r2", "df")))
-    names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+        return out.select(*keys, *(F.when(line, errors.get(c, F.col(c) if c in sums else none)).alias(c) for c in names))
+    given = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = fit_curve(model, pdf[x].to_numpy(float), pdf[y].to_numpy(float), weighting)
-        p = [*got["p"], *[None] * (5 - len(got["p"]))] if got else [None] * 5
-        return pd.DataFrame([[*key, *p, got and got["r2"], got and got["df"]]], columns=[*keys, "a", "b", "c", "d", "g", "r2", "df"])
+        row = [None] * len(names)
+        if got:
+            five = [None] * (5 - len(got["p"]))
+            row = [*got["p"], *five, *(got["se"] if got["se"] is not None else [None] * len(got["p"])), *five, *(got[c] for c in names[10:])]
+        return pd.DataFrame([[*key, *row]], columns=[*keys, *names])
 
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, FIT]))
+    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*given, FIT]))
 
 
-def inverse(y: Column, model: str = "4pl") -> Column:
-    """x at y from the fit's columns; null beyond the curve's ends."""
+def inverse(y: Column, model: str = "4pl", at: dict[str, Column] | None = None) -> Column:
+    """x at y from the fit's columns (at: where they have other names); null beyond the curve's ends."""
+    a, b, c, d, g = (at[p] if at else F.col(p) for p in PARAMETERS)
     if model == "linear":
-        return F.try_divide(y - F.col("a"), F.col("b"))
-    g = F.coalesce(F.col("g"), F.lit(1.0))
-    inner = F.pow(F.try_divide(F.col("a") - F.col("d"), y - F.col("d")), 1 / g) - 1
-    inside = (y > F.least("a", "d")) & (y < F.greatest("a", "d"))
-    return F.when(inside & (inner > 0), F.col("c") * F.pow(inner, 1 / F.col("b")))
+        return F.try_divide(y - a, b)
+    inner = F.pow(F.try_divide(a - d, y - d), 1 / F.coalesce(g, F.lit(1.0))) - 1
+    inside = (y > F.least(a, d)) & (y < F.greatest(a, d))
+    return F.when(inside & (inner > 0), c * F.pow(inner, 1 / b))
+
+
+def back_calculate(df: DataFrame, fits: DataFrame, keys: list[str], y: str, model: str = "4pl", nominal: str | None = None, dilution: str | None = None) -> DataFrame:
+    """df with concentration, flag, final_concentration and (with nominal) recovery_percent, by the row of ``fit`` for keys.
+
+    flag: in_range, below_range or above_range of the standards, below_curve or above_curve where the signal is
+    beyond an asymptote, not_computable where the curve is flat or missing; null for a null signal.
+    """
+    names = [f.split()[0] for f in FIT.split(", ")]
+    own = {c: f"__{c}" for c in names}
+    curves = fits.select(*keys, *(F.col(c).alias(own[c]) for c in names))
+    d = df.join(curves, keys, "left")
+    at = {c: F.col(own[c]) for c in names}
+    v = F.col(y)
+    flat = (at["b"].isNull() | (at["b"] == 0)) if model == "linear" else (at["b"].isNull() | (at["a"] == at["d"]))
+    low, high = F.least(at["a"], at["d"]), F.greatest(at["a"], at["d"])
+    conc = F.when(~flat, inverse(v, model, at))
+    flag = F.when(v.isNull(), None).when(flat, "not_computable")
+    if model != "linear":
+        flag = flag.when(v <= low, "below_curve").when(v >= high, "above_curve")
+    flag = flag.when(F.col("__conc") < at["x_min"], "below_range").when(F.col("__conc") > at["x_max"], "above_range").when(F.col("__conc").isNotNull(), "in_range").otherwise("not_computable")
+    d = d.withColumn("__conc", conc).withColumn("flag", flag)
+    d = d.withColumn("final_concentration", F.col("__conc") * (F.coalesce(F.col(dilution), F.lit(1.0)) if dilution else F.lit(1.0)))
+    if nominal:
+        d = d.withColumn("recovery_percent", F.try_divide(F.col("__conc") * 100, F.col(nominal)))
+    return d.withColumnRenamed("__conc", "back_calculated").drop(*own.values())
+
+
+def quantification_limits(standards: DataFrame, fits: DataFrame, keys: list[str], nominal: str, y: str, model: str = "4pl", within: float = 20.0) -> DataFrame:
+    """keys, lloq, uloq: the lowest and highest standards whose mean signal reads back within 20 % of nominal, with a CV of at most 20 %.
+
+    A level of one well has no CV and counts by its recovery alone; null where no level holds.
+    """
+    v = F.col(y)
+    levels = standards.where(F.col(nominal) > 0).groupBy(*keys, nominal).agg(F.avg(v).alias("__mean"), (F.try_divide(F.stddev_samp(v), F.abs(F.avg(v))) * 100).alias("__cv"))
+    d = back_calculate(levels, fits, keys, "__mean", model, nominal)
+    good = (F.abs(F.col("recovery_percent") - 100) <= within) & (F.coalesce("__cv", F.lit(0.0)) <= within)
+    return d.groupBy(*keys).agg(F.min(F.when(good, F.col(nominal))).alias("lloq"), F.max(F.when(good, F.col(nominal))).alias("uloq"))
+
+
+DOSE = "ec50 double, kind string, ec50_ci_low double, ec50_ci_high double, log10_ec50 double, absolute_ec50 double, hill_slope double, top double, bottom double, response_at_zero double, response_at_infinity double, min_concentration double, max_concentration double, extrapolated boolean, r2 double, n int, error string"
+
+
+def midpoint(p: np.ndarray, share: float = 0.5) -> float:
+    """The x where a logistic curve has gone this share of the way from its response at zero to that at infinity."""
+    g = p[4] if len(p) > 4 else 1.0
+    return float(p[2] * ((1 - share) ** (-1 / g) - 1) ** (1 / p[1]))
+
+
+def effect_of(x: np.ndarray, y: np.ndarray, model: str = "4pl", confidence: float = 0.95, normalized: bool = False) -> dict:
+    """The columns ``DOSE`` of one compound; the interval of the EC50 comes by the delta method on the scale of logarithms."""
+    got = fit_curve(model, x, y) if len(x) else None
+    if got is None:
+        return {"error": f"needs {MODELS[model]} concentrations"}
+    p, (low, high) = got["p"], sorted((got["p"][0], got["p"][3]))
+    out = {"min_concentration": min(v for v in x if v > 0), "max_concentration": got["x_max"], "n": got["n"], "r2": got["r2"]}
+    if not np.isfinite(p).all() or low == high:
+        return out | {"error": "the fit is flat"}
+    ec50, rises = midpoint(p), p[3] > p[0]
+    if not (np.isfinite(ec50) and ec50 > 0):
+        return out | {"error": "the fit has no midpoint"}
+    if got["cov"] is not None:
+        grad = jacobian(lambda q, _: np.array([np.log(midpoint(q))]), p, x)[0] if len(p) > 4 else np.array([0, 0, 1 / p[2], 0])
+        half = special.t_quantile(0.5 + confidence / 2, got["df"]) * float(np.sqrt(max(grad @ got["cov"] @ grad, 0.0)))
+        if half < 700:
+            out |= {"ec50_ci_low": ec50 * np.exp(-half), "ec50_ci_high": ec50 * np.exp(half)}
+    if normalized and low < 50 < high:
+        out["absolute_ec50"] = midpoint(p, (50 - p[0]) / (p[3] - p[0]))
+    return out | {
+        "ec50": ec50, "kind": "EC50" if rises else "IC50", "log10_ec50": float(np.log10(ec50)), "hill_slope": p[1] if rises else -p[1],
+        "top": high, "bottom": low, "response_at_zero": p[0], "response_at_infinity": p[3],
+        "extrapolated": not out["min_concentration"] <= ec50 <= out["max_concentration"],
+    }
+
+
+def dose_response(df: DataFrame, keys: list[str], dose: str, response: str, model: str = "4pl", confidence: float = 0.95, normalized: bool = False) -> DataFrame:
+    """IC50 or EC50 with its interval, Hill slope and plateaus per compound; a compound's wells are a small group.
+
+    normalized: the responses are percent effects (``percent_effect``); then absolute_ec50 is where the curve crosses 50.
+    """
+    names = [f.split()[0] for f in DOSE.split(", ")]
+    given = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.replace([np.inf, -np.inf], np.nan).dropna(subset=[dose, response])
+        got = effect_of(p[dose].to_numpy(float), p[response].to_numpy(float), model, confidence, normalized)
+        return pd.DataFrame([[*key, *(got.get(c) for c in names)]], columns=[*keys, *names])
+
+    return df.where(F.col(dose) >= 0).select(*keys, dose, response).groupBy(*keys).applyInPandas(run, ", ".join([*given, DOSE]))
 
 
 def kinetics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -188,7 +319,7 @@ def kinetics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna().sort_values(x)
+        p = pdf.dropna(subset=[x, y]).sort_values(x, kind="stable")
         t, v = p[x].to_numpy(float), p[y].to_numpy(float)
         n = len(t)
         out = [None, None, None, None]
@@ -206,28 +337,44 @@ def kinetics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, "vmax double, lag double, t_vmax double, auc double"]))
 
 
-def growth(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """mu_max, doubling time, lag, and the logistic k, r, n0 of each well."""
+def growth_of(t: np.ndarray, v: np.ndarray, window: int | None = None, share: float = 0.05) -> dict:
+    """mu_max, doubling, lag, k, r, n0 of one well's values in time order.
+
+    The window counts all points: a tenth of them, five at least; without as many points over the threshold
+    (share of the maximum), or without a rising window, there is no rate. k, r, n0: the logistic curve from the first point on.
+    """
+    n, out = len(t), {}
+    if n < 2 or not v.max() > 0:
+        return out
+    thr = share * v.max()
+    h = max(window or max(5, -(-n // 10)), 2)
+    keep = v > thr
+    tk, lk = t[keep], np.log(v[keep])
+    if len(tk) >= h:
+        tw, lw = np.lib.stride_tricks.sliding_window_view(tk, h), np.lib.stride_tricks.sliding_window_view(lk, h)
+        tm, lm = tw.mean(1), lw.mean(1)
+        sxx = ((tw - tm[:, None]) ** 2).sum(1)
+        mu = np.where(sxx > 0, ((tw - tm[:, None]) * (lw - lm[:, None])).sum(1) / np.where(sxx > 0, sxx, 1), -np.inf)
+        i = int(np.argmax(mu))
+        if mu[i] > 0:
+            out = {"mu_max": mu[i], "doubling": np.log(2) / mu[i], "lag": tm[i] - (lm[i] - np.log(max(v[:3].mean(), thr))) / mu[i]}
+    if n >= 4 and t[-1] > t[0]:
+        rate = out.get("mu_max") or 4 / (t[-1] - t[0])
+        logistic = lambda s, z: s[0] / (1 + (s[0] / s[2] - 1) * np.exp(np.clip(-s[1] * z, -700, 700)))
+        starts = [np.array([v.max() * k, rate * f, max(v[0], 1e-3 * v.max())]) for k in (1.0, 1.2) for f in (1.0, 0.5, 2.0)]
+        q, _ = min((levenberg(logistic, s, t - t[0], v, np.ones_like(v), positive=(0, 1, 2)) for s in starts), key=lambda r: r[1])
+        out |= dict(zip(("k", "r", "n0"), q, strict=True))
+    return out
+
+
+def growth(df: DataFrame, keys: list[str], x: str, y: str, window: int | None = None) -> DataFrame:
+    """``growth_of`` each well, a small group."""
     names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    columns = ["mu_max", "doubling", "lag", "k", "r", "n0"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna().sort_values(x)
-        t, v = p[x].to_numpy(float), p[y].to_numpy(float)
-        out = [None] * 6
-        if len(t) >= 5 and v.max() > 0:
-            thr = 0.05 * v.max()
-            keep = v > thr
-            tk, lk = t[keep], np.log(v[keep])
-            h = int(min(max(5, -(-len(tk) // 10)), len(tk)))
-            if h >= 2:
-                tw, lw = np.lib.stride_tricks.sliding_window_view(tk, h), np.lib.stride_tricks.sliding_window_view(lk, h)
-                tm, lm = tw.mean(1), lw.mean(1)
-                mu = ((tw - tm[:, None]) * (lw - lm[:, None])).sum(1) / ((tw - tm[:, None]) ** 2).sum(1)
-                i = int(np.argmax(mu))
-                y0 = max(v[:3].mean(), thr)
-                k0 = v.max()
-                q, _ = levenberg(lambda s, z: s[0] / (1 + (s[0] / s[2] - 1) * np.exp(-s[1] * z)), np.array([k0, mu[i], max(y0, 1e-6 * k0)]), t - t[0], v, np.ones_like(v))
-                out = [mu[i], np.log(2) / mu[i] if mu[i] > 0 else None, tm[i] - (lm[i] - np.log(y0)) / mu[i] if mu[i] > 0 else None, q[0], q[1], q[2]]
-        return pd.DataFrame([[*key, *out]], columns=[*keys, "mu_max", "doubling", "lag", "k", "r", "n0"])
-
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, "mu_max double, doubling double, lag double, k double, r double, n0 double"]))
+        p = pdf.dropna(subset=[x, y]).sort_values(x, kind="stable")
+        got = growth_of(p[x].to_numpy(float), p[y].to_numpy(float), window)
+        return pd.DataFrame([[*key, *(got.get(c) for c in columns)]], columns=[*keys, *columns])
+
+    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, *(f"{c} double" for c in columns)]))

@@ -65,43 +65,70 @@ def thinned(scans: DataFrame, key: list[str], slices: int) -> DataFrame:
     return p.withColumn("slice", cut).groupBy(*key, "slice").agg(F.max_by(F.struct("mz", "intensity"), F.struct("intensity", -F.col("mz"))).alias("p")).select(*key, "slice", "p.*")
 
 
-def charges(scans: DataFrame, n: int = 20, most: int = 8) -> DataFrame:
-    """scan, mz, intensity, charge (0 if unknown) of the strongest peaks, from isotope spacing."""
+#: The mass steps of an isotope and a proton in Da; tolerances in parts and in Da; least heights of higher and lower isotopes.
+ISOTOPE, PROTON = 1.003355, 1.007276
+TOLERANCE = 15e-6, 0.003
+HIGHER, LOWER = 0.02, 0.05
+
+CHARGE = "mz double, intensity double, charge int, isotopes int, monoisotopic_mz double, neutral_mass double"
 
-    def run(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b]).to_pylist()
-            out = [{"scan": r["scan"], **p} for r in t for p in isotope_charges(np.array(r["mz"] or [], float), np.array(r["intensity"] or [], float), n, most)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("scan", pa.int64()), ("mz", pa.float64()), ("intensity", pa.float64()), ("charge", pa.int32())]))
 
-    return scans.select(F.col("scan").cast("long").alias("scan"), "mz", "intensity").mapInArrow(run, "scan long, mz double, intensity double, charge int")
+def charges(scans: DataFrame, n: int = 20, most: int = 8, polarity: str = "positive") -> DataFrame:
+    """scan and ``CHARGE`` of the strongest peaks, from isotope spacing; charge 0 if unknown."""
+    schema = pa.schema([("scan", pa.int64()), ("mz", pa.float64()), ("intensity", pa.float64()), ("charge", pa.int32()), ("isotopes", pa.int32()), ("monoisotopic_mz", pa.float64()), ("neutral_mass", pa.float64())])
 
+    def values(column) -> tuple[np.ndarray, np.ndarray]:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float), column.value_lengths().fill_null(0).to_numpy()
 
-def isotope_charges(mz: np.ndarray, y: np.ndarray, n: int, most: int) -> list[dict]:
-    """The strongest peaks outside isotope patterns already taken; tolerance the larger of 15 ppm and 0.003."""
-    order = np.argsort(mz)
-    mz, y = mz[order], y[order]
-    used = np.zeros(len(mz), bool)
-    out = []
+    def run(batches):
+        for b in batches:
+            (mz, m), (y, k) = values(b.column(1)), values(b.column(2))
+            m_at, y_at = np.cumsum(m) - m, np.cumsum(k) - k
+            out = []
+            for i, scan in enumerate(b.column(0).to_pylist()):
+                size = min(int(m[i]), int(k[i]))
+                out += [{"scan": scan, **p} for p in isotope_charges(mz[m_at[i] : m_at[i] + size], y[y_at[i] : y_at[i] + size], n, most, polarity)]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return scans.select(F.col("scan").cast("long").alias("scan"), "mz", "intensity").mapInArrow(run, "scan long, " + CHARGE)
+
+
+def isotope_charges(mz: np.ndarray, y: np.ndarray, n: int, most: int, polarity: str = "positive") -> list[dict]:
+    """The strongest centroids, but for those within the isotope pattern of one already listed.
+
+    The charge is that whose spacing finds most higher isotopes in a row, six at most, the smaller one if equal. The
+    pattern begins at its lowest isotope, monoisotopic_mz (the peak's own where there is none lower).
+    """
+    ok = np.isfinite(mz) & (y > 0)
+    order = np.argsort(mz[ok], kind="stable")
+    mz, y = mz[ok][order], y[ok][order]
+
+    def found(at: np.ndarray, least: float) -> np.ndarray:
+        """Which of the places have a point of that height within tolerance."""
+        tol = np.maximum(TOLERANCE[0] * at, TOLERANCE[1])
+        lo, hi = np.searchsorted(mz, at - tol, "left"), np.searchsorted(mz, at + tol, "right")
+        return np.array([bool((y[a:b] >= least).any()) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+
+    def run_of(hits: np.ndarray) -> int:
+        return len(hits) if hits.all() else int(np.argmin(hits))
+
+    z = np.arange(1, most + 1)
+    taken = np.zeros(0)
+    out: list[dict] = []
     for i in np.argsort(-y, kind="stable"):
         if len(out) >= n:
             break
-        if used[i]:
+        at, height = float(mz[i]), float(y[i])
+        if len(taken) and (np.abs(taken - at) <= max(TOLERANCE[0] * at, TOLERANCE[1])).any():
             continue
-        tol = max(15e-6 * mz[i], 0.003)
-        best, members = 0, []
-        for z in range(1, most + 1):
-            found = []
-            for k in range(1, 7):
-                at = mz[i] + k * 1.00335 / z
-                j = int(np.argmin(np.abs(mz - at)))
-                if abs(mz[j] - at) > tol or y[j] < 0.02 * y[i]:
-                    break
-                found.append(j)
-            if len(found) > len(members):
-                best, members = z, found
-        used[[i, *members]] = True
-        out.append({"mz": float(mz[i]), "intensity": float(y[i]), "charge": best})
+        higher = found((at + np.arange(1, 7)[None, :] * ISOTOPE / z[:, None]).ravel(), HIGHER * height).reshape(most, 6)
+        runs = np.array([run_of(h) for h in higher])
+        best = int(np.argmax(runs))
+        charge = int(z[best]) if runs[best] else 0
+        mono = at - ISOTOPE / charge * run_of(found(at - np.arange(1, 7) * ISOTOPE / charge, LOWER * height)) if charge else at
+        mass = charge * (mono - PROTON if polarity == "positive" else mono + PROTON) if charge else None
+        taken = np.append(taken, mono + np.arange(9) * ISOTOPE / max(charge, 1))
+        out.append({"mz": at, "intensity": height, "charge": charge, "isotopes": int(runs[best]), "monoisotopic_mz": mono, "neutral_mass": mass})
     return out
 
 

@@ -432,10 +432,25 @@ def _plate(spark, sf):
 _PLATE = "(SELECT user_id % 20 plate, CASE event_type WHEN 'error' THEN 'negative' WHEN 'purchase' THEN 'positive' WHEN 'click' THEN 'blank' ELSE 'sample' END role, value, event_id, ts FROM events)"
 
 
-@query(f"WITH m AS (SELECT plate, avg(value) FILTER (role = 'positive') mp, stddev_samp(value) FILTER (role = 'positive') sp, avg(value) FILTER (role = 'negative') mn, stddev_samp(value) FILTER (role = 'negative') sn FROM {_PLATE} GROUP BY plate) SELECT plate, round(1 - 3 * (sp + sn) / abs(mp - mn), 2) z_prime, round(mp / mn, 4) signal_to_background, round((mp - mn) / sn, 4) signal_to_noise, round((mp - mn) / sqrt(sp * sp + sn * sn), 4) ssmd FROM m")
+_QUALITY = f"""
+WITH m AS (
+  SELECT plate, avg(value) FILTER (role = 'positive') mp, stddev_samp(value) FILTER (role = 'positive') sp, avg(value) FILTER (role = 'negative') mn,
+    stddev_samp(value) FILTER (role = 'negative') sn, avg(value) FILTER (role = 'sample') ms, stddev_samp(value) FILTER (role = 'sample') ss
+  FROM {_PLATE} GROUP BY plate
+), z AS (SELECT *, 1 - 3 * (sp + sn) / nullif(abs(mp - mn), 0) z FROM m), c AS (
+  SELECT plate, median(cv) * 100 cv FROM (SELECT plate, role, stddev_samp(value) / nullif(abs(avg(value)), 0) cv FROM {_PLATE} GROUP BY plate, role) GROUP BY plate
+)
+SELECT plate, round(z, 2) z_prime, CASE WHEN z >= 0.5 THEN 'excellent' WHEN z > 0 THEN 'marginal' WHEN z IS NOT NULL THEN 'unusable' END assessment,
+  round(1 - 3 * (ss + sn) / nullif(abs(ms - mn), 0), 2) z_factor, round(mp / nullif(mn, 0), 4) signal_to_background, round((mp - mn) / nullif(sn, 0), 4) signal_to_noise,
+  round((mp - mn) / nullif(sqrt(sp * sp + sn * sn), 0), 4) ssmd, round(cv, 4) median_replicate_cv_percent
+FROM z LEFT JOIN c USING (plate)
+"""
+
+
+@query(_QUALITY)
 def assay_quality(spark, sf):
-    q = assay.quality(_plate(spark, sf), ["plate"], "value")
-    return q.select("plate", F.round("z_prime", 2).alias("z_prime"), *(F.round(c, 4).alias(c) for c in ("signal_to_background", "signal_to_noise", "ssmd")))
+    q = assay.quality(_plate(spark, sf), ["plate"], "value", group=["role"])
+    return q.select("plate", "assessment", *(F.round(c, 2).alias(c) for c in ("z_prime", "z_factor")), *(F.round(c, 4).alias(c) for c in ("signal_to_background", "signal_to_noise", "ssmd", "median_replicate_cv_percent")))
 
 
 @query(f"WITH b AS (SELECT plate, avg(value) b FROM {_PLATE} WHERE role = 'blank' GROUP BY plate) SELECT event_id, round(value - b, 9) + 0.0 corrected FROM {_PLATE} JOIN b USING (plate)")
@@ -558,12 +573,28 @@ def first_words(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), F.lit(0)).alias("w"))
 
 
-# Fits and pattern analyses: no SQL says them
+# Fits and pattern analyses
 
 
-@query()
+_KINETICS = f"""
+WITH e AS (SELECT user_id, {_T} t, value v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, v) i, count(*) OVER (PARTITION BY user_id) n, min(t) OVER (PARTITION BY user_id) t0 FROM e),
+h AS (SELECT *, t - t0 x, least(greatest(5, CAST(ceil(n / 10.0) AS INTEGER)), n) h FROM n),
+w AS (SELECT *, regr_slope(v, x) OVER f slope, avg(x) OVER f xm, avg(v) OVER f vm FROM h WINDOW f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND h - 1 FOLLOWING)),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slope DESC NULLS LAST, i) r FROM w WHERE i + h - 1 <= n),
+s AS (SELECT * FROM b WHERE r = 1),
+base AS (SELECT user_id, min(w.v) base FROM w JOIN s USING (user_id) WHERE w.i <= s.i + s.h - 1 GROUP BY user_id),
+area AS (SELECT user_id, sum(a) auc FROM (SELECT user_id, (x - lag(x) OVER o) * (v + lag(v) OVER o) / 2 a FROM h WINDOW o AS (PARTITION BY user_id ORDER BY i)) GROUP BY user_id)
+SELECT u.user_id, round(CASE WHEN n >= 2 THEN slope END * 86400, 4) + 0.0 vmax_a_day, round(CASE WHEN n >= 2 AND slope > 0 THEN t0 + xm - (vm - base) / slope END, 1) lag,
+  round(CASE WHEN n >= 2 THEN t0 + xm END, 1) t_vmax, round(CASE WHEN n >= 2 THEN auc END, 1) + 0.0 auc
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s USING (user_id) LEFT JOIN base USING (user_id) LEFT JOIN area USING (user_id)
+"""
+
+
+@query(_KINETICS)
 def kinetics(spark, sf):
-    return rounded(assay.kinetics(_timed(spark, sf), ["user_id"], "t", "value"), 6)
+    k = assay.kinetics(_timed(spark, sf), ["user_id"], "t", "value")
+    return k.select("user_id", (F.round(F.col("vmax") * 86400, 4) + 0.0).alias("vmax_a_day"), *((F.round(c, 1) + 0.0).alias(c) for c in ("lag", "t_vmax", "auc")))
 
 
 @query()
@@ -573,10 +604,50 @@ def growth(spark, sf):
     return assay.growth(x, ["user_id"], "t", "y")
 
 
-@query()
+_LINES = """
+WITH s AS (
+  SELECT l_suppkey, CAST(count(*) AS INTEGER) n, CAST(count(DISTINCT l_linenumber) AS INTEGER) levels, CAST(min(l_linenumber) AS DOUBLE) x_min, CAST(max(l_linenumber) AS DOUBLE) x_max,
+    regr_intercept(l_quantity, l_linenumber) a, regr_slope(l_quantity, l_linenumber) b, regr_r2(l_quantity, l_linenumber) r2,
+    regr_sxx(l_quantity, l_linenumber) sxx, regr_syy(l_quantity, l_linenumber) - regr_sxy(l_quantity, l_linenumber) ** 2 / regr_sxx(l_quantity, l_linenumber) sse, regr_avgx(l_quantity, l_linenumber) mx
+  FROM lineitem GROUP BY l_suppkey
+)
+SELECT l_suppkey, round(a, 9) a, round(b, 9) b, CAST(NULL AS DOUBLE) c, CAST(NULL AS DOUBLE) d, CAST(NULL AS DOUBLE) g, round(sqrt(sse / (n - 2) * (1.0 / n + mx * mx / sxx)), 4) se_a,
+  round(sqrt(sse / (n - 2) / sxx), 4) se_b, CAST(NULL AS DOUBLE) se_c, CAST(NULL AS DOUBLE) se_d, CAST(NULL AS DOUBLE) se_g, round(r2, 9) r2, round(sse, 4) sse,
+  round(sqrt(sse / (n - 2)), 4) residual_se, n - 2 AS df, n, levels, x_min, x_max
+FROM s
+"""
+
+
+@query(_LINES)
 def curve_fits(spark, sf):
     d = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
-    return assay.fit(d, ["l_suppkey"], "x", "y", "linear")
+    lines = assay.fit(d, ["l_suppkey"], "x", "y", "linear")
+    return rounded(lines, 9).withColumns({c: F.round(c, 4) for c in ("se_a", "se_b", "sse", "residual_se")})
+
+
+_BACK = """
+WITH f AS (SELECT l_suppkey, regr_intercept(l_extendedprice, l_quantity) a, regr_slope(l_extendedprice, l_quantity) b, min(l_quantity) x0, max(l_quantity) x1 FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_suppkey),
+c AS (SELECT l_orderkey, l_linenumber, l_quantity, x0, x1, (l_extendedprice - a) / nullif(b, 0) x FROM lineitem JOIN f USING (l_suppkey) WHERE l_linenumber > 3)
+SELECT l_orderkey, l_linenumber, round(x, 4) + 0.0 back_calculated, CASE WHEN x < x0 THEN 'below_range' WHEN x > x1 THEN 'above_range' WHEN x IS NULL THEN 'not_computable' ELSE 'in_range' END flag,
+  round(2 * x, 4) + 0.0 final_concentration, round(100 * x / l_quantity, 4) + 0.0 recovery_percent
+FROM c
+"""
+
+
+@query(_BACK)
+def back_calculation(spark, sf):
+    """Lines of up to three as standards of each supplier, the others read back from price."""
+    d = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"), F.lit(2.0).alias("dilution"))
+    lines = assay.fit(d.where("l_linenumber <= 3"), ["l_suppkey"], "x", "y", "linear")
+    got = assay.back_calculate(d.where("l_linenumber > 3"), lines, ["l_suppkey"], "y", "linear", "x", "dilution")
+    return rounded(got.select("l_orderkey", "l_linenumber", "back_calculated", "flag", "final_concentration", "recovery_percent"))
+
+
+@query()
+def dose_responses(spark, sf):
+    """Prices of each supplier over quantity; no SQL says the fit."""
+    d = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.avg("l_extendedprice").alias("y"))
+    return assay.dose_response(d.withColumn("x", F.col("l_quantity").cast("double")), ["l_suppkey"], "x", "y")
 
 
 @query()

@@ -28,6 +28,7 @@ class Options:
     trust_first_look: bool = False
     since: float | None = None
     unit: str = "frame"
+    forget_s: float = 86_400.0  # a settled data set that no poll names for so long is forgotten
 
 
 def step(state: dict | None, poll: dict, o: Options) -> tuple[dict | None, list[dict]]:
@@ -71,24 +72,34 @@ def _columns(events: list[dict], path: str) -> pd.DataFrame:
 
 
 def watch(polls: DataFrame, o: Options = Options()) -> DataFrame:
-    """Events of a streaming DataFrame (path, at, size_bytes, mtime, units), with a processing-time stall timer."""
+    """Events of a streaming DataFrame (path, at, size_bytes, mtime, units), with a processing-time stall timer.
+
+    State holds the data sets that polls still name: one that hasn't been named for ``forget_s`` is dropped,
+    after its stall has been told, and would be new if it came back.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in STATE.split(", ")]
         s = dict(zip(names, state.get, strict=True)) if state.exists else None
         events: list[dict] = []
+        wait = o.forget_s
         if state.hasTimedOut:
             if s and s["phase"] == "in_progress":
                 s = s | {"phase": "stalled"}
                 events.append({"event": "dataset_stalled", "at": s["grown"] + o.stall_s, "units": s["units"], "size_bytes": s["size"]})
+            else:
+                s = None
         else:
             for p in pd.concat(list(frames)).sort_values("at").to_dict("records"):
                 s, new = step(s, p, o)
                 events += new
+            if s and s["phase"] == "in_progress":
+                wait = o.stall_s
         if s is not None:
             state.update(tuple(s[n] for n in names))
-            if s["phase"] == "in_progress":
-                state.setTimeoutDuration(int(o.stall_s * 1000))
+            state.setTimeoutDuration(max(int(wait * 1000), 1))
+        elif state.exists:
+            state.remove()
         yield _columns(events, key[0])
 
     return polls.groupBy("path").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

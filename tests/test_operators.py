@@ -92,6 +92,78 @@ def test_growth_and_kinetics(spark):
     assert assay.kinetics(df.limit(1), ["well"], "t", "y").first()["vmax"] is None
 
 
+def test_growth_needs_points_over_the_threshold(spark):
+    t = np.arange(100.0)
+    v = np.where(t < 92, 1e-3, np.exp(t - 100))  # eight points rise, the window takes ten
+    got = assay.growth_of(t, v)
+    assert "mu_max" not in got and got["k"] > 0
+    assert "mu_max" not in assay.growth_of(t, np.linspace(2, 1, 100))
+    assert assay.growth_of(t, -v) == {} and assay.growth_of(t[:1], v[:1]) == {}
+    df = spark.createDataFrame([("w", None, 1.0), ("w", 1.0, None)], "well string, t double, y double")
+    assert tuple(assay.growth(df, ["well"], "t", "y").first()) == ("w", None, None, None, None, None, None)
+
+
+def test_standard_errors_against_closed_forms():
+    rng = np.random.default_rng(3)
+    x = np.repeat([1.0, 2, 4, 8, 16], 3)
+    y = 2 + 3 * x + rng.normal(0, 0.5, len(x))
+    got = assay.fit_curve("linear", x, y)
+    s2 = got["sse"] / (len(x) - 2)
+    want = np.sqrt(np.diag(s2 * np.linalg.inv(np.stack([np.ones_like(x), x]) @ np.stack([np.ones_like(x), x]).T)))
+    assert np.allclose(got["se"], want, rtol=1e-6) and got["df"] == 13 and got["levels"] == 5
+    assert assay.fit_curve("linear", x[[0, 3]], y[[0, 3]])["se"] is None
+
+
+def test_native_lines_equal_the_fit(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(a), float(1 + a + rng.normal())) for k in ("p", "q") for a in range(6)] + [("p", None, 1.0), ("q", float("inf"), 1.0), ("r", 1.0, 1.0), ("r", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r for r in assay.fit(df, ["k"], "x", "y", "linear").collect()}
+    assert got["r"]["a"] is None and got["r"]["levels"] is None
+    weighted = {r["k"]: r for r in assay.fit(df.where("y > 0").withColumn("y", F.col("y") + 10), ["k"], "x", "y", "linear", "1/y").collect()}
+    assert weighted["r"]["a"] is None and weighted["p"]["se_b"] > 0
+    for k in ("p", "q"):
+        x, y = (np.array([r[i] for r in rows if r[0] == k and r[1] is not None and np.isfinite(r[1])]) for i in (1, 2))
+        want = assay.fit_curve("linear", x, y)
+        assert np.allclose([got[k][c] for c in ("a", "b", "se_a", "se_b", "r2", "sse", "residual_se", "df", "n")], [*want["p"], *want["se"], *(want[c] for c in ("r2", "sse", "residual_se", "df", "n"))], rtol=1e-9)
+
+
+def test_back_calculation_and_limits(spark):
+    x = np.array([1000.0 / 2**i for i in range(7)])
+    p = np.array([0.02, 1.4, 180.0, 3.2])
+    y = assay.curve("4pl", p, x)
+    noise = np.where(x == x.min(), 0.5, 0.01)  # the lowest level repeats badly
+    std = spark.createDataFrame([("e", float(a), float(b * (1 + s * n))) for a, b, n in zip(x, y, noise, strict=True) for s in (-1, 1)], "plate string, nominal double, y double")
+    fits = assay.fit(std, ["plate"], "nominal", "y", "4pl")
+    wells = spark.createDataFrame([("e", "in", float(assay.curve("4pl", p, np.array([100.0]))[0]), 10.0), ("e", "low", 0.001, 1.0), ("e", "high", 9.0, 1.0), ("e", "none", None, 1.0), ("f", "lost", 1.0, None), ("e", "above", float(assay.curve("4pl", p, np.array([1500.0]))[0]), None)], "plate string, w string, y double, dil double")
+    got = {r["w"]: r for r in assay.back_calculate(wells, fits, ["plate"], "y", "4pl", dilution="dil").collect()}
+    assert {k: r["flag"] for k, r in got.items()} == {"in": "in_range", "low": "below_curve", "high": "above_curve", "none": None, "lost": "not_computable", "above": "above_range"}
+    assert abs(got["in"]["final_concentration"] - 1000) < 50 and got["high"]["back_calculated"] is None
+    r = assay.quantification_limits(std, fits, ["plate"], "nominal", "y").first()
+    assert r["lloq"] == x[-2] and r["uloq"] == x[0]
+
+
+def test_dose_response_recovers_what_was_planted(spark):
+    rng = np.random.default_rng(20260923)
+    doses = [10.0 / 3**i for i in range(10)]
+    planted = {"A": (0.25, 1.0, 2000.0, 3), "B": (1.8, 1.5, 2000.0, 3), "C": (3.0, 0.8, 20000.0, 2)}
+    rows = [(k, d, float((low + (1e5 - low) / (1 + (d / ic) ** h)) * (1 + 0.01 * rng.normal()))) for k, (ic, h, low, m) in planted.items() for _ in range(m) for d in doses]
+    rows += [("up", d, float(5 + 90 * d / (d + 0.5))) for d in doses] + [("few", 1.0, 2.0), ("few", 2.0, 2.5), ("flat", None, 1.0)]
+    df = spark.createDataFrame(rows, "compound string, dose double, y double")
+    got = {r["compound"]: r for r in assay.dose_response(df, ["compound"], "dose", "y").collect()}
+    for k, (ic, h, *_) in planted.items():
+        r = got[k]
+        assert r["kind"] == "IC50" and abs(r["ec50"] / ic - 1) < 0.15 and abs(-r["hill_slope"] / h - 1) < 0.15
+        assert r["ec50_ci_low"] < r["ec50"] < r["ec50_ci_high"] and not r["extrapolated"]
+    assert got["few"]["error"] and got["few"]["ec50"] is None and "flat" not in got
+    up = assay.effect_of(*(np.array([r[i] for r in rows if r[0] == "up"]) for i in (1, 2)), "4pl", normalized=True)
+    assert up["kind"] == "EC50" and abs(up["ec50"] - 0.5) < 1e-3 and abs(up["absolute_ec50"] - 0.5) < 1e-3
+    x = np.array(doses)
+    y5 = assay.curve("5pl", np.array([1.0, 1.2, 0.8, 9.0, 0.7]), x)
+    five = assay.effect_of(x, y5, "5pl")
+    assert abs(np.interp(five["ec50"], x[::-1], y5[::-1]) - 5.0) < 0.3
+
+
 def test_grubbs(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 1.1, 0.9, 1.05, 0.95, 9.0)], "g string, v double")
     assert [r["v"] for r in assay.outliers(df, ["g"], "v").where("outlier").collect()] == [9.0]
@@ -158,6 +230,13 @@ def test_isotopes_and_southern():
     mz = np.array([500.0 + k * 1.00335 / 2 for k in range(4)] + [700.0])
     got = spectra.isotope_charges(mz, np.array([100, 60, 30, 10, 50.0]), 5, 8)
     assert [(round(g["mz"]), g["charge"]) for g in got] == [(500, 2), (700, 0)]
+    # a lower isotope moves the start of the pattern, a small point beside an isotope doesn't hide it
+    mz = np.array([499.498, 500.0, 500.499, 500.502, 501.003, 501.505])
+    got = spectra.isotope_charges(mz, np.array([40.0, 100, 0.5, 60, 30, 10]), 3, 8)
+    assert got[0]["charge"] == 2 and got[0]["isotopes"] == 3 and abs(got[0]["monoisotopic_mz"] - 499.49832) < 1e-4
+    assert abs(got[0]["neutral_mass"] - 2 * (499.4983225 - 1.007276)) < 1e-6
+    assert [round(g["mz"], 3) for g in got] == [500.0]
+    assert spectra.isotope_charges(np.zeros(0), np.zeros(0), 3, 8) == []
     bp = np.array([100, 200, 300, 400, 500.0])
     tt = 1000 + bp * 3
     assert abs(signal.local_southern(1000 + 250 * 3, tt, bp) - 250) < 1.0

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from fathomry.streaming import watch
@@ -7,6 +9,15 @@ DDL = "path string, at double, size_bytes long, mtime double, units long"
 WANT = [("a", 0.0, "dataset_new"), ("a", 0.0, "frame_new"), ("a", 10.0, "frame_new"), ("a", 140.0, "dataset_stalled"), ("b", 0.0, "dataset_new"), ("b", 10.0, "dataset_complete")]
 
 
+def until(q, done, seconds=90):
+    """Waits for done(), then stops the stream: with a processing-time timeout it goes on running batches."""
+    end = time.time() + seconds
+    while not done() and q.isActive and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+    assert q.exception() is None
+
+
 def test_replay(spark):
     got = watch.replay(spark.createDataFrame(ROWS, DDL))
     assert sorted((r["path"], r["at"], r["event"]) for r in got.collect()) == sorted(WANT)
@@ -18,11 +29,20 @@ def test_stream_gives_the_replays_events(spark, tmp_path):
         spark.createDataFrame([r for r in ROWS if r[1] == at], DDL).coalesce(1).write.mode("append").parquet(src)
         del k
     stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 100).parquet(src)
-    q = watch.watch(stream).writeStream.format("memory").queryName("watched").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = watch.watch(stream).writeStream.format("memory").queryName("watched").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until(q, lambda: spark.table("watched").count() >= len(WANT))
     assert sorted((r["path"], r["at"], r["event"]) for r in spark.table("watched").collect()) == sorted(WANT)
 
 
+def test_stream_forgets_what_no_poll_names(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([r for r in ROWS if r[0] == "b"], DDL).coalesce(1).write.parquet(src)
+    q = watch.watch(spark.readStream.schema(DDL).parquet(src), watch.Options(forget_s=2.0)).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    kept = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    until(q, lambda: 1 in kept() and kept()[-1] == 0)
+    assert max(kept()) == 1 and kept()[-1] == 0
+
+
 def test_event_time_windows_stream(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([("2024-01-01 00:00:10", "x", 1.0), ("2024-01-01 00:00:50", "x", 3.0), ("2024-01-01 00:02:00", "x", 5.0)], "ts string, k string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(src)
