@@ -61,3 +61,42 @@ def test_the_corrected_risk_ignores_positives_among_the_unlabelled():
     rows, cols = np.nonzero(x)
     w, b = tx.nnpu(rows, cols, n, 2, np.flatnonzero(y)[:150], np.arange(n), 0.2, tx.Options(steps=400, decay=0))
     assert ((x @ w + b > 0) == y).mean() > 0.93
+
+
+def risk(theta, x, p, u, prior):
+    """(risk of the positives, risk of the negatives, which the estimator keeps from falling below zero)."""
+    z = x @ theta[:-1] + theta[-1]
+    return prior * np.logaddexp(0, -z[p]).mean(), np.logaddexp(0, z[u]).mean() - prior * np.logaddexp(0, z[p]).mean()
+
+
+def slope(theta, x, p, u, prior, side):
+    """The dense gradient of the whole risk, or of the negatives' risk turned round where that is below zero."""
+    one = np.column_stack([x, np.ones(len(x))])
+    s = 1 / (1 + np.exp(-(one @ theta)))
+    negative = one[u].T @ s[u] / len(u) - prior * one[p].T @ s[p] / len(p)
+    return prior * one[p].T @ (s[p] - 1) / len(p) + negative if side else -negative
+
+
+def test_every_step_follows_the_gradient_of_the_risk():
+    """Against a dense estimator, through steps on both sides of the correction; its gradient is held against differences of the risk.
+
+    The differences can't drive the steps: the bias starts where its gradient is zero, and Adam would scale up their error.
+    """
+    r = np.random.default_rng(5)
+    x = (r.random((40, 6)) < 0.5).astype(float)
+    p, u, prior = np.arange(0, 12), np.arange(12, 40), 0.4
+    x[p, 0] = 1
+    x[u, 0] = 0
+    rows, cols = np.nonzero(x)
+    theta, m1, m2, sides = np.append(np.zeros(6), np.log(prior / (1 - prior))), np.zeros(7), np.zeros(7), set()
+    for t in range(1, 61):
+        side = bool(risk(theta, x, p, u, prior)[1] >= 0)
+        sides.add(side)
+        value = (lambda q: sum(risk(q, x, p, u, prior))) if side else (lambda q: -risk(q, x, p, u, prior)[1])
+        grad = slope(theta, x, p, u, prior, side)
+        assert np.allclose(grad, [(value(theta + h) - value(theta - h)) / 2e-6 for h in np.eye(7) * 1e-6], atol=1e-7)
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        theta = theta - 0.3 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+        w, b = tx.nnpu(rows, cols, 40, 6, p, u, prior, tx.Options(steps=t, decay=0, rate=0.3))
+        assert np.allclose(np.append(w, b), theta, atol=1e-6)
+    assert sides == {True, False}

@@ -47,6 +47,44 @@ def test_em_recovers_the_labellers_accuracies():
     assert ((p[at] > 0.5) == y).mean() > 0.95
 
 
+def dense_em(v, rounds):
+    """The same model row by row: a posterior for every document, tables of P(vote | class) with one added to each count."""
+    p = 1 / (1 + np.exp(4.0 * ((v == -1).sum(1) - 1.5)))
+    for _ in range(rounds):
+        score = np.full(len(v), np.log((p.sum() + 1) / ((1 - p).sum() + 1)))
+        for j in range(v.shape[1]):
+            table = {x: [(share[v[:, j] == x].sum() + 1) / (share.sum() + 3) for share in (p, 1 - p)] for x in (-1, 0, 1)}
+            score += np.array([np.log(table[x][0] / table[x][1]) for x in v[:, j].tolist()])
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return p
+
+
+def test_em_on_patterns_equals_em_on_rows():
+    r = np.random.default_rng(7)
+    y = r.random(400) < 0.6
+    v = np.where(y[:, None], 1, -1) * r.choice([1, 0, -1], (400, 6), p=[0.6, 0.25, 0.15])
+    codes, at, count = np.unique(wl.pattern(v), return_inverse=True, return_counts=True)
+    for rounds in (1, 2, 15):
+        p, _ = wl.expectation_maximisation(codes, count.astype(float), 6, rounds)
+        assert np.allclose(p[at], dense_em(v, rounds), atol=1e-7)
+    assert len(wl.expectation_maximisation(codes[:0], np.zeros(0), 6, 5)[0]) == 0
+
+
+def test_the_scorer_equals_a_dense_one():
+    r = np.random.default_rng(8)
+    x, target = r.random((60, 16)) * (r.random((60, 16)) < 0.4), r.random(60)
+    o = wl.Options(dimension=16, steps=40)
+    doc, feature = np.nonzero(x)
+    w, b = wl.train(doc, feature, x[doc, feature], target, o)
+    theta, m1, m2 = np.zeros(17), np.zeros(17), np.zeros(17)
+    for t in range(1, o.steps + 1):
+        g = (1 / (1 + np.exp(-(x @ theta[:16] + theta[16]))) - target) / 60
+        grad = np.append(x.T @ g + o.decay * theta[:16], g.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        theta -= o.rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+    assert np.allclose(np.append(w, b), theta, atol=1e-9)
+
+
 def test_values_by_hand():
     v = wl.values(*vec.flat(pa.array(["Ab ab ab | cd!\nx y.\nx y.", None, "###"])))
     assert v.shape == (3, len(wl.LABELLERS))
