@@ -27,12 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def small_batches(spark: SparkSession, size: str = "2m") -> None:
-    """Bounds what Spark hands to a Python worker at once in bytes; by default 10,000 rows go, however long.
+def small_batches(spark: SparkSession, size: str = "2m", row_group: int = 16 << 20) -> None:
+    """Bounds in bytes what Spark hands to a Python worker at once, and what a task holds of a Parquet file it writes.
 
-    The operators regroup batches (``vec.blocks``), so the bound changes memory alone. It holds for the session.
+    By default 10,000 rows go, however long, and 128 MB of texts are kept until a row group is written.
+    The operators regroup batches (``vec.blocks``), so the bounds change memory alone. They hold for the session.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("parquet.block.size", str(row_group))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ A null text is an empty byte range everywhere.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,6 +197,13 @@ def lcp_next(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on, and would keep what its largest block took."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20, max_rows: int = 60_000) -> Iterator[pa.Table]:
     """Regroups Arrow batches into tables of about max_bytes of text, at least one row each; memory stays bounded."""
     held: list[pa.RecordBatch] = []
@@ -218,8 +226,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             if at < b.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size, rows = [], 0, 0
-                pool.release_unused()  # a worker lives on and would keep what its largest block took
+                pool.release_unused()
     if held:
         yield pa.Table.from_batches(held)
     held = []
     pool.release_unused()
+    give_back()
