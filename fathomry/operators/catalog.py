@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,40 @@ def strict(df: DataFrame, assurance: str = "assurance", allowed: tuple[str, ...]
     if bad:
         raise EngineError(f"{bad} rows without assurance", f"allowed: {', '.join(allowed)}")
     return df
+
+
+def integrity(items: DataFrame, findings: DataFrame, key: str, severity: str = "severity") -> DataFrame:
+    """A row per item: ok (no error among its findings), errors, warnings, infos. One aggregate, then one join."""
+    counts = findings.groupBy(key).agg(*(F.count_if(F.lower(severity) == s).alias(f"{s}s") for s in ("error", "warning", "info")))
+    out = items.select(key).distinct().join(counts, key, "left").na.fill(0, ["errors", "warnings", "infos"])
+    return out.select(key, (F.col("errors") == 0).alias("ok"), "errors", "warnings", "infos")
+
+
+def image_summary(images: DataFrame, key: list[str]) -> DataFrame:
+    """Per data set the number of images and the sizes of the largest plane (of equals the lowest index, then the larger sizes)."""
+    sizes = [c for c in ("size_x", "size_y", "size_z", "size_c", "size_t", "pixel_type") if c in images.columns]
+    largest = F.max_by(F.struct(*sizes), F.struct(F.col("size_x") * F.col("size_y"), -F.col("index"), *sizes)).alias("l")
+    return images.groupBy(*key).agg(F.count("*").alias("image_count"), largest).select(*key, "image_count", "l.*")
+
+
+#: Licences by what their texts hold, the first that fits.
+LICENCES = {
+    "CC0-1.0": ["cc0 1.0", "cc0-1.0", "creative commons zero", "cc0"],
+    "CC-BY-4.0": ["cc-by-4.0", "cc by 4.0", "creative commons attribution 4.0"],
+    "CC-BY-SA-4.0": ["cc-by-sa-4.0", "attribution-sharealike 4.0"],
+    "CC-BY-NC-4.0": ["cc-by-nc-4.0", "attribution-noncommercial 4.0"],
+    "CC-BY-3.0": ["cc-by-3.0", "creative commons attribution 3.0"],
+    "ODbL-1.0": ["odbl", "open database license"],
+    "Apache-2.0": ["apache license, version 2.0", "apache-2.0", "apache license 2.0"],
+    "MIT": ["mit license", "permission is hereby granted, free of charge"],
+    "BSD-3-Clause": ["bsd-3-clause", "neither the name of the copyright holder"],
+    "PDDL-1.0": ["pddl", "public domain dedication and license"],
+}
+
+
+def licence(text: Column) -> Column:
+    """The SPDX id of a licence's text, else null."""
+    t = F.lower(text)
+    narrower = t.contains("sharealike") | t.contains("noncommercial")
+    tests = {k: reduce(lambda a, b: a | b, [t.contains(p) for p in phrases]) for k, phrases in LICENCES.items()}
+    return F.coalesce(*(F.when(p & ~narrower if k == "CC-BY-4.0" else p, F.lit(k)) for k, p in tests.items()))

@@ -5,6 +5,7 @@ A strategy is compiled to expressions in parent order, so all events take one pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -72,27 +73,75 @@ def logicle_values(y: np.ndarray, t: float = 262144.0, w: float = 0.5, m: float
     ca = np.exp(x0 * (b + d))
     fa = np.exp(b * x1) - ca / np.exp(d * x1)
     sa = t / ((np.exp(b) - fa) - ca / np.exp(d))
+    return _inverse(lambda x: sa * (np.exp(b * x) - ca * np.exp(-d * x) - fa), y)
+
+
+def _inverse(rising: Callable[[np.ndarray], np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Where a rising function takes the values y, between -2 and 3: all bisected at once."""
     lo, hi = np.full(len(y), -2.0), np.full(len(y), 3.0)
     for _ in range(60):
         x = (lo + hi) / 2
-        v = sa * (np.exp(b * x) - ca * np.exp(-d * x) - fa)
-        below = v < y
+        below = rising(x) < y
         lo, hi = np.where(below, x, lo), np.where(below, hi, x)
     return (lo + hi) / 2
 
 
-def logicle(c: Column, t: float = 262144.0, w: float = 0.5, m: float = 4.5, a: float = 0.0) -> Column:
+def hyperlog_values(y: np.ndarray, t: float = 262144.0, w: float = 0.5, m: float = 4.5, a: float = 0.0) -> np.ndarray:
+    """Inverse of a e^{bx} + cx - f, which is linear about 0 over w decades and takes t at 1."""
+    b = (m + a) * np.log(10)
+    zero, top = (a + w) / (m + a), (a + 2 * w) / (m + a)
+    slope = np.exp(b * top) * (m + a) / w
+    offset = np.exp(b * zero) + slope * zero
+    scale = t / (np.exp(b) + slope - offset)
+    return _inverse(lambda x: scale * (np.exp(b * x) + slope * x - offset), y)
+
+
+def _mapped(c: Column, values: Callable[[np.ndarray], np.ndarray]) -> Column:
     @F.pandas_udf(T.DoubleType())
     def run(s: pd.Series) -> pd.Series:
         v = s.to_numpy(float)
         out = np.full(len(v), np.nan)
         ok = np.isfinite(v)
-        out[ok] = logicle_values(v[ok], t, w, m, a)
+        out[ok] = values(v[ok])
         return pd.Series(out).where(ok)
 
     return run(c)
 
 
+def logicle(c: Column, t: float = 262144.0, w: float = 0.5, m: float = 4.5, a: float = 0.0) -> Column:
+    return _mapped(c, lambda v: logicle_values(v, t, w, m, a))
+
+
+def hyperlog(c: Column, t: float = 262144.0, w: float = 0.5, m: float = 4.5, a: float = 0.0) -> Column:
+    return _mapped(c, lambda v: hyperlog_values(v, t, w, m, a))
+
+
+def offset_log(c: Column, offset: float, decades: float) -> Column:
+    """Decades over the offset, below which all is 0, as a share of the scale's."""
+    return (F.log10(F.greatest(c, F.lit(float(offset)))) - float(np.log10(offset))) / decades
+
+
+def ratio(x: Column, y: Column, a: float = 1.0, b: float = 0.0, c: float = 0.0) -> Column:
+    """a (x - b) / (y - c), a dimension of its own; null where y is c."""
+    return F.try_divide(a * (x - b), y - c)
+
+
+def match_samples(files: DataFrame, samples: DataFrame) -> DataFrame:
+    """(file, sample): the one sample of the file's name, else of its `fil`, else the only one there is; otherwise null.
+
+    files: file, fil; samples: sample, name, uri_name, fil.
+    """
+
+    def only(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.where(f"{key} is not null and {key} <> ''").distinct().groupBy(key).agg(F.min("sample").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
+
+    named = only(samples.select("sample", F.explode(F.array("name", "uri_name")).alias("file")), "file", "__named")
+    kept = only(samples.select("sample", F.trim("fil").alias("__fil")), "__fil", "__kept")
+    single = samples.agg(F.when(F.count("*") == 1, F.min("sample")).alias("__single"))
+    out = files.withColumn("__fil", F.trim("fil")).join(named, "file", "left").join(kept, "__fil", "left").crossJoin(F.broadcast(single))  # one row
+    return out.select("file", F.coalesce("__named", "__kept", "__single").alias("sample"))
+
+
 def _number(c: str) -> Column:
     d = F.col(c).cast("double")
     return F.when(~F.isnan(d), d)

@@ -170,3 +170,17 @@ def parameter_summary(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
 
 def percent_of_total(df: DataFrame, keys: list[str], area: str) -> DataFrame:
     return df.withColumn("area_percent", F.try_divide(F.col(area) * 100, F.sum(area).over(Window.partitionBy(*keys))))
+
+
+def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """n and r of the rows that have both; null under two rows or without spread."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
+
+
+def merged_statistics(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of wells from those of their fields (count, mean, std of the population, min, max), pixels unread."""
+    n = F.sum("count")
+    mean = F.try_divide(F.sum(F.col("count") * F.col("mean")), n)
+    square = F.try_divide(F.sum(F.col("count") * (F.col("std") ** 2 + F.col("mean") ** 2)), n)
+    return parts.groupBy(*keys).agg(F.count("*").alias("fields"), n.alias("count"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"))

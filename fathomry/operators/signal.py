@@ -216,6 +216,34 @@ def passive(t: np.ndarray, v: np.ndarray, start: float, end: float, current_pa:
     return out | {"tau": float(t[cross[0]] - start) if len(cross) else None}
 
 
+def pulse_response(t: np.ndarray, i: np.ndarray, start: float, end: float, step_mv: float) -> dict:
+    """Access and membrane resistance (MOhm), time constant (ms) and capacitance (pF) from the current (pA) of a voltage step.
+
+    The transient's decay is fitted as an exponential from 90 % of its height down to 10 %; run back to the
+    apex it gives the access resistance, and its charge, made up for what the membrane leaks, the capacitance.
+    """
+    none = dict.fromkeys(("access", "membrane", "tau", "capacitance"))
+    on = np.flatnonzero((t >= start) & (t < end))
+    if len(on) < 8 or not step_mv or not (t < start).any():
+        return none
+    base, steady = i[t < start].mean(), np.median(i[on[int(0.8 * len(on)) :]])
+    up = 1.0 if step_mv > 0 else -1.0
+    excess = (i[on] - steady) * up
+    apex = int(np.argmax(excess[: max(2, int(np.searchsorted(t[on], start + 0.002)))]))
+    fall = np.flatnonzero(excess[apex:] < 0.1 * excess[apex])
+    stop = apex + (int(fall[0]) if len(fall) else len(on) - apex)
+    part = np.arange(apex, stop)[excess[apex:stop] <= 0.9 * excess[apex]]
+    if len(part) < 3 or steady == base:
+        return none
+    rate, level = np.polyfit(t[on[part]] - t[on[apex]], np.log(excess[part]), 1)
+    if rate >= 0:
+        return none
+    access = step_mv / (up * np.exp(level) + steady - base) * 1000
+    membrane = step_mv / (steady - base) * 1000 - access
+    charge = up * np.exp(level) / -rate * 1000  # fC
+    return {"access": float(access), "membrane": float(membrane), "tau": float(-1000 / rate), "capacitance": float(charge / step_mv * ((access + membrane) / membrane) ** 2) if membrane > 0 else None}
+
+
 # Images
 
 

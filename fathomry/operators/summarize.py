@@ -149,3 +149,28 @@ def mann_whitney(rows: DataFrame, group: list[str], column: str, control: str) -
     out = ranked.groupBy(*group).agg(F.sum("c").alias("n1"), F.sum("cc").alias("n2"), F.sum(F.col("rank") * F.col("c")).alias("r1"), F.sum(td * td * td - td).alias("ties"))
     out = out.where("n1 > 0 and n2 > 0").withColumn("statistic", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     return out.withColumn("p_value", _u_p("statistic", "n1", "n2", "ties")).drop("r1", "ties")
+
+
+#: The columns that are summarised unless told otherwise, by measure.
+PRIMARY = {
+    "stats": ["mean", "median"],
+    "trace": ["mean", "max"],
+    "table": ["median", "value"],
+    "gate": ["count", "percent_of_parent"],
+    "peaks": ["area", "height", "main_area", "main_area_percent"],
+    "chromatogram": ["apex_rt_min", "apex_intensity"],
+    "assay": ["value", "back_calculated", "final_concentration", "ec50", "max_slope_per_min", "doubling_time_h", "z_prime", "mean"],
+    "nmr-peaks": ["ppm", "height", "value", "main_peak_ppm"],
+    "ephys-features": ["spike_count", "rheobase_pa", "input_resistance_mohm", "peak_mv"],
+    "spikes": ["spike_count", "rate_hz"],
+    "qpcr": ["cq", "rq", "efficiency_percent"],
+    "well-stats": ["mean", "median"],
+}
+
+
+def primary_values(measure: str, df: DataFrame) -> list[str]:
+    """The columns of a measure's table that a summary takes by default; without any, all numbers that are values and no dimensions."""
+    wanted = [c for c in PRIMARY.get(measure, []) if c in df.columns]
+    wanted += [c for c in df.columns if measure == "gate" and c.startswith("median:")]
+    dimensions = {c for family in DIMENSIONS for c in family}
+    return wanted or [f.name for f in df.schema if isinstance(f.dataType, S.NUMERIC) and f.metadata.get("role", "value") == "value" and f.name not in dimensions]

@@ -168,3 +168,18 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
     if not total:
         return rows.select(*df.columns, F.lit(0).cast("long").alias(name))
     return rows.select(*df.columns, (F.col("__i").bitwiseAND(F.lit(low)) + 1 + F.element_at(F.create_map(*before), part)).cast("long").alias(name))
+
+
+def planes(df: DataFrame, *selections: str) -> DataFrame:
+    """Planes by `c=0,1`, `z=2-5` or both as `c=0,1,z=2-5`; an axis that no selection names is not restricted."""
+    wanted: dict[str, list[Column]] = {}
+    for one in (x for s in selections for x in re.split(r",\s*(?=[^,=]+=)", s)):
+        m = re.fullmatch(r"\s*([cztCZT])\s*=\s*(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)\s*", one)
+        if not m:
+            raise UsageError(f"not a selection of planes: {one}", "axes c, z and t, such as z=0-3")
+        for part in m[2].split(","):
+            low, high = (int(x) for x in (part.split("-") * 2)[:2])
+            if high < low:
+                raise UsageError(f"range {part.strip()} is reversed")
+            wanted.setdefault(m[1].lower(), []).append(F.col(m[1].lower()).between(low, high))
+    return df.where(reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, tests) for tests in wanted.values()], F.lit(True)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
-from ..operators import assay, catalog, gating, health, joins, link, plots, qpcr, reads, search, series, spectra, summarize, tables
+from ..operators import assay, catalog, gating, health, joins, layout, link, plots, qpcr, reads, search, series, spectra, summarize, tables
 from ..operators.graph import connected_components
 from ..streaming import watch
 from .batch import Batch
@@ -717,3 +717,82 @@ def group_spread(spark, sf):
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) r FROM events) WHERE r = 1")
 def trace_apex(spark, sf):
     return plots.apex(table(spark, sf, "events"), ["user_id"], "event_id", "value")
+
+
+# Layouts, licences, checks
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'blank' WHEN 1 THEN 'standard' WHEN 2 THEN 'positive' WHEN 3 THEN 'control' WHEN 4 THEN 'sample' ELSE 'negative' END AS role, CASE WHEN p_partkey % 6 IN (0, 5) THEN NULL WHEN p_partkey % 6 = 1 THEN 'standard' WHEN p_partkey % 6 = 2 THEN 'positive' WHEN p_partkey % 6 = 3 THEN 'control' ELSE 'sample' END written FROM part")
+def well_roles(spark, sf):
+    p = F.col("p_partkey")
+    name = F.element_at(F.array(F.concat(F.lit("Blank "), p), F.concat(F.lit("STD-"), p), F.lit("Pos. Ctrl"), F.lit("DMSO"), F.lit("Unknown"), F.lit("negative control N")), (p % 6 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", layout.role_of_name(name).alias("role"), layout.role(F.when(p % 6 == 1, "Std. curve").otherwise(name)).alias("written"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size / 2.0 ELSE 4.0 END factor, p_retailprice number, 'mg/' || p_size rest FROM part")
+def dilutions(spark, sf):
+    p, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(p % 3 == 0, F.concat(F.lit("1:"), size)).when(p % 3 == 1, F.concat(F.lit(" 2 / "), size)).otherwise(F.lit("0.25x"))
+    number, rest = S.leading_number(F.concat(F.col("p_retailprice").cast("string"), F.lit(" mg/"), size))
+    return table(spark, sf, "part").select("p_partkey", S.dilution(text).alias("factor"), number.alias("number"), rest.alias("rest"))
+
+
+@query("SELECT p_partkey, chr(CAST(65 + r AS INTEGER)) || lpad(CAST(c AS VARCHAR), 2, '0') well, CAST(96 AS INTEGER) plate FROM part, range(0, 8) t(r), range(1, 13) u(c) WHERE r BETWEEN p_partkey % 4 AND p_partkey % 4 + p_size % 3 AND c BETWEEN 2 AND 3 + p_size % 5")
+def well_ranges(spark, sf):
+    p, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(F.chr(65 + p % 4), (3 + size % 5).cast("string"), F.lit(":"), F.chr(65 + p % 4 + size % 3), F.lit("2"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(S.well_range(text)).alias("well"), S.plate_size(F.lit(8), F.lit(12)).alias("plate"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'MIT' WHEN doc_id % 4 = 1 THEN 'CC-BY-SA-4.0' WHEN doc_id % 4 = 2 THEN 'CC-BY-4.0' END licence FROM documents")
+def licences(spark, sf):
+    d = F.col("doc_id")
+    text = F.when(d % 4 == 0, "The MIT License").when(d % 4 == 1, "CC BY 4.0, no: Creative Commons Attribution-ShareAlike 4.0").when(d % 4 == 2, "Under CC BY 4.0")
+    return table(spark, sf, "documents").select("doc_id", catalog.licence(text).alias("licence"))
+
+
+@query("SELECT s_suppkey, coalesce(e, 0) = 0 ok, coalesce(e, 0) errors, coalesce(w, 0) warnings, coalesce(i, 0) infos FROM supplier LEFT JOIN (SELECT l_suppkey s_suppkey, count(*) FILTER (l_quantity > 49) e, count(*) FILTER (l_quantity BETWEEN 40 AND 49) w, count(*) FILTER (l_quantity < 40) i FROM lineitem WHERE l_returnflag = 'A' AND l_tax > 0.07 GROUP BY 1) USING (s_suppkey)")
+def integrity(spark, sf):
+    q = F.col("l_quantity")
+    findings = table(spark, sf, "lineitem").where("l_returnflag = 'A' and l_tax > 0.07").select(F.col("l_suppkey").alias("s_suppkey"), F.when(q > 49, "error").when(q >= 40, "Warning").otherwise("info").alias("severity"))
+    return catalog.integrity(table(spark, sf, "supplier"), findings, "s_suppkey")
+
+
+@query("SELECT l_orderkey, count(*) image_count, arg_max(l_quantity, (l_quantity * l_suppkey, -l_linenumber, l_quantity, l_suppkey)) size_x, arg_max(l_suppkey, (l_quantity * l_suppkey, -l_linenumber, l_quantity, l_suppkey)) size_y FROM lineitem GROUP BY l_orderkey")
+def image_summary(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("index"), F.col("l_quantity").alias("size_x"), F.col("l_suppkey").alias("size_y"))
+    return catalog.image_summary(d, ["l_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) AND (l_suppkey % 10 BETWEEN 2 AND 5 OR l_suppkey % 10 = 8)")
+def plane_selection(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("c"), (F.col("l_suppkey") % 10).alias("z"), F.lit(0).alias("t"))
+    return tables.planes(d, "c=1,3,z=2-5", "z=8").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_type, count(*) n, round(corr(event_id, value), 6) r FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def pearson(spark, sf):
+    return rounded(series.pearson(table(spark, sf, "events"), ["event_type"], "event_id", "value"), 6)
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) fields, count(*) AS count, round(avg(l_quantity), 4) mean, round(stddev_pop(l_quantity), 4) std, min(l_quantity) min, max(l_quantity) max FROM lineitem GROUP BY l_returnflag")
+def well_statistics(spark, sf):
+    q = F.col("l_quantity").cast("double")
+    fields = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("count"), F.avg(q).alias("mean"), F.stddev_pop(q).alias("std"), F.min(q).alias("min"), F.max(q).alias("max"))
+    return rounded(series.merged_statistics(fields, ["l_returnflag"]))
+
+
+@query("SELECT round(sum((log10(greatest(l_extendedprice, 2000)) - log10(2000)) / 4.5), 3) log_sum, round(sum(2.0 * (l_extendedprice - 1) / nullif(l_quantity - 3, 0)), 1) ratio_sum FROM lineitem")
+def offset_log_and_ratio(spark, sf):
+    x, y = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
+    return table(spark, sf, "lineitem").agg(F.round(F.sum(gating.offset_log(x, 2000.0, 4.5)), 3).alias("log_sum"), F.round(F.sum(gating.ratio(x, y, 2.0, 1.0, 3.0)), 1).alias("ratio_sum"))
+
+
+@query("""WITH f AS (SELECT s_suppkey file_key, 'a' || s_suppkey % 60 AS file, ' n' || s_nationkey || ' ' AS fil FROM supplier), s AS (SELECT n_nationkey k, 'a' || n_nationkey a, 'a' || 2 * n_nationkey b, 'n' || n_nationkey % 20 fil FROM nation),
+n AS (SELECT file, min(k) k FROM (SELECT k, a AS file FROM s UNION SELECT k, b FROM s) GROUP BY file HAVING count(*) = 1), g AS (SELECT fil, min(k) k FROM s GROUP BY fil HAVING count(*) = 1)
+SELECT f.file, coalesce(n.k, g.k) AS sample FROM f LEFT JOIN n ON f.file = n.file LEFT JOIN g ON trim(f.fil) = g.fil""")
+def sample_matches(spark, sf):
+    k = F.col("n_nationkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    files = table(spark, sf, "supplier").select(name("a", F.col("s_suppkey") % 60).alias("file"), F.concat(name(" n", F.col("s_nationkey")), F.lit(" ")).alias("fil"))
+    return gating.match_samples(files, table(spark, sf, "nation").select(k.alias("sample"), name("a", k).alias("name"), name("a", k * 2).alias("uri_name"), name("n", k % 20).alias("fil")))

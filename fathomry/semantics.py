@@ -123,3 +123,46 @@ def well(c: Column) -> Column:
 
 def cv_percent(mean: Column, sd: Column) -> Column:
     return F.when(mean != 0, F.try_divide(sd, F.abs(mean)) * 100)
+
+
+def leading_number(text: Column) -> tuple[Column, Column]:
+    """(number, rest) of `1.5 mg/ml`; null where no plain number stands before something else."""
+    t = F.trim(text)
+    head = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)(?![0-9.eE])", 1)
+    value = F.when(head != "", finite(head.try_cast("double")))
+    return value, F.when(value.isNotNull(), F.trim(F.substring(t, F.length(head) + 1, F.length(t))))
+
+
+def dilution(text: Column) -> Column:
+    """The factor that `1:10`, `1/10`, `10x` or `10` says; a plain number under 1 is a fraction."""
+    t = F.trim(text)
+    a, b = (number(F.regexp_extract(t, r"^([^:/]*)[:/](.*)$", k)) for k in (1, 2))
+    v = number(F.regexp_replace(t, "[xX]+$", ""))
+    return F.when(t.rlike("[:/]"), F.when((a > 0) & (b > 0), b / a)).when(v > 0, F.when(v < 1, 1 / v).otherwise(v))
+
+
+def _place(name: Column) -> tuple[Column, Column]:
+    """Row and column, from 1, of a well written as `well` writes it."""
+    letters = F.regexp_extract(name, "^[A-Z]+", 0)
+    last = F.ascii(F.substring(letters, -1, 1)) - 64
+    row = F.when(F.length(letters) == 2, (F.ascii(letters) - 64) * 26 + last).otherwise(last)
+    return row, F.regexp_extract(name, "[0-9]+$", 0).try_cast("int")
+
+
+def well_range(c: Column) -> Column:
+    """The wells of `A1:B3`, row by row, whichever corners it names; one well is itself, anything else null."""
+    a = well(F.regexp_extract(c, r"^([^:]*)", 1))
+    b = F.when(c.contains(":"), well(F.regexp_extract(c, r"^[^:]*:(.*)$", 1))).otherwise(a)
+    (r0, c0), (r1, c1) = _place(a), _place(b)
+    rows, columns = F.sequence(F.least(r0, r1), F.greatest(r0, r1)), F.sequence(F.least(c0, c1), F.greatest(c0, c1))
+    name = lambda r, k: F.concat(F.when(r <= 26, F.chr(64 + r)).otherwise(F.concat(F.lit("A"), F.chr(64 + r - 26))), F.lpad(k.cast("string"), 2, "0"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda k: name(r, k)))))
+
+
+#: Rows and columns of the usual plates.
+PLATES = [(2, 3), (3, 4), (4, 6), (6, 8), (8, 12), (16, 24), (32, 48)]
+
+
+def plate_size(rows: Column, columns: Column) -> Column:
+    """Wells of the smallest usual plate that has so many rows and columns."""
+    return F.coalesce(*(F.when((rows <= r) & (columns <= k), F.lit(r * k)) for r, k in PLATES))

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomry import semantics as S
 from fathomry.errors import UsageError
-from fathomry.operators import assay, gating, health, joins, link, qpcr, series, signal, spectra, summarize, tables
+from fathomry.operators import assay, catalog, gating, health, joins, layout, link, qpcr, series, signal, spectra, summarize, tables
 
 
 def test_summary_edges(spark):
@@ -334,3 +335,70 @@ def test_a_crossing_at_the_last_cycle_counts():
     y = np.where(cycle < 20, 1 + 0.001 * (cycle % 3), 5.0)
     cq, threshold = qpcr.cq_of(cycle, y, 1.0)
     assert 19 <= cq <= 20 and threshold == 1.0
+
+
+def test_roles_dilutions_and_ranges(spark):
+    def of(rows, f):
+        return [r[0] for r in spark.createDataFrame([(x,) for x in rows], "v string").select(f(F.col("v"))).collect()]
+
+    assert of(["STD3", "Blank1", "SPL2:1", "Un0004", "Standard S1", "Negative control N", "CTL1", "s4", "s", "-", "", None, "no cells", "pc2", "posx"], layout.role_of_name) == ["standard", "blank", "sample", "sample", "standard", "negative", "control", "standard", "sample", "empty", "empty", "empty", "blank", "positive", "sample"]
+    assert of(["BLK", "NC", "+", "-", "Std. Curve", "n/a", "dose", "other", None, ""], layout.role) == ["blank", "negative", "positive", "negative", "standard", "empty", "sample", None, None, "empty"]
+    assert of(["1:10", "1/10", "10x", "10", "0.5", "0", "a", "1:0", "", None, "2:5"], S.dilution) == [10.0, 10.0, 10.0, 10.0, 2.0, None, None, None, None, None, 2.5]
+    assert of(["1 microg/ml", "-2.5e3pg", "5eq", "1.5.2", "x", None, "7"], lambda c: S.leading_number(c)[0]) == [1.0, -2500.0, None, None, None, None, 7.0]
+    assert of(["1 microg/ml", "7", "x"], lambda c: S.leading_number(c)[1]) == ["microg/ml", "", None]
+    assert of(["A1:B2", "B2:A1", "Z1:AA1", "C3", "A1:x", "", None], S.well_range) == [["A01", "A02", "B01", "B02"]] * 2 + [["Z01", "AA01"], ["C03"], None, None, None]
+    assert of(["x"], lambda c: S.plate_size(F.lit(9), F.lit(2))) == [384] and of(["x"], lambda c: S.plate_size(F.lit(33), F.lit(2))) == [None]
+
+
+def test_licences_and_integrity(spark):
+    rows = [("CC0 1.0 Universal",), ("cc by 4.0 NonCommercial: attribution-noncommercial 4.0",), ("neither the name of the copyright holder",), ("all rights reserved",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(catalog.licence(F.col("t"))).collect()] == ["CC0-1.0", "CC-BY-NC-4.0", "BSD-3-Clause", None, None]
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    found = spark.createDataFrame([("a", "warning"), ("b", "Error"), ("b", "info"), ("z", "error")], "path string, severity string")
+    assert sorted(map(tuple, catalog.integrity(items, found, "path").collect())) == [("a", True, 0, 1, 0), ("b", False, 1, 0, 1), ("c", True, 0, 0, 0)]
+
+
+def test_plane_selection(spark):
+    df = spark.createDataFrame([(c, z, 0) for c in range(3) for z in range(6)], "c int, z int, t int")
+    assert tables.planes(df, "c=0,1,z=2-4").count() == 6 and tables.planes(df).count() == 18 and tables.planes(df, "Z=5", "z = 0 - 1").count() == 9
+    for bad in ("x=1", "z=3-1", "z=", "c"):
+        with pytest.raises(UsageError):
+            tables.planes(df, bad)
+
+
+def test_merged_statistics_and_pearson(spark):
+    rng = np.random.default_rng(7)
+    fields = [rng.normal(50, 4 + k, 30 + 10 * k) for k in range(3)]
+    parts = spark.createDataFrame([("A01", len(v), float(v.mean()), float(v.std()), float(v.min()), float(v.max())) for v in fields], "well string, count long, mean double, std double, min double, max double")
+    r, v = series.merged_statistics(parts, ["well"]).first(), np.concatenate(fields)
+    assert np.allclose([r["count"], r["mean"], r["std"], r["min"], r["max"]], [len(v), v.mean(), v.std(), v.min(), v.max()])
+    flat = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 2.0), ("b", 1.0, None), ("c", 1.0, 1.0)], "k string, x double, y double")
+    assert {r["k"]: r["r"] for r in series.pearson(flat, ["k"], "x", "y").collect()} == {"a": None, "c": None}
+
+
+def test_hyperlog_and_sample_matches(spark):
+    t, w, m, a = 1000.0, 1.0, 4.0, 0.0
+    v = gating.hyperlog_values(np.array([t, 0.0, 10.0, -10.0]), t, w, m, a)
+    assert abs(v[0] - 1) < 1e-9 and abs(v[1] - 0.25) < 1e-9 and abs(v[2] + v[3] - 0.5) > 0 and v[3] < v[1] < v[2] < v[0]
+    samples = spark.createDataFrame([("1", "a.fcs", None, "x"), ("2", "b.fcs", "a2.fcs", "x"), ("3", "b.fcs", None, "y")], "sample string, name string, uri_name string, fil string")
+    files = spark.createDataFrame([("a.fcs", None), ("a2.fcs", "y"), ("b.fcs", " y "), ("b.fcs", "x"), ("c.fcs", None)], "file string, fil string")
+    assert sorted((r["file"], r["sample"] or "") for r in gating.match_samples(files, samples).collect()) == [("a.fcs", "1"), ("a2.fcs", "2"), ("b.fcs", ""), ("b.fcs", "3"), ("c.fcs", "")]
+    assert [r["sample"] for r in gating.match_samples(files.where("file = 'c.fcs'"), samples.where("sample = '1'")).collect()] == ["1"]
+
+
+def test_pulse_response_recovers_the_circuit():
+    access, membrane, c, step = 10.0, 200.0, 30.0, 10.0  # MOhm, MOhm, pF, mV
+    t = np.arange(0, 0.06, 2e-5)
+    tau = access * membrane / (access + membrane) * c * 1e-6
+    steady = step / (access + membrane) * 1000
+    i = np.where((t >= 0.01) & (t < 0.05), steady + (step / access * 1000 - steady) * np.exp(-(t - 0.01) / tau), 0.0)
+    got = signal.pulse_response(t, i, 0.01, 0.05, step)
+    assert np.allclose([got["access"], got["membrane"], got["tau"], got["capacitance"]], [access, membrane, tau * 1000, c], rtol=0.02)
+    down = signal.pulse_response(t, -i, 0.01, 0.05, -step)
+    assert np.allclose(list(down.values()), list(got.values()))
+    assert signal.pulse_response(t, np.zeros_like(t), 0.01, 0.05, step)["access"] is None
+
+
+def test_default_values_of_measures(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3, "x")], "mean double, other double, t int, name string")
+    assert summarize.primary_values("stats", df) == ["mean"] and summarize.primary_values("qpcr", df) == ["mean", "other"]
