@@ -6,6 +6,11 @@ maximal when the word before it differs too, i.e. when the longest repeat that
 starts one word earlier isn't just one longer. The union of their spans and the
 longest one are limited, beside plain length and 5-word-window rules.
 
+Every word under a repeat of ``min_repeat`` words is in a repeated window too, and a
+repeat whose copies don't overlap covers twice its length. So the limits on repeats
+are below the base's 20 % (for the longest one: below half of what they may cover),
+or they could drop nothing that the base keeps.
+
 Documents are handled in blocks of a few MB inside ``mapInArrow``: no shuffle,
 memory bounded by a block (or one longer text), lost tasks are simply rerun.
 
@@ -38,8 +43,8 @@ class Limits:
     min_words: int = 10
     max_repeat_percent: int = 20  # of words in repeated windows
     min_repeat: int = 8  # words of a maximal repeat that counts
-    max_covered: float = 0.2  # share of words under maximal repeats
-    max_longest: float = 0.15  # longest repeat as a share of the words
+    max_covered: float = 0.12  # share of words under maximal repeats
+    max_longest: float = 0.05  # longest repeat as a share of the words
     max_symbols: float = 0.1  # symbols a word
     max_dup_lines: float = 0.3  # of the lines with a word, where more than two are repeats
 

@@ -51,6 +51,16 @@ def test_clean_text_is_kept_and_repetitive_text_is_not():
     assert [x["kept"] for x in got] == [True, False]
 
 
+@pytest.mark.parametrize("n, passage, times, kept", [(300, 20, 2, False), (300, 12, 2, True), (400, 9, 6, False), (400, 9, 3, True), (1000, 55, 2, False), (1000, 45, 2, True)])
+def test_maximal_repeats_decide_where_the_base_keeps(n, passage, times, kept):
+    words = [str(i) for i in range(n - times * passage)]
+    step = len(words) // times
+    text = " ".join(x for k in range(times) for x in [f"p{i}" for i in range(passage)] + words[k * step : (k + 1) * step if k < times - 1 else None])
+    got = q.measure(pa.array([1], pa.int64()), pa.array([text]), q.Limits()).to_pylist()[0]
+    assert (got["n_words"], got["covered_words"], got["longest_repeat"]) == (n, times * passage, passage)
+    assert not got["base_failed"] and got["kept"] is kept
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, 5), (1, None, 5), (None, "a b", 6)]])
 def test_frames(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
