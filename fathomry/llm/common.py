@@ -66,23 +66,46 @@ def parts(spark: SparkSession) -> int:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the connected components of edges (a, b), named by their smallest id.
 
-    Labels start at each node's smallest neighbour; a round takes the smallest
-    label among neighbours and then the label of the label, so chains halve.
-    Aggregates are partial before the shuffle and joins can be split by AQE, so a
-    node with very many edges is no hot task. Each round's labels are stored.
+    In a round each node that has a smaller neighbour goes to the smallest one, and on to where
+    that one goes. The edges are then told between the nodes that are left, each once, and those
+    within one node go. A node that is left after two rounds is the smallest within two steps, so
+    at least half of them go; the first round alone joins all edges, and each node goes once.
+    Aggregates are partial before the shuffle and joins can be split by AQE, so a node with very
+    many edges is no hot task. Each round's edges and moves are stored.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    pairs = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    left = stored(edges.where("a <> b").select(*pairs("a", "b")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while left.limit(1).count():
+        if len(moves) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        moves.append(_settled(stored(left.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id"), "moves"), rounds))
+        of_a, of_b = (moves[-1].select(F.col("id").alias(x), F.col("component").alias(f"to_{x}")) for x in "ab")
+        # the larger end of an edge has a smaller neighbour, so it always moves
+        moved = left.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("to_a", "a").alias("a"), F.col("to_b").alias("b"))
+        left = stored(moved.where("a <> b").select(*pairs("a", "b")).distinct(), "edges")
+    if not moves:
+        return left.toDF("id", "component")
+    labels = moves.pop()
+    while moves:
+        labels = stored(_on(moves.pop(), labels).unionByName(labels), "labels")
+    return labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _on(moves: DataFrame, further: DataFrame) -> DataFrame:
+    """moves (id, component), continued by further ones from where they end."""
+    then = further.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return moves.join(then, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+
+
+def _settled(moves: DataFrame, rounds: int) -> DataFrame:
+    """moves to smaller ids, followed to their ends: each step doubles how far they reach."""
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = stored(low.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        ids = moves.select(F.col("id").alias("component"))
+        if not moves.join(ids, "component", "left_semi").limit(1).count():
+            return moves
+        moves = stored(_on(moves, moves), "moves")
+    raise RuntimeError(f"moves did not settle in {rounds} steps")
 
 
 #: Bounds on the 64-bit words of a bitmap: 32 KB to 32 MB.
