@@ -1,7 +1,8 @@
 import random
 
-from fathomry.llm import near
+from fathomry.llm import common, near
 from fathomry.llm import substring_dedup as sd
+from test_common import joined_rows
 from test_jaccard_join import shingles
 
 
@@ -118,3 +119,25 @@ def test_exactly_the_shared_stretches_go(spark):
     want = without_shared_runs(docs, o.min_run)
     out = {x["doc_id"]: x["text"].split() for x in sd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), o).collect()}
     assert out == want and any(len(want[d]) < len(t.split()) for d, t in docs)
+
+
+def test_edges_of_near_paragraphs_are_joined_once(spark, monkeypatch):
+    r, seen = random.Random(4), []
+    base = [f"w{i}" for i in range(39)]
+    docs = []
+    for k in range(300):
+        w = list(base)
+        w[r.choice([0, 38])] = f"x{k}"  # at least 33 of 37 shingles are shared, but no stretch of 40 words
+        docs.append((k, " ".join(w)))
+
+    def counted(edges):
+        out = []
+        edges = common.stored(edges, "edges")
+        rows = joined_rows(spark, lambda: out.append(common.stored(common.components(edges), "labels")))
+        seen.append((edges.where("a <> b").distinct().count(), rows))
+        return out[0]
+
+    monkeypatch.setattr(near, "components", counted)
+    got = dict(sd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert got.pop(0) == docs[0][1] and set(got.values()) == {""}
+    assert len(seen) == 2 and all(rows <= 2 * edges for edges, rows in seen), seen
