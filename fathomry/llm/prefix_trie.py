@@ -216,12 +216,13 @@ def rebuilt_trie(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH crc AS (SELECT list_transform(range(256), i -> list_reduce(list_prepend(i, range(8)), (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) t),
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) t),
 o AS MATERIALIZED (SELECT conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(coalesce(role, '') || chr(0) || coalesce(text, ''))) - 1 pos FROM conversations WHERE conv_id IS NOT NULL),
-h AS MATERIALIZED (SELECT c conv_id, c - c % 20 base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))), (a, b) -> xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 4 h
+h AS MATERIALIZED (SELECT c conv_id, c - c % 20 base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 4 h
   FROM (SELECT DISTINCT conv_id c FROM o), crc),
 r AS (SELECT h.conv_id, pos, role, text FROM h JOIN o ON o.conv_id = base WHERE pos < h UNION ALL SELECT o.conv_id, pos, role, text FROM o JOIN h USING (conv_id) WHERE pos >= h),
-p AS (SELECT conv_id, row_number() OVER w depth, sha256(string_agg(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), '') OVER w) d, len(regexp_extract_all(text, '[^ 	-]+')) words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+p AS (SELECT conv_id, row_number() OVER w depth, sha256(string_agg(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), '') OVER w) d, len(regexp_extract_all(text, '[^ 	-
+]+')) words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 a AS MATERIALIZED (SELECT conv_id, depth, d, words FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM h),
 whole AS (SELECT conv_id, max(depth) depth FROM a GROUP BY conv_id),
 e AS (SELECT depth, d, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) x FROM a JOIN whole USING (conv_id, depth) GROUP BY ALL),
