@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, collocations, common, ctw, decontaminate, jaccard_join, packing, prefix_trie, quality_rules, sharding, substring_dedup, toxicity, weak_labels
+from . import arc_to_warc, chat_format, collocations, common, ctw, decontaminate, jaccard_join, packing, prefix_trie, quality_rules, sharding, substring_dedup, toxicity, weak_labels
 
 
 def tokenizer_path() -> str:
@@ -57,6 +57,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("prefix_sha256")
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(common.documents(spark, sf_dir, "lang", "text"))
 
@@ -75,7 +79,8 @@ QUERIES = {
         op9_decontaminate,
         op10_substring_dedup,
         op11_prefix_trie,
+        op12_arc_to_warc,
         op13_collocations,
     )
 }
-ORACLE: dict[str, str] = {"op4_chat_windows": chat_format.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_chat_windows": chat_format.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_arc_to_warc": arc_to_warc.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
