@@ -553,6 +553,51 @@ def quality_rules_stream(spark, sf):
     return watch.judge(m).select("event_id", F.col("n").cast("int").alias("n"))
 
 
+_LOOKS = """WITH e AS (SELECT *, 'user ' || user_id path, epoch_us(ts) / 1e6 tm, row_number() OVER w poll, count(*) FILTER (event_type = 'purchase') OVER w * 100 size, count(*) FILTER (event_type = 'view') OVER w seen,
+  coalesce(max(epoch_us(ts) / 1e6) FILTER (event_type = 'purchase') OVER w, first_value(epoch_us(ts) / 1e6) OVER w) mtime FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+#: The state machine once more, as a recursion over each data set's polls.
+_WATCHED = """WITH RECURSIVE looks AS MATERIALIZED (""" + _LOOKS + """ SELECT path, poll, tm, size, mtime, event_type = 'error' bad, CASE event_type WHEN 'signup' THEN 'in_progress' WHEN 'click' THEN 'interrupted' ELSE 'complete' END state,
+  CASE WHEN event_type = 'view' THEN seen - 1 END unit, value tic FROM e),
+opened AS (SELECT * FROM (SELECT path, 0::BIGINT poll, NULL::BIGINT size, NULL::DOUBLE mtime, NULL::DOUBLE grown, NULL::VARCHAR phase, FALSE announced, 0 stable, 0::BIGINT told, []::DOUBLE[] base,
+    NULL::DOUBLE tm, NULL::VARCHAR state, FALSE e_new, FALSE e_scan, NULL::DOUBLE e_qc, FALSE e_complete, FALSE e_cut, FALSE e_stalled, FALSE e_error, FALSE recent FROM (SELECT DISTINCT path FROM looks))
+  UNION ALL
+  SELECT path, poll, size, mtime, grown, CASE WHEN now_stalled THEN 'stalled' ELSE after END, announced OR opens, stable, CASE WHEN says THEN unit + 1 ELSE told END,
+    CASE WHEN says AND len(base) < 5 THEN list_append(base, tic) ELSE base END, tm, state, opens AND NOT announced, says,
+    CASE WHEN says AND len(base) >= 5 AND list_median(base) > 0 AND tic / list_median(base) < 0.2 THEN tic / list_median(base) END,
+    opens AND after = 'complete' AND before <> 'complete', opens AND state = 'interrupted' AND before <> 'stalled', now_stalled, looks AND bad AND after = 'failed' AND phase <> 'failed', recent
+  FROM (SELECT *, after = 'in_progress' AND tm - grown >= 432000 now_stalled FROM (SELECT *, CASE WHEN NOT looks THEN phase WHEN bad THEN CASE WHEN recent THEN 'pending' ELSE 'failed' END
+      WHEN state = 'complete' AND before <> 'complete' THEN CASE WHEN stable >= 1 THEN 'complete' ELSE 'in_progress' END WHEN state = 'interrupted' THEN 'stalled' ELSE before END after
+    FROM (SELECT *, looks AND NOT bad opens, looks AND NOT bad AND unit IS NOT NULL AND unit >= told says, CASE WHEN state = 'in_progress' AND looks AND NOT bad AND (phase <> 'stalled' OR stable = 0) THEN 'in_progress' ELSE phase END before
+      FROM (SELECT *, changed OR phase IN ('pending', 'in_progress') looks FROM (SELECT l.path, l.poll, l.tm, l.size, l.mtime, l.bad, l.state, l.unit, l.tic, coalesce(o.phase, 'pending') phase, o.announced, o.told, o.base,
+          CASE WHEN o.size IS NULL OR o.size <> l.size OR o.mtime <> l.mtime THEN TRUE ELSE FALSE END changed, CASE WHEN o.size IS NULL OR o.size <> l.size OR o.mtime <> l.mtime THEN l.tm ELSE o.grown END grown,
+          CASE WHEN o.size IS NULL OR o.size <> l.size OR o.mtime <> l.mtime THEN 0 ELSE o.stable + 1 END stable, l.tm - l.mtime <= 172800 recent FROM opened o JOIN looks l ON l.path = o.path AND l.poll = o.poll + 1)))))),
+said AS (SELECT * FROM opened WHERE poll > 0)
+SELECT path, poll, 'dataset_new' event, state, NULL::BIGINT AS "index", 0::BIGINT complete, NULL::DOUBLE idle_s, NULL::VARCHAR rule, NULL::DOUBLE AS value FROM said WHERE e_new
+UNION ALL SELECT path, poll, 'scan_new', state, told - 1, told, NULL, NULL, NULL FROM said WHERE e_scan
+UNION ALL SELECT path, poll, 'qc', state, told - 1, NULL, NULL, 'tic_drop', round(e_qc, 6) FROM said WHERE e_qc IS NOT NULL
+UNION ALL SELECT path, poll, 'dataset_complete', 'complete', NULL, 0, NULL, NULL, NULL FROM said WHERE e_complete
+UNION ALL SELECT path, poll, 'dataset_stalled', 'interrupted', NULL, 0, round_even(tm - mtime, 0), NULL, NULL FROM said WHERE e_cut
+UNION ALL SELECT path, poll, 'dataset_stalled', 'in_progress', NULL, 0, round_even(tm - grown, 1), NULL, NULL FROM said WHERE e_stalled
+UNION ALL SELECT path, poll, 'error', CASE WHEN recent THEN 'in_progress' END, NULL, NULL, NULL, NULL, NULL FROM said WHERE e_error"""
+
+
+@query(_WATCHED)
+def watch_events(spark, sf):
+    """Each user's events as polls of a data set: purchases let it grow, views are scans, sign-ups find it running, clicks interrupted, errors unreadable."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    upto = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = lambda k: F.col("event_type") == k
+    e = table(spark, sf, "events").select(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("path"), F.row_number().over(upto).cast("long").alias("poll"), at.alias("at"), F.count(F.when(kind("view"), 1)).over(upto).alias("views"),
+        (F.count(F.when(kind("purchase"), 1)).over(upto) * 100).alias("size_bytes"), F.coalesce(F.max(F.when(kind("purchase"), at)).over(upto), F.first(at).over(upto)).alias("mtime"),
+        F.when(kind("signup"), "in_progress").when(kind("click"), "interrupted").otherwise("complete").alias("state"), F.lit(None).cast("long").alias("expected"), F.when(kind("error"), "unreadable").alias("error"), "event_type", "value",
+    )
+    scan = "array(named_struct('kind', 'scan', 'run', 0, 'index', views - 1, 'c', cast(null as int), 'z', cast(null as int), 't', cast(null as int), 'ms_level', 1, 'tic', value, 'saturated_fraction', cast(null as double), 'sharpness', cast(null as double)))"
+    looks = e.withColumn("units", F.when(kind("view"), F.expr(scan)))
+    events = watch.replay(looks, watch.Options(stall_s=432_000.0, live_s=172_800.0, max_tracked=1 << 40))
+    return events.select("path", "poll", "event", "state", "index", "complete", "idle_s", "rule", "value")
+
+
 # Scalar functions
 
 

@@ -1,121 +1,17 @@
-"""Live watching: a keyed state machine per data set, quality rules, event-time windows.
-
-Listings (path, size, mtime, units) arrive as a stream of polls; a data set is pending,
-in progress, complete or stalled. The same transition function runs over a batch, so
-replays and streams give the same events.
-"""
+"""Live watching: events of acquisitions (``tracker``), quality rules (``rules``), event-time windows."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .rules import DEFAULT_RULES, Rule, judge, load_rules
+from .tracker import EVENT, LOOK, Options, counted, replay, watch
+
+__all__ = ["DEFAULT_RULES", "EVENT", "EVENTS", "LOOK", "Options", "Rule", "counted", "judge", "load_rules", "replay", "watch"]
 
 #: Kinds of events.
 EVENTS = ["dataset_new", "plane_new", "scan_new", "frame_new", "dataset_complete", "dataset_stalled", "qc", "error"]
-EVENT = "path string, event string, at double, units long, size_bytes long"
-STATE = "size long, mtime double, units long, grown double, phase string"
-
-
-@dataclass(frozen=True)
-class Options:
-    stall_s: float = 120.0
-    trust_first_look: bool = False
-    since: float | None = None
-    unit: str = "frame"
-    forget_s: float = 86_400.0  # a settled data set that no poll names for so long is forgotten
-
-
-def step(state: dict | None, poll: dict, o: Options) -> tuple[dict | None, list[dict]]:
-    """The next state and the events of one poll of one data set (at, size_bytes, mtime, units)."""
-    at, size, mtime, units = poll["at"], poll["size_bytes"], poll["mtime"], poll.get("units") or 0
-    out: list[dict] = []
-
-    def say(event: str, n: int) -> None:
-        out.append({"event": event, "at": at, "units": n, "size_bytes": size})
-
-    if state is None:
-        if o.since is not None and mtime < o.since:
-            return None, []
-        say("dataset_new", units)
-        state = {"size": size, "mtime": mtime, "units": 0, "grown": at, "phase": "complete" if o.trust_first_look else "pending"}
-        if units:
-            say(f"{o.unit}_new", units)
-        if o.trust_first_look:
-            say("dataset_complete", units)
-        return state | {"units": units}, out
-    same = state["size"] == size and state["mtime"] == mtime
-    if units > state["units"]:
-        say(f"{o.unit}_new", units)
-    if same and state["phase"] == "pending":
-        state = state | {"phase": "complete"}
-        say("dataset_complete", units)
-    elif same and state["phase"] == "in_progress":
-        if at - state["grown"] >= o.stall_s:
-            state = state | {"phase": "stalled"}
-            say("dataset_stalled", units)
-        elif poll.get("expected") and units >= poll["expected"]:
-            state = state | {"phase": "complete"}
-            say("dataset_complete", units)
-    elif not same:
-        state = state | {"size": size, "mtime": mtime, "grown": at, "phase": "in_progress" if state["phase"] != "pending" or units else "pending"}
-    return state | {"units": max(units, state["units"])}, out
-
-
-def _columns(events: list[dict], path: str) -> pd.DataFrame:
-    return pd.DataFrame([[path, e["event"], e["at"], e["units"], e["size_bytes"]] for e in events], columns=["path", "event", "at", "units", "size_bytes"])
-
-
-def watch(polls: DataFrame, o: Options = Options()) -> DataFrame:
-    """Events of a streaming DataFrame (path, at, size_bytes, mtime, units), with a processing-time stall timer.
-
-    State holds the data sets that polls still name: one that hasn't been named for ``forget_s`` is dropped,
-    after its stall has been told, and would be new if it came back.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in STATE.split(", ")]
-        s = dict(zip(names, state.get, strict=True)) if state.exists else None
-        events: list[dict] = []
-        wait = o.forget_s
-        if state.hasTimedOut:
-            if s and s["phase"] == "in_progress":
-                s = s | {"phase": "stalled"}
-                events.append({"event": "dataset_stalled", "at": s["grown"] + o.stall_s, "units": s["units"], "size_bytes": s["size"]})
-            else:
-                s = None
-        else:
-            for p in pd.concat(list(frames)).sort_values("at").to_dict("records"):
-                s, new = step(s, p, o)
-                events += new
-            if s and s["phase"] == "in_progress":
-                wait = o.stall_s
-        if s is not None:
-            state.update(tuple(s[n] for n in names))
-            state.setTimeoutDuration(max(int(wait * 1000), 1))
-        elif state.exists:
-            state.remove()
-        yield _columns(events, key[0])
-
-    return polls.groupBy("path").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def replay(polls: DataFrame, o: Options = Options()) -> DataFrame:
-    """The same events from a recorded table of polls."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, events = None, []
-        for p in pdf.sort_values("at").to_dict("records"):
-            s, new = step(s, p, o)
-            events += new
-        return _columns(events, key[0])
-
-    return polls.groupBy("path").applyInPandas(run, EVENT)
 
 
 def event_log(events: DataFrame, after: int, limit: int) -> DataFrame:
@@ -123,43 +19,6 @@ def event_log(events: DataFrame, after: int, limit: int) -> DataFrame:
     return events.where(F.col("seq") > after).orderBy("seq").limit(limit)
 
 
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    metric: str
-    min: float | None = None
-    max: float | None = None
-    baseline: int = 0
-    technique: str | None = None
-
-
-#: Rules that hold where no file gives others.
-DEFAULT_RULES = [
-    Rule("saturation", "saturated_fraction", max=0.01),
-    Rule("focus_drift", "sharpness_ratio", min=0.5, baseline=3),
-    Rule("dropped_frames", "interval_ratio", max=1.8, baseline=3),
-    Rule("tic_drop", "tic_ratio", min=0.2, baseline=5),
-]
-
-
-def load_rules(path: str) -> list[Rule]:
-    """A TOML file of [[rule]] tables, or JSON."""
-    import tomllib
-
-    with open(path, "rb") as f:
-        raw = f.read()
-    data = json.loads(raw) if path.endswith(".json") else tomllib.loads(raw.decode())
-    return [Rule(**{k: v for k, v in r.items() if k in Rule.__dataclass_fields__}) for r in data.get("rule", data if isinstance(data, list) else [])]
-
-
-def judge(metrics: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Rows of metrics (…, metric, value, n: how many before it in its data set) that break a rule; baseline values aren't judged."""
-    rows = [(r.name, r.metric, r.min, r.max, r.baseline) for r in rules]
-    table = metrics.sparkSession.createDataFrame(rows, "rule string, metric string, rule_min double, rule_max double, baseline int")
-    j = metrics.join(F.broadcast(table), "metric")  # as many rows as rules
-    return j.where((F.col("n") >= F.col("baseline")) & F.coalesce((F.col("value") < F.col("rule_min")) | (F.col("value") > F.col("rule_max")), F.col("value") < F.col("rule_min"), F.col("value") > F.col("rule_max"), F.lit(False)))
-
-
 def baseline_ratio(df: DataFrame, keys: list[str], order: list[str], value: str, first: int) -> DataFrame:
     """value over the median of the first so many of its group, with n."""
     w = Window.partitionBy(*keys).orderBy(*order)
