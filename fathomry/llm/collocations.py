@@ -36,7 +36,9 @@ CUT = np.zeros(256, dtype=bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~CUT
 WORD[[0x20, 0x09]] = False
-SCHEMA = "lang string, phrase string, h long, f long"
+#: A key is the phrase, a line end, and the language: no phrase holds one. One column is less to shuffle than two.
+SCHEMA = "key string, f long"
+STEP = vec.U64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -61,15 +63,11 @@ def grams(t: pa.Table, n: int, frequent: list[bytes]) -> pa.Table:
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(places.tobytes()), pa.py_buffer(buf[WORD[buf]].tobytes())).dictionary_encode()
     word, size = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
 
-    def hashes(values: pa.Array) -> np.ndarray:
-        b, o = vec.flat(values)
-        return vec.hash_spans(b, o[:-1], o[1:])
-
-    h_word = hashes(words.dictionary)
+    h_word = _hashes(words.dictionary)
     # own: per place the number of the n-gram that begins there; lang, parts and h belong to these numbers
     seen, own, count = np.unique(langs.indices.to_numpy().astype(np.int64)[doc] * size + word, return_inverse=True, return_counts=True)
     lang, parts = seen // size, [seen % size]
-    h = vec.mix(hashes(langs.dictionary)[lang] + h_word[parts[0]]) if len(seen) else h_word[:0]
+    h = vec.mix(_hashes(langs.dictionary)[lang] + h_word[parts[0]]) if len(seen) else h_word[:0]
     live = np.ones(len(word), dtype=bool)
     for k in range(2, n + 1):
         live &= in_bitmap(frequent[k - 2], h.view(np.int64))[own]
@@ -77,7 +75,7 @@ def grams(t: pa.Table, n: int, frequent: list[bytes]) -> pa.Table:
         seen, inverse, count = np.unique(own[at] * size + word[at + k - 1], return_inverse=True, return_counts=True)
         shorter, last = seen // size, seen % size
         lang, parts = lang[shorter], [p[shorter] for p in parts] + [last]
-        h = vec.mix(h[shorter] * vec.U64(0x9E3779B97F4A7C15) + h_word[last])
+        h = vec.mix(h[shorter] * STEP + h_word[last])
         live = np.zeros(len(word), dtype=bool)
         live[at] = True
         own = np.zeros(len(word), np.int64)
@@ -85,10 +83,33 @@ def grams(t: pa.Table, n: int, frequent: list[bytes]) -> pa.Table:
         if not len(seen):
             break
     if len(parts) < n or not len(lang):
-        return pa.table([pa.array([], x) for x in (pa.string(), pa.string(), pa.int64(), pa.int64())], names=["lang", "phrase", "h", "f"])
+        return pa.table([pa.array([], pa.string()), pa.array([], pa.int64())], names=["key", "f"])
     texts = [words.dictionary.take(pa.array(p)) for p in parts]
     phrase = pc.binary_join_element_wise(*texts, " ") if n > 1 else texts[0]
-    return pa.table([langs.dictionary.take(pa.array(lang)), phrase, pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "h", "f"])
+    return pa.table([pc.binary_join_element_wise(phrase, langs.dictionary.take(pa.array(lang)), "\n"), pa.array(count.astype(np.int64))], names=["key", "f"])
+
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    b, o = vec.flat(values)
+    return vec.hash_spans(b, o[:-1], o[1:])
+
+
+def phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
+    """The hash that ``grams`` looks for in a bit set: of the language, then word by word."""
+    buf, offs = vec.flat(phrase)
+    start, end = vec.spans(buf != 0x20, offs)
+    n, at = vec.counts_of(np.searchsorted(offs, start, "right") - 1, len(offs) - 1)
+    h_word = vec.hash_spans(buf, start, end)
+    h = vec.mix(_hashes(lang) + h_word[at]) if len(h_word) else h_word
+    for k in range(1, int(n.max(initial=0))):
+        more = n > k
+        h[more] = vec.mix(h[more] * STEP + h_word[at[more] + k])
+    return h.view(np.int64)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(b.column(0), b.column(1)))], names=["h"])
 
 
 def counted(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -104,15 +125,16 @@ def counted(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFra
             for t in vec.blocks(batches, max_bytes=o.block_bytes):
                 yield from grams(t, n, [b.value for b in held]).to_batches(max_chunksize=20_000)
 
-        return texts.mapInArrow(run, SCHEMA).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("h").alias("h"))
+        sums = texts.mapInArrow(run, SCHEMA).groupBy("key").agg(F.sum("f").alias("f"))
+        return sums.select(F.expr("substring(key, instr(key, '\\n') + 1)").alias("lang"), F.substring_index("key", "\n", 1).alias("phrase"), "f")
 
     words = stored(level(1), "words")
     levels = [words.where(F.col("f") >= o.min_count)]
     for n in range(2, o.max_n + 1):
-        sets.append(docs.sparkSession.sparkContext.broadcast(bitmap(levels[-1], "h")))
+        sets.append(docs.sparkSession.sparkContext.broadcast(bitmap(levels[-1].select("lang", "phrase").mapInArrow(_hashed, "h long"), "h")))
         levels.append(stored(level(n).where(F.col("f") >= o.min_count), f"phrases-{n}"))
     each = [x.select("lang", "phrase", "f", F.lit(n).alias("words")) for n, x in enumerate(levels, 1)]
-    return words.select("lang", "phrase", "f"), reduce(DataFrame.unionByName, each)
+    return words, reduce(DataFrame.unionByName, each)
 
 
 def scored(phrases: DataFrame, o: Options = Options()) -> DataFrame:

@@ -75,6 +75,18 @@ def test_a_full_bit_set_changes_nothing():
             w = re.findall(r"[^\x20\x09]+", piece)
             want.update((lang if lang is not None else "und", " ".join(w[i : i + 3])) for i in range(len(w) - 2))
     full = b"\xff" * 64
-    got = {(x["lang"], x["phrase"]): x["f"] for x in co.grams(t, 3, [full, full]).to_pylist()}
+    got = {tuple(x["key"].split("\n")[::-1]): x["f"] for x in co.grams(t, 3, [full, full]).to_pylist()}
     assert got == dict(want)
     assert co.grams(t, 3, [full, b"\0" * 64]).num_rows == 0 and co.grams(t.slice(0, 0), 2, [full]).num_rows == 0
+
+
+def test_the_bit_set_has_what_is_frequent():
+    """Hashes of whole phrases are those that the blocks look for."""
+    t = pa.table([pa.array(["en", "de", None]), pa.array(["a bé c d. a bé", "a bé c", "x\ty z"])], names=["lang", "text"])
+    keys = [k.split("\n") for k in co.grams(t, 2, [b"\xff" * 64])["key"].to_pylist()]
+    only = [k for k in keys if k == ["a bé", "en"] or k == ["bé c", "en"]]
+    bits = bytearray(8 << 12)
+    for h in co.phrase_hashes(pa.array([k[1] for k in only]), pa.array([k[0] for k in only])).tolist():
+        bits[8 * ((h >> 6) % (1 << 12)) + (h & 63) // 8] |= 1 << (h & 7)
+    got = co.grams(t, 3, [b"\xff" * 64, bytes(bits)])["key"].to_pylist()
+    assert got == ["a bé c\nen"]
