@@ -6,23 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UsageError
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once, written to the shared folder that the session names and read back; a temporary folder only on one machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; a temporary one only on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise UsageError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/fathomry-checkpoints"
-    path = f"{where.rstrip('/')}/fathomry/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/fathomry/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once, written to the shared folder and read back."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..operators import assay, catalog, gating, health, joins, layout, link, plots, qpcr, reads, search, series, spectra, summarize, tables
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, shared_folder
+from ..sources.journal import Job
 from ..streaming import watch
 from .batch import Batch
 
@@ -553,6 +554,21 @@ def quality_rules_stream(spark, sf):
     return watch.judge(m).select("event_id", F.col("n").cast("int").alias("n"))
 
 
+@query("""WITH q AS (SELECT doc_id, bool_or(quality = 0) bad FROM labels GROUP BY doc_id), d AS (SELECT coalesce(source, '') || '/' || doc_id path, lang, n_chars, coalesce(bad, FALSE) bad FROM documents LEFT JOIN q USING (doc_id))
+SELECT path, row_number() OVER (ORDER BY path) seq, n_chars + CAST(bad AS INTEGER) size_bytes, CASE WHEN lang = 'de' THEN 'new' WHEN bad THEN 'changed' ELSE 'same' END change, n_chars + CASE WHEN lang = 'de' OR bad THEN CAST(bad AS INTEGER) ELSE 0 END AS read FROM d""")
+def crawl_journal(spark, sf):
+    """Two crawls of the documents: the first knows no German ones, in the second the bad ones have grown; stopped at its cap and resumed."""
+    bad = table(spark, sf, "labels").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 0).alias("bad"))
+    d = table(spark, sf, "documents").join(bad, "doc_id", "left").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "lang", F.col("n_chars").alias("size_bytes"), F.coalesce("bad", F.lit(False)).alias("bad"), F.lit(0.0).alias("mtime"))
+    job = Job(shared_folder(spark), lambda items: items.withColumn("read", F.col("size_bytes")), chunk_items=5000)
+    job.run(d.where("lang IS NULL OR lang <> 'de'").drop("bad"))
+    again = d.withColumn("size_bytes", F.col("size_bytes") + F.col("bad").cast("long")).drop("bad")
+    done = job.run(again, max_items=1)
+    while not done.finished:
+        done = job.run(again, max_items=20_000)
+    return job.records(spark).select("path", "seq", "size_bytes", "change", "read")
+
+
 _LOOKS = """WITH e AS (SELECT *, 'user ' || user_id path, epoch_us(ts) / 1e6 tm, row_number() OVER w poll, count(*) FILTER (event_type = 'purchase') OVER w * 100 size, count(*) FILTER (event_type = 'view') OVER w seen,
   coalesce(max(epoch_us(ts) / 1e6) FILTER (event_type = 'purchase') OVER w, first_value(epoch_us(ts) / 1e6) OVER w) mtime FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 #: The state machine once more, as a recursion over each data set's polls.
