@@ -56,15 +56,18 @@ class Options:
 
 def member(record: bytes) -> bytes:
     """A gzip member (two where the record is long) that ends with a zero byte."""
-    z = zlib.compressobj(5, zlib.DEFLATED, 31)
+    z = zlib.compressobj(2, zlib.DEFLATED, 31)
     out = z.compress(record) + z.flush()
     return out if out[-1] == 0 else out + member(b"")
 
 
 class Reader:
-    """Bytes of a file, inflated piece by piece where it is gzipped; a broken member ends it."""
+    """Bytes of a file, inflated piece by piece where it is gzipped; a broken member ends it.
 
-    def __init__(self, content: bytes, piece: int = 1 << 20):
+    Pieces are short: what follows a member in its piece is copied by the decompressor.
+    """
+
+    def __init__(self, content: bytes, piece: int = 1 << 14):
         self.content, self.piece, self.next, self.buf, self.at = memoryview(content), piece, 0, bytearray(), 0
         self.z = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
 
@@ -74,7 +77,7 @@ class Reader:
             self.next += len(got)
             if self.z:
                 try:
-                    got = self.z.decompress(got, self.piece)
+                    got = self.z.decompress(got, 64 * self.piece)
                 except zlib.error:
                     self.next = len(self.content)
                     return False
@@ -189,7 +192,7 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, r.read(int(length) if length.isdigit() else 0)
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Record:
     """An ARC record as what becomes of it."""
 
