@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
-from ..operators import assay, catalog, gating, health, joins, layout, link, plots, qpcr, reads, search, series, spectra, summarize, tables
+from ..operators import assay, catalog, gating, health, joins, layout, link, plots, pointers, qpcr, reads, search, series, spectra, summarize, tables
 from ..operators.graph import connected_components, shared_folder
 from ..sources.journal import Job
 from ..streaming import watch
+from ..streaming.joins import interval_join
 from .batch import Batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,6 +615,37 @@ def watch_events(spark, sf):
     return events.select("path", "poll", "event", "state", "index", "complete", "idle_s", "rule", "value")
 
 
+@query("SELECT p.event_id, v.event_id view_id FROM events p LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts BETWEEN p.ts - INTERVAL 36 hour AND p.ts + INTERVAL 90 minute WHERE p.event_type = 'purchase'")
+def stream_interval_join(spark, sf):
+    """Purchases with their user's views from 36 hours before to 90 minutes after; the same function joins streams."""
+    e = table(spark, sf, "events")
+    buys = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+    return interval_join(buys, views, ["user_id"], "ts", "seen", 36 * 3600, 90 * 60, how="left_outer").select("event_id", "view_id")
+
+
+@query("SELECT event_id, props AS root, regexp_extract(props, '([0-9]+)', 1) k, '[' || regexp_extract(props, '([0-9]+)', 1) || ']' AS each, ['/no/0'] missing FROM events")
+def json_pick(spark, sf):
+    d = pointers.pick(table(spark, sf, "events").select("event_id", "props"), "props", ["", "/k", "/*", "/no/0"])
+    return d.select("event_id", F.replace(F.col("picked")[""], F.lit(":"), F.lit(": ")).alias("root"), F.col("picked")["/k"].alias("k"), F.col("picked")["/*"].alias("each"), "missing")
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) i, CAST(l_quantity AS BIGINT) q, l_suppkey s, l_returnflag, l_tax FROM lineitem)
+SELECT l_orderkey, '/lines/' || i pointer, '{"q":' || q || ',"s":' || s || ',"x":1}' ours, NULL theirs FROM l WHERE i >= 5 UNION ALL
+SELECT l_orderkey, '/lines/' || i || '/q', CAST(q AS VARCHAR), CAST(q + 1 AS VARCHAR) FROM l WHERE i < 5 AND l_returnflag = 'R' UNION ALL SELECT l_orderkey, '/lines/' || i || '/s', CAST(s AS VARCHAR), NULL FROM l WHERE i < 5 AND l_tax = 0""")
+def json_diff(spark, sf):
+    """Orders as nested documents against copies with other quantities, members that are gone, fewer lines, and members to ignore."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    q = F.col("l_quantity").cast("long")
+    lines = table(spark, sf, "lineitem").withColumn("i", F.row_number().over(w) - 1)
+    # an order's lines are few
+    doc = lambda q, s, x: F.to_json(F.struct(F.col("l_orderkey").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q"), s.alias("s"), x.alias("x")))), lambda r: F.struct(r["q"], r["s"], r["x"])).alias("lines")))
+    ours = lines.groupBy("l_orderkey").agg(doc(q, F.col("l_suppkey"), F.lit(1)).alias("j"))
+    changed = F.when(F.col("l_returnflag") == "R", q + 1).otherwise(q)
+    theirs = lines.where("i < 5").groupBy("l_orderkey").agg(doc(changed, F.when(F.col("l_tax") != 0, F.col("l_suppkey") * F.lit(1.0)), F.lit(2)).alias("j"))
+    return pointers.diff(ours, theirs, ["l_orderkey"], "j", ignore=["/lines/*/x"])
+
+
 # Scalar functions
 
 
