@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
-from ..operators import assay, catalog, gating, health, joins, layout, link, plots, pointers, qpcr, reads, search, series, spectra, summarize, tables
+from ..operators import assay, catalog, gating, health, joins, layout, link, plots, pointers, qpcr, reads, regions, search, series, spectra, summarize, tables, trees
 from ..operators.graph import connected_components, shared_folder
 from ..sources.journal import Job
 from ..streaming import watch
@@ -646,6 +646,48 @@ def json_diff(spark, sf):
     return pointers.diff(ours, theirs, ["l_orderkey"], "j", ignore=["/lines/*/x"])
 
 
+@query("""WITH e AS (SELECT vec_id // 16 image, vec_id % 4 * 8 x, vec_id % 16 // 4 * 8 y, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 i FROM embeddings), px AS MATERIALIZED (SELECT image, x + i % 8 px, y + i // 8 py, v FROM e),
+r AS (SELECT c_custkey, c_custkey % (SELECT max(image) + 1 FROM px) image, c_custkey % 50 // 2 x0, least((c_custkey % 50 + c_nationkey + 2) // 2, 32) x1, c_custkey % 43 // 2 y0, least((c_custkey % 43 + c_custkey % 17 + 2) // 2, 32) y1 FROM customer),
+g AS (SELECT c_custkey, image, x0, x1, unnest(range(y0, y1)) py, y0 FROM r)
+SELECT c_custkey, g.py - any_value(y0) AS "row", any_value(x1 - x0) n, round(coalesce(sum(CAST(v AS DOUBLE)), 0), 4) + 0.0 total FROM g LEFT JOIN px ON px.image = g.image AND px.py = g.py AND px.px >= x0 AND px.px < x1 GROUP BY c_custkey, g.py""")
+def region_rows(spark, sf):
+    """Embeddings as tiles of 8 x 8, sixteen of them a plane; a rectangle a customer, given on a level of twice the size."""
+    v = F.col("vec_id")
+    tiles = table(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("image"), (v % 4 * 8).alias("x"), (F.expr("vec_id % 16 div 4") * 8).alias("y"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").alias("pixels"))
+    images = tiles.agg((F.max("image") + 1).alias("images"))
+    k = F.col("c_custkey")
+    (x, w), (y, h) = (regions.rescaled(a, b, F.lit(64), F.lit(32)) for a, b in ((k % 50, F.col("c_nationkey") + 1), (k % 43, k % 17 + 1)))
+    asked = table(spark, sf, "customer").crossJoin(F.broadcast(images)).select("c_custkey", (k % F.col("images")).alias("image"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"))  # one row
+    got = regions.read(tiles, asked, ["image"], ["c_custkey"], 16)
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b.cast("double"))
+    return rounded(got.select("c_custkey", "row", F.size("values").cast("long").alias("n"), total.alias("total")))
+
+
+_TREE = "'/' || coalesce(lang, 'und') || '/' || coalesce(source, 'none') || '/' || n_chars % 5 || '/' || doc_id"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, string_split({_TREE}, '/') p FROM documents), s AS (SELECT p[2] lang, p[3] source, bool_or(q.quality = 0) bad FROM d JOIN labels q USING (doc_id) GROUP BY ALL), t AS (SELECT lang, source, TRUE definite FROM s WHERE bad),
+v AS (SELECT DISTINCT p[2] lang, p[3] source, p[4] part FROM d WHERE p[4] = '1'), w AS (SELECT DISTINCT p[2] lang, p[3] source FROM d)
+SELECT doc_id, CASE WHEN t.definite THEN '/' || p[2] || '/' || p[3] WHEN v.part IS NOT NULL THEN '/' || p[2] || '/' || p[3] || '/1' WHEN NOT EXISTS (SELECT 1 FROM v x WHERE x.lang = p[2] AND x.source = p[3]) THEN '/' || p[2] || '/' || p[3] END data_set
+FROM d LEFT JOIN t ON t.lang = p[2] AND t.source = p[3] LEFT JOIN v ON v.lang = p[2] AND v.source = p[3] AND v.part = p[4]""")
+def data_set_owners(spark, sf):
+    """Documents as files of a tree: each source's folder is claimed, with certainty where a bad document lies in it; so are folders 1, and the languages', with less."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_TREE).alias("path"))
+    parts = F.split("path", "/")
+    at = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    bad = d.join(table(spark, sf, "labels").where("quality = 0"), "doc_id").select(at(3).alias("path"), F.lit(True).alias("definite"))
+    weak = d.select(F.explode(F.array(at(2), at(3), F.when(parts[3] == "1", at(4)))).alias("path"), F.lit(False).alias("definite"))
+    return trees.owners(d, bad.unionByName(weak), "path").select("doc_id", "data_set")
+
+
+@query(f"""WITH d AS (SELECT {_TREE} p, n_chars s, sha256(coalesce(text, '')) c FROM documents), f AS (SELECT p, s, c, unnest([1, 2, 3, 4]) n, string_split(p, '/') x FROM d), u AS (SELECT CASE WHEN n = 1 THEN '/' ELSE array_to_string(x[1 : n], '/') END folder, s, sha256('/' || array_to_string(x[n + 1 :], '/') || chr(0) || s || chr(0) || c) h FROM f),
+g AS (SELECT folder, count(*) files, CAST(sum(s) AS BIGINT) bytes, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT) l{i}" for i in range(8))} FROM u GROUP BY folder)
+SELECT folder, files, bytes, sha256(concat_ws(',', files, l0, l1, l2, l3, l4, l5, l6, l7)) fingerprint FROM g""")
+def folder_fingerprints(spark, sf):
+    d = table(spark, sf, "documents").select(F.expr(_TREE).alias("path"), "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"))
+    return trees.fingerprints(d, "path", "c", "n_chars")
+
+
 # Scalar functions
 
 
