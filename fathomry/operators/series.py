@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import nearest_ranks
+
 
 def _w(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -56,9 +58,27 @@ def running_median(df: DataFrame, keys: list[str], order: list[str], y: str, hal
     return df.withColumn("running_median", F.percentile(y, F.lit(0.5)).over(_w(keys, order).rowsBetween(-half, half)))
 
 
-def running_quantile(df: DataFrame, keys: list[str], order: list[str], y: str, half: int, q: float) -> DataFrame:
-    """A baseline: the q-quantile of the `half` values before and after."""
-    return df.withColumn("baseline", F.percentile(y, F.lit(q)).over(_w(keys, order).rowsBetween(-half, half)))
+def running_quantile(df: DataFrame, keys: list[str], order: list[str], y: str, window: int, q: float) -> DataFrame:
+    """A baseline: at every ``window`` / 8 points and the last one the nearest-rank q-quantile of the finite values of a centred window, and lines between.
+
+    A window is of 3 points at least, and of no more than the group has, if that is 3 or more; without finite values it gives 0.
+    """
+    w, whole = _w(keys, order), Window.partitionBy(*keys)
+    d = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(whole))
+    size = F.greatest(F.lit(3), F.least(F.lit(window), F.greatest("__n", F.lit(3))))
+    d = d.withColumn("__half", F.floor(size / 2)).withColumn("__step", F.greatest(F.floor(size / 8), F.lit(1)))
+    half = max(window, 3) // 2
+    finite = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")) & (F.abs(y) != float("inf"))
+    near = F.collect_list(F.when(finite, F.struct("__i", F.col(y).cast("double").alias("y")))).over(w.rowsBetween(-half, half))
+    d = d.withColumn("__near", near).withColumn("__on", (F.col("__i") % F.col("__step") == 0) | (F.col("__i") == F.col("__n") - 1))
+    d = d.withColumn("__v", F.when(F.col("__on"), F.expr("array_sort(transform(filter(__near, x -> abs(x.__i - __i) <= __half), x -> x.y))")))
+    nearest = F.element_at("__v", (F.floor((F.size("__v") - 1) * q + 0.5) + 1).cast("int"))
+    d = d.withColumn("__q", F.when(F.col("__on"), F.when(F.size("__v") > 0, nearest).otherwise(0.0)))
+    point = F.when(F.col("__on"), F.struct("__i", F.col("__q").alias("q")))
+    d = d.withColumn("__a", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(point, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    share = (F.col("__i") - F.col("__a.__i")) / (F.col("__b.__i") - F.col("__a.__i"))
+    line = F.when(F.col("__on"), F.col("__q")).otherwise(F.col("__a.q") + (F.col("__b.q") - F.col("__a.q")) * share)
+    return d.withColumn("baseline", line).drop("__i", "__n", "__half", "__step", "__near", "__on", "__v", "__q", "__a", "__b")
 
 
 def difference_noise(df: DataFrame, keys: list[str], order: list[str], y: str) -> DataFrame:
@@ -74,12 +94,17 @@ def savitzky_golay_weights(window: int, order: int = 2, derivative: int = 0) ->
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], y: str, window: int) -> DataFrame:
-    """Quadratic smoothing inside; a point without its whole window keeps its value."""
-    w, half = _w(keys, order), window // 2
+    """Quadratic smoothing over ``window`` points, an even number rounded up, under 5 none; towards the ends the window shrinks on both sides."""
+    w, m = _w(keys, order), window // 2 if window >= 5 else 0
+    d = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    half = F.least(F.lit(m), F.col("__i"), F.col("__n") - 1 - F.col("__i"))
+    weights = [savitzky_golay_weights(2 * k + 1) if k > 1 else [0.0, 1.0, 0.0] if k else [1.0] for k in range(m + 1)]
     total: Column = F.lit(0.0)
-    for k, c in zip(range(-half, half + 1), savitzky_golay_weights(window), strict=True):
-        total = total + c * (F.lag(y, -k).over(w) if k < 0 else F.lead(y, k).over(w) if k > 0 else F.col(y))
-    return df.withColumn("smooth", F.coalesce(total, F.col(y).cast("double")))
+    for j in range(-m, m + 1):
+        at = F.lag(y, -j).over(w) if j < 0 else F.lead(y, j).over(w) if j > 0 else F.col(y)
+        of = F.array(*(F.lit(weights[k][j + k] if abs(j) <= k else 0.0) for k in range(m + 1)))
+        total = total + F.when(F.col("__half") >= abs(j), of[F.col("__half")] * at).otherwise(0.0)
+    return d.withColumn("__half", half.cast("int")).withColumn("smooth", total).drop("__i", "__n", "__half")
 
 
 def derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, central: bool = False) -> DataFrame:
@@ -121,18 +146,31 @@ def envelope(df: DataFrame, keys: list[str], order: list[str], y: str, buckets:
     return df.withColumn("bucket", F.ntile(buckets).over(_w(keys, order))).groupBy(*keys, "bucket").agg(F.min(y).alias("lo"), F.max(y).alias("hi"))
 
 
-def shared_histogram(df: DataFrame, keys: list[str], value: str, low: float = 0.0005, high: float = 0.9995) -> DataFrame:
-    """Counts in bins that all series share: nearest-rank range, as many bins as the root of the rows, 24 to 160."""
-    v = df.where(F.col(value).isNotNull())
-    # percentile_disc is a nearest rank on a partial aggregate: one small result, no global sort
-    r = v.agg(F.count("*").alias("n"), F.expr(f"percentile_disc({low}) within group (order by {value})").alias("lo"), F.expr(f"percentile_disc({high}) within group (order by {value})").alias("hi")).first()
-    if not r["n"] or r["hi"] <= r["lo"]:
-        return v.groupBy(*keys).agg(F.count("*").alias("count")).withColumns({"bin": F.lit(0).cast("long"), "start": F.lit(float(r["lo"] or 0)), "end": F.lit(float(r["hi"] or 0))})
-    bins = min(160, max(24, round(r["n"] ** 0.5)))
-    step = (r["hi"] - r["lo"]) / bins
-    b = F.least(F.floor((F.col(value) - r["lo"]) / step), F.lit(bins - 1))
-    out = v.where(F.col(value).between(r["lo"], r["hi"])).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("count"))
-    return out.withColumns({"start": r["lo"] + F.col("bin") * step, "end": r["lo"] + (F.col("bin") + 1) * step})
+def shared_histogram(df: DataFrame, keys: list[str], value: str, low: float = 0.0005, high: float = 0.9995, log: bool = False) -> DataFrame:
+    """Bins that all series (keys) share: keys, bin, start, end, height, empty bins too.
+
+    The range is that of the values at the nearest ranks, equal ends widened by a half; bins are the root of the values per series, 24 to 160.
+    Height is a count, of several series a percentage of the series' finite values. log: bins are equal in the logarithm, what is not positive is in none.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v) AND abs(__v) < double('inf')")
+    v = v.withColumn("__x", F.when(F.col("__v") > 0, F.log10("__v")) if log else F.col("__v"))
+    r = nearest_ranks(v, [], "__x", {"lo": low, "hi": high}).first()
+    sizes = v.groupBy(*keys).agg(F.count("*").alias("__n")) if keys else v.agg(F.count("*").alias("__n")).where("__n > 0")
+    series = sizes.count()
+    lo, hi = (r["lo"], r["hi"]) if r else (0.0, 0.0)
+    lo, hi = (lo, hi) if hi > lo else (lo - 0.5, lo + 0.5)
+    bins = min(160, max(24, int(((r["n"] if r else 0) / max(series, 1)) ** 0.5)))
+    step = (hi - lo) / bins
+    at = F.least(F.floor((F.col("__x") - lo) / step), F.lit(bins - 1))
+    counts = v.where(F.col("__x").between(lo, hi)).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("__c"))
+    named = counts.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)} | {"bin": "__bin"})
+    same = F.col("bin") == F.col("__bin")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    whole = sizes.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")))).join(named, same, "left")
+    height = F.coalesce("__c", F.lit(0)) * (F.lit(100.0) / F.col("__n") if series > 1 else F.lit(1.0))
+    back = lambda t: F.pow(F.lit(10.0), t) if log else t
+    return whole.select(*keys, "bin", back(lo + F.col("bin") * step).alias("start"), back(lo + (F.col("bin") + 1) * step).alias("end"), height.alias("height"))
 
 
 def trace_statistics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
-from ..operators import assay, catalog, gating, health, joins, layout, link, plots, pointers, qpcr, reads, regions, search, series, spectra, summarize, tables, trees
+from ..operators import assay, catalog, gating, health, joins, layout, link, plots, pointers, qpcr, quantiles, reads, regions, search, series, spectra, summarize, tables, trees
 from ..operators.graph import connected_components, shared_folder
 from ..sources.journal import Job
 from ..streaming import watch
@@ -301,9 +301,11 @@ def running_median(spark, sf):
     return rounded(series.running_median(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 2).select("event_id", "running_median"))
 
 
-@query("SELECT event_id, round(quantile_cont(value, 0.1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 4) baseline FROM events")
+@query("""WITH r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 i, count(*) OVER (PARTITION BY user_id) n FROM events), w AS (SELECT *, least(16, greatest(n, 3)) size FROM r),
+g AS (SELECT *, size // 2 half, greatest(size // 8, 1) step FROM w), v AS (SELECT g.user_id, g.i, list_sort(list(x.value))[CAST(floor((count(*) - 1) * 0.1 + 0.5) AS INTEGER) + 1] q FROM g JOIN r x ON x.user_id = g.user_id AND x.i BETWEEN g.i - g.half AND g.i + g.half WHERE g.i % g.step = 0 OR g.i = g.n - 1 GROUP BY g.user_id, g.i)
+SELECT event_id, round(CASE WHEN g.i = g.n - 1 OR g.i % step = 0 THEN o.q ELSE a.q + (b.q - a.q) * (g.i - a.i) / (b.i - a.i) END, 4) baseline FROM g LEFT JOIN v o ON o.user_id = g.user_id AND o.i = g.i LEFT JOIN v a ON a.user_id = g.user_id AND a.i = g.i // step * step LEFT JOIN v b ON b.user_id = g.user_id AND b.i = least(g.i // step * step + step, g.n - 1)""")
 def running_baseline(spark, sf):
-    return rounded(series.running_quantile(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 10, 0.1).select("event_id", "baseline"))
+    return rounded(series.running_quantile(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 16, 0.1).select("event_id", "baseline"))
 
 
 @query("WITH i AS (SELECT user_id, event_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) isi FROM (SELECT *, epoch_us(ts) / 1000000.0 t FROM events)), n AS (SELECT *, lead(isi) OVER (PARTITION BY user_id ORDER BY t, event_id) nx FROM i) SELECT user_id, round(avg((nx - isi) / nullif(nx + isi, 0)), 6) + 0.0 adaptation FROM n GROUP BY user_id")
@@ -317,9 +319,13 @@ def difference_noise(spark, sf):
     return rounded(series.difference_noise(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value"))
 
 
-@query("SELECT event_id, round(coalesce((-3.0 * lag(value, 2) OVER w + 12.0 * lag(value) OVER w + 17.0 * value + 12.0 * lead(value) OVER w - 3.0 * lead(value, 2) OVER w) / 35.0, value), 4) smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("""SELECT event_id, round(CASE WHEN lag(value, 2) OVER w IS NOT NULL AND lead(value, 2) OVER w IS NOT NULL THEN (-3.0 * lag(value, 2) OVER w + 12.0 * lag(value) OVER w + 17.0 * value + 12.0 * lead(value) OVER w - 3.0 * lead(value, 2) OVER w) / 35.0 ELSE value END, 4) AS smooth,
+round(CASE WHEN lag(value, 3) OVER w IS NOT NULL AND lead(value, 3) OVER w IS NOT NULL THEN (-2.0 * (lag(value, 3) OVER w + lead(value, 3) OVER w) + 3.0 * (lag(value, 2) OVER w + lead(value, 2) OVER w) + 6.0 * (lag(value) OVER w + lead(value) OVER w) + 7.0 * value) / 21.0
+  WHEN lag(value, 2) OVER w IS NOT NULL AND lead(value, 2) OVER w IS NOT NULL THEN (-3.0 * (lag(value, 2) OVER w + lead(value, 2) OVER w) + 12.0 * (lag(value) OVER w + lead(value) OVER w) + 17.0 * value) / 35.0 ELSE value END, 4) wider FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def savitzky_golay(spark, sf):
-    return rounded(series.savitzky_golay(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", "smooth"))
+    d = series.savitzky_golay(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 5)
+    wider = series.savitzky_golay(d.withColumnRenamed("smooth", "first"), ["user_id"], ["ts", "event_id"], "value", 6)
+    return rounded(wider.select("event_id", F.col("first").alias("smooth"), F.col("smooth").alias("wider")))
 
 
 @query("WITH m AS (SELECT event_id, value, max(value) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) nx, max(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) px FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id FROM m WHERE value >= coalesce(nx, value) AND value > coalesce(px, value - 1)")
@@ -344,9 +350,20 @@ def envelope(spark, sf):
     return series.envelope(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 4)
 
 
-@query("WITH r AS (SELECT count(*) n, quantile_disc(value, 0.0005) lo, quantile_disc(value, 0.9995) hi FROM events), b AS (SELECT lo, hi, least(160, greatest(24, CAST(round_even(sqrt(n), 0) AS INTEGER))) k FROM r) SELECT event_type, CAST(least(floor((value - lo) / ((hi - lo) / k)), k - 1) AS BIGINT) bin, count(*) AS count FROM events, b WHERE value BETWEEN lo AND hi GROUP BY ALL")
+@query("""WITH v AS (SELECT event_type, value, row_number() OVER (ORDER BY value) - 1 k, count(*) OVER () n FROM events WHERE value IS NOT NULL), m AS (SELECT count(DISTINCT event_type) m FROM v),
+q AS (SELECT max(value) FILTER (k = floor((n - 1) * 0.0005 + 0.5)) lo, max(value) FILTER (k = floor((n - 1) * 0.9995 + 0.5)) hi, max(n) n FROM v), b AS (SELECT lo, hi, CAST(least(160, greatest(24, floor(sqrt(n / m)))) AS BIGINT) bins FROM q, m),
+s AS (SELECT event_type, count(*) size FROM v GROUP BY event_type), c AS (SELECT event_type, CAST(least(floor((value - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) bin, count(*) c FROM v, b WHERE value BETWEEN lo AND hi GROUP BY ALL),
+g AS (SELECT event_type, size, unnest(range(bins)) bin, lo, (hi - lo) / bins step FROM s, b)
+SELECT event_type, bin, round(lo + bin * step, 4) + 0.0 AS "start", round(lo + (bin + 1) * step, 4) + 0.0 AS "end", round(coalesce(c, 0) * (100.0 / size), 4) + 0.0 height FROM g LEFT JOIN c USING (event_type, bin)""")
 def shared_histogram(spark, sf):
-    return series.shared_histogram(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "bin", "count")
+    return rounded(series.shared_histogram(table(spark, sf, "events"), ["event_type"], "value"))
+
+
+@query("SELECT l_suppkey % 7 AS k, count(*) n, round(quantile_cont(l_extendedprice, 0.01), 4) p1, round(quantile_cont(l_extendedprice, 0.5), 4) median, round(quantile_cont(l_extendedprice, 0.99), 4) p99 FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, sf):
+    """Seven large groups, none of them gathered before few values are left."""
+    d = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("k"), "l_extendedprice")
+    return rounded(quantiles.quantiles(d, ["k"], "l_extendedprice", {"p1": 0.01, "median": 0.5, "p99": 0.99}, small=1000))
 
 
 @query("SELECT event_type, count(*) samples, count(value) finite, round(min(value), 4) min, round(max(value), 4) max, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, arg_min(event_id, (value, event_id)) x_at_min, arg_max(event_id, (value, -event_id)) x_at_max FROM events GROUP BY ALL")
