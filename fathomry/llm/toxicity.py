@@ -172,9 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), learn: Colum
 
     sizes = dict(sample.groupBy("positive").agg(F.count("*")).collect())
     df = sample.mapInArrow(frequencies, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    # of the features in under one text of 500 none can reach the top: the rest is bounded by the sample's words
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
-    df = df.where((F.col("p") + F.col("u") >= 5) & ((F.col("p") > n_p / 500) | (F.col("u") > n_u / 500))).toPandas()
+    # the best features alone come to the driver, ranked as in `chosen`; hashes are unsigned
+    pool = (F.col("p") + F.col("u") + 1) / F.lit(n_p + n_u + 2)
+    z = F.abs(F.col("p") / F.lit(max(n_p, 1)) - F.col("u") / F.lit(max(n_u, 1))) / F.sqrt(pool * (1 - pool) * F.lit(1 / max(n_p, 1) + 1 / max(n_u, 1)))
+    df = df.where("p + u >= 5").orderBy(z.desc(), F.col("h") < 0, "h").limit(o.features).toPandas()
     hashes = chosen(df["h"].to_numpy(np.int64).view(np.uint64), df["p"].to_numpy(np.int64), df["u"].to_numpy(np.int64), n_p, n_u, o)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

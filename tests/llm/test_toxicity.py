@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fathomry.llm import toxicity as tx
 
@@ -100,3 +102,20 @@ def test_every_step_follows_the_gradient_of_the_risk():
         w, b = tx.nnpu(rows, cols, 40, 6, p, u, prior, tx.Options(steps=t, decay=0, rate=0.3))
         assert np.allclose(np.append(w, b), theta, atol=1e-6)
     assert sides == {True, False}
+
+
+def test_a_rare_telling_feature_is_chosen(spark):
+    """In 8 of 4,000 confirmed texts and in no other: not over one in 500, and among the best."""
+    rows = [(i, f"common w{i % 40} x{i % 17}" + (" zzq" if i < 8 else "")) for i in range(200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4000)) for i in range(200_000)], "doc_id long, toxic int")
+    o = tx.Options(steps=2)
+    model = tx.fit(docs, labels, o, learn=F.lit(True))
+    h, _, _ = tx.features(pa.array(["zzq"]))
+    assert set(h[:1]) <= set(model.hashes)
+
+
+def test_words_of_fewer_than_five_texts_tell_nothing(spark):
+    docs = spark.createDataFrame([(i, f"only{i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert {r["score"] for r in tx.classify(docs, labels).collect()} == {0.0}
