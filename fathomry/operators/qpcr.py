@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import savitzky_golay_weights
+
 
 def cq_of(cycle: np.ndarray, y: np.ndarray, threshold: float | None = None) -> tuple[float | None, float | None]:
     """(Cq, threshold): a baseline line is taken off, the threshold is ten of its deviations unless given."""
@@ -56,6 +58,48 @@ def threshold_cq(df: DataFrame, keys: list[str], cycle: str = "cycle", y: str =
     return df.select(*keys, cycle, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, "cq double, threshold double"]))
 
 
+#: Cycles of the baseline, its standard deviations that a curve must rise above it, and the fewest cycles.
+BASELINE, GATE_SDS, LEAST_CYCLES = (3, 15), 50.0, 18
+
+
+def second_derivative_cq(df: DataFrame, keys: list[str], cycle: str = "cycle", y: str = "fluorescence") -> DataFrame:
+    """keys, outcome, cq: the cycle where a curve's second derivative is largest, by windows alone.
+
+    The derivative is that of a quadratic through nine readings; one through the seven derivatives around the largest (of equals the last) puts the
+    maximum between cycles. outcome: ``cq``; ``none`` where the curve stays within the gate or never turns up; ``undetermined`` where it can't be
+    analysed: under 18 cycles, not numbered 1, 2, 3, ..., a missing or infinite reading, a maximum too near an end or without an apex.
+    """
+    d = df.select(*keys, F.col(cycle).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    whole, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    d = d.withColumn("in_turn", finite(F.col("y")) & finite(F.col("x")) & (F.abs(F.col("x") - F.row_number().over(ordered)) <= 1e-9))
+    base = F.col("x").between(BASELINE[0] - 0.5, BASELINE[1] + 0.5)
+    bx, by = F.when(base, F.col("x")), F.when(base, F.col("y"))
+    d = d.withColumns({"slope": F.regr_slope(by, bx).over(whole), "start": F.regr_intercept(by, bx).over(whole), "level": F.avg(by).over(whole)})
+    d = d.withColumn("left", F.when(base, F.col("y") - F.col("start") - F.col("slope") * F.col("x")))
+
+    def around(column: str, weights: list[float], middle: Column | None = None) -> Column:
+        """The weighted sum of a row and those beside it, null at the ends."""
+        total: Column = F.lit(0.0)
+        half = len(weights) // 2
+        for j, c in zip(range(-half, half + 1), weights, strict=True):
+            at = F.lag(column, -j).over(ordered) if j < 0 else F.lead(column, j).over(ordered) if j else F.col(column)
+            total = total + c * (at - middle if middle is not None else at)
+        return total
+
+    # weights add up to nothing: taking the middle reading off keeps a large background out of the sum
+    d = d.withColumn("second", around("y", savitzky_golay_weights(9, 2, 2), F.col("y")))
+    d = d.withColumns({"tilt": around("second", savitzky_golay_weights(7, 2, 1)), "bend": around("second", [c / 2 for c in savitzky_golay_weights(7, 2, 2)])})
+    top = F.max_by(F.struct("x", "second", "tilt", "bend"), F.when(finite(F.col("second")), F.struct("second", "x"))).alias("top")
+    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and("in_turn").alias("fit"), F.stddev_samp("left").alias("sd"), F.first("level").alias("level"), F.max("y").alias("highest"), top)
+    offset = -F.col("top.tilt") / (2 * F.col("top.bend"))
+    usable = F.col("fit") & (F.col("n") >= LEAST_CYCLES) & finite(F.col("sd")) & finite(F.col("level"))
+    flat = (F.col("highest") - F.col("level") <= GATE_SDS * F.col("sd")) | F.coalesce(F.col("top.second") <= 0, F.lit(False))
+    apex = F.coalesce((F.col("top.bend") < 0) & (F.abs(offset) <= 3.0), F.lit(False))
+    outcome = F.when(~F.coalesce(usable, F.lit(False)), "undetermined").when(flat, "none").when(apex, "cq").otherwise("undetermined")
+    return g.select(*keys, outcome.alias("outcome"), F.when(outcome == "cq", F.col("top.x") + offset).alias("cq"))
+
+
 def delta_delta_cq(df: DataFrame, references: list[str], calibrator: str, sample: str = "sample", target: str = "target", cq: str = "cq") -> DataFrame:
     """delta Cq against the mean of the references' means, delta delta Cq against the calibrator, rq and its range."""
     per = df.where(F.col(cq).isNotNull()).groupBy(sample, target).agg(F.avg(cq).alias("mean_cq"), F.coalesce(F.stddev_samp(cq), F.lit(0.0)).alias("sd_cq"), F.count(cq).alias("n"))

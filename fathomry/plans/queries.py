@@ -705,6 +705,30 @@ def folder_fingerprints(spark, sf):
     return trees.fingerprints(d, "path", "c", "n_chars")
 
 
+def _second(d: str) -> str:
+    """The nine-point second derivative of y, or with seven points the slope and curvature of d, as SQL."""
+    at = lambda c, j: c if not j else f"lag({c}, {-j}) OVER w" if j < 0 else f"lead({c}, {j}) OVER w"
+    if d == "y":
+        return "(" + " + ".join(f"({k}) * ({at('y', j)} - y)" for j, k in zip(range(-4, 5), (28, 7, -8, -17, -20, -17, -8, 7, 28), strict=True)) + ") / 462.0"
+    weights = [(j, j if d == "tilt" else j * j - 4) for j in range(-3, 4)]
+    return "(" + " + ".join(f"({k}) * {at('s', j)}" for j, k in weights) + f") / {28.0 if d == 'tilt' else 84.0}"
+
+
+@query(f"""WITH e AS (SELECT user_id // 4 reaction, CAST(row_number() OVER (PARTITION BY user_id // 4 ORDER BY ts, event_id) AS DOUBLE) x, CAST(count(*) OVER (PARTITION BY user_id // 4) AS DOUBLE) n, value FROM events),
+c AS (SELECT reaction, x, n, 500.0 + value / 1000.0 + 2000.0 * (reaction % 3) / (1.0 + exp((0.6 * n - x) / 1.7)) y FROM e),
+f AS (SELECT reaction, regr_slope(y, x) b, regr_intercept(y, x) a, avg(y) level FROM c WHERE x BETWEEN 3 AND 15 GROUP BY reaction), r AS (SELECT reaction, stddev_samp(y - a - b * x) sd FROM c JOIN f USING (reaction) WHERE x BETWEEN 3 AND 15 GROUP BY reaction),
+s AS (SELECT *, {_second("y")} s FROM c WINDOW w AS (PARTITION BY reaction ORDER BY x)), t AS (SELECT *, {_second("tilt")} tilt, {_second("bend")} bend FROM s WINDOW w AS (PARTITION BY reaction ORDER BY x)),
+p AS (SELECT * FROM t WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reaction ORDER BY s DESC, x DESC) = 1), g AS (SELECT reaction, max(n) n, max(y) highest FROM c GROUP BY reaction),
+o AS (SELECT reaction, x, tilt, bend, CASE WHEN g.n < 18 OR sd IS NULL THEN 'undetermined' WHEN highest - level <= 50 * sd OR s <= 0 THEN 'none' WHEN bend < 0 AND abs(tilt / (2 * bend)) <= 3 THEN 'cq' ELSE 'undetermined' END outcome FROM g LEFT JOIN f USING (reaction) LEFT JOIN r USING (reaction) LEFT JOIN p USING (reaction))
+SELECT reaction, outcome, round(CASE WHEN outcome = 'cq' THEN x - tilt / (2 * bend) END, 4) cq FROM o""")
+def second_derivative_cq(spark, sf):
+    """Four users' events as the cycles of a reaction; a third of them do not amplify."""
+    g = F.expr("user_id div 4")
+    e = table(spark, sf, "events").select(g.alias("reaction"), F.row_number().over(Window.partitionBy(g).orderBy("ts", "event_id")).cast("double").alias("x"), F.count("*").over(Window.partitionBy(g)).cast("double").alias("n"), "value")
+    y = 500.0 + F.col("value") / 1000.0 + 2000.0 * (F.col("reaction") % 3) / (1.0 + F.exp((0.6 * F.col("n") - F.col("x")) / 1.7))
+    return rounded(qpcr.second_derivative_cq(e.withColumn("y", y), ["reaction"], "x", "y"))
+
+
 # Scalar functions
 
 
