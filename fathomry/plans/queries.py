@@ -217,6 +217,18 @@ def layout_like_join(spark, sf):
     return c.join(joins.sized(n), c["c_nationkey"] == n["n_nationkey"]).groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT c_custkey, chr(CAST(65 + c_nationkey % 5 AS INTEGER)) || lpad(CAST(c_nationkey // 5 + 1 AS VARCHAR), 2, '0') well, CASE WHEN n_regionkey <> 4 THEN n_name END AS role, CAST(CASE WHEN n_regionkey <> 4 THEN CASE WHEN n_nationkey % 2 = 0 THEN 10 + n_nationkey ELSE n_regionkey END END AS INTEGER) dose
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def layout_join(spark, sf):
+    """Customers as reads of wells, nations as the layout; a second layout overrides some doses, one region's wells have none."""
+    at = lambda k, sep: F.concat(F.chr(65 + F.col(k) % 5), F.lit(sep), (F.expr(f"{k} div 5") + 1).cast("string"))
+    reads = table(spark, sf, "customer").select("c_custkey", at("c_nationkey", "").alias("well"))
+    known = table(spark, sf, "nation").where("n_regionkey <> 4")
+    first = known.select(at("n_nationkey", "0").alias("well"), F.col("n_name").alias("role"), F.col("n_regionkey").cast("int").alias("dose"))
+    second = known.where("n_nationkey % 2 = 0").select(at("n_nationkey", "").alias("well"), (F.col("n_nationkey") + 10).cast("int").alias("dose"))
+    return joins.layout_join(reads, first, second)
+
+
 @query()
 def link_components(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))  # suppliers below 0, so that no number names two things
@@ -418,9 +430,9 @@ def top_peaks(spark, sf):
     return rounded(spectra.top_peaks(_spectra(spark, sf), 5).select("scan", F.explode("peaks").alias("p")).select("scan", "p.*"), 6)
 
 
-@query(f"SELECT scan, round(coalesce(max(y) FILTER (mz = 20), 0), 6) a FROM ({_LONG}) WHERE abs(label % 50 - 3) <= 1 GROUP BY scan")
+@query(f"SELECT scan, round(CASE WHEN bool_and(abs(label % 50 - 3) <= 1) THEN coalesce(max(y) FILTER (mz = 20), 0) END, 6) a FROM ({_LONG}) GROUP BY scan")
 def transitions(spark, sf):
-    return rounded(spectra.transitions(_spectra(spark, sf), {"a": (3.0, 20.2, 1.0)}).where("a is not null").select("scan", "a"), 6)
+    return rounded(spectra.transitions(_spectra(spark, sf), {"a": (3.0, 20.2, 1.0)}).select("scan", "a"), 6)
 
 
 @query(f"SELECT scan, CAST(least(floor(mz * 8 / 63), 7) AS BIGINT) slice, round(max(y), 6) intensity FROM ({_LONG}) GROUP BY ALL")
@@ -428,10 +440,11 @@ def thinned_spectra(spark, sf):
     return rounded(spectra.thinned(_spectra(spark, sf), ["scan"], 8).select("scan", F.col("slice").cast("long").alias("slice"), "intensity"), 6)
 
 
-@query(f"WITH p AS (SELECT scan, mz, y FROM ({_LONG}) WHERE mz BETWEEN 5 AND 15), e AS (SELECT scan, arg_min(y, mz) y0, arg_max(y, mz) y1 FROM p GROUP BY scan), v AS (SELECT scan, mz, y - (y0 + (y1 - y0) * (mz - 5) / 10) v FROM p JOIN e USING (scan)), a AS (SELECT scan, v, (mz - lag(mz) OVER w) * (v + lag(v) OVER w) / 2 a FROM v WINDOW w AS (PARTITION BY scan ORDER BY mz)) SELECT scan, round(sum(a), 4) + 0.0 area, round(max(v), 4) + 0.0 height FROM a GROUP BY scan")
+@query(f"WITH p AS (SELECT scan, mz, y FROM ({_LONG}) WHERE mz BETWEEN 5 AND 15), e AS (SELECT scan, arg_min(y, mz) y0, arg_max(y, mz) y1 FROM p GROUP BY scan), v AS (SELECT scan, mz, y - (y0 + (y1 - y0) * (mz - 5) / 10) v FROM p JOIN e USING (scan)), a AS (SELECT scan, mz, v, (mz - lag(mz) OVER w) * (v + lag(v) OVER w) / 2 a FROM v WINDOW w AS (PARTITION BY scan ORDER BY mz)) SELECT scan, round(sum(a), 4) + 0.0 area, round(sum(mz * v) / nullif(sum(v), 0), 3) + 0.0 centroid, round(max(v), 4) + 0.0 height FROM a GROUP BY scan")
 def spectral_bands(spark, sf):
     points = _spectra(spark, sf).select("scan", F.explode(spectra.pairs()).alias("p")).select("scan", "p.*")
-    return rounded(spectra.bands(points, ["scan"], "mz", "intensity", 5.0, 15.0).select("scan", "area", "height"))
+    b = rounded(spectra.bands(points, ["scan"], "mz", "intensity", 5.0, 15.0).withColumn("centroid", F.round("centroid", 3)))
+    return b.select("scan", "area", "centroid", "height")
 
 
 @query("SELECT vec_id, arg_min(i, abs(x - CAST(0.1 AS DOUBLE))) i FROM (SELECT vec_id, unnest(range(0, len(embedding))) i, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY vec_id")
