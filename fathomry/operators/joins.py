@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import semantics as S
 from ..errors import UsageError
 from .graph import checkpointed
+from .tables import positions
 
 #: Row fields a sheet column may name, in order of preference, and the columns they come from.
 KEY_FIELDS = {
@@ -30,6 +31,10 @@ KEY_FIELDS = {
     "position": "sample_position",
     "run_order": "started_at",
 }
+#: The place of a row by its start, numbered by ``sheet_join``.
+ORDER = "__order"
+#: How many rows share a key.
+WEIGHT = "__weight"
 #: Sheets of at most so many rows are sent to every executor.
 BROADCAST_ROWS = 100_000
 #: Glob cells in one pass over the distinct names.
@@ -52,7 +57,7 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def row_keys(df: DataFrame, name: str) -> Column:
     """All normalised keys of a row under a field: path suffixes, stems, or one value."""
-    source = KEY_FIELDS.get(name, name)
+    source = ORDER if name == "run_order" else KEY_FIELDS.get(name, name)
     if source not in df.columns:
         return F.array().cast("array<string>")
     c = F.col(source)
@@ -67,7 +72,8 @@ def row_keys(df: DataFrame, name: str) -> Column:
     elif name == "well":
         keys = F.array(S.well(c))
     elif name == "run_order":
-        keys = F.array(F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())).cast("string"))
+        # numbered beforehand where a sheet may name it (`sheet_join`)
+        keys = F.array(c.cast("string"))
     else:
         keys = F.array(S.normal_text(c.cast("string")))
     return F.array_distinct(F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
@@ -80,15 +86,16 @@ def sheet_key(c: Column, name: str) -> Column:
 
 def choose_keys(rows: DataFrame, sheet: DataFrame, fields: list[str] | None = None, most: int = 2, row_id: str = "__row") -> list[tuple[str, str]]:
     """Pairs (sheet column, field) that match most rows; a further pair only if it lowers the rows matched twice."""
-    fields = fields or [f for f in KEY_FIELDS if KEY_FIELDS[f] in rows.columns]
-    fields = [f for f in fields if f != "run_order" or any(w in c.lower() for c in sheet.columns for w in ("order", "injection", "run", "seq", "acquisition"))]
+    fields = fields or [f for f in KEY_FIELDS if (ORDER if f == "run_order" else KEY_FIELDS[f]) in rows.columns]
     if not fields:
         return []
-    left = rows.select(row_id, F.explode(F.array(*(F.struct(F.lit(f).alias("f"), row_keys(rows, f).alias("ks")) for f in fields))).alias("x")).select(row_id, "x.f", F.explode("x.ks").alias("k"))
+    weight = F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1)
+    left = rows.select(row_id, weight.alias(WEIGHT), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), row_keys(rows, f).alias("ks")) for f in fields))).alias("x")).select(row_id, WEIGHT, "x.f", F.explode("x.ks").alias("k"))
     right = sheet.select("__sheet", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f"), sheet_key(F.col(f"`{c}`"), f).alias("k")) for c in sheet.columns if c != "__sheet" for f in fields))).alias("x")).select("__sheet", "x.*").where("k is not null and k <> ''")
-    hits = left.join(sized(right), ["f", "k"]).select("c", "f", row_id, "__sheet").distinct()
-    each = hits.groupBy("c", "f", row_id).agg(F.count("*").alias("n"))
-    score = each.groupBy("c", "f").agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("twice")).collect()  # columns * fields at most
+    hits = left.join(sized(right), ["f", "k"]).select("c", "f", row_id, WEIGHT, "__sheet").distinct()
+    each = hits.groupBy("c", "f", row_id, WEIGHT).agg(F.count("*").alias("n"))
+    sums = F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col(WEIGHT))), F.lit(0)).alias("twice")
+    score = each.groupBy("c", "f").agg(*sums).collect()  # columns * fields at most
     rank = {f: i for i, f in enumerate(fields)}
     place = {c: i for i, c in enumerate(sheet.columns)}
     best = sorted(score, key=lambda r: (-r["rows"], rank[r["f"]], place[r["c"]]))
@@ -104,7 +111,7 @@ def choose_keys(rows: DataFrame, sheet: DataFrame, fields: list[str] | None = No
         cond = F.lit(False)
         for c, f in pairs:
             cond = cond | ((F.col("c") == c) & (F.col("f") == f))
-        per = hits.where(cond).groupBy(row_id, "__sheet").agg(F.count("*").alias("m")).where(F.col("m") == len(pairs)).groupBy(row_id).agg(F.count("*").alias("n")).agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("twice")).first()
+        per = hits.where(cond).groupBy(row_id, WEIGHT, "__sheet").agg(F.count("*").alias("m")).where(F.col("m") == len(pairs)).groupBy(row_id, WEIGHT).agg(F.count("*").alias("n")).agg(*sums).first()
         if per["rows"] >= best[0]["rows"] and per["twice"] < twice:
             chosen, twice = pairs, per["twice"]
     return chosen
@@ -114,16 +121,22 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
     """Every row, with the annotations of the sheet row that it matches.
 
     Several sheet rows that agree count as one; if they disagree the annotations are
-    null and the row is ambiguous. Sheet columns of a taken name get `_sheet`. Cells
+    null and the row is ambiguous. Rows are read twice, for their key fields and for the join, and not written. Sheet columns of a taken name get `_sheet`. Cells
     with * ? [ match as globs. A row's copies each get their annotation.
     """
-    # the ids are written once: several branches and jobs read them
-    rows = checkpointed(rows.withColumn("__row", F.monotonically_increasing_id()))
     sheet = checkpointed(sheet.withColumn("__sheet", F.monotonically_increasing_id()))
-    keys = keys or choose_keys(rows, sheet)
+    fields = [f for _, f in keys] if keys else [f for f in KEY_FIELDS if KEY_FIELDS[f] in rows.columns]
+    ordered = "run_order" in fields and (keys or any(w in c.lower() for c in sheet.columns for w in ("order", "injection", "run", "seq", "acquisition")))
+    if ordered:
+        rows = positions(rows, [F.col(KEY_FIELDS["run_order"]).asc_nulls_last()], ORDER)
+    # rows of equal key fields get the same: these are matched, once each, and met again by value
+    on = [c for c in dict.fromkeys(ORDER if f == "run_order" else KEY_FIELDS.get(f, f) for f in fields) if c in rows.columns] or rows.columns[:1]
+    tuples = checkpointed(rows.groupBy(*(F.col(f"`{c}`") for c in on)).agg(F.count("*").alias(WEIGHT)).withColumn("__row", F.monotonically_increasing_id()))
+    keys = keys or choose_keys(tuples, sheet)
     if not keys:
         raise UsageError("no sheet column matches a row field")
-    names, used = {}, set(rows.columns)
+    columns = [c for c in rows.columns if c != ORDER]
+    names, used = {}, set(columns)
     for c in sheet.columns:
         if c != "__sheet" and c not in [k for k, _ in keys]:
             new = c if c not in used else next(n for i in range(1, 1000) if (n := f"{c}_sheet{'' if i == 1 else i}") not in used)
@@ -131,7 +144,7 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
             used.add(new)
     hits = None
     for c, f in keys:
-        left = rows.select("__row", F.explode(row_keys(rows, f)).alias("k"))
+        left = tuples.select("__row", F.explode(row_keys(tuples, f)).alias("k"))
         raw = F.col(f"`{c}`").cast("string")
         exact = sheet.where(~S.holds(raw.rlike(r"[*?\[]"))).select("__sheet", sheet_key(F.col(f"`{c}`"), f).alias("k"))
         h = left.join(sized(exact), "k").select("__row", "__sheet")
@@ -145,10 +158,16 @@ def sheet_join(rows: DataFrame, sheet: DataFrame, keys: list[tuple[str, str]] |
     annotations = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())) if names else F.struct(F.lit(True).alias("__matched"))
     tagged = hits.join(sized(sheet.select("__sheet", annotations.alias("a"))), "__sheet")
     per = tagged.groupBy("__row").agg(F.count_distinct(F.to_json("a", {"ignoreNullFields": "false"})).alias("__n"), F.min_by("a", "__sheet").alias("__a"))
-    joined = rows.join(per, "__row", "left")
-    out = joined.select(*[c for c in rows.columns if c != "__row"], *(F.when(F.col("__n") == 1, F.col(f"__a.{n}")).alias(n) for n in names.values()))
-    counts = per.agg(F.count_if(F.col("__n") == 1).alias("one"), F.count_if(F.col("__n") > 1).alias("more")).first()
-    return out, Report(keys, counts["one"], counts["more"], rows.join(per, "__row", "left_anti").drop("__row"), sheet.join(hits, "__sheet", "left_anti").drop("__sheet"))
+    found = tuples.join(per, "__row").select("__n", "__a", WEIGHT, *(F.col(f"`{c}`").alias(f"__on{i}") for i, c in enumerate(on)))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__on{i}"))
+    joined = rows.join(found.drop(WEIGHT), same, "left")
+    out = joined.select(*(F.col(f"`{c}`") for c in columns), *(F.when(F.col("__n") == 1, F.col(f"__a.{n}")).alias(n) for n in names.values()))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col(WEIGHT))), F.lit(0))
+    counts = found.agg(total(F.col("__n") == 1).alias("one"), total(F.col("__n") > 1).alias("more")).first()
+    left = rows.join(found.drop(WEIGHT), same, "left_anti").drop(ORDER)
+    return out, Report(keys, counts["one"], counts["more"], left, sheet.join(hits, "__sheet", "left_anti").drop("__sheet"))
 
 
 def layout_join(reads: DataFrame, *layouts: DataFrame) -> DataFrame:
