@@ -90,3 +90,11 @@ def test_the_bit_set_has_what_is_frequent():
         bits[8 * ((h >> 6) % (1 << 12)) + (h & 63) // 8] |= 1 << (h & 7)
     got = co.grams(t, 3, [b"\xff" * 64, bytes(bits)])["key"].to_pylist()
     assert got == ["a bé c\nen"]
+
+
+def test_very_long_texts_and_words(spark):
+    n = 60_000
+    df = spark.createDataFrame([("en", "x y " * n), ("en", "w" * 300_000), ("en", "x" * 10 + "," * 200_000)], "lang string, text string")
+    got = [(r["phrase"], r["a"], r["l"], r["r"], r["n"]) for r in co.collocations(df).orderBy("rank").collect()]
+    total = 2 * n + 2
+    assert {g[0]: (g[1], g[4]) for g in got} == {"x y x y": (n - 1, total), "y x y x": (n - 2, total)}

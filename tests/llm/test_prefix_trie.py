@@ -102,3 +102,10 @@ def test_many_turns_of_one_number(spark):
     got = pt.turns(table(spark, rows)).where("conv_id = 5").orderBy("pos").collect()
     want = sorted([turn_digest("user", "again")] * 3000 + [turn_digest("user", f"w {i}") for i in range(700)])
     assert [r["pos"] for r in got] == list(range(3700)) and [bytes(r["digest"]) for r in got] == want
+
+
+def test_very_long_turns(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "a" * 100_000, "x"), (3, 0, "user", long + "!")]
+    got = result(pt.conversation_trie(table(spark, rows)))
+    assert got == brute(originals(rows)) and got[0][6] == 200_000
