@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +96,21 @@ def percent_effect(df: DataFrame, keys: list[str], value: str, role: str = "role
     return df.withColumn("effect", F.try_divide((F.col(value) - n) * 100, p - n))
 
 
-def curve(model: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """linear: a + b x; 4pl and 5pl: d + (a - d) / (1 + (x / c) ** b) ** g."""
+def _bend(model: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(1 + (x / c) ** b) ** g: what a and d don't move."""
+    b, c = p[..., 1, None], p[..., 2, None]
+    with np.errstate(all="ignore"):
+        v = 1 + np.where(x > 0, (np.maximum(x, 1e-300) / abs(c)) ** b, 0.0)
+        return v ** p[..., 4, None] if model == "5pl" else v
+
+
+def curve(model: str, p: np.ndarray, x: np.ndarray, bend: np.ndarray | None = None) -> np.ndarray:
+    """linear: a + b x; 4pl and 5pl: d + (a - d) / (1 + (x / c) ** b) ** g; of parameters (..., p) at points (..., n)."""
     if model == "linear":
-        return p[0] + p[1] * x
-    a, b, c, d = p[:4]
-    g = p[4] if model == "5pl" else 1.0
+        return p[..., 0, None] + p[..., 1, None] * x
+    a, d = p[..., 0, None], p[..., 3, None]
     with np.errstate(all="ignore"):
-        return d + (a - d) / (1 + np.where(x > 0, (np.maximum(x, 1e-300) / abs(c)) ** b, 0.0)) ** g
+        return d + (a - d) / (_bend(model, p, x) if bend is None else bend)
 
 
 def weights_of(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,53 +124,138 @@ def jacobian(f, p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack([(f(p + h, x) - f(p - h, x)) / (2 * h.max()) for h in steps], 1)
 
 
-def levenberg(f, p0: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 300, positive: tuple[int, ...] = ()) -> tuple[np.ndarray, float]:
-    """Damped least squares with a numeric Jacobian; parameters named positive stay so."""
-    p, lam = p0.astype(float), 1e-3
-    r = y - f(p, x)
-    cost = float((w * r * r).sum())
-    for _ in range(rounds):
-        j = jacobian(f, p, x)
-        a, g = j.T @ (w[:, None] * j), j.T @ (w * r)
-        try:
-            step = np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g)
-        except np.linalg.LinAlgError:
-            break
-        q = p + step
-        inside = np.isfinite(q).all() and (q[list(positive)] > 0).all()
-        rq = y - f(q, x) if inside else r
-        cq = float((w * rq * rq).sum()) if inside else np.inf
-        if np.isfinite(cq) and cq < cost:
-            done = cost - cq < 1e-14 * max(cost, 1e-300)
-            p, r, cost, lam = q, rq, cq, max(lam / 10, 1e-12)
-            if done:
-                break
-        else:
-            lam *= 10
-            if lam > 1e12:
+def slopes(f, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``jacobian`` of many fits: (fits, points, parameters); f is told which parameter is moved."""
+    out = np.empty((*x.shape, p.shape[1]))
+    for i, h in enumerate(np.maximum(1e-6, 1e-6 * np.abs(p)).T):
+        up, down = p.copy(), p.copy()
+        up[:, i] += h
+        down[:, i] -= h
+        out[..., i] = (f(up, x, i) - f(down, x, i)) / (2 * h[:, None])
+    return out
+
+
+def _curve_slopes(model: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    bend = _bend(model, p, x)  # stays where a or d is moved
+    return slopes(lambda q, t, i: curve(model, q, t, bend if i in (0, 3) else None), p, x)
+
+
+def _solved(a: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Solutions of many systems, NaN where one is singular."""
+    try:
+        return np.linalg.solve(a, g[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.full_like(g, np.nan)
+        return np.concatenate([_solved(a[i : i + 1], g[i : i + 1]) for i in range(len(a))])
+
+
+def levenberg(f, p0: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 300, positive: tuple[int, ...] = (), jac=None) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares of many fits at once, with a numeric Jacobian; parameters named positive stay so.
+
+    p0: (fits, parameters); x, y and weights w: (fits, points); f of many, as ``curve``. Parameters and costs of each fit, which
+    takes its own steps until it has settled and is then left out; a Jacobian holds until a step is taken.
+    """
+    jac = jac or (lambda q, t: slopes(lambda s, z, _: f(s, z), q, t))
+    k = p0.shape[1]
+    best, costs = p0.astype(float), np.empty(len(p0))
+    p, lam, at, moved = best.copy(), np.full(len(p0), 1e-3), np.arange(len(p0)), np.ones(len(p0), bool)
+    a, g = np.empty((len(p0), k, k)), np.empty((len(p0), k))
+    with np.errstate(all="ignore"):
+        r = y - f(p, x)
+        cost = (w * r * r).sum(1)
+        for _ in range(rounds):
+            if not len(at):
                 break
-    return p, cost
+            if moved.any():
+                j = jac(p[moved], x[moved])
+                jt = np.swapaxes(j, 1, 2)
+                a[moved], g[moved] = jt @ (w[moved][..., None] * j), (jt @ (w[moved] * r[moved])[..., None])[..., 0]
+            damped = a.copy()
+            damped[:, range(k), range(k)] += lam[:, None] * np.maximum(a[:, range(k), range(k)], 1e-12)
+            q = p + _solved(damped, g)
+            inside = np.isfinite(q).all(1) & (q[:, list(positive)] > 0).all(1)
+            rq = y - f(np.where(inside[:, None], q, p), x)
+            cq = np.where(inside, (w * rq * rq).sum(1), np.inf)
+            moved = np.isfinite(cq) & (cq < cost)
+            stop = np.where(moved, cost - cq < 1e-14 * np.maximum(cost, 1e-300), lam * 10 > 1e12)
+            p, r, cost = np.where(moved[:, None], q, p), np.where(moved[:, None], rq, r), np.where(moved, cq, cost)
+            lam = np.where(moved, np.maximum(lam / 10, 1e-12), lam * 10)
+            if stop.any():
+                best[at[stop]], costs[at[stop]] = p[stop], cost[stop]
+                p, r, cost, lam, at, moved, a, g, x, y, w = (v[~stop] for v in (p, r, cost, lam, at, moved, a, g, x, y, w))
+    best[at], costs[at] = p, cost
+    return best, costs
+
+
+#: Fits at once: so many points of all starts together, of series of nearly one length.
+FITTED_AT_ONCE, LONGER = 1 << 16, 1.25
+
+
+def _together(lengths: list[int], starts: int) -> Iterator[list[int]]:
+    """Places of the series that are fitted at once."""
+    block: list[int] = []
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if block and (lengths[i] > LONGER * lengths[block[0]] or (len(block) + 1) * lengths[i] * starts > FITTED_AT_ONCE):
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
+
+
+def _best(f, starts: list[list[np.ndarray]], xs: list[np.ndarray], ys: list[np.ndarray], ws: list[np.ndarray], positive: tuple[int, ...], jac=None) -> list[tuple[np.ndarray, float]]:
+    """Parameters and cost of each series from the best of its starts; shorter series are filled with their first point, of weight 0."""
+    out: list = [None] * len(xs)
+    for block in _together([len(x) for x in xs], max(map(len, starts), default=1)):
+        n, k = len(xs[block[-1]]), len(starts[block[0]])
+        full = lambda vs, fill: np.repeat(np.stack([np.concatenate([vs[i], np.full(n - len(vs[i]), fill(vs[i]))]) for i in block]), k, 0)  # noqa: B023, E731
+        first, none = (lambda v: v[0]), (lambda v: 0.0)
+        p, cost = levenberg(f, np.concatenate([np.stack(starts[i]) for i in block]), full(xs, first), full(ys, first), full(ws, none), positive=positive, jac=jac)
+        p, cost = p.reshape(len(block), k, -1), cost.reshape(len(block), k)
+        for b, i in enumerate(block):
+            least = min(range(k), key=lambda s: cost[b, s])  # noqa: B023
+            out[i] = p[b, least], float(cost[b, least])
+    return out
 
 
 def fit_curve(model: str, x: np.ndarray, y: np.ndarray, weighting: str = "none") -> dict | None:
-    """Parameters with standard errors and covariance, r2, sse, residual_se, degrees of freedom; None with too few distinct x.
+    return fit_curves(model, [(x, y)], weighting)[0]
+
+
+def fit_curves(model: str, series: list[tuple[np.ndarray, np.ndarray]], weighting: str = "none") -> list[dict | None]:
+    """Of each series (x, y): parameters with standard errors and covariance, r2, sse, residual_se, degrees of freedom; None with too few distinct x.
 
     The covariance is residual_se^2 (J' W J)^-1; there is none without degrees of freedom or for a singular fit.
     """
-    ok = np.isfinite(x) & np.isfinite(y)
-    x, y = x[ok], y[ok]
-    levels = len(np.unique(x))
-    if levels < MODELS[model] or (model != "linear" and not (x > 0).any()):
-        return None
-    w = weights_of(weighting, x, y)
+    out: list[dict | None] = [None] * len(series)
+    todo, xs, ys, ws, starts = [], [], [], [], []
+    for i, (x, y) in enumerate(series):
+        ok = np.isfinite(x) & np.isfinite(y)
+        x, y = x[ok], y[ok]
+        if len(np.unique(x)) < MODELS[model] or (model != "linear" and not (x > 0).any()):
+            continue
+        todo.append(i)
+        xs.append(x)
+        ys.append(y)
+        ws.append(weights_of(weighting, x, y))
+        if model != "linear":
+            low, high, mid = y[x == x.min()].mean(), y[x == x.max()].mean(), np.exp(np.log(x[x > 0]).mean())
+            starts.append([np.array([low, b, m, high] + ([1.0] if model == "5pl" else [])) for b in (1.0, 2.0, 0.5) for m in (mid, mid / 10, mid * 10)])
     if model == "linear":
-        a = np.stack([np.ones_like(x), x], 1) * np.sqrt(w)[:, None]
-        p = np.linalg.lstsq(a, y * np.sqrt(w), rcond=None)[0]
-        cost = float((w * (y - curve(model, p, x)) ** 2).sum())
+        fits = []
+        for x, y, w in zip(xs, ys, ws, strict=True):
+            a = np.stack([np.ones_like(x), x], 1) * np.sqrt(w)[:, None]
+            p = np.linalg.lstsq(a, y * np.sqrt(w), rcond=None)[0]
+            fits.append((p, float((w * (y - curve(model, p, x)) ** 2).sum())))
     else:
-        low, high, mid = y[x == x.min()].mean(), y[x == x.max()].mean(), np.exp(np.log(x[x > 0]).mean())
-        starts = [np.array([low, b, m, high] + ([1.0] if model == "5pl" else [])) for b in (1.0, 2.0, 0.5) for m in (mid, mid / 10, mid * 10)]
-        p, cost = min((levenberg(lambda q, t: curve(model, q, t), s, x, y, w, positive=(1, 2, 4) if model == "5pl" else (1, 2)) for s in starts), key=lambda r: r[1])
+        fits = _best(lambda q, t: curve(model, q, t), starts, xs, ys, ws, (1, 2, 4) if model == "5pl" else (1, 2), lambda q, t: _curve_slopes(model, q, t))
+    for i, x, y, w, (p, cost) in zip(todo, xs, ys, ws, fits, strict=True):
+        out[i] = _described(model, x, y, w, p, cost)
+    return out
+
+
+def _described(model: str, x: np.ndarray, y: np.ndarray, w: np.ndarray, p: np.ndarray, cost: float) -> dict:
     mean = (w * y).sum() / w.sum() if w.sum() > 0 else y.mean()
     total, df = float((w * (y - mean) ** 2).sum()), max(len(x) - len(p), 0)
     cov, s2 = None, cost / df if df else None
@@ -173,7 +266,40 @@ def fit_curve(model: str, x: np.ndarray, y: np.ndarray, weighting: str = "none")
         if np.linalg.matrix_rank(info) == len(p):
             cov = s2 * np.linalg.inv(info) / np.outer(scale, scale)
     se = np.sqrt(np.maximum(np.diag(cov), 0)) if cov is not None else None
-    return {"p": p, "se": se, "cov": cov, "r2": 1.0 if total == 0 else 1 - cost / total, "sse": cost, "residual_se": None if s2 is None else float(np.sqrt(s2)), "df": df, "n": len(x), "levels": levels, "x_min": float(x.min()), "x_max": float(x.max())}
+    return {"p": p, "se": se, "cov": cov, "r2": 1.0 if total == 0 else 1 - cost / total, "sse": cost, "residual_se": None if s2 is None else float(np.sqrt(s2)), "df": df, "n": len(x), "levels": len(np.unique(x)), "x_min": float(x.min()), "x_max": float(x.max())}
+
+
+def _finite_point() -> Column:
+    return (F.abs("__x") < np.inf) & (F.abs("__y") < np.inf)  # NaN is above infinity
+
+
+def by_series(df: DataFrame, keys: list[str], x: str, y: str, usable: Column, of: Callable[[list[tuple[np.ndarray, np.ndarray]]], list[dict]], columns: str) -> DataFrame:
+    """keys and columns: what ``of`` makes of the usable points (``__x``, ``__y``) of each group, a small one, in their order; of many groups at once.
+
+    The groups are dealt over all shuffle partitions: they are few bytes and much work, so that merging partitions by their size would leave it to a few tasks.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    given = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    d = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    # a group without usable points has a row, too
+    point = lambda c: F.collect_list(F.when(usable, F.struct("__x", "__y")))[c]
+    groups = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys).agg(point("__x").alias("__x"), point("__y").alias("__y"))
+    kinds = {c.split()[0]: {"double": pa.float64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = (b.column(b.schema.get_field_index(c)) for c in ("__x", "__y"))
+            cuts = np.cumsum(u.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+            u, v = (c.flatten().to_numpy(zero_copy_only=False) for c in (u, v))
+            series = []
+            for s, t in zip(np.split(u, cuts), np.split(v, cuts), strict=True):
+                order = np.lexsort((t, s))
+                series.append((s[order], t[order]))
+            got = of(series) if b.num_rows else []
+            made = [pa.array([None if (value := g.get(c)) is None else value for g in got], kinds[c]) for c in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), *made], names=[*keys, *names])
+
+    return groups.mapInArrow(run, ", ".join([*given, columns]))
 
 
 PARAMETERS = ("a", "b", "c", "d", "g")
@@ -202,17 +328,17 @@ def fit(df: DataFrame, keys: list[str], x: str, y: str, model: str = "4pl", weig
         errors = {"se_a": F.sqrt(s2 * (1 / F.col("n") + F.try_divide(F.col("__mx") * F.col("__mx"), F.col("__sxx")))), "se_b": F.sqrt(F.try_divide(s2, F.col("__sxx"))), "sse": sse, "residual_se": F.sqrt(s2), "df": free.cast("int")}
         none = F.lit(None).cast("double")
         return out.select(*keys, *(F.when(line, errors.get(c, F.col(c) if c in sums else none)).alias(c) for c in names))
-    given = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_curve(model, pdf[x].to_numpy(float), pdf[y].to_numpy(float), weighting)
-        row = [None] * len(names)
-        if got:
-            five = [None] * (5 - len(got["p"]))
-            row = [*got["p"], *five, *(got["se"] if got["se"] is not None else [None] * len(got["p"])), *five, *(got[c] for c in names[10:])]
-        return pd.DataFrame([[*key, *row]], columns=[*keys, *names])
+    def of(series: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+        rows = []
+        for got in fit_curves(model, series, weighting):
+            row = dict(zip(PARAMETERS, got["p"])) if got else {}  # noqa: B905
+            if got and got["se"] is not None:
+                row |= {f"se_{c}": v for c, v in zip(PARAMETERS, got["se"])}  # noqa: B905
+            rows.append(row | {c: got[c] for c in names[10:]} if got else row)
+        return rows
 
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*given, FIT]))
+    return by_series(df, keys, x, y, _finite_point(), of, FIT)
 
 
 def inverse(y: Column, model: str = "4pl", at: dict[str, Column] | None = None) -> Column:
@@ -274,7 +400,10 @@ def midpoint(p: np.ndarray, share: float = 0.5) -> float:
 
 def effect_of(x: np.ndarray, y: np.ndarray, model: str = "4pl", confidence: float = 0.95, normalized: bool = False) -> dict:
     """The columns ``DOSE`` of one compound; the interval of the EC50 comes by the delta method on the scale of logarithms."""
-    got = fit_curve(model, x, y) if len(x) else None
+    return _effect(fit_curve(model, x, y), x, model, confidence, normalized)
+
+
+def _effect(got: dict | None, x: np.ndarray, model: str, confidence: float, normalized: bool) -> dict:
     if got is None:
         return {"error": f"needs {MODELS[model]} concentrations"}
     p, (low, high) = got["p"], sorted((got["p"][0], got["p"][3]))
@@ -303,15 +432,11 @@ def dose_response(df: DataFrame, keys: list[str], dose: str, response: str, mode
 
     normalized: the responses are percent effects (``percent_effect``); then absolute_ec50 is where the curve crosses 50.
     """
-    names = [f.split()[0] for f in DOSE.split(", ")]
-    given = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.replace([np.inf, -np.inf], np.nan).dropna(subset=[dose, response])
-        got = effect_of(p[dose].to_numpy(float), p[response].to_numpy(float), model, confidence, normalized)
-        return pd.DataFrame([[*key, *(got.get(c) for c in names)]], columns=[*keys, *names])
+    def of(series: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+        return [_effect(got, x, model, confidence, normalized) for got, (x, _) in zip(fit_curves(model, series), series, strict=True)]
 
-    return df.where(F.col(dose) >= 0).select(*keys, dose, response).groupBy(*keys).applyInPandas(run, ", ".join([*given, DOSE]))
+    return by_series(df.where(F.col(dose) >= 0), keys, dose, response, _finite_point(), of, DOSE)
 
 
 def kinetics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -337,6 +462,12 @@ def kinetics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, "vmax double, lag double, t_vmax double, auc double"]))
 
 
+def logistic(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """k / (1 + (k / n0 - 1) exp(-r x)); parameters and points as of ``curve``."""
+    k, r, n0 = (p[..., i, None] for i in range(3))
+    return k / (1 + (k / n0 - 1) * np.exp(np.clip(-r * x, -700, 700)))
+
+
 def growth_of(t: np.ndarray, v: np.ndarray, window: int | None = None, share: float = 0.05) -> dict:
     """mu_max, doubling, lag, k, r, n0 of one well's values in time order.
 
@@ -360,9 +491,8 @@ def growth_of(t: np.ndarray, v: np.ndarray, window: int | None = None, share: fl
             out = {"mu_max": mu[i], "doubling": np.log(2) / mu[i], "lag": tm[i] - (lm[i] - np.log(max(v[:3].mean(), thr))) / mu[i]}
     if n >= 4 and t[-1] > t[0]:
         rate = out.get("mu_max") or 4 / (t[-1] - t[0])
-        logistic = lambda s, z: s[0] / (1 + (s[0] / s[2] - 1) * np.exp(np.clip(-s[1] * z, -700, 700)))
         starts = [np.array([v.max() * k, rate * f, max(v[0], 1e-3 * v.max())]) for k in (1.0, 1.2) for f in (1.0, 0.5, 2.0)]
-        q, _ = min((levenberg(logistic, s, t - t[0], v, np.ones_like(v), positive=(0, 1, 2)) for s in starts), key=lambda r: r[1])
+        q, _ = _best(logistic, [starts], [t - t[0]], [v], [np.ones_like(v)], (0, 1, 2))[0]
         out |= dict(zip(("k", "r", "n0"), q, strict=True))
     return out
 

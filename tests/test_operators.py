@@ -144,6 +144,32 @@ def test_back_calculation_and_limits(spark):
     assert r["lloq"] == x[-2] and r["uloq"] == x[0]
 
 
+def test_many_curves_at_once(spark):
+    """Series of many lengths are fitted together, each as if alone, and dealt over all partitions."""
+    r = np.random.default_rng(3)
+    series = []
+    for i in range(60):
+        x = np.sort(r.choice(np.arange(1, 60), int(r.integers(5, 30)), replace=False)).astype(float)
+        y = assay.curve("4pl", np.array([1.0, 1.5, 20.0, 9.0 + i]), x) + r.normal(0, 0.01, len(x))
+        y[0] = np.nan if i % 7 == 0 else y[0]
+        series.append((x, y) if i % 10 else (x[:3], y[:3]))
+    for model in ("4pl", "5pl"):
+        got = assay.fit_curves(model, series)
+        for i, (s, g) in enumerate(zip(series, got, strict=True)):
+            alone = assay.fit_curve(model, *s)
+            assert (g is None) == (alone is None) and (g is not None or i % 10 == 0 or len(s[0]) < 7)
+            if g:
+                assert np.isclose(g["sse"], alone["sse"], rtol=1e-6) and g["n"] == alone["n"] and (model == "5pl" or np.allclose(g["p"], alone["p"], rtol=1e-4))
+    rows = [(k, float(x), float(y)) for k, (u, v) in enumerate(series) for x, y in zip(u, v, strict=True)]
+    rows += [(None, float(x), float(y)) for x, y in zip(*series[1], strict=True)] + [(99, 1.0, None), (99, float("inf"), 2.0)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    out = assay.dose_response(df, ["k"], "x", "y")
+    got = {d["k"]: d for d in out.collect()}
+    assert len(got) == 62 and got[99]["error"] and got[None]["ec50"] == got[1]["ec50"] and np.isclose(got[1]["ec50"], 20, rtol=0.05)
+    # little data, but much work: not left to one task
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_dose_response_recovers_what_was_planted(spark):
     rng = np.random.default_rng(20260923)
     doses = [10.0 / 3**i for i in range(10)]
