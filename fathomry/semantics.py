@@ -110,15 +110,31 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"/?[^/]*/*$", "")
 
 
+def _let(c: Column, f) -> Column:
+    """f of c, which is worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _place(c: Column) -> Column:
+    """Row and column (r, k), from 1, of a well; null where it is none. Each pattern is matched once."""
+    groups = lambda t: F.array(*(F.regexp_extract(t, p, i) for p in (r"^([A-Z]{1,2})[-_ ]?0*(\d{1,2})$", r"^R0*(\d{1,2})C0*(\d{1,2})$") for i in (1, 2)))
+
+    def numbers(g: Column) -> Column:
+        letters, digits, r, k = (g[i] for i in range(4))
+        row = F.when(r != "", r.try_cast("int")).when(F.length(letters) == 1, F.ascii(letters) - 64).when(F.length(letters) == 2, (F.ascii(letters) - 64) * 26 + F.ascii(F.substring(letters, 2, 1)) - 64)
+        return F.struct(row.alias("r"), F.when(r != "", k.try_cast("int")).otherwise(digits.try_cast("int")).alias("k"))
+
+    on_plate = lambda p: F.when(p["r"].between(1, 32) & p["k"].between(1, 48), p)
+    return _let(F.upper(F.trim(c)), lambda t: _let(groups(t), lambda g: _let(numbers(g), on_plate)))
+
+
+def _well_name(r: Column, k: Column) -> Column:
+    return F.concat(F.when(r <= 26, F.chr(64 + r)).otherwise(F.concat(F.lit("A"), F.chr(64 + r - 26))), F.lpad(k.cast("string"), 2, "0"))
+
+
 def well(c: Column) -> Column:
     """A1, a01, A-1 and R1C1 as A01; null where it is none (32 rows and 48 columns at most)."""
-    t = F.upper(F.trim(c))
-    letters, digits = F.regexp_extract(t, r"^([A-Z]{1,2})[-_ ]?0*(\d{1,2})$", 1), F.regexp_extract(t, r"^([A-Z]{1,2})[-_ ]?0*(\d{1,2})$", 2)
-    r, k = F.regexp_extract(t, r"^R0*(\d{1,2})C0*(\d{1,2})$", 1), F.regexp_extract(t, r"^R0*(\d{1,2})C0*(\d{1,2})$", 2)
-    row = F.when(r != "", r.try_cast("int")).when(F.length(letters) == 1, F.ascii(letters) - 64).when(F.length(letters) == 2, (F.ascii(letters) - 64) * 26 + F.ascii(F.substring(letters, 2, 1)) - 64)
-    col = F.when(r != "", k.try_cast("int")).otherwise(digits.try_cast("int"))
-    name = F.concat(F.when(row <= 26, F.chr(64 + row)).otherwise(F.concat(F.chr((64 + F.floor((row - 1) / 26)).cast("int")), F.chr((65 + (row - 1) % 26).cast("int")))), F.lpad(col.cast("string"), 2, "0"))
-    return F.when(row.between(1, 32) & col.between(1, 48), name)
+    return _let(_place(c), lambda p: _well_name(p["r"], p["k"]))
 
 
 def cv_percent(mean: Column, sd: Column) -> Column:
@@ -141,22 +157,16 @@ def dilution(text: Column) -> Column:
     return F.when(t.rlike("[:/]"), F.when((a > 0) & (b > 0), b / a)).when(v > 0, F.when(v < 1, 1 / v).otherwise(v))
 
 
-def _place(name: Column) -> tuple[Column, Column]:
-    """Row and column, from 1, of a well written as `well` writes it."""
-    letters = F.regexp_extract(name, "^[A-Z]+", 0)
-    last = F.ascii(F.substring(letters, -1, 1)) - 64
-    row = F.when(F.length(letters) == 2, (F.ascii(letters) - 64) * 26 + last).otherwise(last)
-    return row, F.regexp_extract(name, "[0-9]+$", 0).try_cast("int")
-
-
 def well_range(c: Column) -> Column:
     """The wells of `A1:B3`, row by row, whichever corners it names; one well is itself, anything else null."""
-    a = well(F.regexp_extract(c, r"^([^:]*)", 1))
-    b = F.when(c.contains(":"), well(F.regexp_extract(c, r"^[^:]*:(.*)$", 1))).otherwise(a)
-    (r0, c0), (r1, c1) = _place(a), _place(b)
-    rows, columns = F.sequence(F.least(r0, r1), F.greatest(r0, r1)), F.sequence(F.least(c0, c1), F.greatest(c0, c1))
-    name = lambda r, k: F.concat(F.when(r <= 26, F.chr(64 + r)).otherwise(F.concat(F.lit("A"), F.chr(64 + r - 26))), F.lpad(k.cast("string"), 2, "0"))
-    return F.when(a.isNotNull() & b.isNotNull(), F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda k: name(r, k)))))
+    ends = F.when(c.contains(":"), F.array(F.regexp_extract(c, r"^([^:]*)", 1), F.regexp_extract(c, r"^[^:]*:(.*)$", 1))).otherwise(F.array(c))
+
+    def wells(p: Column) -> Column:
+        a, b = p[0], F.element_at(p, -1)
+        rows, columns = (F.sequence(F.least(a[x], b[x]), F.greatest(a[x], b[x])) for x in "rk")
+        return F.when(a.isNotNull() & b.isNotNull(), F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda k: _well_name(r, k)))))
+
+    return _let(F.transform(ends, _place), wells)
 
 
 #: Rows and columns of the usual plates.

@@ -144,6 +144,15 @@ def test_back_calculation_and_limits(spark):
     assert r["lloq"] == x[-2] and r["uloq"] == x[0]
 
 
+def test_a_range_parses_its_wells_once(spark):
+    """Each pattern stands in the plan once for an end, not once for each use of what it finds."""
+    d = spark.createDataFrame([("A1:B2",), (" h12:R2C3",), ("af48",), ("A1:B2:C3",), ("R33C1:A1",), ("A0",), ("A1\n:B1",), ("AA1:Z2",)], "t string").select(S.well_range(F.col("t")).alias("w"), S.well(F.col("t")).alias("one"))
+    got = [tuple(r) for r in d.collect()]
+    assert got[0] == (["A01", "A02", "B01", "B02"], None) and got[1][0][0] == "B03" and len(got[1][0]) == 70 and got[2] == (["AF48"], "AF48")
+    assert [r[0] for r in got[3:6]] == [None, None, None] and got[6][0] == ["A01", "B01"] and got[7][0] == ["Z01", "Z02", "AA01", "AA02"]
+    assert d._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 12
+
+
 def test_many_curves_at_once(spark):
     """Series of many lengths are fitted together, each as if alone, and dealt over all partitions."""
     r = np.random.default_rng(3)
