@@ -283,7 +283,8 @@ def by_series(df: DataFrame, keys: list[str], x: str, y: str, usable: Column, of
     d = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     # a group without usable points has a row, too
     point = lambda c: F.collect_list(F.when(usable, F.struct("__x", "__y")))[c]
-    groups = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys).agg(point("__x").alias("__x"), point("__y").alias("__y"))
+    # one more: Spark would drop a shuffle for an earlier one by the same keys and number, which it may merge
+    groups = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *keys).groupBy(*keys).agg(point("__x").alias("__x"), point("__y").alias("__y"))
     kinds = {c.split()[0]: {"double": pa.float64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,42 +470,47 @@ def logistic(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def growth_of(t: np.ndarray, v: np.ndarray, window: int | None = None, share: float = 0.05) -> dict:
-    """mu_max, doubling, lag, k, r, n0 of one well's values in time order.
+    return growths([(t, v)], window, share)[0]
+
+
+def growths(series: list[tuple[np.ndarray, np.ndarray]], window: int | None = None, share: float = 0.05) -> list[dict]:
+    """mu_max, doubling, lag, k, r, n0 of each well's values in time order.
 
     The window counts all points: a tenth of them, five at least; without as many points over the threshold
     (share of the maximum), or without a rising window, there is no rate. k, r, n0: the logistic curve from the first point on.
     """
-    n, out = len(t), {}
+    out = [_growth_rate(t, v, window, share) for t, v in series]
+    todo, starts = [], []
+    for i, (t, v) in enumerate(series):
+        if len(t) >= 4 and v.max() > 0 and t[-1] > t[0]:
+            rate = out[i].get("mu_max") or 4 / (t[-1] - t[0])
+            todo.append(i)
+            starts.append([np.array([v.max() * k, rate * f, max(v[0], 1e-3 * v.max())]) for k in (1.0, 1.2) for f in (1.0, 0.5, 2.0)])
+    xs, ys = [series[i][0] - series[i][0][0] for i in todo], [series[i][1] for i in todo]
+    for i, (q, _) in zip(todo, _best(logistic, starts, xs, ys, [np.ones_like(y) for y in ys], (0, 1, 2)), strict=True):
+        out[i] |= dict(zip(("k", "r", "n0"), q, strict=True))
+    return out
+
+
+def _growth_rate(t: np.ndarray, v: np.ndarray, window: int | None, share: float) -> dict:
+    n = len(t)
     if n < 2 or not v.max() > 0:
-        return out
+        return {}
     thr = share * v.max()
     h = max(window or max(5, -(-n // 10)), 2)
     keep = v > thr
     tk, lk = t[keep], np.log(v[keep])
-    if len(tk) >= h:
-        tw, lw = np.lib.stride_tricks.sliding_window_view(tk, h), np.lib.stride_tricks.sliding_window_view(lk, h)
-        tm, lm = tw.mean(1), lw.mean(1)
-        sxx = ((tw - tm[:, None]) ** 2).sum(1)
-        mu = np.where(sxx > 0, ((tw - tm[:, None]) * (lw - lm[:, None])).sum(1) / np.where(sxx > 0, sxx, 1), -np.inf)
-        i = int(np.argmax(mu))
-        if mu[i] > 0:
-            out = {"mu_max": mu[i], "doubling": np.log(2) / mu[i], "lag": tm[i] - (lm[i] - np.log(max(v[:3].mean(), thr))) / mu[i]}
-    if n >= 4 and t[-1] > t[0]:
-        rate = out.get("mu_max") or 4 / (t[-1] - t[0])
-        starts = [np.array([v.max() * k, rate * f, max(v[0], 1e-3 * v.max())]) for k in (1.0, 1.2) for f in (1.0, 0.5, 2.0)]
-        q, _ = _best(logistic, [starts], [t - t[0]], [v], [np.ones_like(v)], (0, 1, 2))[0]
-        out |= dict(zip(("k", "r", "n0"), q, strict=True))
-    return out
+    if len(tk) < h:
+        return {}
+    tw, lw = np.lib.stride_tricks.sliding_window_view(tk, h), np.lib.stride_tricks.sliding_window_view(lk, h)
+    tm, lm = tw.mean(1), lw.mean(1)
+    sxx = ((tw - tm[:, None]) ** 2).sum(1)
+    mu = np.where(sxx > 0, ((tw - tm[:, None]) * (lw - lm[:, None])).sum(1) / np.where(sxx > 0, sxx, 1), -np.inf)
+    i = int(np.argmax(mu))
+    return {"mu_max": mu[i], "doubling": np.log(2) / mu[i], "lag": tm[i] - (lm[i] - np.log(max(v[:3].mean(), thr))) / mu[i]} if mu[i] > 0 else {}
 
 
 def growth(df: DataFrame, keys: list[str], x: str, y: str, window: int | None = None) -> DataFrame:
-    """``growth_of`` each well, a small group."""
-    names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-    columns = ["mu_max", "doubling", "lag", "k", "r", "n0"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=[x, y]).sort_values(x, kind="stable")
-        got = growth_of(p[x].to_numpy(float), p[y].to_numpy(float), window)
-        return pd.DataFrame([[*key, *(got.get(c) for c in columns)]], columns=[*keys, *columns])
-
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*names, *(f"{c} double" for c in columns)]))
+    """``growths`` of the wells, small groups."""
+    known = ~F.isnan(F.col("__x")) & ~F.isnan(F.col("__y")) & F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    return by_series(df, keys, x, y, known, lambda series: growths(series, window), "mu_max double, doubling double, lag double, k double, r double, n0 double")
