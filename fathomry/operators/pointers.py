@@ -2,7 +2,7 @@
 
 A pointer is ``/images/0/size_x`` (``~1`` is a slash, ``~0`` a tilde); a number names an element of an array or a member
 of an object, ``*`` each of them. Documents are parsed once and taken apart level by level, only where both sides are containers
-of one kind, so a level's rows are the members still to be compared, spread by (key, pointer).
+of one kind, so a level's rows are the members still to be compared; those of a pair are paired within its row.
 
 Defined results: text that is no JSON is no document; numbers are equal if their texts are or they differ by less than 1e-9 of the
 larger; members of an object are unordered; where one side has nothing, the other's whole value is one difference.
@@ -42,10 +42,10 @@ def _step(v: Column, part: str) -> Column:
     return F.coalesce(F.try_variant_get(v, f"$[{part}]", "variant"), named) if re.fullmatch(r"\d{1,9}", part) else named
 
 
-def _kind(v: Column) -> Column:
-    """object, array, number or other."""
-    s = F.schema_of_variant(v)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(v.isNotNull(), "other")
+def _kind(text: Column) -> Column:
+    """object, array, number or other, by the JSON text of a value."""
+    first = F.substring(text, 1, 1)
+    return F.when(first == "{", "object").when(first == "[", "array").when(first.rlike("[-0-9]"), "number").when(text.isNotNull(), "other")
 
 
 def resolve(v: Column, parts: list[str]) -> Column:
@@ -78,11 +78,16 @@ def _ignored(pointer: Column, patterns: list[str], extra: bool) -> Column:
     return out
 
 
-def _members(pairs: DataFrame, key: list[str], side: str) -> DataFrame:
-    """The members of one side: key, pointer, and the member as that side."""
-    exploded = pairs.select(*key, "pointer", F.col(side).alias("__v")).lateralJoin(pairs.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-    name = F.coalesce(F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-    return exploded.select(*key, F.concat("pointer", F.lit("/"), name).alias("pointer"), F.col("value").alias(side))
+def _members(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """key, pointer, a, b of the members of two objects, or of two arrays; they are paired where they lie, without a shuffle."""
+    objects, arrays = ([F.try_variant_get(s, "$", kind) for s in "ab"] for kind in ("map<string,variant>", "array<variant>"))
+    named = F.map_entries(F.map_zip_with(*objects, lambda _, x, y: F.struct(x.alias("a"), y.alias("b"))))
+    escaped = lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    one = lambda name, x: F.struct(name.alias("name"), x["a"].alias("a"), x["b"].alias("b"))
+    numbered = F.arrays_zip(*(c.alias(s) for c, s in zip(arrays, "ab", strict=True)))
+    members = F.coalesce(F.transform(named, lambda e: one(escaped(e["key"]), e["value"])), F.transform(numbered, lambda x, i: one(i.cast("string"), x)))
+    each = pairs.select(*key, "pointer", F.explode(members).alias("m"))
+    return each.select(*key, F.concat("pointer", F.lit("/"), F.col("m.name")).alias("pointer"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
 
 
 def diff(ours: DataFrame, theirs: DataFrame, key: list[str], json: str, ignore: list[str] | None = None, extra: bool = False, depth: int = 64) -> DataFrame:
@@ -94,16 +99,18 @@ def diff(ours: DataFrame, theirs: DataFrame, key: list[str], json: str, ignore:
     pairs = a.join(b, key, "full").withColumn("pointer", F.lit(""))
     found: DataFrame | None = None
     for _ in range(depth):
-        kinds = pairs.withColumns({"ka": _kind(F.col("a")), "kb": _kind(F.col("b")), "ta": F.to_json("a"), "tb": F.to_json("b")})
+        texts = pairs.withColumns({"ta": F.to_json("a"), "tb": F.to_json("b")})
+        kinds = texts.withColumns({"ka": _kind(F.col("ta")), "kb": _kind(F.col("tb"))})
         x, y = (F.try_variant_get(F.col(s), "$", "double") for s in "ab")
-        close = (F.col("ka") == "number") & (F.col("kb") == "number") & (F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y)))
+        close = F.when((F.col("ka") == "number") & (F.col("kb") == "number"), F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y)))
         inside = (F.col("ka") == F.col("kb")) & F.col("ka").isin("object", "array")
-        level = checkpointed(kinds.where(~(F.col("ta").eqNullSafe(F.col("tb")) & F.col("ka").eqNullSafe(F.col("kb")))).where(~F.coalesce(close, F.lit(False))).withColumn("inside", F.coalesce(inside, F.lit(False))))
+        differ = kinds.where(~F.col("ta").eqNullSafe(F.col("tb"))).where(~F.coalesce(close, F.lit(False))).withColumn("inside", F.coalesce(inside, F.lit(False)))
+        # containers are kept as such, other values as their texts
+        level = checkpointed(differ.select(*key, "pointer", "inside", *(F.when(F.col("inside"), F.col(c)).alias(c) for c in "ab"), *(F.when(~F.col("inside"), F.col(c)).alias(c) for c in ("ta", "tb"))))
         here = level.where("NOT inside").select(*key, "pointer", F.col("ta").alias("ours"), F.col("tb").alias("theirs"))
         found = here if found is None else found.unionByName(here)
         more = level.where("inside")
         if not more.limit(1).count():
             return found
-        pairs = _members(more, key, "a").join(_members(more, key, "b"), [*key, "pointer"], "full")
-        pairs = pairs.where(~_ignored(F.col("pointer"), ignore or [], extra))
+        pairs = _members(more, key).where(~_ignored(F.col("pointer"), ignore or [], extra))
     raise UsageError(f"documents are nested deeper than {depth}")

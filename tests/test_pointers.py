@@ -83,3 +83,20 @@ def test_diff_values(spark):
     got = sorted((x["id"], x["pointer"], x["ours"], x["theirs"]) for x in jp.diff(a, b, ["id"], "j").collect())
     assert got == [(1, "/a/b/1", "2", None), (1, "/n", "1", '"1"'), (2, "", "{}", None), (3, "", None, "[]"), (4, "", None, "5")]
     assert jp.diff(a, a, ["id"], "j").count() == 0 and jp.diff(a.limit(0), b.limit(0), ["id"], "j").count() == 0
+
+
+def test_levels_are_not_shuffled(spark, monkeypatch):
+    """Only the documents are joined; members are paired within their rows, wide objects and nulls too."""
+    wide = {f"k{i}": i for i in range(3000)}
+    rows = [({"a": [{"b": None, "c": 1}]}, {"a": [{"b": 2, "d": None}]}), (wide, wide | {"k7": None, "x": 1}), ({"n": None}, {}), ([None, 1], [1])]
+    ours, theirs = (spark.createDataFrame([(i, json.dumps(r[s])) for i, r in enumerate(rows)], "id int, j string") for s in (0, 1))
+    plans, real = [], jp.checkpointed
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(jp, "checkpointed", kept)
+    got = sorted((x["id"], x["pointer"], x["ours"], x["theirs"]) for x in jp.diff(ours, theirs, ["id"], "j").collect())
+    assert got == [(0, "/a/0/b", "null", "2"), (0, "/a/0/c", "1", None), (0, "/a/0/d", None, "null"), (1, "/k7", "7", "null"), (1, "/x", None, "1"), (2, "/n", "null", None), (3, "/0", "null", "1"), (3, "/1", "1", None)]
+    assert len(plans) == 4 and [p.count("Join ") for p in plans] == [1, 0, 0, 0]
