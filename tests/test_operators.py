@@ -363,6 +363,33 @@ def test_components_of_a_whole_table(spark):
     assert got == sorted((x, root(x)) for x in list(up))
 
 
+def test_components_send_no_labels_over_the_driver(spark):
+    """Joins of nodes' labels are shuffled, though their files are small; loops, repeats, null ends and paths count as before."""
+    from fathomry.operators.graph import connected_components
+
+    rows = [(f"n{(i * 7) % 50:02d}", f"n{(i * 7 + 7) % 50:02d}") for i in range(30)] * 2 + [("x", "x"), ("y", "x2"), ("x2", "x2"), ("z", None), (None, "z"), (None, None), ("n00", "n00"), ("w", "a0"), ("w", "w")]
+    up: dict[str, str] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in rows:
+        if a and b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = sorted(map(tuple, connected_components(spark.createDataFrame(rows, "a string, b string")).collect()))
+    assert got == sorted((x, root(x)) for x in list(up)) and len({c for _, c in got}) > 3
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+    assert connected_components(spark.createDataFrame([("x", "x")] * 2, "a string, b string").union(spark.createDataFrame([("z", None)], "a string, b string"))).collect() == [("x", "x")]
+    assert connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
 def test_times_over_midnight_and_whole_hours_apart_are_linked(spark):
     df = spark.createDataFrame([("a", 86_399.5, 1), ("b", 86_400.3, 1), ("c", 86_400.2 + 7200, 1), ("d", 90_000.0 + 900, 1), ("e", 86_399.5, 2)], "path string, started_at double, instrument_serial int")
     got = {(r["a"], r["b"]) for r in link.same_time(df, "path", "started_at", 1.0, ["instrument_serial"]).collect()}
