@@ -1,8 +1,9 @@
 """A crawl as a job: items in order, read in chunks with a journal, capped, stopped and resumed; a stream's sink that writes once.
 
 ``Job.run`` plans first: items get their places in the order of their paths, those whose size, time and settings are those of the
-previous run's record are reused, and the rest is dealt into chunks. A chunk is read and written to a folder of its
-own, which is overwritten, and then named in the journal. A run that dies between the two reads that chunk again, so
+previous run's record are reused, and the rest is dealt into chunks. The next chunks are read together, as many as should take
+``TOGETHER_S`` at the pace of those before (the first one of a run alone), and written to a folder named by the first of them,
+which is overwritten; then all are named in the journal, in one write. A run that dies between the two reads those chunks again, so
 rows come neither twice nor in parts; the next ``run`` of the same settings goes on after the journal. Caps stop a session at a
 chunk's edge, never before its first chunk. Everything is written by Spark below one folder, which all executors share.
 
@@ -25,6 +26,10 @@ from ..errors import UsageError
 from ..operators.tables import positions
 
 RUNS = "run long, finished boolean, settings string, items long, chunks long"
+#: seconds: a chunk's share of the time of those read with it; null in journals of older versions.
+ENTRIES = "chunk long, items long, seconds double"
+#: What a kill may cost in work, and what the start of Spark's jobs is spread over.
+TOGETHER_S = 30.0
 
 
 @dataclass(frozen=True)
@@ -57,13 +62,14 @@ class Job:
                 return None
             raise
 
-    def _last(self, spark: SparkSession, finished: bool):
-        """The last run, of those that are finished or that aren't; a row each."""
+    def _last(self, spark: SparkSession) -> tuple:
+        """The last run of those that aren't finished, and of those that are; a row each, or None."""
         runs = self._table(spark, "runs", RUNS)
         if runs is None:
-            return None
+            return None, None
         each = runs.groupBy("run").agg(F.bool_or("finished").alias("finished"), F.max("settings").alias("settings"), F.max("items").alias("items"), F.max("chunks").alias("chunks"))
-        return each.where(F.col("finished") == finished).orderBy(F.desc("run")).first()
+        last = {r["finished"]: r["last"] for r in each.groupBy("finished").agg(F.max(F.struct(*each.columns)).alias("last")).collect()}
+        return last.get(False), last.get(True)
 
     def _note(self, spark: SparkSession, run: int, finished: bool, items: int, chunks: int) -> None:
         spark.createDataFrame([(run, finished, self._settings, items, chunks)], RUNS).coalesce(1).write.mode("append").parquet(f"{self.where}/runs")
@@ -71,7 +77,7 @@ class Job:
     def run(self, items: DataFrame, max_items: int | None = None, max_seconds: float | None = None, restart: bool = False) -> Progress:
         """Reads what is left of an unfinished run, or else begins one over the items; up to the caps."""
         spark = items.sparkSession
-        open_, done = self._last(spark, False), self._last(spark, True)
+        open_, done = self._last(spark)
         if open_ and not restart and (not done or done["run"] < open_["run"]):
             if open_["settings"] != self._settings:
                 raise UsageError(f"{self.where} holds an interrupted run with other settings", "finish it with those, or restart")
@@ -79,25 +85,41 @@ class Job:
         else:
             now = self._plan(spark, items, max([r["run"] for r in (open_, done) if r], default=-1) + 1, done)
         run, began, n, chunks = now["run"], time.monotonic(), 0, 0
-        plan = self._table(spark, f"run={run}/plan") if now["items"] else None
-        journal = self._table(spark, f"run={run}/journal", "chunk long, items long")
+        journal = self._table(spark, f"run={run}/journal", ENTRIES)
         # a row per chunk
-        written = {r["chunk"] for r in journal.select("chunk").distinct().collect()} if journal is not None else set()
-        for chunk in range(now["chunks"]):
-            if chunk in written:
-                continue
-            if chunks and ((max_items is not None and n >= max_items) or (max_seconds is not None and time.monotonic() - began >= max_seconds)):
+        written = {r["chunk"]: r["seconds"] for r in journal.collect()} if journal is not None else {}
+        pace = written[max(written)] if written else None
+        left = [(chunk, min(self.chunk_items, now["items"] - chunk * self.chunk_items)) for chunk in range(now["chunks"]) if chunk not in written]
+        while left:
+            spent = time.monotonic() - began
+            if chunks and ((max_items is not None and n >= max_items) or (max_seconds is not None and spent >= max_seconds)):
                 return Progress(run, False, n, chunks)
-            some = plan.where(F.col("chunk") == chunk)
-            self.read(some.drop("chunk")).write.mode("overwrite").parquet(f"{self.where}/run={run}/records/chunk={chunk}")
-            size = min(self.chunk_items, now["items"] - chunk * self.chunk_items)
-            self._entry(spark, run, chunk, size)
-            n, chunks = n + size, chunks + 1
+            some, left = self._together(left, pace, None if max_items is None else max_items - n, None if max_seconds is None else max_seconds - spent)
+            first = some[0][0]
+            self.read(self._planned(spark, run, [chunk for chunk, _ in some])).write.mode("overwrite").parquet(f"{self.where}/run={run}/records/chunk={first}")
+            pace = (time.monotonic() - began - spent) / len(some)
+            self._entry(spark, run, first, [(chunk, size, pace) for chunk, size in some])
+            n, chunks = n + sum(size for _, size in some), chunks + len(some)
         self._note(spark, run, True, now["items"], now["chunks"])
         return Progress(run, True, n, chunks)
 
-    def _entry(self, spark: SparkSession, run: int, chunk: int, items: int) -> None:
-        spark.createDataFrame([(chunk, items)], "chunk long, items long").coalesce(1).write.mode("append").parquet(f"{self.where}/run={run}/journal")
+    @staticmethod
+    def _together(left: list, pace: float | None, items: int | None, seconds: float | None) -> tuple[list, list]:
+        """The chunks (number, items) to read next, and those after them: one at least, and none that the caps would leave."""
+        most = 1 if pace is None else int(min(TOGETHER_S, TOGETHER_S if seconds is None else seconds) / max(pace, 1e-3))
+        k, n = 1, left[0][1]
+        while k < min(most, len(left)) and (items is None or n < items):
+            k, n = k + 1, n + left[k][1]
+        return left[:k], left[k:]
+
+    def _planned(self, spark: SparkSession, run: int, chunks: list[int]) -> DataFrame:
+        """The items of some chunks; no other chunk's folder is listed."""
+        plan = f"{self.where}/run={run}/plan"
+        return spark.read.option("basePath", plan).parquet(*(f"{plan}/chunk={chunk}" for chunk in chunks)).drop("chunk")
+
+    def _entry(self, spark: SparkSession, run: int, first: int, entries: list[tuple[int, int, float]]) -> None:
+        """Names the chunks that were read together, from the first one on: all or none."""
+        spark.createDataFrame(entries, ENTRIES).coalesce(1).write.mode("append").parquet(f"{self.where}/run={run}/journal")
 
     def _plan(self, spark: SparkSession, items: DataFrame, run: int, done) -> dict:
         one = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size_bytes"), *(c for c in items.columns if c not in ("path", "mtime", "size_bytes")))
@@ -126,18 +148,18 @@ class Job:
     def records(self, spark: SparkSession, run: int | None = None) -> DataFrame | None:
         """The records of a run, the last one by default, as far as it has got; ``seq`` is their items' order."""
         if run is None:
-            last = [r for r in (self._last(spark, False), self._last(spark, True)) if r]
+            last = [r for r in self._last(spark) if r]
             if not last:
                 return None
             run = max(r["run"] for r in last)
         parts = [self._table(spark, f"run={run}/reused")]
-        journal = self._table(spark, f"run={run}/journal", "chunk long, items long")
+        journal = self._table(spark, f"run={run}/journal", ENTRIES)
         written = journal.select("chunk").distinct() if journal is not None else None
         if written is not None:
             read = self._table(spark, f"run={run}/records")
             parts.append(read.join(written, "chunk", "left_semi").drop("chunk"))
         plan = self._table(spark, f"run={run}/plan")
-        before = [r for r in (self._last(spark, True),) if r and r["run"] < run]
+        before = [r for r in self._last(spark)[1:] if r and r["run"] < run]
         if plan is not None and before:
             left = plan if written is None else plan.join(written, "chunk", "left_anti")
             old = self.records(spark, before[0]["run"])

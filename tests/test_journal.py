@@ -57,6 +57,48 @@ def test_killed_between_write_and_journal(spark, tmp_path, monkeypatch):
     assert [r[:2] for r in rows(job, spark)] == [(i + 1, f"p{i:03d}") for i in range(8)]
 
 
+def test_chunks_are_read_together(spark, tmp_path, monkeypatch):
+    """Jobs don't grow with the chunks; a kill leaves none of those read together, caps and the next session hold to chunks."""
+    reads = []
+    job = journal.Job(f"file://{tmp_path}/j", lambda d: reads.append(1) or d.withColumn("read", F.lit("x")), chunk_items=2)
+    entry, calls = journal.Job._entry, []
+
+    def dies(self, spark, run, chunk, n):
+        calls.append(chunk)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        entry(self, spark, run, chunk, n)
+
+    monkeypatch.setattr(journal, "TOGETHER_S", 3600.0)
+    monkeypatch.setattr(journal.Job, "_entry", dies)
+    with pytest.raises(KeyboardInterrupt):
+        job.run(items(spark, 81))
+    assert calls == [0, 1] and len(reads) == 2 and [r[1] for r in rows(job, spark)] == ["p000", "p001"]
+    assert job.run(items(spark, 81), max_items=7) == journal.Progress(0, False, 8, 4) and len(reads) == 3
+    assert [r[1] for r in rows(job, spark)] == [f"p{i:03d}" for i in range(10)]
+    assert job.run(items(spark, 81), max_seconds=0) == journal.Progress(0, False, 2, 1) and len(reads) == 4
+    assert job.run(items(spark, 81)) == journal.Progress(0, True, 69, 35) and len(reads) == 5
+    assert [r[:2] for r in rows(job, spark)] == [(i + 1, f"p{i:03d}") for i in range(81)]
+
+
+def test_chunks_that_take_long_are_read_alone():
+    left = [(i, 2) for i in range(5)]
+    assert journal.Job._together(left, None, None, None) == (left[:1], left[1:])
+    assert journal.Job._together(left, journal.TOGETHER_S, None, None) == (left[:1], left[1:])
+    assert journal.Job._together(left, 1.0, None, 3.5) == (left[:3], left[3:]) and journal.Job._together(left, 0.0, 5, None) == (left[:3], left[3:])
+    assert journal.Job._together(left, 1.0, 0, None) == (left[:1], left[1:]) and journal.Job._together(left, 0.0, None, None) == (left, [])
+
+
+def test_journals_of_older_versions_go_on(spark, tmp_path):
+    """Entries without seconds, a folder a chunk."""
+    job = journal.Job(f"file://{tmp_path}/j", lambda d: d.withColumn("read", F.lit("x")), chunk_items=3)
+    job.run(items(spark, 8), max_items=1)
+    old = [(0, 3)]
+    spark.createDataFrame(old, "chunk long, items long").coalesce(1).write.mode("overwrite").parquet(f"{job.where}/run=0/journal")
+    assert job.run(items(spark, 8)) == journal.Progress(0, True, 5, 2)
+    assert [r[:2] for r in rows(job, spark)] == [(i + 1, f"p{i:03d}") for i in range(8)]
+
+
 def test_nothing_to_read(spark, tmp_path):
     job = journal.Job(f"file://{tmp_path}/j", lambda d: d.withColumn("read", F.lit("x")))
     assert job.run(items(spark, 8).limit(0)) == journal.Progress(0, True, 0, 0) and rows(job, spark) == []
